@@ -1,3 +1,3 @@
 """Import every module that registers queries."""
 
-from catalog import sampling, scoring  # noqa: F401
+from catalog import graphs, sampling, scoring  # noqa: F401

@@ -132,3 +132,55 @@ FROM (SELECT p_partkey AS id, p_partkey // 2 AS pair, p_brand AS set_id, p_name
 
 VALID_PAIRS = f"""SELECT pair FROM ({PAIRED_ITEMS}) GROUP BY pair
   HAVING count(*) = 2 AND count(*) FILTER (solvable) = 1 AND count(*) FILTER (NOT solvable) = 1"""
+
+
+# --- graphs from part --------------------------------------------------------------
+def grid_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One grid of 3x3 to 6x6 per part."""
+    size = F.col("p_size")
+    placement = F.element_at(F.array(*[F.lit(p) for p in ("random", "border", "corners", "far")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    mode = F.element_at(F.array(*[F.lit(c) for c in ("balanced", "random", "fixed")]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("graph_id"),
+        (size % 4 + 3).cast("int").alias("width"),
+        (F.floor(size / 4) % 4 + 3).cast("int").alias("height"),
+        F.col("p_partkey").alias("seed"),
+        placement.alias("placement"),
+        mode.alias("cut_mode"),
+        F.when(F.col("p_partkey") % 3 == 2, (size % 5) / 4).alias("cut_pos"),
+        (size % 6).cast("int").alias("loops"),
+        F.lit(3).alias("min_distance"),
+    )
+
+
+GRID_PARAMS = """SELECT p_partkey AS graph_id, (p_size % 4 + 3)::INTEGER AS width, ((p_size // 4) % 4 + 3)::INTEGER AS height,
+  p_partkey AS seed, (['random', 'border', 'corners', 'far'])[p_partkey % 4 + 1] AS placement,
+  (['balanced', 'random', 'fixed'])[p_partkey % 3 + 1] AS cut_mode,
+  CASE WHEN p_partkey % 3 = 2 THEN (p_size % 5) / 4.0::DOUBLE END AS cut_pos, (p_size % 6)::INTEGER AS loops,
+  3 AS min_distance FROM part"""
+
+GRID_NODES = f"""SELECT *, node % width AS x, node // width AS y
+  FROM (SELECT *, unnest(range(width * height))::INTEGER AS node FROM ({GRID_PARAMS}))"""
+
+GRID_EDGES = f"""SELECT graph_id, seed, node AS a, node + 1 AS b, node * 2 AS edge_no FROM ({GRID_NODES}) WHERE x < width - 1
+  UNION ALL SELECT graph_id, seed, node, (node + width)::INTEGER, node * 2 + 1 FROM ({GRID_NODES}) WHERE y < height - 1"""
+
+
+def maze_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About six in ten passages of each grid open, so graphs fall into several parts."""
+    from gridtwin.operators.grids import grid_edges
+
+    edges = grid_edges(grid_params(spark, sf_dir), "seed")
+    return edges.where(draw(F.col("seed"), F.col("edge_no") + 7000) < 0.6).select("graph_id", "a", "b")
+
+
+MAZE_EDGES = f"""SELECT graph_id, a, b FROM ({GRID_EDGES}) WHERE {sql.draw('seed', 'edge_no + 7000')} < 0.6"""
+
+
+def part_supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and parts sold together, over all line items; suppliers have negative numbers."""
+    return (
+        table(spark, sf_dir, "lineitem")
+        .select(F.lit(0).alias("graph_id"), (-(F.col("l_suppkey") + 1)).alias("a"), F.col("l_partkey").alias("b"))
+        .distinct()
+    )

@@ -19,8 +19,7 @@ def draw_int(seed: str, k: str, n: str) -> str:
 def fnv(text: str) -> str:
     """32-bit FNV-1a of the UTF-8 bytes of a text."""
     return (
-        f"list_reduce(list_transform(range(strlen({text})), "
-        f"lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::UBIGINT), "
+        f"list_reduce(list_transform(regexp_extract_all(hex({text}), '..'), lambda b: ('0x' || b)::UBIGINT), "
         f"lambda h, c: (xor(h, c) * 16777619::UBIGINT) & 4294967295::UBIGINT, 2166136261::UBIGINT)"
     )
 

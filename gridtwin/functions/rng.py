@@ -54,16 +54,14 @@ def coin(seed: Column | int, k: Column | int = 0) -> Column:
 
 def fnv1a32(text: Column) -> Column:
     """32-bit FNV-1a of the UTF-8 bytes."""
-    octets = F.encode(text, "UTF-8")
-    positions = F.when(F.length(octets) > 0, F.sequence(F.lit(1), F.length(octets))).otherwise(
-        F.array().cast("array<int>")
-    )
+    # one Latin-1 character per byte, whose code point is the byte
+    octets = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")
 
-    def absorb(acc: Column, position: Column) -> Column:
-        octet = F.conv(F.hex(F.substring(octets, position, 1)), 16, 10).cast("bigint")
-        return (acc.bitwiseXOR(octet) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK))
+    def absorb(acc: Column, octet: Column) -> Column:
+        return (acc.bitwiseXOR(F.ascii(octet).cast("bigint")) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK))
 
-    return F.aggregate(positions, F.lit(FNV_BASIS).cast("bigint"), absorb)
+    basis = F.lit(FNV_BASIS).cast("bigint")
+    return F.when(F.length(text) == 0, basis).otherwise(F.aggregate(octets, basis, absorb))
 
 
 def seed_from_number(value: Column) -> Column:
