@@ -465,9 +465,23 @@ def pair_metadata(spark, sf_dir):
     return minimal_pairs.pair_metadata(pairs_of(spark, sf_dir))
 
 
+DIFFERENCES = f"""SELECT graph_id, count(*) FILTER (n.a IS NULL) AS only_solvable, count(*) FILTER (y.a IS NULL) AS only_unsolvable
+  FROM (SELECT * FROM ({MEMBERS}) WHERE solvable) y FULL JOIN (SELECT * FROM ({MEMBERS}) WHERE NOT solvable) n
+  USING (graph_id, a, b) GROUP BY graph_id"""
+
+
+@query("pair_differences", f"WITH RECURSIVE {WITH_PASSAGES} {DIFFERENCES}")
+def pair_differences(spark, sf_dir):
+    return minimal_pairs.pair_differences(pair_members(spark, sf_dir)).select(
+        "graph_id", "only_solvable", "only_unsolvable"
+    )
+
+
 @query(
     "minimality_violations",
-    "SELECT p_partkey AS graph_id, 0::BIGINT AS only_solvable, 0::BIGINT AS only_unsolvable FROM part WHERE false",
+    f"""WITH RECURSIVE {WITH_PASSAGES} SELECT * FROM ({DIFFERENCES}) WHERE only_solvable <> 1
+    OR only_unsolvable <> (SELECT count(*) FROM passages o WHERE o.graph_id = graph_id AND o.kind = 'opened' LIMIT 1)
+      AND only_unsolvable > 1""",
 )
 def minimality_violations(spark, sf_dir):
     """Empty if every pair differs in exactly the recorded edges."""

@@ -14,23 +14,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridtwin.operators.grids import symmetric
-from gridtwin.session import cut
+from gridtwin.session import cut, cut_counting
 
 
-def _roots(pointers: DataFrame) -> DataFrame:
-    """Follow ``(graph_id, c) -> p`` to the end by doubling; roots point at themselves."""
-    pointers = cut(pointers, "pointers")
-    while True:
-        onward = pointers.select("graph_id", F.col("c").alias("p"), F.col("p").alias("_pp"))
-        pointers = cut(
-            pointers.join(onward, ["graph_id", "p"]).select(
-                "graph_id", "c", F.col("_pp").alias("p"), (F.col("_pp") != F.col("p")).alias("moved")
-            ),
-            "pointers",
+def _roots(pointers: DataFrame) -> tuple[DataFrame, int]:
+    """Follow ``(graph_id, c) -> p`` to the end, tripling the stride each round; roots point at themselves.
+
+    Also returns the number of pointers.
+    """
+    pointers, count = cut_counting(pointers, label="pointers")
+    moved = count
+    while moved:
+        second = pointers.select("graph_id", F.col("c").alias("p"), F.col("p").alias("_second"))
+        third = pointers.select("graph_id", F.col("c").alias("_second"), F.col("p").alias("_third"))
+        onward = (
+            pointers.join(second, ["graph_id", "p"])
+            .join(third, ["graph_id", "_second"])
+            .select("graph_id", "c", F.col("_third").alias("p"), (F.col("_third") != F.col("p")).alias("moved"))
         )
-        if pointers.where("moved").isEmpty():
-            return pointers.select("graph_id", "c", "p")
+        pointers, moved = cut_counting(onward, F.col("moved"), "pointers")
         pointers = pointers.select("graph_id", "c", "p")
+    return pointers, count
 
 
 def _relabel(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -67,8 +71,8 @@ def spanning_forest(edges: DataFrame, weight: str = "w") -> DataFrame:
         lightest = _ends(live, weight, "a", "b").groupBy("graph_id", "c").agg(
             F.min(F.struct(weight, "a", "b", F.col("other").alias("p"))).alias("best")
         )
-        lightest = cut(lightest.select("graph_id", "c", "best.a", "best.b", "best.p"), "lightest")
-        if lightest.isEmpty():
+        lightest, found = cut_counting(lightest.select("graph_id", "c", "best.a", "best.b", "best.p"), label="lightest")
+        if not found:
             break
         taken.append(lightest.select("graph_id", "a", "b").distinct())
         # two components may take the same edge; the smaller one becomes the root
@@ -78,7 +82,7 @@ def spanning_forest(edges: DataFrame, weight: str = "w") -> DataFrame:
             "c",
             F.when((F.col("_pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"),
         )
-        live = cut(_relabel(live, _roots(pointers)), "edges")
+        live = cut(_relabel(live, _roots(pointers)[0]), "edges")
     if not taken:
         return edges.select("graph_id", "a", "b").limit(0)
     return reduce(DataFrame.unionAll, taken)
@@ -101,8 +105,8 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         pointers = _ends(live).groupBy("graph_id", "c").agg(F.min("other").alias("p")).select(
             "graph_id", "c", F.least("c", "p").alias("p")
         )
-        roots = _roots(pointers)
-        if roots.isEmpty():
+        roots, count = _roots(pointers)
+        if not count:
             break
         rounds.append(roots)
         live = cut(_relabel(live, roots).distinct(), "edges")
@@ -135,15 +139,10 @@ def distances(edges: DataFrame, sources: DataFrame, nodes: DataFrame | None = No
     unreachable ones are reported as -1.
     """
     arcs = cut(symmetric(edges), "arcs")
-    level = cut(sources.select("graph_id", "node", F.lit(0).alias("dist")), "level")
-    before = level.limit(0)
-    finished: list[DataFrame] = []
-    recent = [level]
-    depth = 0
-    while True:
-        depth += 1
+
+    def neighbours(level: DataFrame, before: DataFrame, depth: int) -> DataFrame:
         seen = level.unionAll(before).select("graph_id", "node")
-        reached = (
+        return (
             level.select("graph_id", F.col("node").alias("u"))
             .join(arcs, ["graph_id", "u"])
             .select("graph_id", F.col("v").alias("node"))
@@ -151,11 +150,21 @@ def distances(edges: DataFrame, sources: DataFrame, nodes: DataFrame | None = No
             .join(seen, ["graph_id", "node"], "left_anti")
             .withColumn("dist", F.lit(depth))
         )
-        following = cut(reached, "level")
-        if following.isEmpty():
-            break
-        before, level = level, following
-        recent.append(level)
+
+    level = cut(sources.select("graph_id", "node", F.lit(0).alias("dist")), "level")
+    before = level.limit(0)
+    finished: list[DataFrame] = []
+    recent = [level]
+    depth = 0
+    reached = 1
+    while reached:
+        # two levels per round
+        first = neighbours(level, before, depth + 1)
+        second = neighbours(first, level, depth + 2)
+        depth += 2
+        both, reached = cut_counting(first.unionAll(second), F.col("dist") == depth, "level")
+        before, level = both.where(F.col("dist") == depth - 1), both.where(F.col("dist") == depth)
+        recent.append(both)
         if len(recent) == 64:
             finished.append(cut(reduce(DataFrame.unionAll, recent), "levels"))
             recent = []

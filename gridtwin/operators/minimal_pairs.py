@@ -347,14 +347,11 @@ def pair_metadata(pairs: dict[str, DataFrame]) -> DataFrame:
 
 
 # --- audits -----------------------------------------------------------------------------
-def minimality_violations(edges: DataFrame, chosen: DataFrame, passages: DataFrame) -> DataFrame:
-    """Pairs whose members differ in anything but the cut edge and the opened one.
-
-    ``edges`` are member edges as of :func:`members`.
-    """
+def pair_differences(edges: DataFrame) -> DataFrame:
+    """Per pair, how many edges only one member has, and one of each: ``edges`` as of :func:`members`."""
     yes = edges.where("solvable").select("graph_id", "a", "b", F.lit(1).alias("_yes"))
     no = edges.where(~F.col("solvable")).select("graph_id", "a", "b", F.lit(1).alias("_no"))
-    differing = (
+    return (
         yes.join(no, ["graph_id", "a", "b"], "full")
         .groupBy("graph_id")
         .agg(
@@ -364,6 +361,11 @@ def minimality_violations(edges: DataFrame, chosen: DataFrame, passages: DataFra
             F.max(F.when(F.col("_yes").isNull(), F.struct("a", "b"))).alias("_opened"),
         )
     )
+
+
+def minimality_violations(edges: DataFrame, chosen: DataFrame, passages: DataFrame) -> DataFrame:
+    """Pairs whose members differ in anything but the cut edge and the opened one."""
+    differing = pair_differences(edges)
     recorded = chosen.select(
         "graph_id", F.struct(F.least("near", "far").alias("a"), F.greatest("near", "far").alias("b")).alias("_want_cut")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridtwin.operators.grids import symmetric
-from gridtwin.session import cut
+from gridtwin.session import cut_counting
 
 
 def _arc(u: Column, v: Column) -> Column:
@@ -45,22 +45,28 @@ def rooted(tree: DataFrame, roots: DataFrame) -> DataFrame:
         )
         .withColumn("left", F.col("next").isNotNull().cast("bigint"))
     )
-    ranked = cut(arcs, "walk")
-    while not ranked.where(F.col("next").isNotNull()).isEmpty():
+    ranked, open_ends = cut_counting(arcs, F.col("next").isNotNull(), "walk")
+    while open_ends:
+        # each round triples the distance looked ahead
         onward = ranked.select(
-            "graph_id", F.col("arc").alias("next"), F.col("next").alias("_next"), F.col("left").alias("_left")
+            "graph_id", F.col("arc").alias("next"), F.col("next").alias("_second"), F.col("left").alias("_left2")
         )
-        ranked = cut(
-            ranked.join(onward, ["graph_id", "next"], "left").select(
+        beyond = ranked.select(
+            "graph_id", F.col("arc").alias("_second"), F.col("next").alias("_third"), F.col("left").alias("_left3")
+        )
+        looked = (
+            ranked.join(onward, ["graph_id", "next"], "left")
+            .join(beyond, ["graph_id", "_second"], "left")
+            .select(
                 "graph_id",
                 "u",
                 "v",
                 "arc",
-                F.col("_next").alias("next"),
-                (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left"),
-            ),
-            "walk",
+                F.col("_third").alias("next"),
+                (F.col("left") + F.coalesce("_left2", F.lit(0)) + F.coalesce("_left3", F.lit(0))).alias("left"),
+            )
         )
+        ranked, open_ends = cut_counting(looked, F.col("next").isNotNull(), "walk")
     # a node is entered and left over the same edge: both passes of an edge meet in one group
     low, high = F.least("u", "v"), F.greatest("u", "v")
     passes = ranked.groupBy("graph_id", low.alias("_low"), high.alias("_high")).agg(

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -58,3 +59,11 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_counting(df: DataFrame, condition: Column | None = None, label: str = "cut") -> tuple[DataFrame, int]:
+    """Like :func:`cut`, and count rows (those meeting ``condition``) in the same pass."""
+    counted = F.count("*") if condition is None else F.count_if(condition)
+    observation = Observation()
+    written = cut(df.observe(observation, counted.alias("n")), label)
+    return written, int(observation.get["n"])
