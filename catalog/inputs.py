@@ -184,3 +184,76 @@ def part_supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.lit(0).alias("graph_id"), (-(F.col("l_suppkey") + 1)).alias("a"), F.col("l_partkey").alias("b"))
         .distinct()
     )
+
+
+# --- rooms from customer -------------------------------------------------------------
+ROOM_SIZE = 8
+TOKEN_BANDS = (
+    (0.50, "."), (0.62, ".+#"), (0.66, ".+#+#"), (0.70, ".+#+#+#"), (0.76, "i"), (0.80, "+"), (0.84, ".+M0"),
+    (0.86, ".+M1"), (0.88, ".+f"), (0.90, "+M0"), (0.91, "Sr"), (0.92, "Su"), (0.93, ".+SlO"), (0.95, "l"),
+    (0.96, "L"), (0.98, ".+O"), (0.99, ".+o"), (1.0, ".+q"),
+)
+
+
+def room_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An 8x8 room per customer, with one player and one gem."""
+    from gridtwin.functions.rng import draw_int
+
+    cell = F.lit(TOKEN_BANDS[-1][1])
+    for edge, token in reversed(TOKEN_BANDS[:-1]):
+        cell = F.when(F.col("u") < edge, F.lit(token)).otherwise(cell)
+    total = ROOM_SIZE * ROOM_SIZE
+    key = F.col("c_custkey")
+    cells = table(spark, sf_dir, "customer").select(
+        key.alias("room_id"),
+        draw_int(key, 100, total).alias("player"),
+        F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("i"),
+    )
+    return cells.withColumn("u", draw(F.col("room_id"), F.col("i"))).select(
+        "room_id",
+        (F.col("i") % ROOM_SIZE).alias("x"),
+        F.floor(F.col("i") / ROOM_SIZE).cast("int").alias("y"),
+        F.when(F.col("i") == F.col("player"), ".+p")
+        .when(F.col("i") == (F.col("player") + 17) % total, ".+G")
+        .otherwise(cell)
+        .alias("cell"),
+    )
+
+
+def room_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridtwin.operators.rooms import cells_level
+
+    return cells_level(room_cells(spark, sf_dir))
+
+
+_BANDS = " ".join(f"WHEN u < {edge} THEN '{token}'" for edge, token in TOKEN_BANDS)
+ROOM_CELLS = f"""SELECT *, CASE WHEN cell = '+' THEN [''] ELSE string_split(cell, '+') END AS t FROM (
+  SELECT room_id, 8 AS width, 8 AS height, (i % 8)::INTEGER AS x, (i // 8)::INTEGER AS y,
+    CASE WHEN i = player THEN '.+p' WHEN i = (player + 17) % 64 THEN '.+G' ELSE (CASE {_BANDS} END) END AS cell
+  FROM (SELECT *, {sql.draw('room_id', 'i')} AS u FROM (SELECT c_custkey AS room_id, {sql.draw_int('c_custkey', '100', '64')} AS player,
+    unnest(range(64)) AS i FROM customer)))"""
+ROOM_LEVELS = f"""SELECT room_id, string_agg(line, chr(10) ORDER BY y) || chr(10) AS text FROM (
+  SELECT room_id, y, string_agg(cell, ' ' ORDER BY x) AS line FROM ({ROOM_CELLS}) GROUP BY room_id, y) GROUP BY room_id"""
+
+
+def edit_results(edits: DataFrame) -> DataFrame:
+    """A seeded verdict per edit."""
+    from gridtwin.functions.rng import draw_int, fnv1a32
+
+    rows = edits.select("edit_id", fnv1a32(F.col("edit_id")).alias("h"))
+    rows = rows.withColumn("u", draw(7, F.col("h")))
+    return rows.select(
+        "edit_id",
+        F.when(F.col("u") < 0.45, "solved").when(F.col("u") < 0.9, "unsolved").otherwise("over budget").alias("status"),
+        F.when(F.col("u") < 0.45, draw_int(8, F.col("h"), 90) + 1).alias("moves"),
+    )
+
+
+def path_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells visited by a known solution, for two rooms in three."""
+    cells = room_cells(spark, sf_dir).where(F.col("room_id") % 3 != 0)
+    u = draw(F.col("room_id"), F.col("y") * ROOM_SIZE + F.col("x") + 500)
+    return cells.withColumn("_u", u).where(F.col("_u") < 0.15).select("room_id", "x", "y")
+
+
+PATH_CELLS = f"""SELECT room_id, x, y FROM ({ROOM_CELLS}) WHERE room_id % 3 <> 0 AND {sql.draw('room_id', 'y * 8 + x + 500')} < 0.15"""

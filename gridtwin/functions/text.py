@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,3 +21,8 @@ def strip(text: Column) -> Column:
 def squeeze(text: Column) -> Column:
     """Every run of whitespace becomes one blank."""
     return F.regexp_replace(text, rf"{SPACE}+", " ")
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where body uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
