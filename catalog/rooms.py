@@ -177,7 +177,7 @@ def flat_changes(df, *keep):
 
 
 def edits_of(spark, sf_dir):
-    return edits.enumerate_edits(level_cells_of(spark, sf_dir))
+    return edits.enumerate_edits(inputs.room_levels(spark, sf_dir))
 
 
 @query("enumerated_edits", f"WITH {WITH_EDITS} SELECT {EDIT_COLUMNS} FROM edits")

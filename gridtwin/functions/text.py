@@ -7,15 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: what "strip" removes at both ends, newlines and tabs included.
+# Whitespace of every kind, as characters and as a pattern.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(code) for code in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
 # Fixed value: a character that continues a word.
 WORD = r"[\p{L}\p{N}_]"
 
 
 def strip(text: Column) -> Column:
-    """Remove surrounding whitespace of every kind (``trim`` only removes blanks)."""
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    """Remove surrounding whitespace of every kind (plain ``trim`` only removes blanks)."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def squeeze(text: Column) -> Column:
