@@ -1,3 +1,3 @@
 """Import every module that registers queries."""
 
-from catalog import graphs, rooms, sampling, scoring  # noqa: F401
+from catalog import fields, graphs, rooms, sampling, scoring  # noqa: F401
