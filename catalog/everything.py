@@ -1,3 +1,3 @@
 """Import every module that registers queries."""
 
-from catalog import fields, graphs, messages, rooms, sampling, scoring  # noqa: F401
+from catalog import fields, files, graphs, messages, rooms, sampling, scoring, timeline  # noqa: F401
