@@ -17,6 +17,9 @@ from gridtwin.operators.grids import symmetric
 from gridtwin.session import cut, cut_counting
 
 
+SHRINK_EVERY = 12
+
+
 def _roots(pointers: DataFrame) -> tuple[DataFrame, int]:
     """Follow ``(graph_id, c) -> p`` to the end, tripling the stride each round; roots point at themselves.
 
@@ -154,17 +157,20 @@ def distances(edges: DataFrame, sources: DataFrame, nodes: DataFrame | None = No
     level = cut(sources.select("graph_id", "node", F.lit(0).alias("dist")), "level")
     before = level.limit(0)
     finished: list[DataFrame] = []
-    recent = [level]
+    recent, done = [level], []
     depth = 0
     reached = 1
     while reached:
-        # two levels per round
-        first = neighbours(level, before, depth + 1)
-        second = neighbours(first, level, depth + 2)
-        depth += 2
-        both, reached = cut_counting(first.unionAll(second), F.col("dist") == depth, "level")
-        before, level = both.where(F.col("dist") == depth - 1), both.where(F.col("dist") == depth)
-        recent.append(both)
+        depth += 1
+        following, reached = cut_counting(neighbours(level, before, depth), label="level")
+        before, level = level, following
+        recent.append(level)
+        done.append(before)
+        if len(done) == SHRINK_EVERY:
+            # arcs out of finished levels are never followed again
+            left = reduce(DataFrame.unionAll, done).select("graph_id", F.col("node").alias("u"))
+            arcs = cut(arcs.join(left, ["graph_id", "u"], "left_anti"), "arcs")
+            done = []
         if len(recent) == 64:
             finished.append(cut(reduce(DataFrame.unionAll, recent), "levels"))
             recent = []

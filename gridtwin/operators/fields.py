@@ -40,17 +40,17 @@ def field_cells(rooms: DataFrame, size: int) -> DataFrame:
         (draw_int(F.col("seed"), number, size - 2) + 1).alias("bx"),
         (draw_int(F.col("seed"), number + 1, size - 2) + 1).alias("by"),
         (draw(F.col("seed"), number + 2) < 0.5).alias("flat"),
-        F.explode(
-            F.sequence(F.lit(0), draw_int(F.col("seed"), number + 3, BAR_LENGTHS) + BAR_SHORTEST - 1)
-        ).alias("i"),
+        (draw_int(F.col("seed"), number + 3, BAR_LENGTHS) + BAR_SHORTEST).alias("length"),
     )
+    # a bar ends at the border; bounding the steps keeps the draws out of a filter
+    steps = F.least(F.col("length") - 1, size - 2 - F.when(F.col("flat"), F.col("bx")).otherwise(F.col("by")))
     barred = (
-        bars.select(
+        bars.select("room_id", "bx", "by", "flat", F.explode(F.sequence(F.lit(0), steps)).alias("i"))
+        .select(
             "room_id",
             (F.col("bx") + F.when(F.col("flat"), F.col("i")).otherwise(0)).alias("x"),
             (F.col("by") + F.when(F.col("flat"), F.lit(0)).otherwise(F.col("i"))).alias("y"),
         )
-        .where((F.col("x") < size - 1) & (F.col("y") < size - 1))
         .distinct()
         .withColumn("_bar", F.lit(True))
     )

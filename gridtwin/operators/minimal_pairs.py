@@ -109,9 +109,10 @@ def _random_ends(params: DataFrame) -> DataFrame:
             manhattan(F.col("s"), F.col("t"), F.col("width")) >= F.col("min_distance")
         )
         found = cut(
-            tries.where(good)
-            .groupBy("graph_id")
-            .agg(F.min(F.struct("attempt", "s", "t")).alias("_ends"))
+            # a condition inside the minimum, as a filter would repeat the draws in every comparison
+            tries.groupBy("graph_id")
+            .agg(F.min(F.when(good, F.struct("attempt", "s", "t"))).alias("_ends"))
+            .where(F.col("_ends").isNotNull())
             .select("graph_id", F.col("_ends.s").alias("start"), F.col("_ends.t").alias("goal")),
             "ends",
         )

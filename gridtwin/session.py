@@ -21,6 +21,8 @@ def build_session(app: str = "gridtwin", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # methods the JVM would not compile are generated in smaller pieces, with shared subexpressions
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.ui.enabled": "false",
     }
     settings.update(conf)
