@@ -1,0 +1,41 @@
+"""Whole jobs on small input."""
+
+from pyspark.sql import functions as F
+
+from gridtwin.operators import minimal_pairs
+from gridtwin.operators.grids import edges_from_rows
+from gridtwin.plans import corpus, edit_pairs, evaluation
+from gridtwin.sources import readers
+
+
+def test_corpus(spark, tmp_path):
+    requests = spark.range(40).select(
+        F.col("id").alias("graph_id"), F.lit("easy").alias("preset"), F.col("id").cast("string").alias("seed_text"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("width", "int"), ("height", "int"), ("algorithm", "string"),
+          ("placement", "string"), ("cut", "string"), ("loops", "int"), ("min_distance", "int"))],
+    )
+    params = minimal_pairs.accepted(minimal_pairs.resolve_params(requests))
+    stats = {r.split: (r.n, r.solvable) for r in corpus.build_corpus(params, str(tmp_path), 20, min_path=6).collect()}
+    assert stats == {"train": (32, 16), "val": (4, 2), "test": (4, 2), "all": (40, 20)}
+    labels = spark.read.option("header", True).csv(str(tmp_path / "labels"))
+    assert labels.count() == 40 and labels.where("solvable = 0 AND solution_length IS NOT NULL").isEmpty()
+    records = readers.read_dataset(spark, str(tmp_path), "id string, solvable boolean, width int, height int, passages bigint, `right` array<array<int>>, down array<array<int>>")
+    assert sorted(r.id for r in records.collect()) == [f"{i:06d}" for i in range(40)]
+    opened = edges_from_rows(records.withColumn("graph_id", F.col("id"))).groupBy("graph_id").count()
+    assert opened.join(records.withColumnRenamed("id", "graph_id"), "graph_id").where("solvable AND count != passages").isEmpty()
+    config = readers.read_config(spark, str(tmp_path), "seeds_skipped_for_min_path bigint, min_path int").first()
+    assert config.min_path == 6 and config.seeds_skipped_for_min_path >= 0
+
+
+def test_edit_pairs_and_evaluation(spark):
+    levels = spark.createDataFrame([("a", ". . .+p\n.+# . .\n.+G i .\n")], "room_id string, text string")
+    tries = edit_pairs.plan_tries(levels, 3, 4)
+    verdicts = tries.select("edit_id", F.when(F.col("try_no") % 2 == 0, "solved").otherwise("unsolved").alias("status"), F.lit(5).alias("moves"))
+    base = spark.createDataFrame([("a", None, 4)], "room_id string, world string, moves int")
+    records = edit_pairs.pairs_from_verdicts(levels, tries, verdicts, base)
+    assert records.count() == 4 and records.where("solvable").count() == 2
+    replies = records.select("id", F.lit("ANSWER: YES").alias("reply"), F.lit(None).cast("string").alias("stop_reason"), F.lit(None).cast("string").alias("error"))
+    results = evaluation.judge_replies(records.select("id", "solvable", "tags"), replies)
+    results = results.withColumn("pocket_frac", F.lit(0.5)).withColumn("edit_type", F.lit("")).withColumn("tree_path_length", F.lit(4))
+    overall = evaluation.report(results).where("slice = 'overall'").first()
+    assert (overall.n, overall.correct, overall.hit_rate, overall.fa_rate) == (4, 2, 1.0, 1.0)
