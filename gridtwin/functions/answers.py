@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridtwin.functions.text import SPACE, WORD, strip
+from gridtwin.functions.text import SPACE, strip
 
 # Fixed pattern: the answer line a reply is asked to end with.
 ANSWER_LINE = rf"(?i)ANSWER:{SPACE}*(YES|NO)(?:\z|[^\p{{L}}\p{{N}}_])"
@@ -52,4 +52,4 @@ def is_correct(answer: Column, truth: Column) -> Column:
     return answered(answer) & F.coalesce((answer == "yes") == truth, F.lit(False))
 
 
-__all__ = ["ANSWER_LINE", "WORD", "answered", "is_correct", "outcome", "parse_answer"]
+__all__ = ["ANSWER_LINE", "answered", "is_correct", "outcome", "parse_answer"]

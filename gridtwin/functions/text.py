@@ -14,8 +14,6 @@ SPACES = (
     + "\u2028\u2029\u202f\u205f\u3000"
 )
 SPACE = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
-# Fixed value: a character that continues a word.
-WORD = r"[\p{L}\p{N}_]"
 
 
 def strip(text: Column) -> Column:

@@ -111,10 +111,14 @@ def attach_images(items: DataFrame, root: str, paths: str = "paths", mime: str =
     )
 
 
-def attach_text(items: DataFrame, root: str, column: str, name: str) -> DataFrame:
-    """Add ``name``: the whole text of the file in ``column``; null where it names none or it is missing."""
+def attach_text(items: DataFrame, root: str, column: str, name: str, pattern: str = "*.txt") -> DataFrame:
+    """Add ``name``: the whole text of the file in ``column``; null where it names none or it is missing.
+
+    Only files matching ``pattern`` are read.
+    """
     files = (
         items.sparkSession.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", pattern)
         .text(root, wholetext=True)
         .select(F.col("value").alias(name), _below(F.col("_metadata.file_path"), root).alias("_file"))
     )
