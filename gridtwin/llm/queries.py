@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridtwin.llm import packing, roundtrip, sharding, superminhash, wavelet
-from gridtwin.llm.frames import table
+from gridtwin.llm import flatgraph, language, packing, quality, roundtrip, sharding, superminhash, vantage, wavelet
+from gridtwin.llm.frames import held_out, table
 from gridtwin.session import cut
 
 CAPACITY = 2048
@@ -24,6 +25,17 @@ def op1_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
     return wavelet.document_digests(shards)
 
 
+def op2_flat_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return flatgraph.near_duplicates(table(spark, folder, "embeddings"), 0.95)
+
+
+def op3_neighbour_votes(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    known = labels.where(~held_out("doc_id", 5, 0)).select("doc_id", F.col("quality").alias("label"))
+    scores = quality.score(docs, quality.fit(docs, known))
+    return scores.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op4_superminhash(spark: SparkSession, folder: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, folder, "documents"), size=4)
 
@@ -34,9 +46,12 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(cut_pieces, CAPACITY).drop("part", "part_bound")
 
 
-def op8_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import functions as F
+def op6_vantage_trees(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return vantage.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, factor=1.0)
 
+
+def op8_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard(table(spark, folder, "documents"), 40)
     return placed.select(
         "doc_id",
@@ -53,8 +68,25 @@ def op9_forced_boundaries(spark: SparkSession, folder: str) -> DataFrame:
     return roundtrip.round_trip(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json")).drop("exact")
 
 
+def op10_byte_network(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    params, languages = language.fit(docs.where(~held_out("doc_id", 4, 2)))
+    found = language.predict(docs, params, languages)
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_wavelet_shards, op4_superminhash, op5_best_fit_packing, op8_feistel_shards, op9_forced_boundaries)
+    for f in (
+        op1_wavelet_shards,
+        op2_flat_graph,
+        op3_neighbour_votes,
+        op4_superminhash,
+        op5_best_fit_packing,
+        op6_vantage_trees,
+        op8_feistel_shards,
+        op9_forced_boundaries,
+        op10_byte_network,
+    )
 }
 SQL: dict[str, str] = {}
