@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtwin.session import cut, cut_counting
+from gridtwin.session import cut_counting
 
 EDGES_AT_ONCE = 200_000
 
@@ -33,8 +33,8 @@ def find_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[roots] if len(nodes) else nodes
 
 
-def thin(edges: DataFrame) -> DataFrame:
-    """Replace the edges of each block of rows by stars to the smallest node: at most one edge a node stays."""
+def thin(edges: DataFrame, count: int) -> DataFrame:
+    """Replace the edges of each chunk by stars to the smallest node: at most one edge a node and chunk stays."""
 
     def run(batches):
         held_a, held_b, n = [], [], 0
@@ -48,43 +48,53 @@ def thin(edges: DataFrame) -> DataFrame:
             held_a.append(rows.column(0).to_numpy())
             held_b.append(rows.column(1).to_numpy())
             n += len(rows)
-            if n >= EDGES_AT_ONCE:
+            if n >= 2 * EDGES_AT_ONCE:
                 yield star()
                 held_a, held_b, n = [], [], 0
         if n:
             yield star()
 
-    return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+    return edges.select("a", "b").coalesce(chunks(count)).mapInArrow(run, "a bigint, b bigint")
+
+
+def chunks(count: int) -> int:
+    return max(1, -(-count // EDGES_AT_ONCE))
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node with an edge: the smallest node it is connected to.
 
-    Edges are thinned by union-find inside each task; then every node points
-    at its smallest neighbour and all neighbours at that one, in turn upwards
-    and downwards, until each group is a star. Each round is written out;
-    a node with very many edges is spread by Spark's skew handling.
+    Edges are taken in chunks of bounded size and thinned by union-find. While
+    there is more than one chunk, every node then points at its smallest
+    neighbour and all its larger neighbours at that one, which joins the stars
+    of different chunks, and what is left is thinned again. It is over when all
+    edges fit one chunk or every group is a star. Each round is written out; a
+    node with very many edges is spread by Spark's skew handling.
     """
-    live = cut(thin(edges.where(F.col("a") != F.col("b"))).distinct(), "links")
+    live, count = cut_counting(edges.select("a", "b").where(F.col("a") != F.col("b")), label="links")
     while True:
+        alone = chunks(count) == 1
+        live, count = cut_counting(thin(live, count), label="links")
+        if alone:
+            return _labels(live)
+        live, count = cut_counting(live.distinct(), label="links")
         both = live.select("a", "b").unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_low")).select("a", F.least("a", "_low").alias("low"))
-        # larger neighbours and the node itself go to the smallest one
         upward = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         own = least.where(F.col("low") < F.col("a")).select("a", F.col("low").alias("b"))
-        following = cut(upward.unionAll(own).where("a != b").distinct(), "links")
-        # a star: every node has one smaller neighbour, which has none itself
-        tops = following.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("_n"))
-        roots, unfinished = cut_counting(
-            tops.join(tops.select(F.col("a").alias("low"), F.lit(True).alias("_more")), "low", "left").select(
-                "a", "low", (F.col("_more").isNotNull() | (F.col("_n") > 1)).alias("_open")
-            ),
+        live, count = cut_counting(upward.unionAll(own).where("a != b").distinct(), label="links")
+        tops = live.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("_n"))
+        above = tops.select(F.col("a").alias("b"), F.lit(True).alias("_more"))
+        stars, unfinished = cut_counting(
+            tops.join(above, "b", "left").select("a", "b", (F.col("_more").isNotNull() | (F.col("_n") > 1)).alias("_open")),
             F.col("_open"),
             "stars",
         )
         if not unfinished:
-            lows = roots.select(F.col("low").alias("a")).distinct()
-            return roots.select(F.col("a").alias("node"), F.col("low").alias("component")).unionAll(
-                lows.select(F.col("a").alias("node"), F.col("a").alias("component"))
-            )
-        live = cut(thin(following).distinct(), "links")
+            return _labels(stars)
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    """Nodes and centres of finished stars."""
+    centres = stars.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(centres)

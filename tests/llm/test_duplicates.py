@@ -80,14 +80,17 @@ def test_signature_estimates():
     assert sorted(np.bincount((both[2] >> np.uint64(32)).astype(int))) and (both[2] != superminhash.EMPTY).all()
 
 
-def test_groups(spark):
+def test_groups(spark, monkeypatch):
     draw = random.Random(8)
     pairs = [(i, i + 1) for i in range(0, 300) if i % 50] + [(1000, 1000 + k) for k in range(1, 400)]
     pairs += [(draw.randint(2000, 2100), draw.randint(2000, 2100)) for _ in range(60)]
     nodes, roots = groups.find_roots(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
     want = {n: r for n, r in zip(nodes.tolist(), roots.tolist()) if any(n in p and p[0] != p[1] for p in pairs)}
     edges = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(7)
-    assert dict(map(tuple, groups.smallest_reachable(edges).collect())) == want
+    for at_once in (groups.EDGES_AT_ONCE, 100):
+        monkeypatch.setattr(groups, "EDGES_AT_ONCE", at_once)
+        got = groups.smallest_reachable(edges).collect()
+        assert dict(map(tuple, got)) == want and len(got) == len(want)
 
 
 def test_shards(spark, odd, small_docs, nothing):
