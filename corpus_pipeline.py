@@ -5,15 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtwin.llm import packing, superminhash
+from gridtwin.llm import language, packing, quality, superminhash
 from gridtwin.llm.queries import CAPACITY, tokenizer
 from gridtwin.session import cut
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Keep documents that the votes of all labelled documents call good (score of 0.3 or more)."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    scores = quality.score(docs, quality.fit(docs, labels))
+    return _accepted(docs, scores.where("predicted = 1"))
+
+
+def documents_in_a_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Keep documents with a recognised language: null, empty and letterless texts go."""
+    found = language.predict(docs, *language.fit(docs))
+    return _accepted(docs, found.where(F.col("lang_pred") != language.NO_LANGUAGE))
+
+
 def distinct_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Keep the smallest document of every group of near-duplicates (five-word shingles, similarity 0.8)."""
-    kept = superminhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return _accepted(docs, superminhash.near_duplicates(docs).where("kept"))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -22,12 +34,19 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
     return packing.pack(cut_pieces, CAPACITY).drop("part", "part_bound")
 
 
+def _accepted(docs: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id was accepted; ids identify documents here, rows without one go."""
+    return docs.join(accepted.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+
+
 STAGES = [
+    ("quality", good_documents),
+    ("language", documents_in_a_language),
     ("near_duplicates", distinct_documents),
     ("packing", packed_sequences),
 ]
 
-#: Tokenizing and trained models cannot be stated in SQL; tests compare with brute force.
+#: Trained models and tokenizers cannot be stated in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

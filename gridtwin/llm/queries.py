@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtwin.llm import flatgraph, language, packing, quality, roundtrip, sharding, superminhash, vantage, wavelet
+from gridtwin.llm import bilinear, flatgraph, language, packing, quality, roundtrip, sharding, superminhash, vantage, wavelet
 from gridtwin.llm.frames import held_out, table
 from gridtwin.session import cut
 
@@ -51,6 +51,10 @@ def op6_vantage_trees(spark: SparkSession, folder: str) -> DataFrame:
     return vantage.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, factor=1.0)
 
 
+def op7_log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
+    return bilinear.score(table(spark, folder, "documents").select("doc_id", "text", held_out("doc_id", 7, 2).alias("held_out")))
+
+
 def op8_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard(table(spark, folder, "documents"), 40)
     return placed.select(
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_superminhash,
         op5_best_fit_packing,
         op6_vantage_trees,
+        op7_log_bilinear,
         op8_feistel_shards,
         op9_forced_boundaries,
         op10_byte_network,
