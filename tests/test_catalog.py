@@ -1,6 +1,7 @@
 """The registered queries as the driver sees them."""
 
 import __spark_entry__ as spark_entry
+from catalog.registry import QUERIES
 
 
 def test_entry(spark):
@@ -8,6 +9,7 @@ def test_entry(spark):
     assert rows and {"day", "n", "dprime"} <= set(rows[0].asDict())
 
 
-def test_every_query_but_one_has_sql():
-    missing = set(spark_entry.queries()) - set(spark_entry.oracle_sql())
+def test_every_catalogue_query_but_one_has_sql():
+    missing = set(QUERIES) - set(spark_entry.oracle_sql())
     assert missing == {"spanning_forest_of_suppliers_and_parts"}
+    assert set(QUERIES) <= set(spark_entry.queries())
