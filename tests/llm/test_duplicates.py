@@ -68,6 +68,22 @@ def test_chains_of_copies_and_rows_said_twice(spark):
     compare(docs, 4)
 
 
+def test_copies_linked_only_through_their_original(spark, monkeypatch):
+    """Every copy is near the original, hardly any near another copy; the original has the largest id."""
+    draw = random.Random(6)
+    words = [f"w{draw.randint(0, 900)}" for _ in range(200)]
+    texts = []
+    for k in range(60):
+        own = list(words)
+        for _ in range(4):
+            own[draw.randrange(200)] = f"n{draw.randint(0, 99_999)}"
+        texts.append((k, " ".join(own)))
+    docs = spark.createDataFrame([*texts, (99, " ".join(words))], "doc_id bigint, text string")
+    compare(docs, 4)
+    monkeypatch.setattr(superminhash, "HUB_ROUNDS", 1)
+    compare(docs.where("doc_id != 99"), 4)
+
+
 def test_signature_estimates():
     draw = np.random.default_rng(2)
     pool = draw.integers(1, 1 << 53, 900, np.uint64)
