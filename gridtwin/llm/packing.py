@@ -118,7 +118,7 @@ def pack(cut_pieces: DataFrame, capacity: int, per_part: int = PIECES_PER_PART,
     the bound send the pieces of their unfilled sequences to an exchange: those
     of neighbouring parts are packed together, and the new packing is taken where
     it saves sequences. Full sequences never move again. This goes on until
-    every part meets its bound, an exchange brings nothing, or ``rounds`` are over.
+    every part meets its bound or ``rounds`` are over.
     ``part_bound`` is the bound of the part that packed the piece last. Equal lengths keep an
     order by doc_id and piece, so repeated rows and reruns change nothing.
     """
@@ -126,7 +126,7 @@ def pack(cut_pieces: DataFrame, capacity: int, per_part: int = PIECES_PER_PART,
     parts = max(1, -(-total // per_part))
     schema = (
         "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, pool bigint, "
-        "part bigint, bin bigint, offset bigint, load bigint, gap bigint, part_bound bigint, changed boolean"
+        "part bigint, bin bigint, offset bigint, load bigint, gap bigint, part_bound bigint"
     )
     stable = ["doc_id", "piece", "start", "ids_crc32"]
 
@@ -137,13 +137,22 @@ def pack(cut_pieces: DataFrame, capacity: int, per_part: int = PIECES_PER_PART,
         group["part"], group["part_bound"] = part, least_bins(sizes, counts, capacity)
         group["gap"] = used - group["part_bound"]
         group["load"] = group.groupby("bin")["length"].transform("sum")
-        group["changed"] = True
         return group
 
     def first(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(stable, ignore_index=True)
         return settle(group, int(group["pool"].iloc[0]))
 
+    def exchange(turn: int):
+        def together(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values(stable, ignore_index=True)
+            group["pool"] //= 2
+            before = len(group[["part", "bin"]].drop_duplicates())
+            new = settle(group.copy(), (turn << 32) + int(group["pool"].iloc[0]))
+            return new if new["bin"].max() + 1 < before else group
+
+        return together
+
     dealt = cut_pieces.withColumn("pool", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     packed = cut(dealt.groupBy("pool").applyInPandas(first, schema), "packed")
     open_bins = (F.col("gap") > 0) & (F.col("load") < capacity)
@@ -152,21 +161,9 @@ def pack(cut_pieces: DataFrame, capacity: int, per_part: int = PIECES_PER_PART,
         if packed.where(open_bins).select("pool").distinct().limit(2).count() < 2:
             break
 
-        def exchange(group: pd.DataFrame, turn=turn) -> pd.DataFrame:
-            group = group.sort_values(stable, ignore_index=True)
-            group["pool"] //= 2
-            before = len(group[["part", "bin"]].drop_duplicates())
-            new = settle(group.copy(), (turn << 32) + int(group["pool"].iloc[0]))
-            if new["bin"].max() + 1 < before:
-                return new
-            group["changed"] = False
-            return group
-
         fixed.append(packed.where(~open_bins))
         pairs = F.shiftright("pool", 1).alias("_pair")
-        packed = cut(packed.where(open_bins).groupBy(pairs).applyInPandas(exchange, schema), "packed")
-        if not packed.where("changed").limit(1).count():
-            break
+        packed = cut(packed.where(open_bins).groupBy(pairs).applyInPandas(exchange(turn), schema), "packed")
     for done in fixed:
         packed = packed.unionByName(done)
     return packed.select(

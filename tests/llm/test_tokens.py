@@ -102,6 +102,21 @@ def test_packing(spark, odd, small_docs, nothing):
     assert packing.pack(packing.pieces(nothing, WORDS, 0, 64), 64).count() == 0
 
 
+def test_exchange_between_parts(spark):
+    """Parts of few, large pieces waste room alone; together they pack better."""
+    draw = random.Random(2)
+    rows = [(i, 0, 0, draw.randint(200, 480), i) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    alone = packing.pack(frame, 1000, 8, rounds=0)
+    packed = packing.pack(frame, 1000, 8)
+    rows = packed.collect()
+    assert len({r.sequence_id for r in rows}) < alone.select("sequence_id").distinct().count()
+    assert sorted(r.doc_id for r in rows) == list(range(400))
+    for sequence in {r.sequence_id for r in rows}:
+        own = sorted((r.offset, r.length) for r in rows if r.sequence_id == sequence)
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1000
+
+
 def test_lower_bound_is_never_above_an_optimal_packing():
     draw = random.Random(9)
     for _ in range(200):
