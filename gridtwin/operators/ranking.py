@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,13 @@ from gridtwin.session import cut
 BUCKETS = 1 << 14
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with nulls equal to each other; the keys of ``left`` stay."""
+    renamed = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"_on_{k}" for k in keys])
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
@@ -29,7 +38,8 @@ def running_total(
     along ``order``. Pieces are summed first, the sums are accumulated over
     the few pieces of a group, and only inside one piece rows are sorted, so
     a group holding most of the table still spreads over all tasks. ``total``
-    names a column for the sum over the whole group. Keys must not be null.
+    names a column for the sum over the whole group. A null key or chunk is a
+    group of its own; every row stays.
     """
     keys = list(keys)
     tagged = df.withColumn("_chunk", chunk).withColumn("_value", value.cast("bigint"))
@@ -45,10 +55,8 @@ def running_total(
     inside = (
         Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
-    out = (
-        tagged.withColumn("_inside", F.sum("_value").over(inside))
-        .join(offsets, [*keys, "_chunk"])
-        .withColumn(name, F.col("_before") + F.col("_inside"))
+    out = join_groups(tagged.withColumn("_inside", F.sum("_value").over(inside)), offsets, [*keys, "_chunk"]).withColumn(
+        name, F.col("_before") + F.col("_inside")
     )
     if total:
         out = out.withColumnRenamed("_total", total)
@@ -134,7 +142,7 @@ def upper_median(
 def _with_group_row(rows: DataFrame, per_group: DataFrame, groups: list[str]) -> DataFrame:
     """Attach a table of one row per group; without groups it is exactly one row."""
     if groups:
-        return rows.join(per_group, groups)
+        return join_groups(rows, per_group, groups)
     return rows.join(F.broadcast(per_group), F.lit(True))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridtwin.functions.answers import answered, is_correct
 from gridtwin.functions.signal import sensitivity
-from gridtwin.operators.ranking import upper_median
+from gridtwin.operators.ranking import join_groups, upper_median
 
 # Bands of the smaller component's share, lower edge included.
 POCKET_BANDS = ((0.0, 0.15, "pocket < 15%"), (0.15, 0.3, "pocket 15-30%"), (0.3, 0.51, "pocket >= 30%"))
@@ -103,20 +103,16 @@ def by_tag(results: DataFrame) -> DataFrame:
 
 
 def with_path_class(results: DataFrame, groups: Sequence[str] = (), narrowing: int = 0) -> DataFrame:
-    """Split at the upper median path length: up to it short, above it long."""
+    """Split at the upper median path length: up to it short, above it long, null without a length; every row stays."""
     median = upper_median(results, groups, "tree_path_length", "median_path", narrowing)
-    # without groups the right side is one row
-    joined = results.join(median, list(groups)) if groups else results.join(F.broadcast(median), F.lit(True))
-    return joined.withColumn(
-        "path_class",
-        F.when(F.col("tree_path_length") <= F.col("median_path"), F.lit("short paths")).otherwise(
-            F.lit("long paths")
-        ),
-    )
+    # without groups the right side is one row, or none where no row has a length
+    joined = join_groups(results, median, groups, "left") if groups else results.join(F.broadcast(median), F.lit(True), "left")
+    longer = F.col("tree_path_length") > F.col("median_path")
+    return joined.withColumn("path_class", F.when(longer, F.lit("long paths")).when(~longer, F.lit("short paths")))
 
 
 def by_path_length(results: DataFrame, groups: Sequence[str] = (), narrowing: int = 0) -> DataFrame:
-    split = with_path_class(results, groups, narrowing)
+    split = with_path_class(results, groups, narrowing).where(F.col("path_class").isNotNull())
     return summarize(split, [*groups, "path_class", "median_path"])
 
 

@@ -67,3 +67,26 @@ def test_pair_sample_keeps_at_least_one_pair(spark):
     trials = sampling.pair_sample(items, 5, 10)
     assert trials.count() == 10 and trials.select("pair").distinct().count() == 5
     assert sorted(r["trial"] for r in trials.collect()) == list(range(10))
+
+
+def test_null_keys_and_groups_keep_every_row(spark):
+    rows = [(None if k % 2 else k, None if k % 3 else "g", k) for k in range(100)]
+    df = spark.createDataFrame(rows, "key bigint, team string, id int")
+    for groups in (["team"], []):
+        assert ranking.seeded_rank(df, 7, "key", "place", groups).count() == 100
+    medians = {r.team: r.m for r in ranking.upper_median(df, ["team"], "id", "m").collect()}
+    for team in (None, "g"):
+        own = sorted(r[2] for r in rows if r[1] == team)
+        assert medians[team] == own[len(own) // 2]
+
+
+def test_slices_without_path_lengths(spark):
+    from gridtwin.operators import scoring
+
+    schema = "solvable boolean, answer string, pocket_frac double, edit_type string, tags array<string>, tree_path_length int, team string"
+    rows = [(True, "yes", 0.1, "wall", ["t"], None, None), (False, "no", 0.3, None, None, None, "a")]
+    df = spark.createDataFrame(rows, schema)
+    report = {(r["slice"], r["slice_value"]): r["n"] for r in scoring.slice_report(df).collect()}
+    assert report[("overall", "all")] == 2 and ("tag", "t") in report and not any(k[0] == "path" for k in report)
+    assert scoring.by_path_length(df, ["team"]).count() == 0
+    assert scoring.with_path_class(df, ["team"]).count() == 2
