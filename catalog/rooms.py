@@ -299,13 +299,12 @@ def pair_records(spark, sf_dir):
     "edited_levels",
     f"""WITH {WITH_EDITS} SELECT e.edit_id, string_agg(CASE WHEN c.x = e.x AND c.y = e.y THEN e.after
       WHEN c.x = e.to_x AND c.y = e.to_y THEN e.to_after ELSE c.cell END, ' ' ORDER BY c.y, c.x) AS cells
-    FROM edits e JOIN cells c ON c.room_id = e.room_id WHERE e.type IN ('move_box', 'flip_slope', 'toggle_lift', 'lower_wall')
+    FROM edits e JOIN cells c ON c.room_id = e.room_id
     GROUP BY e.edit_id""",
 )
 def edited_levels(spark, sf_dir):
-    """Rooms after every edit of four types."""
-    chosen = edits_of(spark, sf_dir).where(F.col("type").isin("move_box", "flip_slope", "toggle_lift", "lower_wall"))
-    edited = edits.apply_edits(inputs.room_levels(spark, sf_dir), chosen)
+    """Rooms after every edit of every type."""
+    edited = edits.apply_edits(inputs.room_levels(spark, sf_dir), edits_of(spark, sf_dir))
     return edited.select("edit_id", F.trim(F.replace(F.col("level"), F.lit("\n"), F.lit(" "))).alias("cells"))
 
 

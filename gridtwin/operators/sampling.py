@@ -206,8 +206,8 @@ def selection_view(
         .withColumn("_draw", row_draw(seed, "id"))
         .withColumn("_top", F.coalesce(F.col("images.top"), F.lit("")) != "")
     )
-    # at most four quarter turns, so the chunk number keeps the order (angles desc, draw)
-    chunk = (4 - F.least(F.size("_angles"), F.lit(4))) * BUCKETS + F.floor(F.col("_draw") * BUCKETS)
+    # the chunk number keeps the order (angles desc, draw)
+    chunk = F.floor(F.col("_draw") * BUCKETS) - F.coalesce(F.size("_angles"), F.lit(0)) * BUCKETS
     picked_view = (
         F.when(F.col("_top") & (draw(seed + 1, F.col("id")) < 0.4), "top").otherwise("perspective")
         if view == "mix"

@@ -34,12 +34,15 @@ def build_session(app: str = "gridtwin", master: str | None = None, **conf: str)
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary
-    folder of this machine is used instead.
+    Only where the session names none and runs on one machine (master
+    ``local``) a temporary folder of this machine is used; on a cluster a
+    missing setting is an error, because executors do not share such a folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="gridtwin-")
