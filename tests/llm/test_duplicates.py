@@ -96,6 +96,18 @@ def test_signature_estimates():
     assert sorted(np.bincount((both[2] >> np.uint64(32)).astype(int))) and (both[2] != superminhash.EMPTY).all()
 
 
+def test_parity_maps_never_differ_more_than_the_sets():
+    draw = np.random.default_rng(5)
+    pool = draw.integers(1, 1 << 53, 3000, np.uint64)
+    sets = [np.unique(draw.choice(pool, n)) for n in (1, 5, 60, 300, 2900, 300)] + [pool[:0]]
+    first = np.cumsum([0, *map(len, sets)])
+    maps = superminhash.parity_maps(np.concatenate(sets), first)
+    for a, m in zip(sets, maps):
+        for b, n in zip(sets, maps):
+            apart = sum(int(w).bit_count() for w in (m ^ n).view(np.uint64))
+            assert apart <= len(np.setxor1d(a, b)) and (len(a) > 300 or len(b) > 300 or 2 * apart >= len(np.setxor1d(a, b)))
+
+
 def test_groups(spark, monkeypatch):
     draw = random.Random(8)
     pairs = [(i, i + 1) for i in range(0, 300) if i % 50] + [(1000, 1000 + k) for k in range(1, 400)]
