@@ -104,6 +104,16 @@ def running_summary_stream(spark, sf_dir):
     return rounded(spark.read.parquet(out))
 
 
+@query("running_overall_stream", sql.summary(inputs.TRIAL_RESULTS))
+def running_overall_stream(spark, sf_dir):
+    """The running summary over all results, those without an edit type included."""
+    path, schema = written_results(spark, sf_dir)
+    out = scratch_path(spark, "summary")
+    summary = running.running_summary(running.result_stream(spark, path, schema, 2))
+    running.keep_latest(summary, out, scratch_path(spark, "offsets"), availableNow=True).awaitTermination()
+    return rounded(spark.read.parquet(out))
+
+
 @query("resumed_stream", f"SELECT event_id AS id, answer FROM ({inputs.TRIAL_RESULTS})")
 def resumed_stream(spark, sf_dir):
     """Every result arrives twice, with a restart in between; each id is kept once."""
