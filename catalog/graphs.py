@@ -152,18 +152,18 @@ WITH_LABELS = f"""arcs AS MATERIALIZED ({ARCS}), cells AS MATERIALIZED ({NODES})
   labels AS MATERIALIZED (SELECT graph_id, v AS node, min(u) AS component FROM reach GROUP BY graph_id, v)"""
 
 
-@query("components_of_mazes", f"WITH RECURSIVE {WITH_LABELS} SELECT graph_id, node, component FROM labels")
-def components_of_mazes(spark, sf_dir):
+@query("components_of_grids", f"WITH RECURSIVE {WITH_LABELS} SELECT graph_id, node, component FROM labels")
+def components_of_grids(spark, sf_dir):
     nodes = grids.grid_nodes(inputs.grid_params(spark, sf_dir)).select("graph_id", "node")
     return connectivity.components(inputs.maze_edges(spark, sf_dir), nodes)
 
 
 @query(
-    "component_sizes_of_mazes",
+    "component_sizes_of_grids",
     f"WITH RECURSIVE {WITH_LABELS} SELECT graph_id, component, count(*) AS size FROM labels GROUP BY graph_id, component",
 )
-def component_sizes_of_mazes(spark, sf_dir):
-    return connectivity.component_sizes(components_of_mazes(spark, sf_dir))
+def component_sizes_of_grids(spark, sf_dir):
+    return connectivity.component_sizes(components_of_grids(spark, sf_dir))
 
 
 @query(
@@ -232,7 +232,7 @@ def shortest_paths(spark, sf_dir):
 
 
 @query(
-    "solved_mazes",
+    "solved_grids",
     f"""WITH RECURSIVE {WITH_LABELS}, {PATHS.replace(f'arcs AS MATERIALIZED ({ARCS}), cells AS MATERIALIZED ({NODES}),', '')},
     parts AS (SELECT graph_id, component, count(*) AS size,
       row_number() OVER (PARTITION BY graph_id ORDER BY component) - 1 AS number FROM labels GROUP BY graph_id, component),
@@ -246,7 +246,7 @@ def shortest_paths(spark, sf_dir):
     LEFT JOIN (SELECT graph_id, string_agg(node::VARCHAR, ',' ORDER BY k) AS cells FROM path GROUP BY graph_id) c
       ON c.graph_id = g.graph_id""",
 )
-def solved_mazes(spark, sf_dir):
+def solved_grids(spark, sf_dir):
     params = inputs.grid_params(spark, sf_dir)
     nodes = grids.grid_nodes(params).select("graph_id", "node")
     solved = connectivity.solve(inputs.maze_edges(spark, sf_dir), nodes, with_corners(params))
@@ -425,12 +425,12 @@ def pair_members(spark, sf_dir):
 
 
 @query(
-    "mazes_by_label",
+    "members_by_label",
     f"""WITH RECURSIVE {WITH_PASSAGES} SELECT m.graph_id, m.solvable, m.a, m.b FROM ({MEMBERS}) m JOIN ({PARAMS}) p
     ON p.graph_id = m.graph_id WHERE m.solvable = (CASE p.graph_id % 4 WHEN 0 THEN {sql.draw('p.seed', '4194304')} < 0.5
       WHEN 1 THEN true WHEN 2 THEN false ELSE true END)""",
 )
-def mazes_by_label(spark, sf_dir):
+def members_by_label(spark, sf_dir):
     pairs = pairs_of(spark, sf_dir)
     words = F.array(*[F.lit(v) for v in (None, "Yes", "no", "1")])
     labels = pairs["params"].select(

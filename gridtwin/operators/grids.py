@@ -52,14 +52,14 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("graph_id", F.explode(both).alias("arc")).select("graph_id", "arc.u", "arc.v")
 
 
-def edges_from_rows(mazes: DataFrame) -> DataFrame:
+def edges_from_rows(grids: DataFrame) -> DataFrame:
     """Edges out of the passage rows ``right[y][x]`` and ``down[y][x]``."""
     kinds = F.array(
         F.struct(F.lit(1).alias("step"), F.col("right").alias("rows")),
         F.struct(F.col("width").alias("step"), F.col("down").alias("rows")),
     )
     return (
-        mazes.select("graph_id", "width", F.explode(kinds).alias("kind"))
+        grids.select("graph_id", "width", F.explode(kinds).alias("kind"))
         .select("graph_id", "width", "kind.step", F.posexplode("kind.rows").alias("y", "row"))
         .select("graph_id", "width", "step", "y", F.posexplode("row").alias("x", "open"))
         .where(F.col("open") == 1)

@@ -1,4 +1,4 @@
-"""Seeded grid mazes in minimal pairs: same size, same ends, one passage moved.
+"""Seeded maze grids in minimal pairs: same size, same ends, one passage moved.
 
 A spanning tree is drawn, one edge of the start-goal path is cut, and extra
 passages are opened only inside the two parts. The solvable member keeps the

@@ -1,4 +1,4 @@
-"""From parameters to a saved, balanced corpus of mazes."""
+"""From parameters to a saved, balanced corpus of maze pairs."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def build_corpus(
     min_path: int = 0,
     seed: int = 0,
 ) -> DataFrame:
-    """Write ``n`` seeds' worth of mazes below ``root`` and return statistics per split.
+    """Write ``n`` seeds' worth of maze pairs below ``root`` and return statistics per split.
 
     ``params`` (see ``minimal_pairs.accepted``) has one row per candidate
     seed, with ``graph_id`` equal to it; the first ``n`` whose tree path is long enough are taken. Writes
