@@ -24,31 +24,50 @@ def field_of(spark, sf_dir):
     return _fields[key]
 
 
-def d(block: int, k: str = "0") -> str:
-    return sql.draw("seed", f"{(16 + block) << 20} + {k}")
+def d(block: int, k: str = "0", attempt: int = 0) -> str:
+    return sql.draw("seed", f"{((16 + block) << 20) + (attempt << 23)} + {k}")
 
 
-def di(block: int, k: str, n: str) -> str:
-    return sql.draw_int("seed", f"{(16 + block) << 20} + {k}", n)
+def di(block: int, k: str, n: str, attempt: int = 0) -> str:
+    return sql.draw_int("seed", f"{((16 + block) << 20) + (attempt << 23)} + {k}", n)
 
 
-WITH_FIELD = f"""rooms AS MATERIALIZED (SELECT c_custkey AS room_id, c_custkey AS seed FROM customer),
-  bars AS MATERIALIZED (SELECT DISTINCT room_id, x, y FROM (SELECT room_id, bx + CASE WHEN flat THEN i ELSE 0 END AS x,
+#: Attempts that SQL spells out; about one room in six needs another one each time.
+ATTEMPTS = 9
+
+
+def attempt(n: int) -> str:
+    """The rooms without a field after n attempts, attempt n of their fields, and the ends of those that will do."""
+    left = f"SELECT room_id, seed FROM rooms{n - 1} WHERE room_id NOT IN (SELECT room_id FROM ends{n - 1})" if n else "SELECT c_custkey AS room_id, c_custkey AS seed FROM customer"
+    return f"""rooms{n} AS MATERIALIZED ({left}),
+  bars{n} AS MATERIALIZED (SELECT DISTINCT room_id, x, y FROM (SELECT room_id, bx + CASE WHEN flat THEN i ELSE 0 END AS x,
       by_ + CASE WHEN flat THEN 0 ELSE i END AS y FROM (SELECT *, unnest(range(len)) AS i FROM (SELECT room_id,
-        {di(2, 'bar * 4', '10')} + 1 AS bx, {di(2, 'bar * 4 + 1', '10')} + 1 AS by_, {d(2, 'bar * 4 + 2')} < 0.5 AS flat,
-        {di(2, 'bar * 4 + 3', '3')} + 2 AS len FROM (SELECT *, unnest(range(6)) AS bar FROM rooms)))) WHERE x < 11 AND y < 11),
-  cells AS MATERIALIZED (SELECT c.room_id, c.seed, c.node, c.x, c.y, NOT (c.x = 0 OR c.y = 0 OR c.x = 11 OR c.y = 11) AND c.u >= c.density
-      AND b.room_id IS NULL AS open FROM (SELECT *, node % 12 AS x, node // 12 AS y, {d(0)} * 0.12 + 0.18 AS density, {d(1, 'node')} AS u
-        FROM (SELECT *, unnest(range(144))::INTEGER AS node FROM rooms)) c
-      LEFT JOIN bars b ON b.room_id = c.room_id AND b.x = c.x AND b.y = c.y),
-  starts AS MATERIALIZED (SELECT room_id, arg_min(node, u) AS start FROM (SELECT *, {d(3, 'node')} AS u FROM cells WHERE open) GROUP BY room_id),
-  arcs AS MATERIALIZED (SELECT a.room_id, a.node AS u, b.node AS v FROM cells a JOIN cells b ON a.room_id = b.room_id
+        {di(2, 'bar * 4', '10', n)} + 1 AS bx, {di(2, 'bar * 4 + 1', '10', n)} + 1 AS by_, {d(2, 'bar * 4 + 2', n)} < 0.5 AS flat,
+        {di(2, 'bar * 4 + 3', '3', n)} + 2 AS len FROM (SELECT *, unnest(range(6)) AS bar FROM rooms{n})))) WHERE x < 11 AND y < 11),
+  cells{n} AS MATERIALIZED (SELECT c.room_id, c.seed, c.node, c.x, c.y, NOT (c.x = 0 OR c.y = 0 OR c.x = 11 OR c.y = 11) AND c.u >= c.density
+      AND b.room_id IS NULL AS open FROM (SELECT *, node % 12 AS x, node // 12 AS y, {d(0, '0', n)} * 0.12 + 0.18 AS density, {d(1, 'node', n)} AS u
+        FROM (SELECT *, unnest(range(144))::INTEGER AS node FROM rooms{n})) c
+      LEFT JOIN bars{n} b ON b.room_id = c.room_id AND b.x = c.x AND b.y = c.y),
+  starts{n} AS MATERIALIZED (SELECT room_id, arg_min(node, u) AS start FROM (SELECT *, {d(3, 'node', n)} AS u FROM cells{n} WHERE open) GROUP BY room_id),
+  arcs{n} AS MATERIALIZED (SELECT a.room_id, a.node AS u, b.node AS v FROM cells{n} a JOIN cells{n} b ON a.room_id = b.room_id
       AND abs(a.x - b.x) + abs(a.y - b.y) = 1 WHERE a.open AND b.open),
-  walk(room_id, node, dist) USING KEY (room_id, node) AS (SELECT room_id, start, 0 FROM starts
-    UNION SELECT w.room_id, a.v, min(w.dist) + 1 FROM walk w JOIN arcs a ON a.room_id = w.room_id AND a.u = w.node
-      LEFT JOIN recurring.walk k ON k.room_id = a.room_id AND k.node = a.v WHERE k.node IS NULL GROUP BY w.room_id, a.v),
-  ends AS MATERIALIZED (SELECT w.room_id, s.start, w.node AS goal, w.dist FROM walk w JOIN starts s ON s.room_id = w.room_id
+  walk{n}(room_id, node, dist) USING KEY (room_id, node) AS (SELECT room_id, start, 0 FROM starts{n}
+    UNION SELECT w.room_id, a.v, min(w.dist) + 1 FROM walk{n} w JOIN arcs{n} a ON a.room_id = w.room_id AND a.u = w.node
+      LEFT JOIN recurring.walk{n} k ON k.room_id = a.room_id AND k.node = a.v WHERE k.node IS NULL GROUP BY w.room_id, a.v),
+  ends{n} AS MATERIALIZED (SELECT w.room_id, s.start, w.node AS goal, w.dist FROM walk{n} w JOIN starts{n} s ON s.room_id = w.room_id
     QUALIFY count(*) OVER (PARTITION BY w.room_id) >= 20 AND row_number() OVER (PARTITION BY w.room_id ORDER BY w.dist DESC, w.node) = 1)"""
+
+
+def of_all_attempts(name: str) -> str:
+    rows = (f"SELECT * FROM {name}{n} WHERE room_id IN (SELECT room_id FROM ends{n})" for n in range(ATTEMPTS))
+    return f"{name} AS MATERIALIZED ({' UNION ALL '.join(rows)})"
+
+
+WITH_FIELD = ",\n  ".join([*map(attempt, range(ATTEMPTS)), *map(of_all_attempts, ("cells", "arcs", "walk", "ends"))])
+IN_VAIN = " UNION ALL ".join(
+    f"SELECT room_id, {n} AS attempt, 'too few reachable cells' AS reason FROM rooms{n} WHERE room_id NOT IN (SELECT room_id FROM ends{n})"
+    for n in range(ATTEMPTS)
+)
 WITH_FREE = f"""{WITH_FIELD},
   free AS MATERIALIZED (SELECT c.room_id, c.seed, c.node, c.x, c.y, e.start % 12 AS sx, e.start // 12 AS sy, e.goal % 12 AS gx, e.goal // 12 AS gy
     FROM cells c JOIN ends e ON e.room_id = c.room_id WHERE c.open AND c.node <> e.start AND c.node <> e.goal),
@@ -78,7 +97,7 @@ def obstacle_fields(spark, sf_dir):
 
 @query(
     "rejected_fields",
-    f"WITH RECURSIVE {WITH_FIELD} SELECT room_id, 'too few reachable cells' AS reason FROM rooms WHERE room_id NOT IN (SELECT room_id FROM ends)",
+    f"WITH RECURSIVE {WITH_FIELD} {IN_VAIN}",
 )
 def rejected_fields(spark, sf_dir):
     return field_of(spark, sf_dir)["rejected"]

@@ -6,13 +6,15 @@ Rooms are ``room_id, seed``; a field is its cells ``room_id, node, x, y`` with
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridtwin.functions.rng import draw, draw_int
 from gridtwin.operators import connectivity
-from gridtwin.session import cut
+from gridtwin.session import cut, cut_counting
 
 # Wall density, wall bars, smallest usable field, ice share.
 DENSITY, DENSITY_SPREAD = 0.18, 0.12
@@ -23,20 +25,33 @@ ICE_SHARE, ICE_SPREAD = 0.35, 0.4
 # Draws of one seed are numbered; each use has its own block of a million numbers.
 SHAPE, OPEN, BAR, START, ICE, PLACE, SPOT, TURN = (block << 20 for block in range(16, 24))
 
+# Each further attempt at a field moves its draws on by eight blocks.
+ATTEMPT_BITS = 23
+MOST_ATTEMPTS = 256
+RETRIES_AT_ONCE = 8
+
+
+def _drawn_from(first: int) -> Column:
+    return F.lit(first) + F.col("attempt") * F.lit(1 << ATTEMPT_BITS).cast("bigint")
+
 
 def field_cells(rooms: DataFrame, size: int) -> DataFrame:
-    """Every cell with ``open``: border and seeded walls are closed, and seeded bars of 2 to 4 cells."""
+    """Every cell with ``open``: border and seeded walls are closed, and seeded bars of 2 to 4 cells.
+
+    Rooms are ``room_id, seed, attempt``; each attempt is a field of its own.
+    """
+    keys = ["room_id", "attempt"]
     node = F.col("node")
     x, y = node % size, F.floor(node / size).cast("int")
-    cells = rooms.withColumn("_density", DENSITY + draw(F.col("seed"), SHAPE) * DENSITY_SPREAD).select(
-        "room_id", "seed", "_density", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("node")
+    cells = rooms.withColumn("_density", DENSITY + draw(F.col("seed"), _drawn_from(SHAPE)) * DENSITY_SPREAD).select(
+        *keys, "seed", "_density", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("node")
     )
     border = (x == 0) | (y == 0) | (x == size - 1) | (y == size - 1)
-    cells = cells.withColumn("x", x).withColumn("y", y).withColumn("_u", draw(F.col("seed"), OPEN + node))
-    number = F.col("bar") * 4 + BAR
-    bars = rooms.select("room_id", "seed", F.explode(F.sequence(F.lit(0), F.lit(BARS - 1))).alias("bar"))
+    cells = cells.withColumn("x", x).withColumn("y", y).withColumn("_u", draw(F.col("seed"), _drawn_from(OPEN) + node))
+    number = F.col("bar") * 4 + _drawn_from(BAR)
+    bars = rooms.select(*keys, "seed", F.explode(F.sequence(F.lit(0), F.lit(BARS - 1))).alias("bar"))
     bars = bars.select(
-        "room_id",
+        *keys,
         (draw_int(F.col("seed"), number, size - 2) + 1).alias("bx"),
         (draw_int(F.col("seed"), number + 1, size - 2) + 1).alias("by"),
         (draw(F.col("seed"), number + 2) < 0.5).alias("flat"),
@@ -45,17 +60,17 @@ def field_cells(rooms: DataFrame, size: int) -> DataFrame:
     # a bar ends at the border; bounding the steps keeps the draws out of a filter
     steps = F.least(F.col("length") - 1, size - 2 - F.when(F.col("flat"), F.col("bx")).otherwise(F.col("by")))
     barred = (
-        bars.select("room_id", "bx", "by", "flat", F.explode(F.sequence(F.lit(0), steps)).alias("i"))
+        bars.select(*keys, "bx", "by", "flat", F.explode(F.sequence(F.lit(0), steps)).alias("i"))
         .select(
-            "room_id",
+            *keys,
             (F.col("bx") + F.when(F.col("flat"), F.col("i")).otherwise(0)).alias("x"),
             (F.col("by") + F.when(F.col("flat"), F.lit(0)).otherwise(F.col("i"))).alias("y"),
         )
         .distinct()
         .withColumn("_bar", F.lit(True))
     )
-    return cells.join(barred, ["room_id", "x", "y"], "left").select(
-        "room_id",
+    return cells.join(barred, [*keys, "x", "y"], "left").select(
+        *keys,
         "node",
         "x",
         "y",
@@ -63,32 +78,65 @@ def field_cells(rooms: DataFrame, size: int) -> DataFrame:
     )
 
 
-def open_edges(cells: DataFrame, size: int) -> DataFrame:
-    """Edges between neighbouring open cells, as a graph per room."""
-    open_cells = cells.where("open").select(F.col("room_id").alias("graph_id"), "node")
+def open_edges(cells: DataFrame, size: int, *keys: str) -> DataFrame:
+    """Edges between neighbouring open cells, as a graph per room, or per value of ``keys``."""
+    graph = F.struct(*keys) if keys else F.col("room_id")
+    open_cells = cells.where("open").select(graph.alias("graph_id"), "node")
     onward = F.explode(F.array(F.col("node") + 1, F.col("node") + size))
     steps = open_cells.select("graph_id", F.col("node").alias("a"), onward.alias("b"))
     return steps.join(open_cells.withColumnRenamed("node", "b"), ["graph_id", "b"]).select("graph_id", "a", "b")
 
 
+def _accepted_attempts(cells: DataFrame, starts: DataFrame, size: int) -> DataFrame:
+    """``room_id, attempt`` of each room's first field whose start reaches enough cells."""
+    graph = F.struct("room_id", "attempt").alias("graph_id")
+    edges = open_edges(cells, size, "room_id", "attempt")
+    labels = cut(connectivity.components(edges, cells.where("open").select(graph, "node")), "labels")
+    large = connectivity.component_sizes(labels).where(F.col("size") >= SMALLEST_FIELD)
+    at_start = labels.join(starts.select(graph, F.col("start").alias("node")), ["graph_id", "node"])
+    found = at_start.join(large, ["graph_id", "component"], "left_semi")
+    return found.groupBy("graph_id.room_id").agg(F.min("graph_id.attempt").alias("attempt"))
+
+
 def obstacle_fields(rooms: DataFrame, size: int = 16) -> dict[str, DataFrame]:
     """Seeded fields with a start and the farthest reachable cell as goal.
 
-    Tables: ``cells`` (all cells of accepted rooms), ``ends`` (room_id, start,
-    goal), ``solution`` (room_id, k, node) and ``rejected`` (rooms with fewer
-    than 20 reachable cells).
+    A field whose start reaches fewer than 20 cells is drawn again, until
+    every room has one; only rooms still without one go on. Tables: ``rooms``
+    (room_id, seed), ``cells`` (all cells of each room's field), ``ends`` (room_id,
+    start, goal), ``solution`` (room_id, k, node) and ``rejected`` (room_id,
+    attempt, reason: fields drawn in vain, and rooms without id or seed).
     """
+    if (size - 2) ** 2 < SMALLEST_FIELD:
+        raise ValueError(f"a field of side {size} has fewer than {SMALLEST_FIELD} cells")
     rooms = cut(rooms.select("room_id", "seed"), "rooms")
-    cells = cut(field_cells(rooms, size), "field")
+    usable = F.col("room_id").isNotNull() & F.col("seed").isNotNull()
+    rejected = [rooms.where(~usable).select("room_id", F.lit(None).cast("int").alias("attempt"), F.lit("no id or seed").alias("reason"))]
+    fields, begun = [], []
+    left, attempt, at_once = rooms.where(usable), 0, 1
+    while True:
+        drawn = left.withColumn("attempt", F.explode(F.sequence(F.lit(attempt), F.lit(attempt + at_once - 1))))
+        cells = cut(field_cells(drawn, size), "field")
+        first = F.min(F.struct(draw(F.col("seed"), _drawn_from(START) + F.col("node")).alias("u"), "node"))
+        starts = cells.where("open").join(left, "room_id").groupBy("room_id", "attempt").agg(first["node"].alias("start"))
+        starts = cut(starts, "starts")
+        good = cut(_accepted_attempts(cells, starts, size), "good")
+        fields.append(cells.join(good, ["room_id", "attempt"], "left_semi").drop("attempt"))
+        begun.append(starts.join(good, ["room_id", "attempt"], "left_semi").drop("attempt"))
+        vain = drawn.join(good.withColumnRenamed("attempt", "_good"), "room_id", "left")
+        vain = vain.where(F.col("_good").isNull() | (F.col("attempt") < F.col("_good")))
+        rejected.append(vain.select("room_id", "attempt", F.lit("too few reachable cells").alias("reason")))
+        left, count = cut_counting(left.join(good, "room_id", "left_anti"), label="left")
+        if not count:
+            break
+        attempt, at_once = attempt + at_once, RETRIES_AT_ONCE
+        if attempt >= MOST_ATTEMPTS:
+            raise RuntimeError(f"{count} rooms without a field after {attempt} attempts")
+    cells = cut(reduce(DataFrame.unionAll, fields), "field")
+    starts = cut(reduce(DataFrame.unionAll, begun), "starts")
     edges = cut(open_edges(cells, size), "edges")
-    first = F.min(F.struct(draw(F.col("seed"), START + F.col("node")).alias("u"), "node"))
-    starts = cut(
-        cells.where("open").join(rooms, "room_id").groupBy("room_id").agg(first["node"].alias("start")), "starts"
-    )
     dist = connectivity.distances(edges, starts.select(F.col("room_id").alias("graph_id"), F.col("start").alias("node")))
-    reached = dist.groupBy("graph_id").agg(F.count("*").alias("reached"))
-    accepted = reached.where(F.col("reached") >= SMALLEST_FIELD).select("graph_id")
-    goals = connectivity.farthest(dist.join(accepted, "graph_id", "left_semi"))
+    goals = connectivity.farthest(dist)
     ends = cut(
         starts.join(goals.select(F.col("graph_id").alias("room_id"), F.col("node").alias("goal")), "room_id"), "ends"
     )
@@ -96,10 +144,10 @@ def obstacle_fields(rooms: DataFrame, size: int = 16) -> dict[str, DataFrame]:
     solution = connectivity.shortest_paths(edges, dist, targets).withColumnRenamed("graph_id", "room_id")
     return {
         "rooms": rooms,
-        "cells": cells.join(ends.select("room_id"), "room_id", "left_semi"),
+        "cells": cells,
         "ends": ends,
         "solution": solution,
-        "rejected": rooms.join(ends, "room_id", "left_anti").select("room_id", F.lit("too few reachable cells").alias("reason")),
+        "rejected": reduce(DataFrame.unionAll, rejected),
     }
 
 
