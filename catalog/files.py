@@ -62,12 +62,17 @@ def level_folder(spark, sf_dir):
     return rooms.level_cells(back).select("room_id", "y", "x", "cell")
 
 
+# Blocks of keys as long as a world has rooms (26 by 26), so that no list grows with the table.
+def world():
+    return F.floor(F.col("s_suppkey") / 676).alias("block")
+
+
 @query(
     "world_map_slots",
     """SELECT 'level_' || s_suppkey || '.txt' AS file, chr((65 + s_suppkey % 26)::INTEGER) || chr((65 + s_nationkey)::INTEGER) AS slot FROM supplier""",
 )
 def world_map_slots(spark, sf_dir):
-    """One map per nation."""
+    """A map per nation and block of as many rooms as a world can hold."""
     letter = lambda n: F.char(F.lit(65) + n)
     entry = F.struct(
         F.concat(F.lit("level_"), "s_suppkey", F.lit(".txt")),
@@ -75,9 +80,9 @@ def world_map_slots(spark, sf_dir):
     )
     path = scratch_path(spark, "maps")
     suppliers = inputs.table(spark, sf_dir, "supplier")
-    suppliers.groupBy("s_nationkey").agg(F.map_from_entries(F.collect_list(entry)).alias("levels")).drop(
-        "s_nationkey"
-    ).write.json(path)
+    suppliers.groupBy("s_nationkey", world()).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("levels")
+    ).select("levels").write.json(path)
     return readers.read_world_map(spark, path, multi_line=False)
 
 
@@ -94,7 +99,9 @@ def exports(spark, sf_dir):
         F.array(F.lit(" . "), F.lit(""), key.cast("string")), F.array(F.lit(None).cast("string"), F.lit(".+#"), F.lit("i"))
     )
     level = F.struct(name.alias("id"), cells.alias("cells"))
-    worlds = inputs.table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(level).alias("levels"))
+    worlds = inputs.table(spark, sf_dir, "supplier").groupBy("s_nationkey", world()).agg(
+        F.collect_list(level).alias("levels")
+    )
     path = scratch_path(spark, "exports")
     worlds.select(
         F.when(nation % 5 == 0, "other-v2").when(nation % 5 != 1, VERSION).alias("version"),
@@ -117,7 +124,7 @@ def imported_levels(spark, sf_dir):
 @query(
     "imported_worlds",
     """SELECT 'nation ' || s_nationkey AS title, CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey + 1 ELSE 16 END::INTEGER AS width, 16 AS height,
-    count(*) FILTER (s_suppkey % 7 <> 0)::INTEGER AS rooms FROM supplier WHERE s_nationkey % 5 <> 0 GROUP BY s_nationkey""",
+    count(*) FILTER (s_suppkey % 7 <> 0)::INTEGER AS rooms FROM supplier WHERE s_nationkey % 5 <> 0 GROUP BY s_nationkey, s_suppkey // 676""",
 )
 def imported_worlds(spark, sf_dir):
     return exports(spark, sf_dir)["worlds"]
@@ -125,7 +132,7 @@ def imported_worlds(spark, sf_dir):
 
 @query(
     "rejected_worlds",
-    "SELECT DISTINCT 'nation ' || s_nationkey AS title, 'other-v2' AS version FROM supplier WHERE s_nationkey % 5 = 0",
+    "SELECT 'nation ' || s_nationkey AS title, 'other-v2' AS version FROM supplier WHERE s_nationkey % 5 = 0 GROUP BY s_nationkey, s_suppkey // 676",
 )
 def rejected_worlds(spark, sf_dir):
     return exports(spark, sf_dir)["rejected"]
@@ -133,17 +140,17 @@ def rejected_worlds(spark, sf_dir):
 
 @query(
     "wrapped_json",
-    "SELECT 'nation ' || s_nationkey AS label, count(*)::INTEGER AS items, min(s_name) AS first FROM supplier GROUP BY s_nationkey",
+    "SELECT 'nation ' || s_nationkey AS label, count(*)::INTEGER AS items, min(s_name) AS first FROM supplier GROUP BY s_nationkey, s_suppkey // 676",
 )
 def wrapped_json(spark, sf_dir):
-    """One script file per nation that assigns a JSON object."""
+    """Script files that assign a JSON object, one per nation and block."""
     path = scratch_path(spark, "scripts")
-    suppliers = inputs.table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(
+    suppliers = inputs.table(spark, sf_dir, "supplier").groupBy("s_nationkey", world()).agg(
         F.sort_array(F.collect_list("s_name")).alias("items")
     )
     body = F.to_json(F.struct(F.concat(F.lit("nation "), "s_nationkey").alias("label"), "items"))
     script = F.concat(F.lit("// made by an exporter\nwindow.STIMULI = "), body, F.lit(";\n"))
-    suppliers.select(script.alias("value"), "s_nationkey").write.partitionBy("s_nationkey").text(path)
+    suppliers.select(script.alias("value"), "s_nationkey", "block").write.partitionBy("s_nationkey", "block").text(path)
     read = readers.read_wrapped_json(spark, path, r"window\.STIMULI", "label string, items array<string>")
     return read.select("label", F.size("items").alias("items"), F.col("items")[0].alias("first"))
 

@@ -75,6 +75,9 @@ def block_status(spark, sf_dir):
 
 
 # --- streams -----------------------------------------------------------------------------
+
+#: The log covers a month; a response may come at its end. State is kept for so long.
+LONGEST_WAIT_DAYS = 31
 def written_results(spark, sf_dir, repeat=False):
     """Trial results as JSON lines in the shared folder; with ``repeat`` every result arrives twice."""
     path = scratch_path(spark, "results")
@@ -129,10 +132,13 @@ def resumed_stream(spark, sf_dir):
 
 @query(
     "live_responses_stream",
-    f"""SELECT user_id, trial_id, response_id, response FROM ({TRIALS}) WHERE rt <= 12 * 3600000""",
+    f"""SELECT user_id, trial_id, response_id, response FROM ({TRIALS}) WHERE response_id IS NOT NULL""",
 )
 def live_responses_stream(spark, sf_dir):
-    """Shows and responses as two streams; a late row on both closes the last windows."""
+    """Shows and responses as two streams; a late row on both closes the last windows.
+
+    The wait covers every gap of the log, so all answered trials come out, as in the batch form.
+    """
     from gridtwin.operators.ranking import running_total
 
     log = log_of(spark, sf_dir).where(F.col("kind") != "side")
@@ -154,14 +160,14 @@ def live_responses_stream(spark, sf_dir):
         rows.write.parquet(path)
         closing = rows.agg(F.max(ts).alias(ts)).select(
             *[
-                (F.col(ts) + F.expr("INTERVAL 2 DAYS")).alias(ts) if c == ts else F.lit(None if t == "string" else -1).cast(t).alias(c)
+                (F.col(ts) + F.expr(f"INTERVAL {3 * LONGEST_WAIT_DAYS} DAYS")).alias(ts) if c == ts else F.lit(None if t == "string" else -1).cast(t).alias(c)
                 for c, t in rows.dtypes
             ]
         )
         closing.write.mode("append").parquet(path)
         streams.append(spark.readStream.schema(StructType(rows.schema.fields)).parquet(path))
     out = scratch_path(spark, "responses")
-    paired = running.live_responses(streams[0], streams[1], "12 hours")
+    paired = running.live_responses(streams[0], streams[1], f"{LONGEST_WAIT_DAYS} days")
     running.append_to(paired, out, scratch_path(spark, "offsets"), availableNow=True).awaitTermination()
     return spark.read.schema("user_id long, trial_id long, response_id long, response string").json(out).where(
         F.col("user_id") >= 0

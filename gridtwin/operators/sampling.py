@@ -61,9 +61,20 @@ def oriented_pairs(items: DataFrame) -> DataFrame:
 
 
 def twins(items: DataFrame) -> DataFrame:
-    """Each item with the other member of its pair."""
-    other = items.select("pair", F.col("id").alias("twin_id"), F.col("solvable").alias("twin_solvable"))
-    return items.join(other, "pair").where(F.col("id") != F.col("twin_id"))
+    """Each item with the other member of its pair.
+
+    In a group of more than two the smallest id is the twin of all others,
+    and the largest that of the smallest. Items without id or pair have none.
+    """
+    member = F.struct("id", "solvable")
+    ends = items.where(F.col("id").isNotNull()).groupBy("pair").agg(F.min(member).alias("_low"), F.max(member).alias("_high"))
+    twin = F.when(F.col("id") == F.col("_low.id"), F.col("_high")).otherwise(F.col("_low"))
+    return (
+        items.join(ends.where(F.col("_low.id") != F.col("_high.id")), "pair")
+        .where(F.col("id").isNotNull())
+        .withColumns({"twin_id": twin["id"], "twin_solvable": twin["solvable"]})
+        .drop("_low", "_high")
+    )
 
 
 def pair_sample(items: DataFrame, seed: int, limit: int = 0, verified_only: bool = False) -> DataFrame:
