@@ -104,7 +104,7 @@ def running_summary_stream(spark, sf_dir):
         running.running_summary(results, ("edit_type",)), out, scratch_path(spark, "offsets"), availableNow=True
     )
     stream.awaitTermination()
-    return rounded(spark.read.parquet(out))
+    return rounded(running.latest(spark, out))
 
 
 @query("running_overall_stream", sql.summary(inputs.TRIAL_RESULTS))
@@ -114,7 +114,7 @@ def running_overall_stream(spark, sf_dir):
     out = scratch_path(spark, "summary")
     summary = running.running_summary(running.result_stream(spark, path, schema, 2))
     running.keep_latest(summary, out, scratch_path(spark, "offsets"), availableNow=True).awaitTermination()
-    return rounded(spark.read.parquet(out))
+    return rounded(running.latest(spark, out))
 
 
 @query("resumed_stream", f"SELECT event_id AS id, answer FROM ({inputs.TRIAL_RESULTS})")

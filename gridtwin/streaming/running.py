@@ -24,19 +24,31 @@ def running_summary(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def keep_latest(summary: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Rewrite ``path`` with the current summary after every batch."""
-    def replace(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    """Write the current summary below ``path`` after every batch, for :func:`latest`.
+
+    Each batch has a folder of its own, so no reader loses files under it; a
+    batch that is repeated after a failure replaces only its own folder.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         summary.writeStream.outputMode("complete")
-        .foreachBatch(replace)
+        .foreachBatch(add)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 minute"}))
         .start()
     )
 
 
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest summary written by :func:`keep_latest`."""
+    summaries = spark.read.parquet(path)
+    newest = summaries.agg(F.max("batch_id").alias("batch_id"))
+    return summaries.join(F.broadcast(newest), "batch_id", "left_semi").drop("batch_id")  # one row
+
+
 def first_of_each(results: DataFrame, key: str = "id", ts: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Drop results whose id was already seen, across restarts with the same checkpoint.
 
