@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridtwin.llm.frames import hash_sample
 from gridtwin.llm.groups import find_roots, smallest_reachable
 from gridtwin.llm.vectors import as_bytes, common_width, matrix, unit, usable
 from gridtwin.session import cut
@@ -27,6 +28,8 @@ ALPHA = 1.2
 MARGIN = 0.02
 AUDIT = 512
 RECALL = 0.99
+TRIES = 3
+BLOCK_ROWS = 2_048
 
 
 def centres(x: np.ndarray, count: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
@@ -192,6 +195,29 @@ def _linked(x, x64, links, queries, q64, threshold: float, beam: int) -> np.ndar
     return out
 
 
+def _tally(found: np.ndarray, counted: np.ndarray, sides: list[pd.DataFrame]) -> pd.DataFrame:
+    """``rep, links, root`` of every vector with a link in ``found``: its links in ``counted``, and the smallest of its group."""
+    ids = [s["rep"].to_numpy(np.int64) for s in sides]
+    copies = [s["copies"].to_numpy(np.float64) for s in sides]
+    last = len(sides) - 1
+    names, roots = [], []
+    for a in range(0, len(found), 512):
+        rows, nodes = np.nonzero(found[a : a + 512])
+        if len(rows):
+            some = find_roots(ids[0][a + rows], ids[last][nodes])
+            names.append(some[0])
+            roots.append(some[1])
+    if not names:
+        return pd.DataFrame({"rep": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
+    names, roots = find_roots(np.concatenate(names), np.concatenate(roots))
+    parts = [(ids[0][found.any(axis=1)], (counted @ copies[last])[found.any(axis=1)])]
+    if last:
+        parts.append((ids[last][found.any(axis=0)], (copies[0] @ counted)[found.any(axis=0)]))
+    out = pd.DataFrame({"rep": np.concatenate([p[0] for p in parts]), "links": np.concatenate([p[1] for p in parts]).astype(np.int64)})
+    out["root"] = roots[np.searchsorted(names, out["rep"].to_numpy())]
+    return out
+
+
 def _meet(group: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     """Links inside one part or between two parts of a shard: count per vector, and a star per local group."""
     sides = [g.sort_values("rep", ignore_index=True) for _, g in group.groupby("side")]
@@ -212,17 +238,9 @@ def _meet(group: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     common = (homes[0][rows][:, :, None] == homes[last][nodes][:, None, :]) & (homes[0][rows][:, :, None] < shard)
     mine = ~common.any(axis=(1, 2))
     rows, nodes = rows[mine], nodes[mine]
-    if not len(rows):
-        return pd.DataFrame({"rep": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
-    copies = [s["copies"].to_numpy(np.int64) for s in sides]
-    parts = [(ids[0], np.bincount(rows, copies[last][nodes], len(ids[0])))]
-    if last:
-        parts.append((ids[last], np.bincount(nodes, copies[0][rows], len(ids[last]))))
-    names, roots = find_roots(ids[0][rows], ids[last][nodes])
-    out = pd.DataFrame({"rep": np.concatenate([p[0] for p in parts]), "links": np.concatenate([p[1] for p in parts]).astype(np.int64)})
-    out = out[out["links"] > 0]
-    out["root"] = roots[np.searchsorted(names, out["rep"].to_numpy())]
-    return out
+    counted = np.zeros_like(found)
+    counted[rows, nodes] = True
+    return _tally(counted, counted, sides)
 
 
 def _links(reps: DataFrame, rows: int, threshold: float, overlap: int, beam: int, part_rows: int) -> DataFrame:
@@ -272,9 +290,25 @@ def _links(reps: DataFrame, rows: int, threshold: float, overlap: int, beam: int
     return cut(met.groupBy("shard", "low", "high").applyInPandas(meet, "rep bigint, links bigint, root bigint"), "links")
 
 
+def _level(links):
+    """Class of a number of links: 0, then 1 to 3, 4 to 15, 16 to 63 and so on; numbers or a column."""
+    if isinstance(links, Column):
+        return F.when(links > 0, F.floor(F.log2(links) / 2).cast("int") + 1).otherwise(0)
+    return np.where(links > 0, np.floor(np.log2(np.maximum(links, 1)) / 2).astype(np.int64) + 1, 0)
+
+
 def audit(reps: DataFrame, links: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the true links of a sample of vectors that were found; exact products against all vectors, in blocks."""
-    chosen = reps.orderBy(F.xxhash64(F.lit("audit"), "rep")).limit(sample).select("rep", "raw").collect()
+    """The least mean recall per vector of any class of vectors with about as many true links.
+
+    About ``sample`` vectors are drawn of every class of found links, so that
+    those with none and those of small groups are looked at beside a dense group; each
+    stands for its share of that class. Exact products against all vectors, in blocks.
+    """
+    seen = links.groupBy("rep").agg(F.sum("links").alias("found"))
+    found = reps.join(seen, "rep", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    found = cut(found.select("rep", "raw", "found", _level(F.col("found")).alias("level")), "audit")
+    sizes = {r["level"]: r["n"] for r in found.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    chosen = hash_sample(found, "rep", "level", sample).collect()  # bounded by the classes
     if not chosen:
         return 1.0
     ids = np.array([r["rep"] for r in chosen])
@@ -282,18 +316,51 @@ def audit(reps: DataFrame, links: DataFrame, threshold: float, sample: int = AUD
 
     def run(batches):
         ids, q = asked.value
-        true = np.zeros(len(ids), np.int64)
+        true = np.zeros(len(ids))
         for frame in batches:
-            for a in range(0, len(frame), 4096):
-                part = frame.iloc[a : a + 4096]
+            for a in range(0, len(frame), 1024):
+                part = frame.iloc[a : a + 1024]
                 hit = (q @ unit(matrix(part["raw"])).T >= threshold) & (ids[:, None] != part["rep"].to_numpy()[None, :])
-                true += hit @ part["copies"].to_numpy(np.int64)
-        yield pd.DataFrame({"rep": ids, "true": true})
+                true += hit.astype(np.float64) @ part["copies"].to_numpy(np.float64)
+        yield pd.DataFrame({"rep": ids, "true": true.astype(np.int64)})
+
+    sums = reps.mapInPandas(run, "rep bigint, true bigint").groupBy("rep").agg(F.sum("true").alias("true")).collect()
+    truth = {r["rep"]: r["true"] for r in sums}
+    true = np.array([truth[i] for i in ids.tolist()], np.int64)
+    got, level = np.array([r["found"] for r in chosen], np.int64), np.array([r["level"] for r in chosen], np.int64)
+    weight = np.array([sizes[k] for k in level.tolist()]) / np.bincount(level)[level]
+    share, group = np.minimum(1.0, got / np.maximum(true, 1)), _level(true)
+    return min((float(np.average(share[group == k], weights=weight[group == k])) for k in np.unique(group[group > 0])), default=1.0)
+
+
+def _multiply(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links inside one block or between two blocks by exact products: count per vector, and a star per local group."""
+    sides = [g.sort_values("rep", ignore_index=True) for _, g in group.groupby("side")]
+    x = [unit(matrix(s["raw"])) for s in sides]
+    last = len(sides) - 1
+    found = np.concatenate([x[0][a : a + 512] @ x[last].T >= threshold for a in range(0, len(x[0]), 512)])
+    if last == 0:
+        np.fill_diagonal(found, False)
+    return _tally(found, found, sides)
+
+
+def _exact(reps: DataFrame, rows: int, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All links by products of every block with every block: quadratic in the table, a task holds two blocks."""
+    blocks = -(-rows // block_rows)
+    placed = reps.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
+    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(
+        F.least("part", "other").alias("low"),
+        F.greatest("part", "other").alias("high"),
+        F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"),
+        "rep",
+        "copies",
+        "raw",
+    )
+
+    def multiply(group: pd.DataFrame) -> pd.DataFrame:
+        return _multiply(group, threshold)
 
-    true = reps.mapInPandas(run, "rep bigint, true bigint").groupBy("rep").agg(F.sum("true").alias("true"))
-    seen = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    got = true.join(seen, "rep", "left").agg(F.sum("true"), F.sum(F.coalesce("links", F.lit(0)))).first()
-    return 1.0 if not got[0] else min(1.0, got[1] / got[0])
+    return cut(met.groupBy("low", "high").applyInPandas(multiply, "rep bigint, links bigint, root bigint"), "links")
 
 
 def near_duplicates(
@@ -302,9 +369,9 @@ def near_duplicates(
     """``vec_id, n_links, component_id, kept`` of every row, linking cosines of at least ``threshold``.
 
     Equal vectors form one class that counts with its number of rows and
-    searches once. When the audit finds less than ``recall`` of a sample's
-    links, the search is repeated with twice the overlap and beam (twice at
-    most). Vectors that are null, empty, zero, non-finite or of another length
+    searches once. When the audit finds less than ``recall`` in any class of
+    group sizes, the search is repeated with twice the overlap and beam; after
+    ``TRIES`` failed tries all links come from exact products. Vectors that are null, empty, zero, non-finite or of another length
     than most link with nothing, as do rows without vec_id. Rows are linked as rows: two
     rows with the same vec_id and vector link with each other, with different
     vectors only if those are near. An empty table gives no rows.
@@ -326,11 +393,13 @@ def near_duplicates(
     beam = BEAM
     if not rows:
         return lonely.withColumn("kept", F.lit(True))
-    for _ in range(3):
+    for _ in range(TRIES):
         links = _links(reps, rows, threshold, overlap, beam, part_rows)
         if audit(reps, links, threshold) >= recall:
             break
         overlap, beam = 2 * overlap, 2 * beam
+    else:
+        links = _exact(reps, rows, threshold)
     groups = smallest_reachable(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     found = (

@@ -131,3 +131,28 @@ def test_search_on_odd_rows(spark):
     assert vantage.nearest(frame(spark, []), odd, 3).count() == 0
     assert vantage.nearest(odd, frame(spark, []), 3).count() == 0
     assert vantage.nearest(frame(spark, ODD + ODD[8:]), odd.where("vec_id = 12"), 50).count() == 5
+
+
+def skewed(draw, dense=300, pairs=60, width=24):
+    """A dense group and isolated pairs."""
+    group = draw.normal(size=width) + draw.normal(size=(dense, width)) * 0.03
+    one = draw.normal(size=(pairs, width))
+    return np.concatenate([group, one, one * 2 + draw.normal(size=one.shape) * 0.03])
+
+
+def test_audit_sees_lost_pairs_beside_a_dense_group(spark):
+    x = skewed(np.random.default_rng(8))
+    reps = spark.createDataFrame([(i, 1, v.astype("<f8").tobytes()) for i, v in enumerate(x)], "rep bigint, copies bigint, raw binary")
+    full = [(i, n, 0) for i, (n, _) in brute_links(list(enumerate(x)), 0.95).items() if n]
+    links = spark.createDataFrame(full, "rep bigint, links bigint, root bigint")
+    assert flatgraph.audit(reps, links, 0.95) == 1.0
+    assert flatgraph.audit(reps, links.where("rep < 300"), 0.95) < 0.5  # all pairs are lost, and 99.8% of the links are there
+
+
+def test_links_are_exact_where_the_search_fails(spark, monkeypatch):
+    rows = [(int(i) * 3, v.tolist()) for i, v in enumerate(skewed(np.random.default_rng(9)))]
+    search = flatgraph._links
+    monkeypatch.setattr(flatgraph, "_links", lambda *a: search(*a).where("links > 100"))
+    monkeypatch.setattr(flatgraph._exact, "__defaults__", (100,))
+    got = flatgraph.near_duplicates(frame(spark, rows), 0.95, part_rows=100).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute_links(rows, 0.95)
