@@ -189,12 +189,28 @@ def _linked(x, x64, links, queries, q64, threshold: float, beam: int) -> np.ndar
         walk.greedy()
         walk.widen(threshold - MARGIN)
         rows, nodes = np.nonzero(walk.cosine >= threshold - 1e-4)
-        for b in range(0, len(rows), 200_000):
-            r, n = rows[b : b + 200_000] + a, nodes[b : b + 200_000]
-            out[r, n] = np.einsum("ij,ij->i", q64[r], x64[n]) >= threshold
+        _confirm(out, rows + a, nodes, q64, x64, threshold)
     return out
 
 
+def _confirm(out, rows, nodes, q64, x64, threshold: float) -> None:
+    """Mark the links among the candidate pairs, in double precision."""
+    for b in range(0, len(rows), 200_000):
+        r, n = rows[b : b + 200_000], nodes[b : b + 200_000]
+        out[r, n] = np.einsum("ij,ij->i", q64[r], x64[n]) >= threshold
+
+
+def _share_further(found, homes, x64, shard: int, threshold: float) -> None:
+    """Mark all links of pairs that share a larger shard too, by products: what any shard could find is found in the smallest."""
+    last = len(homes) - 1
+    for other in np.intersect1d(homes[0], homes[last]):
+        if other > shard:
+            a, b = (np.flatnonzero((h == other).any(axis=1)) for h in (homes[0], homes[last]))
+            near = (x64[0][a] @ x64[last][b].T >= threshold - 1e-9) & ~found[np.ix_(a, b)]
+            rows, nodes = np.nonzero(near)
+            _confirm(found, a[rows], b[nodes], x64[0], x64[last], threshold)
+
+
 def _tally(found: np.ndarray, counted: np.ndarray, sides: list[pd.DataFrame]) -> pd.DataFrame:
     """``rep, links, root`` of every vector with a link in ``found``: its links in ``counted``, and the smallest of its group."""
     ids = [s["rep"].to_numpy(np.int64) for s in sides]
@@ -229,18 +245,19 @@ def _meet(group: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     found = _linked(x[last], x64[last], graphs[last], x[0], x64[0], threshold, beam)
     other = found if last == 0 else _linked(x[0], x64[0], graphs[0], x[last], x64[last], threshold, beam)
     found |= other.T
-    if last == 0:
-        np.fill_diagonal(found, False)
-    # a pair that shares several shards is counted in the smallest of them
     homes = [np.array(s["homes"].tolist(), np.int64) for s in sides]
     shard = int(group["shard"].iloc[0])
+    _share_further(found, homes, x64, shard, threshold)
+    if last == 0:
+        np.fill_diagonal(found, False)
+    # a pair that shares several shards is counted in the smallest of them, and joined wherever it is found
     rows, nodes = np.nonzero(found)
     common = (homes[0][rows][:, :, None] == homes[last][nodes][:, None, :]) & (homes[0][rows][:, :, None] < shard)
     mine = ~common.any(axis=(1, 2))
     rows, nodes = rows[mine], nodes[mine]
     counted = np.zeros_like(found)
     counted[rows, nodes] = True
-    return _tally(counted, counted, sides)
+    return _tally(found, counted, sides)
 
 
 def _links(reps: DataFrame, rows: int, threshold: float, overlap: int, beam: int, part_rows: int) -> DataFrame:

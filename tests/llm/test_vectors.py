@@ -1,6 +1,7 @@
 """Vector operators against exact products."""
 
 import numpy as np
+import pandas as pd
 
 from gridtwin.llm import flatgraph, vantage
 from test_duplicates import brute_groups  # noqa: F401
@@ -156,3 +157,17 @@ def test_links_are_exact_where_the_search_fails(spark, monkeypatch):
     monkeypatch.setattr(flatgraph._exact, "__defaults__", (100,))
     got = flatgraph.near_duplicates(frame(spark, rows), 0.95, part_rows=100).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute_links(rows, 0.95)
+
+
+def test_a_pair_of_several_shards_needs_one_find():
+    x = np.array([[1.0, 0, 0], [1.0, 0.2, 0], [0.9, -0.3, 0], [0.0, 0.1, 1.0], [0.0, 0.0, 1.0]])
+
+    def shard(number, near):
+        rows = [(number, 0, i, 1, v.astype("<f8").tobytes(), [2, 7], near[i]) for i, v in enumerate(x)]
+        return pd.DataFrame(rows, columns=["shard", "side", "rep", "copies", "raw", "homes", "near"])
+
+    full = [[j for j in range(5) if j != i] for i in range(5)]
+    broken = [[j for j in near if j < 3] for near in full[:3]] + [[], []]  # nothing leads to the last pair
+    got = pd.concat([flatgraph._meet(shard(2, broken), 0.99, 32), flatgraph._meet(shard(7, full), 0.99, 32)])
+    assert got.groupby("rep")["links"].sum().to_dict() == {3: 1, 4: 1}
+    assert set(got[got.rep == 4]["root"]) == {3}
