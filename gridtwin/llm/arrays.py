@@ -12,19 +12,11 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 3 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """BASE**0 .. BASE**(n-1) modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(max(n, 1024), BASE, np.uint64)
-        grown[0] = 1
-        _powers = np.multiply.accumulate(grown)
-    return _powers[:n]
+BLOCK_ROWS = 1_000
+LANE = 8
+LANE_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(LANE + 1)], np.uint64)
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+LONG_RUN = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -38,11 +30,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def text_blocks(batches, limit: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
+def text_blocks(batches, limit: int = BLOCK_BYTES, most_rows: int = BLOCK_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
     """(bytes, offsets, null mask, rows) of runs of documents holding about ``limit`` bytes each.
 
     Column ``text`` may hold nulls; they count as empty. A document larger
-    than the limit is a block of its own, always whole.
+    than the limit is a block of its own, always whole. A block has at most
+    ``most_rows`` documents, however large the session's Arrow batches are.
     """
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))
@@ -56,7 +49,7 @@ def text_blocks(batches, limit: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray,
         at = 0
         while at < len(filled):
             to = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
-            to = min(max(to, at + 1), len(filled))
+            to = min(max(to, at + 1), at + most_rows, len(filled))
             yield (
                 whole[offsets[at] : offsets[to]],
                 offsets[at : to + 1] - offsets[at],
@@ -72,9 +65,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and length of every run of non-space bytes, and the first word number of each document."""
-    solid = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and length of every run of solid (by default non-space) bytes, and the first word number of each document."""
+    solid = ~SPACE[data] if solid is None else solid
     starts = solid.copy()
     starts[1:] &= ~solid[:-1]
     firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -88,17 +81,77 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begin, length, np.searchsorted(begin, offsets)
 
 
-def run_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run ``data[begin : begin + length]``; the runs ascend and do not overlap."""
+def lanes_of(data: np.ndarray) -> np.ndarray:
+    """For every position the 8 bytes from there on as one number (zeros past the end); a view, one byte apart."""
+    padded = np.concatenate([data, np.zeros(LANE, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+
+def run_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run ``data[begin : begin + length]``.
+
+    The run is read in lanes of 8 bytes; each lane is scrambled together with its
+    place and the seed, so the sum over lanes has no algebra that regular texts
+    could cancel. Runs of up to 8 bytes and one length never collide. Where results must be exact,
+    :func:`distinct_runs` and :func:`same_runs` compare the bytes as well.
+    """
     if not len(begin):
         return np.zeros(0, np.uint64)
-    if len(begin) > 1 and (begin[1:] != begin[:-1] + length[:-1]).any() or begin[0] or begin[-1] + length[-1] != len(data):
-        flat = ragged(begin, length)
-        data = data[flat]
-        begin = np.cumsum(length) - length
-    place = np.arange(len(data), dtype=np.int64) - np.repeat(begin, length)
-    values = (data.astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[place]
-    return mix(np.add.reduceat(values, begin) ^ (length.astype(np.uint64) << np.uint64(48)))
+    length = np.asarray(length, np.int64)
+    lanes = lanes_of(data)
+    keys = mix(np.arange(-(-int(length.max()) // LANE) + 1, dtype=np.uint64) * GOLDEN + np.uint64(seed))
+    out = mix((lanes[begin] & LANE_MASKS[np.minimum(length, LANE)]) ^ keys[0])
+    more = np.flatnonzero(length > LANE)
+    if len(more):
+        count = (length[more] - 1) // LANE  # lanes after the first
+        at = np.cumsum(count) - count
+        place = np.arange(int(count.sum()), dtype=np.int64) - np.repeat(at, count) + 1
+        left = np.repeat(length[more], count) - LANE * place
+        values = lanes[np.repeat(begin[more], count) + LANE * place] & LANE_MASKS[np.minimum(left, LANE)]
+        out[more] += np.add.reduceat(mix(values ^ keys[place]), at)
+    return mix(out ^ (length.astype(np.uint64) * GOLDEN))
+
+
+def same_runs(data: np.ndarray, begin: np.ndarray, other: np.ndarray, other_begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether each run of ``data`` has the bytes of the run of the same length in ``other``."""
+    same = np.ones(len(begin), bool)
+    for i in np.flatnonzero(length > LONG_RUN).tolist():
+        a, b, n = int(begin[i]), int(other_begin[i]), int(length[i])
+        same[i] = data[a : a + n].tobytes() == other[b : b + n].tobytes()
+    left, right = lanes_of(data), lanes_of(other)
+    live = np.flatnonzero((length > 0) & (length <= LONG_RUN))
+    done = 0
+    while len(live):
+        mask = LANE_MASKS[np.minimum(length[live] - done, LANE)]
+        same[live] &= (left[begin[live] + done] & mask) == (right[other_begin[live] + done] & mask)
+        done += LANE
+        live = live[same[live] & (length[live] > done)]
+    return same
+
+
+def distinct_runs(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of one run of each different content, and for every run the place of its content among those.
+
+    Hashes only bring equal runs together: the bytes are compared, and a run
+    whose hash is shared by other bytes is a content of its own.
+    """
+    _, first, inverse = np.unique(run_hashes(data, begin, length), return_index=True, return_inverse=True)
+    model = first[inverse]
+    odd = np.flatnonzero(length != length[model])
+    equal = np.flatnonzero((length == length[model]) & (model != np.arange(len(begin))))
+    odd = np.concatenate([odd, equal[~same_runs(data, begin[equal], data, begin[model[equal]], length[equal])]])
+    if len(odd):
+        inverse = inverse.copy()
+        known: dict[bytes, int] = {}
+        extra = []
+        for i in odd.tolist():
+            raw = data[begin[i] : begin[i] + length[i]].tobytes()
+            if raw not in known:
+                known[raw] = len(first) + len(extra)
+                extra.append(i)
+            inverse[i] = known[raw]
+        first = np.concatenate([first, extra]).astype(np.int64)
+    return first, inverse
 
 
 def ragged(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
