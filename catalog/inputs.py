@@ -136,28 +136,31 @@ VALID_PAIRS = f"""SELECT pair FROM ({PAIRED_ITEMS}) GROUP BY pair
 
 # --- graphs from part --------------------------------------------------------------
 def grid_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One grid of 3x3 to 6x6 per part."""
+    """One grid per part: most of the sizes 6x6, 6x10 and 10x10, some 16x16 and 24x24."""
     size = F.col("p_size")
     placement = F.element_at(F.array(*[F.lit(p) for p in ("random", "border", "corners", "far")]), (F.col("p_partkey") % 4 + 1).cast("int"))
     mode = F.element_at(F.array(*[F.lit(c) for c in ("balanced", "random", "fixed")]), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select(
+    side = F.when(size % 50 == 0, 24).when(size % 25 == 1, 16).when(size % 8 == 3, 10).otherwise(6)
+    sized = table(spark, sf_dir, "part").withColumn("_side", side)
+    return sized.select(
         F.col("p_partkey").alias("graph_id"),
-        (size % 4 + 3).cast("int").alias("width"),
-        (F.floor(size / 4) % 4 + 3).cast("int").alias("height"),
+        F.col("_side").alias("width"),
+        F.when((F.col("_side") == 6) & (size % 7 == 2), 10).otherwise(F.col("_side")).alias("height"),
         F.col("p_partkey").alias("seed"),
         placement.alias("placement"),
         mode.alias("cut_mode"),
         F.when(F.col("p_partkey") % 3 == 2, (size % 5) / 4).alias("cut_pos"),
-        (size % 6).cast("int").alias("loops"),
-        F.lit(3).alias("min_distance"),
+        F.when(F.col("_side") == 6, 1).when(F.col("_side") == 10, 3).when(F.col("_side") == 16, 6).otherwise(12).alias("loops"),
+        F.floor(F.col("_side") / 2).cast("int").alias("min_distance"),
     )
 
 
-GRID_PARAMS = """SELECT p_partkey AS graph_id, (p_size % 4 + 3)::INTEGER AS width, ((p_size // 4) % 4 + 3)::INTEGER AS height,
+GRID_PARAMS = """SELECT p_partkey AS graph_id, side AS width, CASE WHEN side = 6 AND p_size % 7 = 2 THEN 10 ELSE side END AS height,
   p_partkey AS seed, (['random', 'border', 'corners', 'far'])[p_partkey % 4 + 1] AS placement,
   (['balanced', 'random', 'fixed'])[p_partkey % 3 + 1] AS cut_mode,
-  CASE WHEN p_partkey % 3 = 2 THEN (p_size % 5) / 4.0::DOUBLE END AS cut_pos, (p_size % 6)::INTEGER AS loops,
-  3 AS min_distance FROM part"""
+  CASE WHEN p_partkey % 3 = 2 THEN (p_size % 5) / 4.0::DOUBLE END AS cut_pos,
+  CASE side WHEN 6 THEN 1 WHEN 10 THEN 3 WHEN 16 THEN 6 ELSE 12 END AS loops, side // 2 AS min_distance
+  FROM (SELECT *, CASE WHEN p_size % 50 = 0 THEN 24 WHEN p_size % 25 = 1 THEN 16 WHEN p_size % 8 = 3 THEN 10 ELSE 6 END AS side FROM part)"""
 
 GRID_NODES = f"""SELECT *, node % width AS x, node // width AS y
   FROM (SELECT *, unnest(range(width * height))::INTEGER AS node FROM ({GRID_PARAMS}))"""
@@ -177,6 +180,14 @@ def maze_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 MAZE_EDGES = f"""SELECT graph_id, a, b FROM ({GRID_EDGES}) WHERE {sql.draw('seed', 'edge_no + 7000')} < 0.6"""
 
 
+def maze_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same grids as bit boards, with both corners as ends."""
+    from gridtwin.operators.boards import boards_of_edges
+
+    made = boards_of_edges(grid_params(spark, sf_dir), maze_edges(spark, sf_dir))
+    return made.withColumn("start", F.lit(0)).withColumn("goal", (F.col("width") * F.col("height") - 1).cast("int"))
+
+
 def part_supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers and parts sold together, over all line items; suppliers have negative numbers."""
     return (

@@ -19,6 +19,7 @@ from gridtwin.operators.grids import cell_x, cell_y
 
 WORD = 50
 FULL = (1 << WORD) - 1
+UNREACHED = 24  # plane of the cells without a distance
 
 
 def _left(value: Column, bits: Column) -> Column:
@@ -353,6 +354,18 @@ def distances(flooded: DataFrame, *keys: str) -> DataFrame:
     return found.withColumnRenamed("number", "dist")
 
 
+def all_distances(flooded: DataFrame, *keys: str) -> DataFrame:
+    """``keys, node, dist`` of all cells, -1 for those not reached."""
+    whole = whole_board(F.col("width"), F.col("height"))
+    planes = F.concat(
+        F.col("flood.planes"),
+        F.array_repeat(F.transform("_whole", lambda w: _long(0)), UNREACHED - F.size("flood.planes")),
+        F.array(_without(F.col("_whole"), F.col("flood.reached"))),
+    )
+    found = numbered_cells(flooded.withColumn("_whole", whole), F.col("_whole"), planes, *keys)
+    return found.select(*keys, "node", F.when(F.col("number") >= 1 << UNREACHED, F.lit(-1)).otherwise(F.col("number")).alias("dist"))
+
+
 def _parts(boards: DataFrame) -> DataFrame:
     width = F.col("width")
     whole = whole_board(width, F.col("height"))

@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from gridtwin.functions.rng import draw, draw_int, seed_from_text
 from gridtwin.functions.text import strip
-from gridtwin.operators import connectivity, trees
-from gridtwin.operators.grids import grid_edges, grid_nodes, manhattan
+from gridtwin.operators import boards, connectivity, trees
+from gridtwin.operators.grids import grid_edges, manhattan
 from gridtwin.session import cut
 
 # Parameter defaults and difficulty presets.
@@ -302,9 +302,9 @@ def pair_metadata(pairs: dict[str, DataFrame]) -> DataFrame:
         F.max(F.when(F.col("kind") == "opened", F.struct("a", "b"))).alias("_edge"),
     )
     positive = members(passages).where("solvable").select("graph_id", "a", "b")
-    start = pairs["ends"].select("graph_id", F.col("start").alias("node"))
-    goal = pairs["ends"].select("graph_id", F.col("goal").alias("node"))
-    solution = connectivity.distances(positive, start).join(goal, ["graph_id", "node"])
+    ends = pairs["ends"].select("graph_id", "start", "goal")
+    made = boards.with_flood(boards.boards_of_edges(pairs["params"], positive).join(ends, "graph_id"), F.col("start"))
+    solution = made.select("graph_id", boards.distance_to(F.col("flood"), F.col("goal"), F.col("width")).alias("dist"))
     chosen = pairs["chosen"].select(
         "graph_id",
         "path_length",
@@ -385,30 +385,29 @@ def minimality_violations(edges: DataFrame, chosen: DataFrame, passages: DataFra
 
 
 def label_audit(pairs: dict[str, DataFrame]) -> DataFrame:
-    """Both members of each pair checked by components: one row per member with what was found.
+    """Both members of each pair checked by their connected parts: one row per member with what was found.
 
     ``agrees`` is true if connectivity matches the label, the unsolvable
     member has exactly the two recorded parts, and the number of loops is what
     the candidate pool allows.
     """
-    keyed = lambda df, solvable: (F.col("graph_id") * 2 + solvable.cast("int")).alias("graph_id")
-    both = members(pairs["passages"])
-    edges = both.select(keyed(both, F.col("solvable")), "a", "b")
-    cells = grid_nodes(pairs["params"].join(pairs["ends"].select("graph_id"), "graph_id", "left_semi"))
-    cells = cells.withColumn("solvable", F.explode(F.array(F.lit(True), F.lit(False))))
-    labels = cut(connectivity.components(edges, cells.select(keyed(cells, F.col("solvable")), "node")), "labels")
-    sizes = connectivity.component_sizes(labels)
-    shape = sizes.groupBy("graph_id").agg(
-        F.count("*").alias("parts"), F.min("size").alias("smallest"), F.max("size").alias("largest")
-    )
-    ends = pairs["ends"].withColumn("solvable", F.explode(F.array(F.lit(True), F.lit(False))))
-    ends = ends.select(
-        keyed(ends, F.col("solvable")), "solvable", F.col("graph_id").alias("pair_id"), "start", "goal"
-    )
-    part_of = lambda end: (
-        ends.select("graph_id", F.col(end).alias("node"))
-        .join(labels, ["graph_id", "node"])
-        .select("graph_id", F.col("component").alias(f"{end}_part"))
+    keyed = (F.col("graph_id") * 2 + F.col("solvable").cast("int")).alias("graph_id")
+    edges = members(pairs["passages"]).select(keyed, "a", "b")
+    both = pairs["params"].select("graph_id", "width", "height").join(pairs["ends"].select("graph_id", "start", "goal"), "graph_id")
+    both = both.withColumn("solvable", F.explode(F.array(F.lit(True), F.lit(False))))
+    both = both.select(keyed, F.col("graph_id").alias("pair_id"), "solvable", "width", "height", "start", "goal")
+    made = boards.boards_of_edges(both, edges, "pair_id", "solvable", "start", "goal")
+    whole = boards.whole_board(F.col("width"), F.col("height"))
+    parts = boards.parts(whole, F.col("right"), F.col("down"), F.col("words"), F.col("width"))
+    part_of = lambda end: boards.number_at(F.col("_parts.planes"), F.col(end), F.col("width"))
+    shape = made.withColumn("_parts", parts).select(
+        "pair_id",
+        "solvable",
+        F.size("_parts.sizes").cast("bigint").alias("parts"),
+        F.array_min("_parts.sizes").cast("bigint").alias("smallest"),
+        F.array_max("_parts.sizes").cast("bigint").alias("largest"),
+        part_of("start").alias("start_part"),
+        part_of("goal").alias("goal_part"),
     )
     pool = pairs["candidates"].groupBy("graph_id").agg(F.count("*").alias("pool"))
     extra = pairs["passages"].groupBy("graph_id").agg(
@@ -432,10 +431,7 @@ def label_audit(pairs: dict[str, DataFrame]) -> DataFrame:
         & (F.col("largest") == F.greatest("start_side", "goal_side"))
     )
     return (
-        ends.join(part_of("start"), "graph_id")
-        .join(part_of("goal"), "graph_id")
-        .join(shape, "graph_id")
-        .join(facts, "pair_id")
+        shape.join(facts, "pair_id")
         .select(
             F.col("pair_id").alias("graph_id"),
             "solvable",
