@@ -9,7 +9,7 @@ from catalog.registry import query
 from gridtwin.operators import fields
 from gridtwin.operators.rooms import cells_level
 
-SIZE = 12
+SIZE = 16
 _fields: dict = {}
 
 
@@ -42,11 +42,11 @@ def attempt(n: int) -> str:
     return f"""rooms{n} AS MATERIALIZED ({left}),
   bars{n} AS MATERIALIZED (SELECT DISTINCT room_id, x, y FROM (SELECT room_id, bx + CASE WHEN flat THEN i ELSE 0 END AS x,
       by_ + CASE WHEN flat THEN 0 ELSE i END AS y FROM (SELECT *, unnest(range(len)) AS i FROM (SELECT room_id,
-        {di(2, 'bar * 4', '10', n)} + 1 AS bx, {di(2, 'bar * 4 + 1', '10', n)} + 1 AS by_, {d(2, 'bar * 4 + 2', n)} < 0.5 AS flat,
-        {di(2, 'bar * 4 + 3', '3', n)} + 2 AS len FROM (SELECT *, unnest(range(6)) AS bar FROM rooms{n})))) WHERE x < 11 AND y < 11),
-  cells{n} AS MATERIALIZED (SELECT c.room_id, c.seed, c.node, c.x, c.y, NOT (c.x = 0 OR c.y = 0 OR c.x = 11 OR c.y = 11) AND c.u >= c.density
-      AND b.room_id IS NULL AS open FROM (SELECT *, node % 12 AS x, node // 12 AS y, {d(0, '0', n)} * 0.12 + 0.18 AS density, {d(1, 'node', n)} AS u
-        FROM (SELECT *, unnest(range(144))::INTEGER AS node FROM rooms{n})) c
+        {di(2, 'bar * 4', '14', n)} + 1 AS bx, {di(2, 'bar * 4 + 1', '14', n)} + 1 AS by_, {d(2, 'bar * 4 + 2', n)} < 0.5 AS flat,
+        {di(2, 'bar * 4 + 3', '3', n)} + 2 AS len FROM (SELECT *, unnest(range(6)) AS bar FROM rooms{n})))) WHERE x < 15 AND y < 15),
+  cells{n} AS MATERIALIZED (SELECT c.room_id, c.seed, c.node, c.x, c.y, NOT (c.x = 0 OR c.y = 0 OR c.x = 15 OR c.y = 15) AND c.u >= c.density
+      AND b.room_id IS NULL AS open FROM (SELECT *, node % 16 AS x, node // 16 AS y, {d(0, '0', n)} * 0.12 + 0.18 AS density, {d(1, 'node', n)} AS u
+        FROM (SELECT *, unnest(range(256))::INTEGER AS node FROM rooms{n})) c
       LEFT JOIN bars{n} b ON b.room_id = c.room_id AND b.x = c.x AND b.y = c.y),
   starts{n} AS MATERIALIZED (SELECT room_id, arg_min(node, u) AS start FROM (SELECT *, {d(3, 'node', n)} AS u FROM cells{n} WHERE open) GROUP BY room_id),
   arcs{n} AS MATERIALIZED (SELECT a.room_id, a.node AS u, b.node AS v FROM cells{n} a JOIN cells{n} b ON a.room_id = b.room_id
@@ -69,7 +69,7 @@ IN_VAIN = " UNION ALL ".join(
     for n in range(ATTEMPTS)
 )
 WITH_FREE = f"""{WITH_FIELD},
-  free AS MATERIALIZED (SELECT c.room_id, c.seed, c.node, c.x, c.y, e.start % 12 AS sx, e.start // 12 AS sy, e.goal % 12 AS gx, e.goal // 12 AS gy
+  free AS MATERIALIZED (SELECT c.room_id, c.seed, c.node, c.x, c.y, e.start % 16 AS sx, e.start // 16 AS sy, e.goal % 16 AS gx, e.goal // 16 AS gy
     FROM cells c JOIN ends e ON e.room_id = c.room_id WHERE c.open AND c.node <> e.start AND c.node <> e.goal),
   around AS MATERIALIZED (SELECT f.*, (SELECT count(*) FROM free g WHERE g.room_id = f.room_id AND abs(g.x - f.x) + abs(g.y - f.y) = 1) AS around FROM free f)"""
 WITH_SOLUTION = f"""{WITH_FREE},
@@ -167,7 +167,7 @@ def hole_fillers(spark, sf_dir):
     rest AS MATERIALIZED (SELECT f.*, w.wall FROM free f JOIN walls w ON w.room_id = f.room_id WHERE f.node <> w.wall),
     tries AS (SELECT f.room_id, f.node, {d(6, 'node')} AS u, {d(7, 'node * 4 + way')} AS v, f.x + dx AS px, f.y + dy AS py, f.x - dx AS qx, f.y - dy AS qy
       FROM rest f, (VALUES (0, 1, 0), (1, -1, 0), (2, 0, 1), (3, 0, -1)) AS dirs(way, dx, dy)
-      WHERE {FAR_S(1)} AND {FAR_G(1)} AND abs(x - wall % 12) + abs(y - wall // 12) > 1),
+      WHERE {FAR_S(1)} AND {FAR_G(1)} AND abs(x - wall % 16) + abs(y - wall // 16) > 1),
     lines AS (SELECT t.*, b.node AS button FROM tries t JOIN rest b ON b.room_id = t.room_id AND b.x = t.px AND b.y = t.py
       JOIN rest q ON q.room_id = t.room_id AND q.x = t.qx AND q.y = t.qy QUALIFY row_number() OVER (PARTITION BY t.room_id ORDER BY u, t.node, v) = 1)
     SELECT w.room_id, w.wall, l.node AS box, l.button FROM walls w LEFT JOIN lines l ON l.room_id = w.room_id""",

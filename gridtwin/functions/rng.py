@@ -42,6 +42,27 @@ def draw(seed: Column | int, k: Column | int = 0) -> Column:
     return mixed.bitwiseXOR(F.shiftright(mixed, 14)) / F.lit(float(TWO32))
 
 
+def draw_inside(seed: Column, k: Column) -> Column:
+    """:func:`draw` for use inside functions of arrays, where Spark does not share common subexpressions."""
+
+    def let(value: Column, body) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def scrambled(state: Column) -> Column:
+        return _times(state.bitwiseXOR(F.shiftright(state, 15)), state.bitwiseOR(F.lit(1)))
+
+    def finished(mixed: Column) -> Column:
+        again = _times(mixed.bitwiseXOR(F.shiftright(mixed, 7)), mixed.bitwiseOR(F.lit(61)))
+        return let(
+            mixed.bitwiseXOR((mixed + again).bitwiseAND(F.lit(MASK))),
+            lambda m: m.bitwiseXOR(F.shiftright(m, 14)) / F.lit(float(TWO32)),
+        )
+
+    counter = (_long(k).bitwiseAND(F.lit(MASK)) + 1) * F.lit(STEP)
+    state = (_long(seed).bitwiseAND(F.lit(MASK)) + counter.bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK))
+    return let(state, lambda s: let(scrambled(s), finished))
+
+
 def draw_int(seed: Column | int, k: Column | int, n: Column | int) -> Column:
     """The k-th draw of ``seed`` as an integer in [0, n)."""
     return F.floor(draw(seed, k) * n).cast("int")

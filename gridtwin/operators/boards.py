@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridtwin.operators.grids import cell_x, cell_y
+from gridtwin.session import spread
 
 WORD = 50
 FULL = (1 << WORD) - 1
@@ -303,7 +304,7 @@ def boards_of_edges(grids: DataFrame, edges: DataFrame, *carry: str) -> DataFram
         held = F.map_from_entries(F.transform("_words", lambda w: F.struct(w["_word"], w[side])))
         return let(held, lambda m: F.transform(every, lambda w: F.coalesce(F.try_element_at(m, w), _long(0))))
 
-    return (
+    return spread(
         grids.select("graph_id", "width", "height", *carry)
         .join(listed, "graph_id", "left")
         .withColumn("_words", F.coalesce("_words", F.array().cast("array<struct<_word: int, r: bigint, d: bigint>>")))
@@ -311,7 +312,7 @@ def boards_of_edges(grids: DataFrame, edges: DataFrame, *carry: str) -> DataFram
     )
 
 
-def boards_of_open(open_: Column, width: Column) -> tuple[Column, Column]:
+def boards_of_open(open_: Column) -> tuple[Column, Column]:
     """``right`` and ``down`` boards between neighbouring open cells (rows of one word)."""
     right = F.transform(open_, lambda w: w.bitwiseAND(F.shiftright(w, 1)))
     down = F.transform(open_, lambda w, i: w.bitwiseAND(F.coalesce(F.get(open_, i + 1), _long(0))))

@@ -1,20 +1,18 @@
 """Seeded open-field rooms and the mechanics placed in them.
 
-Rooms are ``room_id, seed``; a field is its cells ``room_id, node, x, y`` with
-``open``. Everything is keyed by room and by cell, all rooms together.
+Rooms are ``room_id, seed``. A field is drawn inside its room's row as a bit
+board; its cells are then a table ``room_id, node, x, y`` with ``open``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridtwin.functions.rng import draw, draw_int
-from gridtwin.operators import connectivity
-from gridtwin.session import cut, cut_counting
+from gridtwin.functions.rng import draw, draw_inside, draw_int
+from gridtwin.operators.boards import WORD, boards_of_open, cells_of, count_cells, farthest_cell, flood, holds, let, path_to
+from gridtwin.session import cut, spread
 
 # Wall density, wall bars, smallest usable field, ice share.
 DENSITY, DENSITY_SPREAD = 0.18, 0.12
@@ -28,126 +26,121 @@ SHAPE, OPEN, BAR, START, ICE, PLACE, SPOT, TURN = (block << 20 for block in rang
 # Each further attempt at a field moves its draws on by eight blocks.
 ATTEMPT_BITS = 23
 MOST_ATTEMPTS = 256
-RETRIES_AT_ONCE = 8
-
 
-def _drawn_from(first: int) -> Column:
-    return F.lit(first) + F.col("attempt") * F.lit(1 << ATTEMPT_BITS).cast("bigint")
 
+def _drawn_from(first: int, attempt: Column) -> Column:
+    return F.lit(first) + attempt.cast("bigint") * F.lit(1 << ATTEMPT_BITS).cast("bigint")
 
-def field_cells(rooms: DataFrame, size: int) -> DataFrame:
-    """Every cell with ``open``: border and seeded walls are closed, and seeded bars of 2 to 4 cells.
 
-    Rooms are ``room_id, seed, attempt``; each attempt is a field of its own.
-    """
-    keys = ["room_id", "attempt"]
-    node = F.col("node")
-    x, y = node % size, F.floor(node / size).cast("int")
-    cells = rooms.withColumn("_density", DENSITY + draw(F.col("seed"), _drawn_from(SHAPE)) * DENSITY_SPREAD).select(
-        *keys, "seed", "_density", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("node")
+def field_board(seed: Column, attempt: Column, size: int) -> Column:
+    """The open cells of one attempt as a bit board: border and seeded walls are closed, and seeded bars of 2 to 4 cells."""
+    one = F.lit(1).cast("bigint")
+    shift = lambda bits, by: F.call_function("shiftleft", bits, by.cast("int"))
+    number = lambda bar: bar * 4 + _drawn_from(BAR, attempt)
+    bars = F.transform(
+        F.sequence(F.lit(0), F.lit(BARS - 1)),
+        lambda bar: F.struct(
+            (F.floor(draw_inside(seed, number(bar)) * (size - 2)).cast("int") + 1).alias("x"),
+            (F.floor(draw_inside(seed, number(bar) + 1) * (size - 2)).cast("int") + 1).alias("y"),
+            (draw_inside(seed, number(bar) + 2) < 0.5).alias("flat"),
+            (F.floor(draw_inside(seed, number(bar) + 3) * BAR_LENGTHS).cast("int") + BAR_SHORTEST).alias("length"),
+        ),
     )
-    border = (x == 0) | (y == 0) | (x == size - 1) | (y == size - 1)
-    cells = cells.withColumn("x", x).withColumn("y", y).withColumn("_u", draw(F.col("seed"), _drawn_from(OPEN) + node))
-    number = F.col("bar") * 4 + _drawn_from(BAR)
-    bars = rooms.select(*keys, "seed", F.explode(F.sequence(F.lit(0), F.lit(BARS - 1))).alias("bar"))
-    bars = bars.select(
-        *keys,
-        (draw_int(F.col("seed"), number, size - 2) + 1).alias("bx"),
-        (draw_int(F.col("seed"), number + 1, size - 2) + 1).alias("by"),
-        (draw(F.col("seed"), number + 2) < 0.5).alias("flat"),
-        (draw_int(F.col("seed"), number + 3, BAR_LENGTHS) + BAR_SHORTEST).alias("length"),
-    )
-    # a bar ends at the border; bounding the steps keeps the draws out of a filter
-    steps = F.least(F.col("length") - 1, size - 2 - F.when(F.col("flat"), F.col("bx")).otherwise(F.col("by")))
-    barred = (
-        bars.select(*keys, "bx", "by", "flat", F.explode(F.sequence(F.lit(0), steps)).alias("i"))
-        .select(
-            *keys,
-            (F.col("bx") + F.when(F.col("flat"), F.col("i")).otherwise(0)).alias("x"),
-            (F.col("by") + F.when(F.col("flat"), F.lit(0)).otherwise(F.col("i"))).alias("y"),
+    density = DENSITY + draw_inside(seed, _drawn_from(SHAPE, attempt)) * DENSITY_SPREAD
+    inside = ((1 << (size - 2)) - 1) << 1
+
+    def row(y: Column, share: Column, placed: Column) -> Column:
+        def cell(bits: Column, x: Column) -> Column:
+            # the draw is compared here and nowhere else, so each cell draws once
+            return bits.bitwiseOR(F.when(draw_inside(seed, _drawn_from(OPEN, attempt) + y * size + x) >= share, shift(one, x)).otherwise(0))
+
+        def barred(bits: Column, bar: Column) -> Column:
+            flat = F.when(bar["y"] == y, shift(shift(one, bar["length"]) - 1, bar["x"])).otherwise(0)
+            upright = F.when(y.between(bar["y"], bar["y"] + bar["length"] - 1), shift(one, bar["x"])).otherwise(0)
+            return bits.bitwiseOR(F.when(bar["flat"], flat).otherwise(upright))
+
+        zero = F.lit(0).cast("bigint")
+        drawn = F.aggregate(F.sequence(F.lit(1), F.lit(size - 2)), zero, cell)
+        closed = F.aggregate(placed, zero, barred)
+        return drawn.bitwiseAND(F.bitwise_not(closed)).bitwiseAND(F.lit(inside).cast("bigint"))
+
+    def rows(share: Column, placed: Column) -> Column:
+        border = lambda y: (y == 0) | (y == size - 1)
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(size - 1)),
+            lambda y: F.when(border(y), F.lit(0).cast("bigint")).otherwise(row(y, share, placed)),
         )
-        .distinct()
-        .withColumn("_bar", F.lit(True))
-    )
-    return cells.join(barred, [*keys, "x", "y"], "left").select(
-        *keys,
-        "node",
-        "x",
-        "y",
-        (~border & (F.col("_u") >= F.col("_density")) & F.col("_bar").isNull()).alias("open"),
-    )
 
+    return let(density, lambda share: let(bars, lambda placed: rows(share, placed)))
 
-def open_edges(cells: DataFrame, size: int, *keys: str) -> DataFrame:
-    """Edges between neighbouring open cells, as a graph per room, or per value of ``keys``."""
-    graph = F.struct(*keys) if keys else F.col("room_id")
-    open_cells = cells.where("open").select(graph.alias("graph_id"), "node")
-    onward = F.explode(F.array(F.col("node") + 1, F.col("node") + size))
-    steps = open_cells.select("graph_id", F.col("node").alias("a"), onward.alias("b"))
-    return steps.join(open_cells.withColumnRenamed("node", "b"), ["graph_id", "b"]).select("graph_id", "a", "b")
 
+def _drawn_field(seed: Column, size: int) -> Column:
+    """``attempt, open, start, flood`` of the first attempt whose start reaches enough cells; a null attempt if none does."""
+    width = F.lit(size)
+    zero = "struct<attempt: int, open: array<bigint>, start: int, flood: struct<reached: array<bigint>, planes: array<array<bigint>>>>"
 
-def _accepted_attempts(cells: DataFrame, starts: DataFrame, size: int) -> DataFrame:
-    """``room_id, attempt`` of each room's first field whose start reaches enough cells."""
-    graph = F.struct("room_id", "attempt").alias("graph_id")
-    edges = open_edges(cells, size, "room_id", "attempt")
-    labels = cut(connectivity.components(edges, cells.where("open").select(graph, "node")), "labels")
-    large = connectivity.component_sizes(labels).where(F.col("size") >= SMALLEST_FIELD)
-    at_start = labels.join(starts.select(graph, F.col("start").alias("node")), ["graph_id", "node"])
-    found = at_start.join(large, ["graph_id", "component"], "left_semi")
-    return found.groupBy("graph_id.room_id").agg(F.min("graph_id.attempt").alias("attempt"))
+    def first_cell(open_: Column, attempt: Column) -> Column:
+        place = F.transform(
+            cells_of(open_, width), lambda n: F.struct(draw_inside(seed, _drawn_from(START, attempt) + n).alias("u"), n.alias("n"))
+        )
+        return F.array_min(place)["n"]
+
+    def tried(state: Column, attempt: Column) -> Column:
+        def flooded(open_: Column, start: Column) -> Column:
+            right, down = boards_of_open(open_)
+
+            def judged(found: Column) -> Column:
+                enough = F.coalesce(count_cells(found["reached"]) >= SMALLEST_FIELD, F.lit(False))
+                good = F.struct(attempt.alias("attempt"), open_.alias("open"), start.alias("start"), found.alias("flood"))
+                return F.when(enough, good).otherwise(state)
+
+            # bound to names, or every word of every step would make them anew
+            found = let(right, lambda r: let(down, lambda d: flood(start, r, d, width, width, F.lit(1))))
+            return let(found, judged)
+
+        field = let(field_board(seed, attempt, size), lambda o: let(first_cell(o, attempt), lambda s: flooded(o, s)))
+        return F.when(state["attempt"].isNotNull(), state).otherwise(field)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(MOST_ATTEMPTS - 1)), F.from_json(F.lit("{}"), zero), tried)
 
 
 def obstacle_fields(rooms: DataFrame, size: int = 16) -> dict[str, DataFrame]:
     """Seeded fields with a start and the farthest reachable cell as goal.
 
     A field whose start reaches fewer than 20 cells is drawn again, until
-    every room has one; only rooms still without one go on. Tables: ``rooms``
-    (room_id, seed), ``cells`` (all cells of each room's field), ``ends`` (room_id,
-    start, goal), ``solution`` (room_id, k, node) and ``rejected`` (room_id,
-    attempt, reason: fields drawn in vain, and rooms without id or seed).
+    the room has one; all of it happens inside the room's row, on bit boards,
+    without a shuffle. Tables: ``rooms`` (room_id, seed), ``cells`` (all cells of
+    each room's field), ``ends`` (room_id, start, goal), ``solution`` (room_id, k,
+    node) and ``rejected`` (room_id, attempt, reason: fields drawn in vain, and
+    rooms without id or seed). ``size`` is at most 50.
     """
     if (size - 2) ** 2 < SMALLEST_FIELD:
         raise ValueError(f"a field of side {size} has fewer than {SMALLEST_FIELD} cells")
-    rooms = cut(rooms.select("room_id", "seed"), "rooms")
+    if size > WORD:
+        raise ValueError(f"a field has at most {WORD} cells a side, not {size}")
+    width = F.lit(size)
     usable = F.col("room_id").isNotNull() & F.col("seed").isNotNull()
-    rejected = [rooms.where(~usable).select("room_id", F.lit(None).cast("int").alias("attempt"), F.lit("no id or seed").alias("reason"))]
-    fields, begun = [], []
-    left, attempt, at_once = rooms.where(usable), 0, 1
-    while True:
-        drawn = left.withColumn("attempt", F.explode(F.sequence(F.lit(attempt), F.lit(attempt + at_once - 1))))
-        cells = cut(field_cells(drawn, size), "field")
-        first = F.min(F.struct(draw(F.col("seed"), _drawn_from(START) + F.col("node")).alias("u"), "node"))
-        starts = cells.where("open").join(left, "room_id").groupBy("room_id", "attempt").agg(first["node"].alias("start"))
-        starts = cut(starts, "starts")
-        good = cut(_accepted_attempts(cells, starts, size), "good")
-        fields.append(cells.join(good, ["room_id", "attempt"], "left_semi").drop("attempt"))
-        begun.append(starts.join(good, ["room_id", "attempt"], "left_semi").drop("attempt"))
-        vain = drawn.join(good.withColumnRenamed("attempt", "_good"), "room_id", "left")
-        vain = vain.where(F.col("_good").isNull() | (F.col("attempt") < F.col("_good")))
-        rejected.append(vain.select("room_id", "attempt", F.lit("too few reachable cells").alias("reason")))
-        left, count = cut_counting(left.join(good, "room_id", "left_anti"), label="left")
-        if not count:
-            break
-        attempt, at_once = attempt + at_once, RETRIES_AT_ONCE
-        if attempt >= MOST_ATTEMPTS:
-            raise RuntimeError(f"{count} rooms without a field after {attempt} attempts")
-    cells = cut(reduce(DataFrame.unionAll, fields), "field")
-    starts = cut(reduce(DataFrame.unionAll, begun), "starts")
-    edges = cut(open_edges(cells, size), "edges")
-    dist = connectivity.distances(edges, starts.select(F.col("room_id").alias("graph_id"), F.col("start").alias("node")))
-    goals = connectivity.farthest(dist)
-    ends = cut(
-        starts.join(goals.select(F.col("graph_id").alias("room_id"), F.col("node").alias("goal")), "room_id"), "ends"
-    )
-    targets = ends.select(F.col("room_id").alias("graph_id"), F.col("goal").alias("node"))
-    solution = connectivity.shortest_paths(edges, dist, targets).withColumnRenamed("graph_id", "room_id")
+    drawn = spread(rooms.select("room_id", "seed")).select("room_id", "seed", F.when(usable, _drawn_field(F.col("seed"), size)).alias("field"))
+    drawn = drawn.withColumn("goal", F.when(usable, farthest_cell(F.col("field.flood"), width)))
+    made = cut(drawn, "fields")
+    lost = made.where(usable & F.col("field.attempt").isNull()).limit(1).count()
+    if lost:
+        raise RuntimeError(f"a room without a field after {MOST_ATTEMPTS} attempts")
+    good = made.where(usable)
+    node = F.col("node")
+    every = good.select("room_id", "field.open", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("node"))
+    x, y = node % size, F.floor(node / size).cast("int")
+    right, down = boards_of_open(F.col("field.open"))
+    path = let(right, lambda r: let(down, lambda d: path_to(F.col("field.flood"), F.col("goal"), r, d, width)))
+    steps = good.select("room_id", F.posexplode_outer(path).alias("k", "node"))
+    vain = good.where("field.attempt > 0").select("room_id", F.explode(F.sequence(F.lit(0), F.col("field.attempt") - 1)).alias("attempt"))
+    nameless = made.where(~usable).select("room_id", F.lit(None).cast("int").alias("attempt"), F.lit("no id or seed").alias("reason"))
     return {
-        "rooms": rooms,
-        "cells": cells,
-        "ends": ends,
-        "solution": solution,
-        "rejected": reduce(DataFrame.unionAll, rejected),
+        "rooms": made.select("room_id", "seed"),
+        "cells": every.select("room_id", "node", x.alias("x"), y.alias("y"), holds(F.col("open"), node, width).alias("open")),
+        "ends": good.select("room_id", "field.start", "goal"),
+        "solution": steps,
+        "rejected": vain.withColumn("reason", F.lit("too few reachable cells")).unionAll(nameless),
     }
 
 

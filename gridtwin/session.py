@@ -66,6 +66,11 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal few small rows that cost much each to all cores, four tasks a core; one file of them would be one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def cut_counting(df: DataFrame, condition: Column | None = None, label: str = "cut") -> tuple[DataFrame, int]:
     """Like :func:`cut`, and count rows (those meeting ``condition``) in the same pass."""
     counted = F.count("*") if condition is None else F.count_if(condition)
