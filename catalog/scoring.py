@@ -134,7 +134,7 @@ RIGHT = f"SELECT * FROM ({RESULTS}) WHERE (answer = 'yes' AND solvable) OR (answ
 def median_response_time(spark, sf_dir):
     """Many distinct values: bracketed before it is sorted."""
     results = inputs.trial_results(spark, sf_dir).withColumnRenamed("latency", "rt")
-    return scoring.median_response(results, (), narrowing=2)
+    return scoring.median_response(results)
 
 
 @query(
@@ -145,7 +145,7 @@ def median_response_time(spark, sf_dir):
 )
 def median_response_time_by_user(spark, sf_dir):
     results = inputs.trial_results(spark, sf_dir).withColumnRenamed("latency", "rt")
-    return scoring.median_response(results, ["user_id"], narrowing=1)
+    return scoring.median_response(results, ["user_id"])
 
 
 SLIM = "solvable, answer, input_tokens, output_tokens"

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridtwin.functions.rng import draw, fnv1a32
-from gridtwin.session import cut
+from gridtwin.session import cut, cut_counting
 
 BUCKETS = 1 << 14
+AT_ONCE = 4096
+STEPS = 1024
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -109,34 +111,53 @@ def number_rank(
     return running_total(df, groups, chunk, [key], F.lit(1), name, total)
 
 
-def upper_median(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    name: str,
-    narrowing: int = 0,
-) -> DataFrame:
+def upper_median(df: DataFrame, groups: Sequence[str], value: str, name: str, at_once: int = AT_ONCE) -> DataFrame:
     """Exact upper median ``sorted[n div 2]`` of ``value`` per group, nulls ignored.
 
-    Equal values are counted before anything is sorted, which is enough when a
-    group has few distinct values. Otherwise each ``narrowing`` pass keeps
-    about one row in a hundred: a mergeable sketch brackets the median, rows
-    below the bracket are only counted, rows above are dropped. Where a
-    bracket turns out to miss the median it is ignored, so the result is exact.
+    Equal values are counted first. A group with more than ``at_once``
+    different values is then narrowed, all such groups together: its values
+    are counted in buckets (first by power of two, then in equal steps between
+    the smallest and largest value left) and only the bucket of the median goes
+    on. So at most ``at_once`` values, or one pass's buckets, of a group are ever sorted together.
     """
     groups = list(groups)
     rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
-    targets = rows.groupBy(*groups).agg(F.floor(F.count("*") / 2).alias("_k"))
-    for _ in range(narrowing):
-        rows, targets = _narrow(rows, targets, groups)
-    histogram = rows.groupBy(*groups, "_v").agg(F.count("*").alias("_n"))
+    histogram = cut(rows.groupBy(*groups, "_v").agg(F.count("*").alias("_n")), "histogram")
     group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    upto = F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        _with_group_row(histogram.withColumn("_upto", upto), targets, groups)
-        .where((F.col("_upto") > F.col("_k")) & (F.col("_upto") - F.col("_n") <= F.col("_k")))
-        .select(*groups, F.col("_v").alias(name))
+    left = histogram.groupBy(*groups).agg(
+        F.floor(F.sum("_n") / 2).alias("_k"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_m")
     )
+    left, wide = cut_counting(left, F.col("_m") > at_once, "median")
+    bucket = _binade(F.col("_v"))
+    while wide:
+        inside = _with_group_row(histogram, left.where(F.col("_m") > at_once), groups)
+        inside = inside.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        counted = inside.groupBy(*groups, "_k", bucket.alias("_bucket")).agg(
+            F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_m")
+        )
+        upto = F.sum("_n").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+        narrowed = _holding(counted.withColumn("_upto", upto))
+        narrowed = narrowed.select(*groups, (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_k"), "_lo", "_hi", "_m")
+        left, wide = cut_counting(left.where(F.col("_m") <= at_once).unionByName(narrowed), F.col("_m") > at_once, "median")
+        bucket = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * STEPS)
+    upto = F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    rest = _with_group_row(histogram, left, groups).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    return _holding(rest.withColumn("_upto", upto)).select(*groups, F.col("_v").alias(name))
+
+
+def _binade(value: Column) -> Column:
+    """A number that never decreases along ``value``: its sign and power of two; infinities and NaN lie outside."""
+    number = value.cast("double")
+    size = F.abs(number)
+    power = F.floor(F.log2(size)) + 1100
+    most = 9999
+    power = F.when(size == 0, 0).when(F.isnan(number), most + 1).when(size == float("inf"), most).otherwise(power)
+    return F.when(number < 0, -power).otherwise(power)
+
+
+def _holding(counted: DataFrame) -> DataFrame:
+    """Of consecutive rows with ``_n`` each and ``_upto`` so far, those that hold position ``_k``."""
+    return counted.where((F.col("_upto") > F.col("_k")) & (F.col("_upto") - F.col("_n") <= F.col("_k")))
 
 
 def _with_group_row(rows: DataFrame, per_group: DataFrame, groups: list[str]) -> DataFrame:
@@ -144,39 +165,3 @@ def _with_group_row(rows: DataFrame, per_group: DataFrame, groups: list[str]) ->
     if groups:
         return join_groups(rows, per_group, groups)
     return rows.join(F.broadcast(per_group), F.lit(True))
-
-
-def _narrow(rows: DataFrame, targets: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Keep the rows near position ``_k`` of each group and the position among them."""
-    steps = 400
-    grid = F.array(*[F.lit(step / steps) for step in range(steps + 1)])
-    sketch = rows.groupBy(*groups).agg(
-        F.percentile_approx("_v", grid, F.lit(4 * steps)).alias("_q"), F.count("*").alias("_m")
-    )
-    at = F.floor(F.col("_k") / F.col("_m") * steps).cast("int")
-    bracket = cut(
-        _with_group_row(sketch, targets, groups).select(
-            *groups,
-            "_k",
-            F.element_at("_q", F.greatest(at - 1, F.lit(0)) + 1).alias("_lo"),
-            F.element_at("_q", F.least(at + 3, F.lit(steps)) + 1).alias("_hi"),
-        ),
-        "bracket",
-    )
-    checked = cut(
-        _with_group_row(rows, bracket, groups)
-        .groupBy(*groups, "_k", "_lo", "_hi")
-        .agg(
-            F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
-            F.count_if(F.col("_v") <= F.col("_hi")).alias("_upto"),
-        )
-        .withColumn("_inside", (F.col("_below") <= F.col("_k")) & (F.col("_k") < F.col("_upto"))),
-        "bracket",
-    )
-    kept = (
-        _with_group_row(rows, checked.select(*groups, "_lo", "_hi", "_inside"), groups)
-        .where(~F.col("_inside") | F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .select(*groups, "_v")
-    )
-    position = F.when(F.col("_inside"), F.col("_k") - F.col("_below")).otherwise(F.col("_k"))
-    return kept, checked.select(*groups, position.alias("_k"))

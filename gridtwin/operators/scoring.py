@@ -102,27 +102,27 @@ def by_tag(results: DataFrame) -> DataFrame:
     return summarize(explode_tags(results), ["tag"])
 
 
-def with_path_class(results: DataFrame, groups: Sequence[str] = (), narrowing: int = 0) -> DataFrame:
+def with_path_class(results: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Split at the upper median path length: up to it short, above it long, null without a length; every row stays."""
-    median = upper_median(results, groups, "tree_path_length", "median_path", narrowing)
+    median = upper_median(results, groups, "tree_path_length", "median_path")
     # without groups the right side is one row, or none where no row has a length
     joined = join_groups(results, median, groups, "left") if groups else results.join(F.broadcast(median), F.lit(True), "left")
     longer = F.col("tree_path_length") > F.col("median_path")
     return joined.withColumn("path_class", F.when(longer, F.lit("long paths")).when(~longer, F.lit("short paths")))
 
 
-def by_path_length(results: DataFrame, groups: Sequence[str] = (), narrowing: int = 0) -> DataFrame:
-    split = with_path_class(results, groups, narrowing).where(F.col("path_class").isNotNull())
+def by_path_length(results: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    split = with_path_class(results, groups).where(F.col("path_class").isNotNull())
     return summarize(split, [*groups, "path_class", "median_path"])
 
 
-def median_response(results: DataFrame, groups: Sequence[str] = (), narrowing: int = 0) -> DataFrame:
+def median_response(results: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Upper median response time of correct answers."""
     right = results.where(is_correct(F.col("answer"), F.col("solvable")))
-    return upper_median(right, groups, "rt", "median_rt", narrowing)
+    return upper_median(right, groups, "rt", "median_rt")
 
 
-def slice_report(results: DataFrame, narrowing: int = 0) -> DataFrame:
+def slice_report(results: DataFrame) -> DataFrame:
     """Overall, pocket band, edit type, tag and path-length summaries in one table."""
     tags = F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))
 
@@ -140,7 +140,7 @@ def slice_report(results: DataFrame, narrowing: int = 0) -> DataFrame:
         F.transform(tags, lambda tag: labelled("tag", tag)),
     )
     rows = (
-        with_path_class(_with_tokens(results), (), narrowing)
+        with_path_class(_with_tokens(results))
         .withColumn("_slice", F.explode(placed))
         .select("_slice.*", "solvable", "answer", "input_tokens", "output_tokens")
     )

@@ -16,6 +16,6 @@ def judge_replies(items: DataFrame, replies: DataFrame) -> DataFrame:
     return judged.withColumn("correct", is_correct(F.col("answer"), F.col("solvable")))
 
 
-def report(results: DataFrame, narrowing: int = 0) -> DataFrame:
+def report(results: DataFrame) -> DataFrame:
     """All slices of the results in one table."""
-    return scoring.slice_report(results, narrowing)
+    return scoring.slice_report(results)

@@ -46,11 +46,24 @@ def test_upper_median_is_exact(spark):
                 plain.setdefault((name, r["g"]), []).append(r[name])
                 plain.setdefault((name, "all"), []).append(r[name])
     middle = {k: sorted(v)[len(v) // 2] for k, v in plain.items()}
-    for narrowing in (0, 1, 2):
+    for at_once in (4096, 40, 1):
         for name in ("v", "x"):
-            got = {r["g"]: r["m"] for r in ranking.upper_median(rows, ["g"], name, "m", narrowing).collect()}
+            got = {r["g"]: r["m"] for r in ranking.upper_median(rows, ["g"], name, "m", at_once).collect()}
             assert got == {g: m for (n, g), m in middle.items() if n == name and g != "all"}
-            assert ranking.upper_median(rows, [], name, "m", narrowing).first()[0] == middle[(name, "all")]
+            assert ranking.upper_median(rows, [], name, "m", at_once).first()[0] == middle[(name, "all")]
+
+
+def test_upper_median_of_odd_numbers(spark):
+    """Infinities, NaN (last), subnormal, huge and equal values, and longs that doubles cannot tell apart."""
+    values = [float("inf"), float("-inf"), 0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, 1.5, 1.5, 1.5, 2.0, 3.0, -7.25, 1e-300]
+    for n in (3, 8, 14, 15):
+        rows = spark.createDataFrame([(0, v) for v in values[:n]] + [(1, None)], "g int, v double")
+        got = ranking.upper_median(rows, ["g"], "v", "m", 2).collect()
+        assert [(r.g, r.m) for r in got] == [(0, sorted(values[:n])[n // 2])]
+    rows = spark.createDataFrame([(float("nan"),), (float("nan"),), (1.0,)], "v double")
+    assert str(ranking.upper_median(rows, [], "v", "m", 1).first().m) == "nan"
+    longs = [(1 << 62) + k for k in (5, 3, 1, 4, 2)]
+    assert ranking.upper_median(spark.createDataFrame([(v,) for v in longs], "v long"), [], "v", "m", 1).first().m == (1 << 62) + 3
 
 
 def test_split_plan_sizes_and_labels(spark):
