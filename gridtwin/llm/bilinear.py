@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtwin.llm.arrays import LOWER, mix, run_hashes, text_blocks, words
-from gridtwin.llm.frames import small_batches
 from gridtwin.session import cut
 
 CHUNK_WORDS = 1 << 20
@@ -100,7 +99,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         if names:
             yield close()
 
-    return small_batches(docs.select("doc_id", "text", "held_out")).mapInArrow(
+    return docs.select("doc_id", "text", "held_out").mapInArrow(
         run, "chunk bigint, entries bigint, head binary, words binary, counts binary, tokens binary"
     )
 

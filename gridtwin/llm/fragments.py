@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 
-from gridtwin.llm.arrays import SPACE, ragged, run_hashes
+from gridtwin.llm.arrays import SPACE, distinct_runs, ragged, run_hashes, same_runs
 
 CACHE_FRAGMENTS = 1_500_000  # about 70 MB a worker; beyond it the cache starts anew
 
@@ -104,7 +104,11 @@ class FragmentEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # sorted fragment hashes
+        self.known = np.zeros(0, np.uint64)  # sorted hashes of known fragments
+        self.entry = np.zeros(0, np.int64)  # which entry each one is
+        self.text = np.zeros(0, np.uint8)  # the bytes of all entries
+        self.text_begin = np.zeros(0, np.int64)
+        self.text_length = np.zeros(0, np.int64)
         self.where = np.zeros(0, np.int64)
         self.counts = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
@@ -137,32 +141,51 @@ class FragmentEncoder:
         if self.drops_space:
             kept = ~(SPACE[data[begin]] & (length == 1))
             begin, length = begin[kept], length[kept]
-        hashes = run_hashes(data, begin, length)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        slots = self._slots(distinct, data, begin[first], length[first])[inverse]
+        first, inverse = distinct_runs(data, begin, length)
+        slots = self._slots(data, begin[first], length[first])[inverse]
         counts = self.counts[slots]
         ids = self.pool[ragged(self.where[slots], counts)]
         before = np.concatenate([[0], np.cumsum(counts)])
         return ids, before[np.searchsorted(begin, offsets)]
 
-    def _slots(self, distinct: np.ndarray, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Places of the fragments among the known ones, after encoding those not yet known."""
-        missing = ~np.isin(distinct, self.known, assume_unique=True)
-        if len(self.known) + int(missing.sum()) > CACHE_FRAGMENTS and len(self.known):
+    def _slots(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Entries of different fragments, after encoding those not yet known.
+
+        A fragment is known if an entry with its hash has its bytes; one whose
+        hash belongs to other bytes becomes an entry that is not looked up again.
+        """
+        hashes = run_hashes(data, begin, length)
+        if len(self.counts) + len(hashes) > CACHE_FRAGMENTS and len(self.counts):
             self._forget()
-            missing[:] = True
-        if missing.any():
+        at = np.searchsorted(self.known, hashes)
+        taken = np.zeros(len(hashes), bool)
+        slots = np.full(len(hashes), -1, np.int64)
+        if len(self.known):
+            found = self.entry[np.minimum(at, len(self.entry) - 1)]
+            taken = self.known[np.minimum(at, len(self.known) - 1)] == hashes
+            held = np.flatnonzero(taken & (self.text_length[found] == length))
+            held = held[same_runs(data, begin[held], self.text, self.text_begin[found[held]], length[held])]
+            slots[held] = found[held]
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
             raw = data.tobytes()
             texts = [raw[b : b + n].decode("utf-8", "replace") for b, n in zip(begin[missing].tolist(), length[missing].tolist())]
             new = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             counts = np.fromiter(map(len, new), np.int64, len(new))
             flat = np.fromiter(chain.from_iterable(new), np.uint32, int(counts.sum()))
-            at = np.searchsorted(self.known, distinct[missing])
-            self.known = np.insert(self.known, at, distinct[missing])
-            self.where = np.insert(self.where, at, len(self.pool) + np.cumsum(counts) - counts)
-            self.counts = np.insert(self.counts, at, counts)
+            slots[missing] = len(self.counts) + np.arange(len(missing))
+            own = length[missing]
+            self.text_begin = np.concatenate([self.text_begin, len(self.text) + np.cumsum(own) - own])
+            self.text_length = np.concatenate([self.text_length, own])
+            self.text = np.concatenate([self.text, data[ragged(begin[missing], own)]])
+            self.where = np.concatenate([self.where, len(self.pool) + np.cumsum(counts) - counts])
+            self.counts = np.concatenate([self.counts, counts])
             self.pool = np.concatenate([self.pool, flat])
-        return np.searchsorted(self.known, distinct)
+            fresh = missing[~taken[missing]]
+            fresh = fresh[np.unique(hashes[fresh], return_index=True)[1]]  # one entry a hash, ascending
+            self.known = np.insert(self.known, at[fresh], hashes[fresh])
+            self.entry = np.insert(self.entry, at[fresh], slots[fresh])
+        return slots
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids stand for (byte-level tokenizers)."""

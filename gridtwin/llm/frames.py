@@ -8,25 +8,11 @@ from pyspark.sql.window import Window
 
 from gridtwin.session import cut
 
-ROWS_PER_BATCH = 1000
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Let Arrow batches hold few rows, so that long texts do not add up in a Python worker.
-
-    A session setting, because Spark reads it when the job starts.
-    """
-    spark = df.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ROWS_PER_BATCH:
-        spark.conf.set(key, str(ROWS_PER_BATCH))
-    return df
-
-
 def held_out(column: str, modulus: int, remainder: int):
     """Whether crc32 of the id as text leaves ``remainder``; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus == remainder, F.lit(False))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtwin.llm.arrays import LOWER, text_blocks
-from gridtwin.llm.frames import hash_sample, small_batches
+from gridtwin.llm.frames import hash_sample
 
 STEPS = 48
 HIDDEN = 8
@@ -204,6 +204,6 @@ def predict(docs: DataFrame, params: Params, languages: list[str]) -> DataFrame:
             )
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return small_batches(docs.select("doc_id", "text", lettered.alias("_lettered"))).mapInArrow(
+    return docs.select("doc_id", "text", lettered.alias("_lettered")).mapInArrow(
         run, "doc_id bigint, lang_pred string, score double"
     )

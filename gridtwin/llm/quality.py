@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtwin.llm.arrays import mix, run_hashes, text_blocks, words
-from gridtwin.llm.frames import hash_sample, small_batches
+from gridtwin.llm.frames import hash_sample
 
 SHAPES = 2048
 REPEATS = 64
@@ -89,7 +89,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
         seen[-1] = n
         yield pa.record_batch([pa.array(np.arange(TERMS + 1)), pa.array(seen)], names=["term", "n"])
 
-    totals = small_batches(docs.select("text")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    totals = docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     found = np.zeros(TERMS + 1)
     for r in totals.collect():  # one row per term
         found[r["term"]] = r["n"]
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
             )
 
     voters = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the sample
-    rows = small_batches(voters.select("doc_id", "text", "label")).mapInArrow(run, "doc_id bigint, label int, counts binary")
+    rows = voters.select("doc_id", "text", "label").mapInArrow(run, "doc_id bigint, label int, counts binary")
     rows = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     idf = inverse_frequencies(docs)
     label = np.array([r["label"] for r in rows], np.float32)
@@ -176,4 +176,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 names=["doc_id", "score", "predicted"],
             )
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, predicted int")

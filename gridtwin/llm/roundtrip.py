@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 
 from gridtwin.llm.arrays import text_blocks
 from gridtwin.llm.fragments import encoder
-from gridtwin.llm.frames import small_batches
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -23,7 +22,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.record_batch([rows.column(0), lists], names=["doc_id", "ids"])
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -36,7 +35,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [coder.decode(np.asarray(ids, np.int64)).decode("utf-8", "replace") for ids in lists]
             yield pa.record_batch([rows.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return small_batches(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -70,6 +69,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"],
             )
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(
+    return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean"
     )

@@ -18,13 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridtwin.llm.arrays import ragged
 from gridtwin.llm.vectors import as_bytes, common_width, length, matrix, unit
 from gridtwin.session import cut
 
 SHARD_ROWS = 16_384
 QUERY_BLOCK = 1_024
 LEAF = 64
-SPARE = 12
+SLACK = 1e-11  # rounding of products of unit length
+FAR = 1e-7  # and of distances, whose squares are rounded
 
 
 def build(ids: np.ndarray, x: np.ndarray, top: float, keep: int) -> dict:
@@ -35,7 +37,7 @@ def build(ids: np.ndarray, x: np.ndarray, top: float, keep: int) -> dict:
     by_class = np.argsort(inverse, kind="stable")
     size = np.bincount(inverse)
     begin = np.cumsum(size) - size
-    same = [ids[by_class[b : b + min(n, keep)]] for b, n in zip(begin, size)]
+    kept = np.minimum(size, keep)
     points = x[first]
     scaled = points / top
     lifted = np.column_stack([scaled, np.sqrt(np.maximum(1 - (scaled * scaled).sum(axis=1), 0.0))])
@@ -63,46 +65,66 @@ def build(ids: np.ndarray, x: np.ndarray, top: float, keep: int) -> dict:
         return number
 
     split(0, len(points))
-    return {"nodes": nodes, "points": points[place], "same": [same[i] for i in place], "top": top}
+    kept, begin = kept[place], begin[place]
+    same = ids[by_class[ragged(begin, kept)]]
+    return {"nodes": nodes, "points": points[place], "same": same, "kept": kept, "top": top}
 
 
 class Search:
-    """The best distinct vectors so far for a block of queries, carried from tree to tree."""
+    """The k best rows so far for a block of queries, carried from tree to tree.
 
-    def __init__(self, queries: np.ndarray, kept: int, factor: float):
-        self.q, self.kept, self.factor = queries, kept, factor
-        self.near = np.full((len(queries), kept), np.inf)
-        self.found = np.full((len(queries), kept), -1, np.int64)
-        self.trees: list[dict] = []
-        self.unit = unit(queries)
-
-    def distances(self, tree: dict, rows: np.ndarray, low: int, high: int) -> np.ndarray:
-        return np.sqrt(np.maximum(2 - 2 * (self.unit[rows] @ tree["scaled"][low:high].T), 0.0))
+    Rows are compared by their exact products (summed in order of the
+    components) and then by id. A rounded product, or a distance made of one, only decides
+    what is compared: whatever lies within the rounding of the k-th is.
+    """
 
-    def offer(self, rows: np.ndarray, away: np.ndarray, numbers: np.ndarray) -> None:
-        better = away.min(axis=1) < self.near[rows, -1]
-        rows, away = rows[better], away[better]
-        if not len(rows):
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
+        self.own, self.q, self.k, self.factor = ids, queries, k, factor
+        self.unit = unit(queries)
+        self.size = length(queries)
+        self.score = np.full((len(queries), k), -np.inf)
+        self.id = np.full((len(queries), k), -1, np.int64)
+        self.bar = np.full(len(queries), -np.inf)  # the k-th product, for unit lengths
+        self.near = np.full(len(queries), np.inf)  # and the distance it stands for
+
+    def offer(self, tree: dict, rows: np.ndarray, products: np.ndarray, low: int) -> None:
+        i, j = np.nonzero(products >= self.bar[rows, None] - SLACK)
+        if not len(i):
             return
-        both = np.concatenate([self.near[rows], away], axis=1)
-        names = np.concatenate([self.found[rows], np.broadcast_to(numbers, away.shape)], axis=1)
-        order = np.argsort(both, axis=1, kind="stable")[:, : self.kept]
-        self.near[rows] = np.take_along_axis(both, order, 1)
-        self.found[rows] = np.take_along_axis(names, order, 1)
+        rows, j = rows[i], low + j
+        exact = np.cumsum(self.q[rows] * tree["points"][j], axis=1)[:, -1]
+        kept = tree["kept"][j]
+        rows, exact = np.repeat(rows, kept), np.repeat(exact, kept)
+        ids = tree["same"][ragged(tree["first"][j], kept)]
+        other = ids != self.own[rows]
+        rows, exact, ids = rows[other], exact[other], ids[other]
+        touched, number = np.unique(rows, return_inverse=True)
+        number = np.concatenate([np.repeat(np.arange(len(touched)), self.k), number])
+        exact = np.concatenate([self.score[touched].ravel(), exact])
+        ids = np.concatenate([self.id[touched].ravel(), ids])
+        order = np.lexsort((ids, -exact, number))
+        place = np.searchsorted(number[order], np.arange(len(touched)))[:, None] + np.arange(self.k)
+        self.score[touched], self.id[touched] = exact[order][place], ids[order][place]
+        last = self.score[touched, -1]
+        full = np.isfinite(last)
+        touched = touched[full]
+        self.bar[touched] = last[full] / self.size[touched] / tree["top"]
+        self.near[touched] = np.sqrt(np.maximum(2 - 2 * self.bar[touched], 0.0))
 
     def tree(self, tree: dict) -> None:
-        base = len(self.trees) << 32
-        tree = {**tree, "scaled": tree["points"] / tree["top"]}
-        self.trees.append({"points": tree["points"], "same": tree["same"]})
+        tree = {**tree, "scaled": tree["points"] / tree["top"], "first": np.cumsum(tree["kept"]) - tree["kept"]}
         nodes = tree["nodes"]
         seen = np.zeros((len(self.q), len(nodes)), bool)
 
+        def products(rows: np.ndarray, low: int, high: int) -> np.ndarray:
+            return self.unit[rows] @ tree["scaled"][low:high].T
+
         def leaf(number: int, rows: np.ndarray) -> None:
             rows = rows[~seen[rows, number]]
             if len(rows):
                 seen[rows, number] = True
                 low, high = nodes[number][:2]
-                self.offer(rows, self.distances(tree, rows, low, high), base + np.arange(low, high))
+                self.offer(tree, rows, products(rows, low, high), low)
 
         def descend(number: int, rows: np.ndarray) -> None:
             """Only towards the nearer half: gives every query good first neighbours."""
@@ -110,7 +132,7 @@ class Search:
             if children is None:
                 leaf(number, rows)
             else:
-                away = self.distances(tree, rows, low, low + 1)[:, 0]
+                away = np.sqrt(np.maximum(2 - 2 * products(rows, low, low + 1)[:, 0], 0.0))
                 inside = away < (spans[1] + spans[2]) / 2
                 for child, own in zip(children, (rows[inside], rows[~inside])):
                     if len(own):
@@ -121,12 +143,12 @@ class Search:
             if children is None:
                 leaf(number, rows)
                 return
-            away = self.distances(tree, rows, low, low + 1)
-            self.offer(rows, away, base + np.array([low]))
-            away = away[:, 0]
+            found = products(rows, low, low + 1)
+            self.offer(tree, rows, found, low)
+            away = np.sqrt(np.maximum(2 - 2 * found[:, 0], 0.0))
             for child, least, most in ((children[0], *spans[:2]), (children[1], *spans[2:])):
                 bound = np.maximum(np.maximum(away - most, least - away), 0.0) * self.factor
-                own = rows[bound <= self.near[rows, -1] * (1 + 1e-9) + 1e-9]
+                own = rows[bound <= self.near[rows] + FAR]
                 if len(own):
                     visit(child, own)
 
@@ -134,15 +156,10 @@ class Search:
         descend(0, everyone)
         visit(0, everyone)
 
-    def results(self, row: int, own_id: int, k: int) -> list[tuple[int, float]]:
-        """The k best (vec_id, inner product), by the product summed in order of the components."""
-        out = []
-        for number in self.found[row][self.found[row] >= 0].tolist():
-            tree = self.trees[number >> 32]
-            at = number & 0xFFFFFFFF
-            score = float(np.cumsum(self.q[row] * tree["points"][at])[-1])
-            out.extend((-score, int(i)) for i in tree["same"][at][: k + 1] if i != own_id)
-        return [(i, -s) for s, i in sorted(out)[:k]]
+    def results(self, row: int) -> list[tuple[int, float]]:
+        """The k best (vec_id, inner product)."""
+        kept = self.id[row] >= 0
+        return list(zip(self.id[row][kept].tolist(), self.score[row][kept].tolist()))
 
 
 def nearest(
@@ -195,7 +212,7 @@ def nearest(
 
         def answers() -> pd.DataFrame:
             _, ids, search = state
-            out = [(q, r, v, s) for i, q in enumerate(ids.tolist()) for r, (v, s) in enumerate(search.results(i, q, k), 1)]
+            out = [(q, r, v, s) for i, q in enumerate(ids.tolist()) for r, (v, s) in enumerate(search.results(i), 1)]
             return pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
 
         for frame in batches:
@@ -204,7 +221,7 @@ def nearest(
                     if state is not None:
                         yield answers()
                     ids, q = pickle.loads(asked_)
-                    state = (block, ids, Search(q, k + 1 + SPARE, factor))
+                    state = (block, ids, Search(ids, q, k, factor))
                 state[2].tree(pickle.loads(tree))
         if state is not None:
             yield answers()

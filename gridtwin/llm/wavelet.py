@@ -26,7 +26,6 @@ from pyspark.sql.window import Window
 
 from gridtwin.llm.arrays import BLOCK_BYTES, text_blocks
 from gridtwin.llm.fragments import encoder
-from gridtwin.llm.frames import small_batches
 from gridtwin.session import cut
 
 MAGIC = b"WMX1"
@@ -212,7 +211,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, shard_ids: int = SHARD
         if names:
             yield close()
 
-    ordered = small_batches(docs.select("doc_id", "text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return cut(ordered.mapInArrow(run, SHARD_SCHEMA), "wavelet")
 
 

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from gridtwin.llm import packing, roundtrip, wavelet
+from gridtwin.llm import arrays, fragments, packing, roundtrip, superminhash, wavelet
 from gridtwin.session import cut
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,53 @@ def test_fragments_give_the_library_ids(spark, path):
     assert [got[i] for i in range(len(texts))] == library(path, texts)
 
 
+def regular(size, a="a", b="b"):
+    """A word of ``size`` letters in which each half is the other one with the letters exchanged, and its exchange."""
+    word = a
+    while len(word) < size:
+        word += word.translate(str.maketrans(a + b, b + a))
+    return [word, word.translate(str.maketrans(a + b, b + a))]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_long_regular_words(spark, path):
+    texts = [t for n in (64, 1024, 2048, 4096, 65536) for t in regular(n)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: r.ids for r in roundtrip.encode(docs, path).collect()}
+    assert [got[i] for i in range(len(texts))] == library(path, texts)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_fragments_of_one_hash_keep_their_ids(path, monkeypatch):
+    for module in (arrays, fragments):
+        monkeypatch.setattr(module, "run_hashes", lambda data, begin, length, seed=0: np.asarray(length, np.uint64) % np.uint64(3))
+    texts = ["one two three four five", "two one, three! for fife", "eins zwei drei", *regular(300)] * 3
+    coder = fragments.FragmentEncoder(path)
+    for some in (texts[:4], texts, texts[::-1]):
+        raw = [t.encode() for t in some]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        ids, before = coder.encode(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        assert [ids[a:b].tolist() for a, b in zip(before[:-1], before[1:])] == library(path, some)
+
+
+def test_blocks_bound_rows_whatever_the_session_says(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('word', id % 70) AS text").coalesce(1)
+    spark.conf.set(key, "0")
+    try:
+        rows = superminhash.near_duplicates(docs, 4).collect()
+        assert spark.conf.get(key) == "0"
+    finally:
+        spark.conf.set(key, before)
+    assert len(rows) == 5000 and all((r.n_shingles, r.component_id) == (1, r.doc_id % 70) for r in rows)
+
+
+def test_regular_words_are_different_shingles(spark):
+    docs = spark.createDataFrame(list(enumerate(regular(1024) + regular(4096))), "doc_id bigint, text string")
+    assert sorted(r.component_id for r in superminhash.near_duplicates(docs, 4).collect()) == [0, 1, 2, 3]
+
+
 def test_round_trip(spark, odd, small_docs, nothing):
     for docs in (odd, small_docs):
         rows = {r.doc_id: r for r in docs.collect()}

@@ -115,14 +115,28 @@ def test_pruning_skips_work():
     tree = vantage.build(np.arange(4000), x, 1.0 + 1e-12, 21)
     looked = []
     for factor in (1.0, 3.0):
-        search = vantage.Search(x[:50], 20, factor)
-        real, seen = search.distances, [0]
-        search.distances = lambda t, rows, low, high, real=real, seen=seen: (seen.__setitem__(0, seen[0] + len(rows) * (high - low)), real(t, rows, low, high))[1]
+        search = vantage.Search(np.arange(50), x[:50], 20, factor)
+        real, seen = search.offer, [0]
+        search.offer = lambda t, rows, found, low, real=real, seen=seen: (seen.__setitem__(0, seen[0] + found.size), real(t, rows, found, low))
         search.tree(tree)
         looked.append(seen[0] / (50 * 4000))
     assert looked[1] < looked[0] < 0.5
 
 
+def test_ties_go_to_the_smallest_ids(spark):
+    """500 different vectors in several shards have one product with the query; some more are copies."""
+    draw = np.random.default_rng(8)
+    rows = [(i, [1.0, *draw.normal(size=3)]) for i in range(500)]
+    rows += [(500, [1.0, 0.0, 0.0, 0.0]), (501, [2.0, 0.0, 0.0, 0.0]), (502, [2.0, 5.0, 0.0, 0.0]), *((i, [1.0, 7.0, 7.0, 7.0]) for i in range(503, 560))]
+    draw.shuffle(rows)
+    rows = [(int(i), [float(c) for c in v]) for i, v in rows]
+    vectors = frame(spark, rows)
+    for shard_rows in (5000, 60):
+        got = vantage.nearest(vectors, vectors.where("vec_id = 500"), 20, 1.0, shard_rows).collect()
+        assert sorted(map(tuple, got)) == brute_nearest(rows, [500], 20)
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [501, 502, *range(18)]
+
+
 def test_search_on_odd_rows(spark):
     odd = frame(spark, ODD)
     got = vantage.nearest(odd, odd, 3).collect()
