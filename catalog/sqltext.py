@@ -83,12 +83,23 @@ def probit(p: str) -> str:
     )
 
 
-def summary(source: str, by: str = "", keep: str | None = None) -> str:
-    """Summary of result rows (``solvable`` boolean, ``answer``, token columns) per group."""
-    keep = by if keep is None else keep
-    lead = f"{keep}, " if keep else ""
-    group = f"GROUP BY {by}" if by else ""
-    inner_lead = f"{by}, " if by else ""
+COUNTS = (
+    ("count(*)", "n"),
+    ("count(*) FILTER (answer IN ('yes', 'no'))", "answered"),
+    ("count(*) FILTER ((answer = 'yes' AND solvable) OR (answer = 'no' AND NOT solvable))", "correct"),
+    ("count(*) FILTER (answer IN ('yes', 'no') AND solvable)", "positives"),
+    ("count(*) FILTER (answer IN ('yes', 'no') AND NOT solvable)", "negatives"),
+    ("count(*) FILTER (answer = 'yes' AND solvable)", "hits"),
+    ("count(*) FILTER (answer = 'yes' AND NOT solvable)", "false_alarms"),
+    ("count(*) FILTER (answer = 'refused')", "refused"),
+    ("count(*) FILTER (answer = 'error')", "errors"),
+    ("count(*) FILTER (answer = 'unparsed')", "unparsed"),
+    ("sum(coalesce(input_tokens, 0))", "input_tokens"),
+    ("sum(coalesce(output_tokens, 0))", "output_tokens"),
+)
+
+
+def _rates(lead: str, counted: str) -> str:
     hit = "((hits + 0.5::DOUBLE) / (positives + 1))"
     alarm = "((false_alarms + 0.5::DOUBLE) / (negatives + 1))"
     return f"""
@@ -98,17 +109,20 @@ SELECT {lead}n, answered, correct,
   round(false_alarms::DOUBLE / nullif(negatives, 0), 6) AS fa_rate,
   CASE WHEN positives > 0 AND negatives > 0
     THEN round({probit(hit)} - {probit(alarm)}, 6) END AS dprime,
-  refused, errors, unparsed, input_tokens, output_tokens
-FROM (SELECT {inner_lead}count(*) AS n,
-    count(*) FILTER (answer IN ('yes', 'no')) AS answered,
-    count(*) FILTER ((answer = 'yes' AND solvable) OR (answer = 'no' AND NOT solvable)) AS correct,
-    count(*) FILTER (answer IN ('yes', 'no') AND solvable) AS positives,
-    count(*) FILTER (answer IN ('yes', 'no') AND NOT solvable) AS negatives,
-    count(*) FILTER (answer = 'yes' AND solvable) AS hits,
-    count(*) FILTER (answer = 'yes' AND NOT solvable) AS false_alarms,
-    count(*) FILTER (answer = 'refused') AS refused,
-    count(*) FILTER (answer = 'error') AS errors,
-    count(*) FILTER (answer = 'unparsed') AS unparsed,
-    coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens,
-    coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens
-  FROM ({source}) {group})"""
+  refused, errors, unparsed, coalesce(input_tokens, 0)::BIGINT AS input_tokens, coalesce(output_tokens, 0)::BIGINT AS output_tokens
+FROM ({counted})"""
+
+
+def summary(source: str, by: str = "", keep: str | None = None) -> str:
+    """Summary of result rows (``solvable`` boolean, ``answer``, token columns) per group."""
+    keep = by if keep is None else keep
+    inner = ", ".join(([by] if by else []) + [f"{count} AS {name}" for count, name in COUNTS])
+    return _rates(f"{keep}, " if keep else "", f"SELECT {inner} FROM ({source}) {f'GROUP BY {by}' if by else ''}")
+
+
+def summary_after_each(source: str, order: str, by: str = "") -> str:
+    """The summary of all results so far after each one."""
+    so_far = f"OVER ({f'PARTITION BY {by} ' if by else ''}ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
+    lead = f"{by}, {order}" if by else order
+    inner = ", ".join([lead, *(f"{count} {so_far} AS {name}" for count, name in COUNTS)])
+    return _rates(f"{lead}, ", f"SELECT {inner} FROM ({source})")

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 from catalog import inputs, sqltext as sql
 from catalog.registry import query
 from catalog.scoring import rounded
-from gridtwin.operators import timeline
+from gridtwin.operators import scoring, timeline
 from gridtwin.session import scratch_path
 from gridtwin.streaming import running
 
@@ -117,6 +117,27 @@ def running_overall_stream(spark, sf_dir):
     return rounded(running.latest(spark, out))
 
 
+@query(
+    "summary_after_each_result",
+    f"SELECT * EXCLUDE (ts) FROM ({sql.summary_after_each(inputs.TRIAL_RESULTS, 'ts, event_id')})",
+)
+def summary_after_each_result(spark, sf_dir):
+    """One summary a result; the last one is what ``running_overall_stream`` ends with."""
+    results = inputs.trial_results(spark, sf_dir)
+    hour = F.floor(F.unix_timestamp("ts") / 3600)
+    return rounded(scoring.summary_after_each(results, hour, ["ts", "event_id"])).drop("ts")
+
+
+@query(
+    "summary_after_each_result_by_user",
+    f"SELECT * EXCLUDE (ts) FROM ({sql.summary_after_each(inputs.TRIAL_RESULTS, 'ts, event_id', 'user_id')})",
+)
+def summary_after_each_result_by_user(spark, sf_dir):
+    results = inputs.trial_results(spark, sf_dir)
+    day = F.floor(F.unix_timestamp("ts") / 86400)
+    return rounded(scoring.summary_after_each(results, day, ["ts", "event_id"], ["user_id"])).drop("ts")
+
+
 @query("resumed_stream", f"SELECT event_id AS id, answer FROM ({inputs.TRIAL_RESULTS})")
 def resumed_stream(spark, sf_dir):
     """Every result arrives twice, with a restart in between; each id is kept once."""

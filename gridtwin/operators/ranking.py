@@ -43,26 +43,63 @@ def running_total(
     names a column for the sum over the whole group. A null key or chunk is a
     group of its own; every row stays.
     """
+    out = running_totals(df, keys, chunk, order, {name: value})
+    if not total:
+        return out
+    whole = df.groupBy(*keys).agg(F.sum(value.cast("bigint")).alias(total))
+    return _with_group_row(out, whole, list(keys))
+
+
+def running_totals(
+    df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column | str], values: dict[str, Column]
+) -> DataFrame:
+    """:func:`running_total` of several values at once: a prefix scan of a vector of counters over stretches of rows."""
     keys = list(keys)
-    tagged = df.withColumn("_chunk", chunk).withColumn("_value", value.cast("bigint"))
-    pieces = tagged.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_sum"))
+    value = {name: f"_value{i}" for i, name in enumerate(values)}
+    tagged = df.withColumn("_chunk", chunk).withColumns({value[name]: v.cast("bigint") for name, v in values.items()})
+    pieces = tagged.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(c) for c in value.values()])
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     earlier = group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select(
-        *keys,
-        "_chunk",
-        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_sum").over(group).alias("_total"),
+        *keys, "_chunk", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before{c}") for c in value.values()]
     )
-    inside = (
-        Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    out = join_groups(tagged.withColumn("_inside", F.sum("_value").over(inside)), offsets, [*keys, "_chunk"]).withColumn(
-        name, F.col("_before") + F.col("_inside")
-    )
-    if total:
-        out = out.withColumnRenamed("_total", total)
-    return out.drop("_chunk", "_value", "_inside", "_before", "_total")
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = tagged.withColumns({f"_inside{c}": F.sum(c).over(inside) for c in value.values()})
+    out = join_groups(summed, offsets, [*keys, "_chunk"])
+    kept = [c for c in df.columns if c not in values]
+    return out.select(*kept, *[(F.col(f"_before{c}") + F.col(f"_inside{c}")).alias(name) for name, c in value.items()])
+
+
+def within_first(df: DataFrame, groups: Sequence[str], chunk: Column, k: int) -> DataFrame:
+    """The rows of each group in the first chunks that hold ``k`` rows: all that a rank up to ``k`` can need.
+
+    A histogram of the chunks (bounded by their number) fixes the last one
+    before any row is moved, so what follows handles about ``k`` rows a group.
+    """
+    groups = list(groups)
+    tagged = df.withColumn("_chunk", chunk)
+    group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    upto = F.sum("_n").over(group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0))
+    counted = tagged.groupBy(*groups, "_chunk").agg(F.count("*").alias("_n")).withColumn("_upto", upto)
+    last = counted.groupBy(*groups).agg(F.min(F.when(F.col("_upto") >= k, F.col("_chunk"))).alias("_last"))
+    kept = _with_group_row(tagged, last, groups)
+    return kept.where(F.col("_last").isNull() | (F.col("_chunk") <= F.col("_last"))).select(*df.columns)
+
+
+def lowest_draws(df: DataFrame, seed: Column | int, key: str, k: int, groups: Sequence[str] = ()) -> DataFrame:
+    """The first ``k`` rows of each group's seeded shuffle, without ranking the others."""
+    bucket = F.floor(row_draw(seed, key) * BUCKETS)
+    ranked = seeded_rank(within_first(df, groups, bucket, k), seed, key, "_place", groups)
+    return ranked.where(F.col("_place") <= k).drop("_place")
+
+
+def lowest_numbers(df: DataFrame, key: str, k: int, name: str) -> DataFrame:
+    """The rows with the ``k`` smallest numbers ``key`` and their 1-based position ``name``."""
+    ends = df.agg(F.min(key).alias("_low"), F.max(key).alias("_high")).first()
+    low, high = (ends[0] or 0, ends[1] or 0)
+    width = max(1, -(-(high - low + 1) // BUCKETS))
+    near = within_first(df, (), F.floor((F.col(key) - low) / width), k)
+    return number_rank(near, key, max(1, width), name).where(F.col(name) <= k)
 
 
 def row_draw(seed: Column | int, key: str | Column, is_text: bool = False) -> Column:

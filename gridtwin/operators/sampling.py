@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from gridtwin.functions.images import angles_of
 from gridtwin.functions.rng import draw, draw_int, trial_seed
-from gridtwin.operators.ranking import BUCKETS, number_rank, row_draw, running_total, seeded_rank
+from gridtwin.operators.ranking import BUCKETS, lowest_draws, lowest_numbers, row_draw, running_total, seeded_rank
 
 
 # --- pairs -----------------------------------------------------------------------
@@ -84,7 +84,7 @@ def pair_sample(items: DataFrame, seed: int, limit: int = 0, verified_only: bool
     """
     pairs = pair_table(items, verified_only)
     if limit:
-        pairs = seeded_rank(pairs, seed, "pair", "_rank").where(F.col("_rank") <= max(1, limit // 2)).select("pair")
+        pairs = lowest_draws(pairs, seed, "pair", max(1, limit // 2)).select("pair")
     members = items.join(pairs, "pair", "left_semi")
     return seeded_rank(members, seed + 1, "id", "trial").withColumn("trial", F.col("trial") - 1)
 
@@ -125,8 +125,7 @@ def balanced_trials(indexed: DataFrame, session: str, session_seed: int) -> Data
 def balanced_subset(items: DataFrame, limit: int, seed: int) -> DataFrame:
     """``limit div 2`` seeded items of each label (all for 0), in seeded order (``trial`` from 0)."""
     if limit:
-        ranked = seeded_rank(items, seed, "id", "_rank", ["solvable"])
-        items = ranked.where(F.col("_rank") <= limit // 2).drop("_rank")
+        items = lowest_draws(items, seed, "id", limit // 2, ["solvable"])
     return seeded_rank(items, seed + 1, "id", "trial").withColumn("trial", F.col("trial") - 1)
 
 
@@ -161,22 +160,19 @@ def split_plan(units: DataFrame, key: str, fractions: tuple[float, float, float]
     )
 
 
-def first_valid_seeds(pairs: DataFrame, n: int, min_path: int, width: int = 1024) -> DataFrame:
+def first_valid_seeds(pairs: DataFrame, n: int, min_path: int) -> DataFrame:
     """The first ``n`` seeds (ascending) whose tree path is long enough, with ``idx`` from 0."""
     valid = pairs.where(F.col("tree_path_length") >= min_path)
-    ranked = number_rank(valid, "seed", width, "idx")
-    return ranked.where(F.col("idx") <= n).withColumn("idx", F.col("idx") - 1)
+    return lowest_numbers(valid, "seed", n, "idx").withColumn("idx", F.col("idx") - 1)
 
 
-def skipped_seeds(pairs: DataFrame, n: int, min_path: int, width: int = 1024) -> DataFrame:
-    """How many seeds were passed over before the ``n``-th valid one."""
+def skipped_seeds(pairs: DataFrame, n: int, min_path: int) -> DataFrame:
+    """How many seeds were passed over before the ``n``-th valid one (all invalid ones where there are fewer)."""
     valid = F.col("tree_path_length") >= min_path
-    counted = running_total(
-        pairs.select("seed", "tree_path_length"), [], F.floor(F.col("seed") / width), ["seed"], valid.cast("int"), "_valid"
-    )
-    return counted.agg(
-        F.count_if(valid & (F.col("_valid") <= n)).alias("chosen"),
-        F.count_if(~valid & (F.col("_valid") < n)).alias("skipped"),
+    taken = first_valid_seeds(pairs, n, min_path).agg(F.count("*").alias("chosen"), F.max("seed").alias("last")).first()
+    passed = F.lit(True) if taken["chosen"] < n else F.col("seed") < taken["last"]
+    return pairs.agg(F.count_if(~valid & passed & (F.lit(n) > 0)).alias("skipped")).select(
+        F.lit(taken["chosen"]).cast("bigint").alias("chosen"), "skipped"
     )
 
 

@@ -14,31 +14,37 @@ from pyspark.sql import functions as F
 
 from gridtwin.functions.answers import answered, is_correct
 from gridtwin.functions.signal import sensitivity
-from gridtwin.operators.ranking import join_groups, upper_median
+from gridtwin.operators.ranking import join_groups, running_totals, upper_median
 
 # Bands of the smaller component's share, lower edge included.
 POCKET_BANDS = ((0.0, 0.15, "pocket < 15%"), (0.15, 0.3, "pocket 15-30%"), (0.3, 0.51, "pocket >= 30%"))
 
 
-def summary_counts() -> list[Column]:
-    """Additive part of a summary: everything here can be combined map-side or on a stream."""
+def counters() -> dict[str, Column]:
+    """What one result adds to each number of a summary."""
     said_yes = F.col("answer") == "yes"
     truth = F.coalesce(F.col("solvable"), F.lit(False))
     replied = answered(F.col("answer"))
-    return [
-        F.count("*").alias("n"),
-        F.count_if(replied).alias("answered"),
-        F.count_if(is_correct(F.col("answer"), truth)).alias("correct"),
-        F.count_if(replied & truth).alias("positives"),
-        F.count_if(replied & ~truth).alias("negatives"),
-        F.count_if(replied & truth & said_yes).alias("hits"),
-        F.count_if(replied & ~truth & said_yes).alias("false_alarms"),
-        F.count_if(F.col("answer") == "refused").alias("refused"),
-        F.count_if(F.col("answer") == "error").alias("errors"),
-        F.count_if(F.col("answer") == "unparsed").alias("unparsed"),
-        F.coalesce(F.sum("input_tokens"), F.lit(0)).cast("bigint").alias("input_tokens"),
-        F.coalesce(F.sum("output_tokens"), F.lit(0)).cast("bigint").alias("output_tokens"),
-    ]
+    one = lambda condition: F.when(condition, 1).otherwise(0).cast("bigint")
+    return {
+        "n": F.lit(1).cast("bigint"),
+        "answered": one(replied),
+        "correct": one(is_correct(F.col("answer"), truth)),
+        "positives": one(replied & truth),
+        "negatives": one(replied & ~truth),
+        "hits": one(replied & truth & said_yes),
+        "false_alarms": one(replied & ~truth & said_yes),
+        "refused": one(F.col("answer") == "refused"),
+        "errors": one(F.col("answer") == "error"),
+        "unparsed": one(F.col("answer") == "unparsed"),
+        "input_tokens": F.coalesce("input_tokens", F.lit(0)).cast("bigint"),
+        "output_tokens": F.coalesce("output_tokens", F.lit(0)).cast("bigint"),
+    }
+
+
+def summary_counts() -> list[Column]:
+    """Additive part of a summary: everything here can be combined map-side or on a stream."""
+    return [F.coalesce(F.sum(value), F.lit(0)).alias(name) for name, value in counters().items()]
 
 
 def rates(counted: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -70,6 +76,16 @@ def _with_tokens(results: DataFrame) -> DataFrame:
     return results
 
 
+def summary_after_each(results: DataFrame, stretch: Column, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The summary of all results so far after each one, in ``order``: one row a result, with ``order`` and ``by``.
+
+    ``stretch`` cuts the results into consecutive pieces (see
+    ``ranking.running_total``): pieces are summed, the sums accumulated, and
+    only the results of one piece sorted together. The last row of a group is its :func:`summarize`.
+    """
+    return rates(running_totals(_with_tokens(results), by, stretch, order, counters()), [*by, *order])
+
+
 def summarize(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One summary per group (one row in all without ``by``)."""
     return rates(_with_tokens(results).groupBy(*by).agg(*summary_counts()), by)

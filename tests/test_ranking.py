@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridtwin.functions.rng import draw
-from gridtwin.operators import ranking, sampling
+from gridtwin.operators import ranking, sampling, scoring
 
 
 def hot_rows(spark):
@@ -103,3 +103,32 @@ def test_slices_without_path_lengths(spark):
     assert report[("overall", "all")] == 2 and ("tag", "t") in report and not any(k[0] == "path" for k in report)
     assert scoring.by_path_length(df, ["team"]).count() == 0
     assert scoring.with_path_class(df, ["team"]).count() == 2
+
+
+def test_bottom_k_equals_a_full_rank(spark):
+    rows = hot_rows(spark)
+    for groups in ([], ["g"]):
+        ranked = ranking.seeded_rank(rows, 9, "id", "r", groups)
+        for k in (1, 37, 100_000):
+            want = {r.id for r in ranked.where(F.col("r") <= k).collect()}
+            assert {r.id for r in ranking.lowest_draws(rows, 9, "id", k, groups).collect()} == want
+    numbers = [-5, 3, 1 << 40, 7, 8, 9, 1 << 41, 0]
+    df = spark.createDataFrame([(n,) for n in numbers], "s long")
+    for k in (1, 3, 20):
+        got = sorted((r.i, r.s) for r in ranking.lowest_numbers(df, "s", k, "i").collect())
+        assert got == list(enumerate(sorted(numbers)[:k], 1))
+    assert ranking.lowest_numbers(df.limit(0), "s", 3, "i").count() == 0
+
+
+def test_summary_after_each_ends_with_the_summary(spark):
+    rows = [(k, f"{k % 5}", k % 3 == 0, ["yes", "no", "error", "refused"][k % 4], k, None) for k in range(200)]
+    results = spark.createDataFrame(rows, "id long, team string, solvable boolean, answer string, input_tokens long, output_tokens long")
+    for by in ([], ["team"]):
+        each = scoring.summary_after_each(results, F.floor(F.col("id") / 16), ["id"], by).collect()
+        assert len(each) == 200 and sorted(r.id for r in each) == list(range(200))
+        last = {}
+        for r in sorted(each, key=lambda r: r.id):
+            last[r["team"] if by else None] = r
+        for r in scoring.summarize(results, by).collect():
+            found = last[r["team"] if by else None]
+            assert all(r[c] == found[c] for c in r.asDict())
