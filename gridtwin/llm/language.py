@@ -12,13 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridtwin.llm.arrays import LOWER, text_blocks
-from gridtwin.llm.frames import hash_sample
 
 STEPS = 48
 HIDDEN = 8
 TRAIN_DOCS = 400
+TRAIN_BYTES = 8 << 20  # of every language
 UPDATES = 240
 BATCH = 128
 #: Neighbouring positions say much the same; this many count as one independent one.
@@ -169,11 +170,21 @@ def pooled(params: Params, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.exp(log_softmax((sums[first[1:]] - sums[first[:-1]]) / CORRELATED))
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[Params, list[str]]:
-    """Train on at most about ``train_docs`` whole documents of every language (rows of ``docs`` with ``lang``)."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> tuple[Params, list[str]]:
+    """Train on at most ``train_docs`` different whole texts of every language (rows of ``docs`` with ``lang``).
+
+    Texts are taken in the order of their hashes, up to ``train_bytes`` of them
+    (the first one whatever its length), so repeated rows and ids change nothing.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = known.select("lang", "text", F.xxhash64(F.lit("sample"), "text").alias("h"), F.octet_length("text").alias("size"))
     languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    rows = hash_sample(known, "doc_id", "lang", train_docs).orderBy("doc_id", "text").collect()
+    in_order = Window.partitionBy("lang").orderBy("h")
+    first = known.select("lang", "h", "size").distinct().withColumn("_rank", F.row_number().over(in_order))
+    first = first.where(F.col("_rank") <= train_docs).withColumn("_upto", F.sum("size").over(in_order))
+    chosen = first.where((F.col("_upto") <= train_bytes) | (F.col("_rank") == 1)).select("lang", "h")
+    texts = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rows = texts.orderBy("h", "lang").collect()
     place = {lang: k for k, lang in enumerate(languages)}
     labels = np.array([place[r["lang"]] for r in rows], np.int64)
     return train([r["text"] for r in rows], labels, len(languages)), languages
@@ -184,7 +195,8 @@ def predict(docs: DataFrame, params: Params, languages: list[str]) -> DataFrame:
 
     Null, empty and letterless texts are ``und`` with score 0, as is everything
     when no language was learned; other rows get a learned language and its
-    pooled probability. Repeated rows are answered one by one.
+    pooled probability (of equally likely ones the first in order of name). Repeated rows are answered one by one,
+    further columns are ignored, very long texts are read whole, in blocks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(params)  # fixed size
 

@@ -15,7 +15,7 @@ from gridtwin.llm.fragments import encoder
 from gridtwin.session import cut
 
 PIECES_PER_PART = 1 << 14
-MOST_ROUNDS = 4
+MOST_ROUNDS = 40  # each joins twice as many parts
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
@@ -110,16 +110,19 @@ def least_bins(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
 
 
 def pack(cut_pieces: DataFrame, capacity: int, per_part: int = PIECES_PER_PART, rounds: int = MOST_ROUNDS) -> DataFrame:
-    """Add ``sequence_id, offset`` (and ``part``, ``part_bound``) to pieces so that few sequences are used.
+    """Add ``sequence_id, offset`` (and ``part``, ``part_bound``, ``total_bound``) to pieces so that few sequences are used.
 
     Pieces are dealt evenly to parts, each packed best-fit decreasing in one
     task and certified by a lower bound of its own. Parts whose count exceeds
     the bound send the pieces of their unfilled sequences to an exchange: those
     of neighbouring parts are packed together, and the new packing is taken where
-    it saves sequences. Full sequences never move again. This goes on until
-    every part meets its bound or ``rounds`` are over.
-    ``part_bound`` is the bound of the part that packed the piece last. Equal lengths keep an
-    order by doc_id and piece, so repeated rows and reruns change nothing.
+    it saves sequences. Full sequences never move again. This goes on, each
+    time with twice as many parts in a group, until every part meets its bound or
+    no two groups are left; a group whose unfilled sequences hold more than
+    four parts' pieces is done, so that no task ever gets more.
+    ``part_bound`` is the bound of the part that packed the piece last, ``total_bound``
+    the bound of all pieces together: no packing has fewer sequences. Pieces are dealt by
+    their place in the written table, so equal rows spread over all parts.
     """
     total = cut_pieces.count()
     parts = max(1, -(-total // per_part))
@@ -152,7 +155,9 @@ def pack(cut_pieces: DataFrame, capacity: int, per_part: int = PIECES_PER_PART,
 
         return together
 
-    dealt = cut_pieces.withColumn("pool", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+    counted = cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most one row a length
+    total_bound = least_bins(np.array([r["length"] for r in counted]), np.array([r["n"] for r in counted]), capacity)
+    dealt = cut_pieces.withColumn("pool", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
     packed = cut(dealt.groupBy("pool").applyInPandas(first, schema), "packed")
     open_bins = (F.col("gap") > 0) & (F.col("load") < capacity)
     fixed: list[DataFrame] = []
@@ -160,9 +165,12 @@ def pack(cut_pieces: DataFrame, capacity: int, per_part: int = PIECES_PER_PART,
         if packed.where(open_bins).select("pool").distinct().limit(2).count() < 2:
             break
 
-        fixed.append(packed.where(~open_bins))
         pairs = F.shiftright("pool", 1).alias("_pair")
-        packed = cut(packed.where(open_bins).groupBy(pairs).applyInPandas(exchange(turn), schema), "packed")
+        open_rows = packed.where(open_bins).groupBy(pairs).agg(F.count("*").alias("_rows"))
+        tagged = packed.withColumn("_pair", pairs).join(open_rows, "_pair", "left")
+        moving = open_bins & (F.col("_rows") <= 4 * per_part)
+        fixed.append(tagged.where(~moving).drop("_pair", "_rows"))
+        packed = cut(tagged.where(moving).drop("_pair", "_rows").groupBy(pairs).applyInPandas(exchange(turn), schema), "packed")
     for done in fixed:
         packed = packed.unionByName(done)
     return packed.select(
@@ -173,4 +181,5 @@ def pack(cut_pieces: DataFrame, capacity: int, per_part: int = PIECES_PER_PART,
         "offset",
         "part",
         "part_bound",
+        F.lit(total_bound).cast("bigint").alias("total_bound"),
     )

@@ -43,7 +43,7 @@ def op4_superminhash(spark: SparkSession, folder: str) -> DataFrame:
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = tokenizer("word_bpe_49k.json")
     cut_pieces = cut(packing.pieces(table(spark, folder, "documents"), path, 0, CAPACITY), "pieces")
-    return packing.pack(cut_pieces, CAPACITY).drop("part", "part_bound")
+    return packing.pack(cut_pieces, CAPACITY).drop("part")
 
 
 def op6_vantage_trees(spark: SparkSession, folder: str) -> DataFrame:
