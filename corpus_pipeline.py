@@ -38,7 +38,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
     """The pieces of all documents with their sequence and offset."""
     rows = _numbered(docs)
     cut_pieces = cut(packing.pieces(_by_row(rows), tokenizer("word_bpe_49k.json"), 0, CAPACITY), "pieces")
-    packed = packing.pack(cut_pieces, CAPACITY).drop("part", "part_bound")
+    packed = packing.pack(cut_pieces, CAPACITY).drop("part", "part_bound", "total_bound")
     ids = rows.select(F.col(ROW), F.col("doc_id").alias("_id"))
     return packed.withColumnRenamed("doc_id", ROW).join(ids, ROW).select(F.col("_id").alias("doc_id"), *packed.columns[1:])
 
