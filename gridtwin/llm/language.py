@@ -180,7 +180,12 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_
     known = known.select("lang", "text", F.xxhash64(F.lit("sample"), "text").alias("h"), F.octet_length("text").alias("size"))
     languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     in_order = Window.partitionBy("lang").orderBy("h")
-    first = known.select("lang", "h", "size").distinct().withColumn("_rank", F.row_number().over(in_order))
+    texts = known.select("lang", "h", "size").distinct()
+    # hashes are even: about four times as many texts as wanted go on to be put in order
+    share = F.lit(4.0 * train_docs) / F.col("_n")
+    low = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share
+    few = texts.join(F.broadcast(texts.groupBy("lang").agg(F.count("*").alias("_n"))), "lang").where(low)  # one row a language
+    first = few.withColumn("_rank", F.row_number().over(in_order))
     first = first.where(F.col("_rank") <= train_docs).withColumn("_upto", F.sum("size").over(in_order))
     chosen = first.where((F.col("_upto") <= train_bytes) | (F.col("_rank") == 1)).select("lang", "h")
     texts = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
