@@ -2,36 +2,33 @@
 
 from __future__ import annotations
 
-CHANGE = "struct<x: int, y: int, before: string, after: string>"
-EDIT = f"struct<type: string, changes: array<{CHANGE}>>"
-IMAGES = "struct<perspective: string, top: string, yaws: map<string, string>>"
-
-ROOM_RESULT = (
-    "id string, file string, world string, status string, moves int, path string, expanded bigint, seconds double, "
-    "gems int, tags array<string>, actors map<string, int>, maxStack int, error string"
+# ``cut`` is a word or a number
+MAZE_PARAMS = (
+    "struct<width: int, height: int, seed: bigint, algorithm: string, placement: string, minDistance: int, cut: variant, "
+    "loops: int>"
 )
-VARIANT = (
-    f"id string, room string, world string, pair string, solvable boolean, sameType boolean, edit {EDIT}, baseMoves int, "
-    "moves int, expanded bigint, tags array<string>, gems int, level string, "
-    "generated struct<type: string, layout: string, seed: bigint>"
+POINTS = "array<array<int>>"
+MAZE_META = (
+    f"struct<algorithm: string, placement: string, cut: variant, loopsRequested: int, loops: int, treePathLength: int, "
+    f"treePath: {POINTS}, cutEdge: {POINTS}, cutIndex: int, openedEdge: {POINTS}, loopEdges: array<{POINTS}>, "
+    f"componentSizes: array<int>, pocketFrac: double, passages: int, wallsBalanced: boolean, solutionLength: int, "
+    f"solution: {POINTS}>"
 )
-MANIFEST = f"{VARIANT}, verified boolean, zoom double, images {IMAGES}, ascii string, json string, legend map<string, string>"
 MAZE = (
-    "id string, version string, width int, height int, seed bigint, solvable boolean, start array<int>, goal array<int>, "
-    "`right` array<array<int>>, down array<array<int>>, "
-    "meta struct<treePathLength: int, cutIndex: int, componentSizes: array<int>, pocketFrac: double, passages: int, "
-    "wallsBalanced: boolean, loopsRequested: int, loops: int, solutionLength: int>"
+    f"id string, version string, width int, height int, seed bigint, params {MAZE_PARAMS}, solvable boolean, "
+    f"start array<int>, goal array<int>, `right` array<array<int>>, down array<array<int>>, meta {MAZE_META}"
 )
 LABEL = (
-    "id string, seed bigint, solvable int, pair bigint, width int, height int, tree_path_length int, solution_length int, "
-    "pocket_frac double, component_min int, loops int, cut_index int, start_x int, start_y int, goal_x int, goal_y int"
+    "id string, seed bigint, solvable int, split string, pair bigint, width int, height int, tree_path_length int, "
+    "solution_length int, pocket_frac double, component_min int, loops int, cut_index int, start_x int, start_y int, "
+    "goal_x int, goal_y int"
+)
+CORPUS_CONFIG = (
+    f"n bigint, pairs boolean, base_seed bigint, min_path int, seeds_skipped_for_min_path bigint, splits array<double>, "
+    f"preset string, maze_params {MAZE_PARAMS.replace('seed: bigint, ', '')}, version string"
 )
 WORLD_EXPORT = (
     "version string, title string, world struct<width: int, height: int>, "
     "levels array<struct<id: string, cells: array<array<string>>>>"
 )
 WORLD_MAP = "levels map<string, array<string>>"
-CATALOGUE_ITEM = (
-    f"id string, room string, world string, pair string, solvable boolean, edit {EDIT}, sameType boolean, "
-    f"tags array<string>, gems int, baseMoves int, moves int, images {IMAGES}, ascii string, legend map<string, string>"
-)

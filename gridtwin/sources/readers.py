@@ -133,3 +133,8 @@ def read_dataset(spark: SparkSession, root: str, schema: str, split: str | None
 
 def read_config(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(f"{root}/config")
+
+
+def read_mazes(spark: SparkSession, root: str, split: str | None = None) -> DataFrame:
+    """The whole maze objects of a saved corpus, or of one split."""
+    return read_dataset(spark, root, schemas.MAZE, split)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtwin.functions.answers import answered
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
@@ -40,13 +39,14 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_records(records: DataFrame, root: str) -> None:
-    """Full objects as JSON lines, one folder per split."""
-    records.write.partitionBy("split").json(f"{root}/records")
+    """Full objects as JSON lines, one folder per split; fields without a value are written as null."""
+    records.write.partitionBy("split").option("ignoreNullFields", False).json(f"{root}/records")
 
 
 def write_config(counts: DataFrame, root: str, **settings: Column) -> None:
     """One JSON object: counts (a single row) and settings."""
-    counts.select("*", *[value.alias(name) for name, value in settings.items()]).coalesce(1).write.json(f"{root}/config")
+    config = counts.select("*", *[value.alias(name) for name, value in settings.items()])
+    config.coalesce(1).write.option("ignoreNullFields", False).json(f"{root}/config")
 
 
 def append_results(results: DataFrame, path: str) -> None:
@@ -66,11 +66,6 @@ def write_report(results: DataFrame, summary: DataFrame, path: str, **settings:
     results.write.json(f"{path}/trials")
 
 
-def answered_share(results: DataFrame) -> DataFrame:
-    """Trials and answered ones, for the head of a report."""
-    return results.agg(F.count("*").alias("n"), F.count_if(answered(F.col("answer"))).alias("answered"))
-
-
 # --- catalogue of sets ----------------------------------------------------------------
 def upsert_set(items: DataFrame, catalogue: str, set_id: str) -> None:
     """Write one set of the catalogue, replacing it if it is there; other sets are not touched."""
