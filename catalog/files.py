@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from catalog import inputs, sqltext as sql
@@ -9,7 +11,7 @@ from catalog.registry import query
 from catalog.scoring import rounded
 from gridtwin.operators import rooms, sampling, scoring
 from gridtwin.session import scratch_path
-from gridtwin.sources import readers, writers
+from gridtwin.sources import catalogue, readers, writers
 
 ITEMS = inputs.PAIRED_ITEMS
 
@@ -300,18 +302,48 @@ def saved_report(spark, sf_dir):
     return report.select("settings.model", "summary.*", F.lit(trials).cast("bigint").alias("trials"))
 
 
+def changed_catalogue(spark, sf_dir):
+    """Two sets are written, a third with one of them replaced, the third is removed."""
+    root = scratch_path(spark, "catalogue")
+    items = flat_items(spark, sf_dir).drop("set_id")
+    catalogue.upsert_set(items, root, "first")
+    catalogue.upsert_set(items, root, "second")
+    catalogue.change(spark, root, {"third": items.where(~F.col("solvable")), "first": items.where("solvable")})
+    catalogue.remove_set(spark, root, "third")
+    return root
+
+
 @query(
     "catalogue_totals",
     f"""SELECT coalesce(set_id, 'all') AS set_id, count(*) AS items FROM (
       SELECT 'first' AS set_id FROM ({ITEMS}) WHERE solvable UNION ALL SELECT 'second' FROM ({ITEMS})) GROUP BY ROLLUP (set_id)""",
 )
 def catalogue_totals(spark, sf_dir):
-    """Two sets are written, one is replaced, one is removed."""
-    path = scratch_path(spark, "catalogue")
-    items = flat_items(spark, sf_dir).drop("set_id")
-    writers.upsert_set(items, path, "first")
-    writers.upsert_set(items, path, "second")
-    writers.upsert_set(items.where(~F.col("solvable")), path, "third")
-    writers.upsert_set(items.where("solvable"), path, "first")
-    catalogue = spark.read.parquet(path)
-    return writers.catalogue_totals(writers.without_sets(catalogue, spark.range(1).select(F.lit("third").alias("set_id"))))
+    """A fresh read of the newest version."""
+    return catalogue.catalogue_totals(catalogue.read_catalogue(spark, changed_catalogue(spark, sf_dir)))
+
+
+@query(
+    "catalogue_versions",
+    f"""SELECT v.version, s.set_id, count(*) AS items FROM ({ITEMS}) i, (SELECT unnest([1, 2, 3, 4]) AS version) v,
+      (SELECT unnest(['first', 'second', 'third']) AS set_id) s
+    WHERE CASE s.set_id WHEN 'first' THEN v.version < 3 OR i.solvable WHEN 'second' THEN v.version >= 2
+      ELSE v.version = 3 AND NOT i.solvable END GROUP BY v.version, s.set_id""",
+)
+def catalogue_versions(spark, sf_dir):
+    """Items of each set in every version, counted in its rows."""
+    root = changed_catalogue(spark, sf_dir)
+    counted = [
+        catalogue.read_catalogue(spark, root, version).groupBy("set_id").agg(F.count("*").alias("items")).select(
+            F.lit(version).alias("version"), "set_id", "items"
+        )
+        for version in catalogue.versions(spark, root)
+    ]
+    return reduce(lambda a, b: a.unionAll(b), counted)
+
+
+@query("catalogue_items", f"""SELECT id, pair, solvable, 'first' AS set_id FROM ({ITEMS}) WHERE solvable""")
+def catalogue_items(spark, sf_dir):
+    """One set of the newest version: only its folder is read."""
+    rows = catalogue.read_catalogue(spark, changed_catalogue(spark, sf_dir), sets=("first", "third"))
+    return rows.select("id", "pair", "solvable", "set_id")

@@ -10,7 +10,7 @@ from catalog.registry import query
 from catalog.scoring import rounded
 from gridtwin.operators import scoring, timeline
 from gridtwin.session import scratch_path
-from gridtwin.streaming import running
+from gridtwin.streaming import running, store
 
 LIMIT_MS = 60_000
 
@@ -151,6 +151,18 @@ def resumed_stream(spark, sf_dir):
     return spark.read.schema(schema).json(out).select("id", "answer")
 
 
+@query("resumed_from_store", f"SELECT event_id AS id, answer FROM ({inputs.TRIAL_RESULTS})")
+def resumed_from_store(spark, sf_dir):
+    """As ``resumed_stream``, but the ids are looked up in the store and the stream keeps no state."""
+    path, schema = written_results(spark, sf_dir)
+    store_path, checkpoint = scratch_path(spark, "store"), scratch_path(spark, "offsets")
+    for _ in range(2):
+        arriving = running.result_stream(spark, path, schema, 2)
+        store.record_new(arriving, store_path, checkpoint, order=("id", "answer"), availableNow=True).awaitTermination()
+        spark.read.schema(schema).json(path).write.mode("append").json(path)
+    return store.recorded(spark, store_path, schema).select("id", "answer")
+
+
 @query(
     "live_responses_stream",
     f"""SELECT user_id, trial_id, response_id, response FROM ({TRIALS}) WHERE response_id IS NOT NULL""",

@@ -9,11 +9,14 @@ from pyspark.sql.types import StructType
 from gridtwin import schemas
 from gridtwin.functions import cells as C
 from gridtwin.functions.text import strip
+from gridtwin.session import cut_counting, scratch_path
 
 # Which level ids an export may use, and the size of a world that names none.
 LEVEL_ID = r"^level_([A-Z])x([A-Z])$"
 WORLD_SIDE = 16
 
+GROUP_FILES = 10_000  # attached files that one job reads, whose paths the driver names
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, mode: str = "FAILFAST") -> DataFrame:
     """JSON lines with a declared schema; blank lines are skipped, broken ones are an error.
@@ -90,21 +93,42 @@ def _below(path: Column, root: str) -> Column:
     return F.element_at(F.split(path, F.lit(f"\\Q/{bare}/\\E"), 2), -1)
 
 
+def _wanted_contents(files: DataFrame, wanted: DataFrame, root: str, value: Column) -> DataFrame:
+    """``_file, _value`` of those ``files`` below ``root`` that ``wanted(_file)`` names; no other file is opened.
+
+    A first pass only lists. The wanted files are then dealt into groups of about
+    ``GROUP_FILES``, and each group is read by a job of its own whose scan is
+    pruned to its paths, so the driver holds the paths of one group at a time.
+    """
+    spark = files.sparkSession
+    path = F.col("_metadata.file_path")
+    listed = files.select(path.alias("_path"), _below(path, root).alias("_file"))
+    # names are compared as they are written, the file system's escapes undone
+    listed = listed.withColumn("_file", F.url_decode(F.replace(F.col("_file"), F.lit("+"), F.lit("%2B"))))
+    found, n = cut_counting(listed.join(wanted, "_file", "left_semi"), label="wanted")
+    groups = -(-n // GROUP_FILES)
+    out = scratch_path(spark, "contents")
+    for number in range(groups):
+        mine = found.where(F.pmod(F.xxhash64("_path"), F.lit(groups)) == number)
+        paths = [row["_path"] for row in mine.select("_path").collect()]
+        read = files.where(path.isin(*paths, "")).select(path.alias("_path"), value.alias("_value"))
+        read.join(mine, "_path").select("_file", "_value").write.mode("append").parquet(out)
+    schema = "_file string, _value string"
+    return spark.read.schema(schema).parquet(out) if groups else spark.createDataFrame([], schema)
+
+
 def attach_images(items: DataFrame, root: str, paths: str = "paths", mime: str = "image/png", pattern: str = "*.png") -> DataFrame:
     """Add ``images``: the files of the array ``paths`` (relative to ``root``) as data URIs, in order.
 
-    Missing files drop out. ``id`` identifies an item.
+    Missing files drop out. ``id`` identifies an item. Only files that items name are read.
     """
     spark = items.sparkSession
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    ).select(
-        _below(F.col("path"), root).alias("_file"),
-        F.concat(F.lit(f"data:{mime};base64,"), F.base64("content")).alias("_uri"),
-    )
-    wanted = items.select("id", F.posexplode(paths).alias("_at", "_file"))
-    found = wanted.join(files, "_file").groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("_at", "_uri")))["_uri"].alias("images")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    named = items.select("id", F.posexplode(paths).alias("_at", "_file"))
+    uri = F.concat(F.lit(f"data:{mime};base64,"), F.base64("content"))
+    contents = _wanted_contents(files, named.select("_file").distinct(), root, uri)
+    found = named.join(contents, "_file").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("_at", "_value")))["_value"].alias("images")
     )
     return items.join(found, "id", "left").withColumn(
         "images", F.coalesce("images", F.array().cast("array<string>"))
@@ -114,15 +138,13 @@ def attach_images(items: DataFrame, root: str, paths: str = "paths", mime: str =
 def attach_text(items: DataFrame, root: str, column: str, name: str, pattern: str = "*.txt") -> DataFrame:
     """Add ``name``: the whole text of the file in ``column``; null where it names none or it is missing.
 
-    Only files matching ``pattern`` are read.
+    Of the files matching ``pattern`` only those that items name are read.
     """
-    files = (
-        items.sparkSession.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .text(root, wholetext=True)
-        .select(F.col("value").alias(name), _below(F.col("_metadata.file_path"), root).alias("_file"))
-    )
-    return items.join(files.withColumnRenamed("_file", column), column, "left")
+    reader = items.sparkSession.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    files = reader.text(root, wholetext=True)
+    wanted = items.where(F.col(column).isNotNull()).select(F.col(column).alias("_file")).distinct()
+    contents = _wanted_contents(files, wanted, root, F.col("value"))
+    return items.join(contents.select(F.col("_file").alias(column), F.col("_value").alias(name)), column, "left")
 
 
 def read_dataset(spark: SparkSession, root: str, schema: str, split: str | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Writers: labels, records, run configuration, appended results, reports, and the catalogue of sets."""
+"""Writers: labels, records, run configuration, appended results and reports."""
 
 from __future__ import annotations
 
@@ -64,27 +64,3 @@ def write_report(results: DataFrame, summary: DataFrame, path: str, **settings:
     body = F.struct(*[F.col(c) for c in summary.columns])
     summary.select(head.alias("settings"), body.alias("summary")).coalesce(1).write.json(f"{path}/report")
     results.write.json(f"{path}/trials")
-
-
-# --- catalogue of sets ----------------------------------------------------------------
-def upsert_set(items: DataFrame, catalogue: str, set_id: str) -> None:
-    """Write one set of the catalogue, replacing it if it is there; other sets are not touched."""
-    (
-        items.withColumn("set_id", F.lit(set_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("set_id")
-        .parquet(catalogue)
-    )
-
-
-def without_sets(catalogue: DataFrame, removed: DataFrame) -> DataFrame:
-    """The catalogue without the sets in ``removed(set_id)``, to be written as the new version."""
-    return catalogue.join(removed.select("set_id"), "set_id", "left_anti")
-
-
-def catalogue_totals(catalogue: DataFrame) -> DataFrame:
-    """Items per set, and of all sets under the name ``all``."""
-    return (
-        catalogue.rollup("set_id").agg(F.count("*").alias("items")).withColumn("set_id", F.coalesce("set_id", F.lit("all")))
-    )
