@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridtwin.llm import bilinear, flatgraph, language, licences, negatives, packing, quality, roundtrip, sharding, superminhash, vantage, variants, wavelet
 from gridtwin.llm.frames import held_out, table
-from gridtwin.session import cut
+from gridtwin.session import cut, scratch_path
 
 CAPACITY = 2048
 
@@ -56,8 +56,8 @@ def op7_log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
-    placed = sharding.shard(table(spark, folder, "documents"), 40)
-    return placed.select(
+    written = sharding.write_shards(table(spark, folder, "documents"), 40, scratch_path(spark, "shards"))
+    return sharding.sized(written).select(
         "doc_id",
         "size",
         "text_crc32",

@@ -14,6 +14,8 @@ PRIME = 2_147_483_647
 FACTOR = 48_271
 MOST_STEPS = 64
 SEED = 20_240_229
+FILE_ROWS = 10_000
+OWN = ("size", "text_crc32", "row_number", "place", "shard", "slot", "_read")
 
 
 def domain(rows: int) -> tuple[int, int]:
@@ -97,6 +99,25 @@ def permuted(row: Column, rows: int, seed: int = SEED) -> Column:
     return F.when(walked < rows, walked).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("bigint"))
 
 
+def sized(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``size`` (16 for a null text) and ``text_crc32`` (of the empty text for a null one)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumns(
+        {"size": (F.octet_length(text) + 16).cast("bigint"), "text_crc32": F.crc32(text.cast("binary"))}
+    )
+
+
+def placed(rows: DataFrame, shards: int, seed: int) -> DataFrame:
+    """``rows`` with ``row_number, place, shard, slot``."""
+    # rows that are alike in all of these are told apart by where they are read, so that no range is one key
+    rows = numbered(rows.withColumn("_read", F.monotonically_increasing_id()), ["doc_id", "text_crc32", "size", "_read"], "row_number")
+    total = rows.count()
+    place = permuted(F.col("row_number"), max(total, 1), seed)
+    return rows.drop("_read").withColumn("place", place).withColumns(
+        {"shard": (F.col("place") % shards).cast("int"), "slot": F.floor(F.col("place") / shards).cast("bigint")}
+    )
+
+
 def shard(docs: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """``doc_id, size, text_crc32, row_number, place, shard, slot``: law ``rows``.
 
@@ -106,32 +127,24 @@ def shard(docs: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     slots have no gaps. Null texts have size 16 and the digest of the empty
     text. Equal texts are rows of their own and are spread like any others. An empty table gives no rows.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    slim = docs.select(
-        "doc_id",
-        (F.octet_length(text) + 16).cast("bigint").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
-    rows = numbered(slim, ["doc_id", "text_crc32", "size"], "row_number")
-    total = rows.count()
-    place = permuted(F.col("row_number"), max(total, 1), seed)
-    return rows.withColumn("place", place).select(
-        "*",
-        (F.col("place") % shards).cast("int").alias("shard"),
-        F.floor(F.col("place") / shards).cast("bigint").alias("slot"),
-    )
+    return placed(sized(docs.select("doc_id", "text")).drop("text"), shards, seed)
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write whole rows as one folder per shard, each sorted by slot.
+def write_shards(docs: DataFrame, shards: int, path: str, seed: int = SEED) -> DataFrame:
+    """Write whole rows to the shards that :func:`shard` gives them, and return them as read from the files.
 
-    ``placed`` is the result of :func:`shard`; ids must be unique for this.
+    One folder per shard, in files of at most ``FILE_ROWS`` rows sorted by slot. A shard is dealt to tasks in stretches of
+    as many slots, so a large shard is written by many tasks. Every input row is written once, null and repeated ids included. Input
+    columns named like one of ``OWN`` come back as ``input_<name>``.
     """
+    taken = {name: f"input_{name}" for name in docs.columns if name.lower() in OWN}
+    rows = placed(sized(docs.withColumnsRenamed(taken)), shards, seed).drop("size", "text_crc32", "row_number", "place")
+    file = F.floor(F.col("slot") / FILE_ROWS)
     (
-        docs.drop("shard", "slot")
-        .join(placed.select("doc_id", "shard", "slot"), "doc_id")
-        .repartition("shard")
+        rows.repartition("shard", file)
         .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
+        .write.option("maxRecordsPerFile", FILE_ROWS)
+        .partitionBy("shard")
         .parquet(path)
     )
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)

@@ -144,8 +144,22 @@ def test_permutation_at_many_sizes():
         assert sorted(sharding.place_of(x, rows) for x in range(rows)) == list(range(rows))
 
 
-def test_written_shards(spark, odd, tmp_path):
-    placed = sharding.shard(odd, 3)
-    sharding.write_shards(odd, placed, str(tmp_path / "s"))
-    back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == odd.count() and set(back.columns) == {*odd.columns, "shard", "slot"}
+def test_written_shards(spark, odd, nothing, tmp_path, monkeypatch):
+    """Repeated and null ids, repeated rows and clashing columns: every row is in one place of one file."""
+    monkeypatch.setattr(sharding, "FILE_ROWS", 4)
+    nameless = spark.createDataFrame([(None, "no id"), (None, None), (7, "another text of seven")], "doc_id bigint, text string")
+    docs = odd.unionByName(odd.limit(6)).unionByName(odd.limit(6)).unionByName(nameless, allowMissingColumns=True)
+    docs = docs.withColumnsRenamed({"pool": "Shard", "a": "slot"})
+    back = sharding.write_shards(docs, 3, str(tmp_path / "s")).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "")
+    assert sorted(map(key, back)) == sorted(map(key, docs.collect()))
+    assert {r.input_slot for r in back if r.lang} == {"b"} and {r.input_Shard for r in back if r.lang} == {1}
+    for number in range(3):
+        slots = sorted(r.slot for r in back if r.shard == number)
+        assert slots == list(range(len(slots))) and abs(len(slots) - len(back) / 3) < 1
+    files = [f for f in (tmp_path / "s").rglob("*.parquet")]
+    assert max(spark.read.parquet(str(f)).count() for f in files) == 4
+    alone = {(r.doc_id, r.text_crc32): (r.shard, r.slot) for r in sharding.shard(odd, 3).collect()}
+    again = sharding.sized(sharding.write_shards(odd, 3, str(tmp_path / "odd"))).collect()
+    assert {(r.doc_id, r.text_crc32): (r.shard, r.slot) for r in again} == alone
+    assert sharding.write_shards(nothing, 3, str(tmp_path / "none")).count() == 0
