@@ -144,6 +144,7 @@ def write_shards(docs: DataFrame, shards: int, path: str, seed: int = SEED) -> D
         rows.repartition("shard", file)
         .sortWithinPartitions("shard", "slot")
         .write.option("maxRecordsPerFile", FILE_ROWS)
+        .option("compression", "zstd")
         .partitionBy("shard")
         .parquet(path)
     )
