@@ -368,6 +368,15 @@ def usable_rooms(spark, sf_dir):
     return rooms.usable_rooms(files_of(spark, sf_dir), results_of(spark, sf_dir))
 
 
+@query(
+    "skipped_rooms",
+    f"""SELECT f.room_id, coalesce(status, 'no result') AS reason FROM ({ROOM_FILES}) f LEFT JOIN ({RESULTS}) r ON r.room_id = f.room_id
+    WHERE coalesce(status, '') <> 'solved'""",
+)
+def skipped_rooms(spark, sf_dir):
+    return rooms.skipped_rooms(files_of(spark, sf_dir), results_of(spark, sf_dir))
+
+
 @query("first_usable_rooms", f"SELECT * FROM ({USABLE}) ORDER BY file LIMIT 50")
 def first_usable_rooms(spark, sf_dir):
     """Top 50 by file name."""

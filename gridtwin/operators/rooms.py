@@ -168,6 +168,13 @@ def usable_rooms(
     return kept.orderBy("file").limit(limit) if limit else kept
 
 
+def skipped_rooms(rooms: DataFrame, results: DataFrame) -> DataFrame:
+    """``room_id, reason`` of the rooms no pairs are made from: the status that is not solved, or ``no result``."""
+    known = results.select("room_id", "status")
+    reason = F.coalesce("status", F.lit("no result"))
+    return rooms.select("room_id").join(known, "room_id", "left").select("room_id", reason.alias("reason")).where("reason <> 'solved'")
+
+
 def verification_audit(variants: DataFrame) -> DataFrame:
     """Labels compared with a second verdict: null is capped, a differing one is a mismatch."""
     return variants.agg(

@@ -22,8 +22,11 @@ def pairs_from_verdicts(
     """Variant records of the matched pairs.
 
     ``verdicts(edit_id, status, moves)`` judges the tries; ``base(room_id,
-    world, moves)`` holds what is known of the unedited rooms.
+    world, status, moves)`` holds what is known of the unedited rooms. Only
+    rooms solved unedited give pairs; ``rooms.skipped_rooms`` names the others.
     """
+    base = base.where("status = 'solved'")
+    tries = tries.join(base.select("room_id"), "room_id", "left_semi")
     judged = edits.until_enough(edits.with_status(tries, verdicts), pairs_per_room)
     matched = cut(edits.match_pairs(cut(judged, "judged"), pairs_per_room), "matched")
     stats = rooms.room_statistics(rooms.level_cells(levels), rooms.token_types(levels.sparkSession))

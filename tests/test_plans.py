@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridtwin import schemas
+from gridtwin.operators import rooms
 from gridtwin.plans import corpus, edit_pairs, evaluation
 from gridtwin.sources import readers, writers
 
@@ -102,12 +103,15 @@ def test_wrong_parameters_are_named(spark, tmp_path):
 
 
 def test_edit_pairs_and_evaluation(spark):
-    levels = spark.createDataFrame([("a", ". . .+p\n.+# . .\n.+G i .\n")], "room_id string, text string")
+    room = ". . .+p\n.+# . .\n.+G i .\n"
+    levels = spark.createDataFrame([(name, room) for name in "abc"], "room_id string, text string")
     tries = edit_pairs.plan_tries(levels, 3, 4)
     verdicts = tries.select("edit_id", F.when(F.col("try_no") % 2 == 0, "solved").otherwise("unsolved").alias("status"), F.lit(5).alias("moves"))
-    base = spark.createDataFrame([("a", None, 4)], "room_id string, world string, moves int")
+    base = spark.createDataFrame([("a", None, "solved", 4), ("b", None, "capped", None)], "room_id string, world string, status string, moves int")
     records = edit_pairs.pairs_from_verdicts(levels, tries, verdicts, base)
     assert records.count() == 4 and records.where("solvable").count() == 2
+    assert {r.room for r in records.collect()} == {"a"}
+    assert {(r.room_id, r.reason) for r in rooms.skipped_rooms(levels, base).collect()} == {("b", "capped"), ("c", "no result")}
     replies = records.select("id", F.lit("ANSWER: YES").alias("reply"), F.lit(None).cast("string").alias("stop_reason"), F.lit(None).cast("string").alias("error"))
     results = evaluation.judge_replies(records.select("id", "solvable", "tags"), replies)
     results = results.withColumn("pocket_frac", F.lit(0.5)).withColumn("edit_type", F.lit("")).withColumn("tree_path_length", F.lit(4))
