@@ -291,8 +291,28 @@ def spanning_trees(spark, sf_dir):
     return connectivity.spanning_forest(grid)
 
 
+#: Rounds that SQL spells out; each at least halves the parts, so they do for 2^20 suppliers and parts.
+ROUNDS = 20
+
+
+def forest_round(n: int) -> str:
+    """The lightest link of each part before round n, and the links between the parts it leaves."""
+    return f"""best{n} AS MATERIALIZED (SELECT c, arg_min(ROW(a, b, other), ROW(w, a, b)) AS e FROM (
+      SELECT ca AS c, cb AS other, w, a, b FROM live{n} UNION ALL SELECT cb, ca, w, a, b FROM live{n}) GROUP BY c),
+  joins{n} AS MATERIALIZED (SELECT c AS u, e[3] AS v FROM best{n} UNION ALL SELECT e[3], c FROM best{n}),
+  part{n}(node, part) USING KEY (node) AS (SELECT u, min(least(u, v)) FROM joins{n} GROUP BY u
+    UNION SELECT j.v, min(l.part) FROM part{n} l JOIN joins{n} j ON j.u = l.node
+      JOIN recurring.part{n} k ON k.node = j.v WHERE l.part < k.part GROUP BY j.v),
+  live{n + 1} AS MATERIALIZED (SELECT x.part AS ca, y.part AS cb, w, a, b FROM live{n} l
+    JOIN part{n} x ON x.node = l.ca JOIN part{n} y ON y.node = l.cb WHERE x.part <> y.part)"""
+
+
 @query(
     "spanning_forest_of_suppliers_and_parts",
+    f"""WITH RECURSIVE live0 AS MATERIALIZED (SELECT a AS ca, b AS cb, {sql.draw('-a', 'b')} AS w, a, b
+      FROM (SELECT DISTINCT -(l_suppkey + 1) AS a, l_partkey AS b FROM lineitem)),
+  {(","  + chr(10) + "  ").join(forest_round(n) for n in range(ROUNDS))}
+  {" UNION ".join(f"SELECT e[1] AS a, e[2] AS b FROM best{n}" for n in range(ROUNDS))}""",
 )
 def spanning_forest_of_suppliers_and_parts(spark, sf_dir):
     """Lightest links that keep every supplier and part of all line items connected."""

@@ -7,6 +7,7 @@ executor costs one round at most.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -14,30 +15,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridtwin.operators.grids import symmetric
-from gridtwin.session import cut, cut_counting
-
+from gridtwin.session import cut, cut_counting, cut_observing
 
 SHRINK_EVERY = 12
 
+#: Edges a node from which the forest of a sample is worth its rounds, and the steps of the sample's share.
+DENSE = 8
+DRAWS = 1 << 30
+
 
 def _roots(pointers: DataFrame) -> tuple[DataFrame, int]:
     """Follow ``(graph_id, c) -> p`` to the end, tripling the stride each round; roots point at themselves.
 
-    Also returns the number of pointers.
+    Only pointers that have not come to a root go into the next round; the others
+    are looked up there, but never moved or written again. Also returns the number
+    of pointers.
     """
     pointers, count = cut_counting(pointers, label="pointers")
-    moved = count
-    while moved:
-        second = pointers.select("graph_id", F.col("c").alias("p"), F.col("p").alias("_second"))
-        third = pointers.select("graph_id", F.col("c").alias("_second"), F.col("p").alias("_third"))
+    here = F.col("p") == F.col("c")
+    finished, active = [pointers.where(here)], pointers.where(~here)
+    left = count
+    while left:
+        target = reduce(DataFrame.unionAll, [*finished, active])
+        second = target.select("graph_id", F.col("c").alias("p"), F.col("p").alias("_second"))
+        third = target.select("graph_id", F.col("c").alias("_second"), F.col("p").alias("_third"))
         onward = (
-            pointers.join(second, ["graph_id", "p"])
+            active.join(second, ["graph_id", "p"])
             .join(third, ["graph_id", "_second"])
             .select("graph_id", "c", F.col("_third").alias("p"), (F.col("_third") != F.col("p")).alias("moved"))
         )
-        pointers, moved = cut_counting(onward, F.col("moved"), "pointers")
-        pointers = pointers.select("graph_id", "c", "p")
-    return pointers, count
+        written, left = cut_counting(onward, F.col("moved"), "pointers")
+        finished.append(written.where(~F.col("moved")).select("graph_id", "c", "p"))
+        active = written.where("moved").select("graph_id", "c", "p")
+    return reduce(DataFrame.unionAll, finished), count
 
 
 def _relabel(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -66,18 +76,42 @@ def spanning_forest(edges: DataFrame, weight: str = "w") -> DataFrame:
 
     Each round every component takes its lightest outgoing edge, and the
     components joined that way become one, so the number of components at
-    least halves and only edges between components go on.
+    least halves and only edges between components go on. With many more edges than
+    nodes most edges never enter the rounds: the forest of a sample of the edges
+    rules out each edge that is heavier than the sample's whole way between its
+    ends, which leaves few more edges than the sample has.
     """
-    live = cut(edges.select("graph_id", F.col("a").alias("ca"), F.col("b").alias("cb"), weight, "a", "b"), "edges")
-    taken: list[DataFrame] = []
+    columns = ["graph_id", F.col("a").alias("ca"), F.col("b").alias("cb"), weight, "a", "b"]
+    at_a, at_b = F.xxhash64("graph_id", "ca"), F.xxhash64("graph_id", "cb")
+    live, seen = cut_observing(
+        edges.select(*columns),
+        "edges",
+        edges=F.count("*"),
+        nodes=F.approx_count_distinct(at_a) + F.approx_count_distinct(at_b),
+    )
+    if seen["edges"] > DENSE * seen["nodes"]:
+        share = math.sqrt(seen["nodes"] / seen["edges"])
+        drawn = F.pmod(F.xxhash64("graph_id", "a", "b", F.lit("sample")), F.lit(DRAWS)) < int(share * DRAWS)
+        ways = _ways(_contract(live.where(drawn), weight))
+        live = cut(_without_heaviest(live, ways, weight), "edges")
+    taken = [level.select("graph_id", "a", "b").distinct() for level, _ in _contract(live, weight)]
+    if not taken:
+        return edges.select("graph_id", "a", "b").limit(0)
+    return reduce(DataFrame.unionAll, taken)
+
+
+def _contract(live: DataFrame, weight: str) -> list[tuple[DataFrame, DataFrame]]:
+    """Per round, the lightest edge of each component, and the component each went into."""
+    levels = []
     while True:
-        lightest = _ends(live, weight, "a", "b").groupBy("graph_id", "c").agg(
+        lightest = _ends(live, weight, "a", "b").where(F.col("c") != F.col("other")).groupBy("graph_id", "c").agg(
             F.min(F.struct(weight, "a", "b", F.col("other").alias("p"))).alias("best")
         )
-        lightest, found = cut_counting(lightest.select("graph_id", "c", "best.a", "best.b", "best.p"), label="lightest")
+        lightest, found = cut_counting(
+            lightest.select("graph_id", "c", "best.a", "best.b", "best.p", F.col(f"best.{weight}").alias("weight")), label="lightest"
+        )
         if not found:
-            break
-        taken.append(lightest.select("graph_id", "a", "b").distinct())
+            return levels
         # two components may take the same edge; the smaller one becomes the root
         mates = lightest.select("graph_id", F.col("c").alias("p"), F.col("p").alias("_pp"))
         pointers = lightest.join(mates, ["graph_id", "p"]).select(
@@ -85,10 +119,48 @@ def spanning_forest(edges: DataFrame, weight: str = "w") -> DataFrame:
             "c",
             F.when((F.col("_pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"),
         )
-        live = cut(_relabel(live, _roots(pointers)[0]), "edges")
-    if not taken:
-        return edges.select("graph_id", "a", "b").limit(0)
-    return reduce(DataFrame.unionAll, taken)
+        roots = _roots(pointers)[0]
+        levels.append((lightest, roots))
+        live = cut(_relabel(live, roots), "edges")
+
+
+def _ways(levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame | None:
+    """``graph_id, c, way`` of each node: round by round its new component and the edge its old one took to get there."""
+    ways = None
+    for lightest, roots in reversed(levels):
+        step = roots.join(lightest.select("graph_id", "c", F.struct("weight", "a", "b").alias("edge")), ["graph_id", "c"])
+        step = step.select("graph_id", "c", "p", F.array(F.struct("p", "edge")).alias("way"))
+        if ways is not None:
+            later = ways.select("graph_id", F.col("c").alias("p"), F.col("way").alias("_later"))
+            step = step.join(later, ["graph_id", "p"], "left").withColumn(
+                "way", F.when(F.col("_later").isNull(), F.col("way")).otherwise(F.concat("way", "_later"))
+            )
+        ways = step.select("graph_id", "c", "way")
+    return None if ways is None else cut(ways, "ways")
+
+
+def _without_heaviest(live: DataFrame, ways: DataFrame | None, weight: str) -> DataFrame:
+    """Edges not heavier than every edge of the forest's path between their ends, or between parts it does not connect.
+
+    The heaviest edge of a path in a forest is the heaviest one that the components
+    of its two ends took until they were one, so two short lists decide on an edge.
+    """
+    if ways is None:
+        return live
+    at_a = ways.select("graph_id", F.col("c").alias("ca"), F.col("way").alias("_wa"))
+    at_b = ways.select("graph_id", F.col("c").alias("cb"), F.col("way").alias("_wb"))
+    rounds = F.least(F.size("_wa"), F.size("_wb"))
+    met = F.array_position(F.transform(F.arrays_zip("_wa", "_wb"), lambda s: s["_wa"]["p"] == s["_wb"]["p"]), True)
+    path = F.concat(F.slice("_wa", 1, met.cast("int")), F.slice("_wb", 1, met.cast("int")))
+    heaviest = F.array_max(F.transform(path, lambda s: s["edge"]))
+    apart = F.coalesce((met == 0) | (rounds <= 0), F.lit(True))
+    own = F.struct(F.col(weight).alias("weight"), "a", "b")
+    return (
+        live.join(at_a, ["graph_id", "ca"], "left")
+        .join(at_b, ["graph_id", "cb"], "left")
+        .where((F.col("ca") != F.col("cb")) & (apart | (own <= heaviest)))
+        .select(live.columns)
+    )
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -71,9 +71,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def cut_observing(df: DataFrame, label: str = "cut", **aggregates: Column) -> tuple[DataFrame, dict]:
+    """Like :func:`cut`, and compute the named aggregates in the same pass."""
+    observation = Observation()
+    written = cut(df.observe(observation, *[value.alias(name) for name, value in aggregates.items()]), label)
+    return written, observation.get
+
+
 def cut_counting(df: DataFrame, condition: Column | None = None, label: str = "cut") -> tuple[DataFrame, int]:
     """Like :func:`cut`, and count rows (those meeting ``condition``) in the same pass."""
-    counted = F.count("*") if condition is None else F.count_if(condition)
-    observation = Observation()
-    written = cut(df.observe(observation, counted.alias("n")), label)
-    return written, int(observation.get["n"])
+    written, seen = cut_observing(df, label, n=F.count("*") if condition is None else F.count_if(condition))
+    return written, int(seen["n"])

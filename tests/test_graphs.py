@@ -107,6 +107,31 @@ def test_walk_around_trees(spark):
     }
 
 
+def test_forest_of_dense_graphs(spark, monkeypatch):
+    """The forest of a sample rules edges out: ties, a second graph, loops and repeated edges change nothing."""
+    rng = random.Random(8)
+    weights = [(g, a, b, rng.randrange(12) / 12) for g, n in ((0, 60), (1, 25)) for a in range(n) for b in range(a + 1, n)]
+    weights += [(2, 4, 4, 0.1), (2, 4, 9, 0.5), (3, 7, 8, 0.2)]
+    table = spark.createDataFrame(weights + weights[:40], "graph_id int, a int, b int, w double")
+    sets, expected = Sets(), set()
+    for g, a, b, _ in sorted(weights, key=lambda r: (r[3], r[1], r[2])):
+        if sets.join((g, a), (g, b)):
+            expected.add((g, a, b))
+    entered = []
+    contract = connectivity._contract
+    monkeypatch.setattr(connectivity, "_contract", lambda live, weight: entered.append(live.count()) or contract(live, weight))
+    assert {tuple(r) for r in connectivity.spanning_forest(table).collect()} == expected
+    # sample first, then what it leaves, of some 2,000 edges
+    assert len(entered) == 2 and max(entered) < len(weights) / 2
+
+
+def test_pointers_reach_their_roots(spark):
+    rows = [(0, 0, 0)] + [(0, i, i - 1) for i in range(1, 200)] + [(1, 5, 5), (1, 6, 5), (1, 7, 6)]
+    roots, count = connectivity._roots(spark.createDataFrame(rows, "graph_id int, c int, p int"))
+    assert count == len(rows)
+    assert sorted(map(tuple, roots.collect())) == [(0, i, 0) for i in range(200)] + [(1, 5, 5), (1, 6, 5), (1, 7, 5)]
+
+
 def test_forest_of_all_line_items(spark):
     from gridtwin.functions.rng import draw
     from catalog import inputs
