@@ -1,3 +1,3 @@
 """Import every module that registers queries."""
 
-from catalog import corpora, fields, files, graphs, messages, rooms, sampling, scoring, timeline  # noqa: F401
+from catalog import corpora, fields, files, graphs, layouts, messages, rooms, sampling, scoring, timeline  # noqa: F401

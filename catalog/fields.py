@@ -58,9 +58,9 @@ def attempt(n: int) -> str:
     QUALIFY count(*) OVER (PARTITION BY w.room_id) >= 20 AND row_number() OVER (PARTITION BY w.room_id ORDER BY w.dist DESC, w.node) = 1)"""
 
 
-def of_all_attempts(name: str) -> str:
+def of_all_attempts(name: str, prefix: str = "") -> str:
     rows = (f"SELECT * FROM {name}{n} WHERE room_id IN (SELECT room_id FROM ends{n})" for n in range(ATTEMPTS))
-    return f"{name} AS MATERIALIZED ({' UNION ALL '.join(rows)})"
+    return f"{prefix}{name} AS MATERIALIZED ({' UNION ALL '.join(rows)})"
 
 
 WITH_FIELD = ",\n  ".join([*map(attempt, range(ATTEMPTS)), *map(of_all_attempts, ("cells", "arcs", "walk", "ends"))])
