@@ -3,8 +3,8 @@
 Vectors go to the shards of their nearest centres, so shards overlap; in
 each shard a graph is grown by greedy search and robust pruning; the
 adjacency lists a vector got in its shards are united; then every vector
-searches each of its shards from the medoid, widening as long as it finds
-vectors in range, and cosines are confirmed in double precision.
+searches each of its shards from the medoids of groups far apart, widening as long
+as it finds vectors in range, and cosines are confirmed in double precision.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ OVERLAP = 3
 SAMPLE = 4_096
 DEGREE = 24
 BEAM = 32
+STARTS = 32
 ALPHA = 1.2
 MARGIN = 0.02
 AUDIT = 512
@@ -46,24 +47,41 @@ def centres(x: np.ndarray, count: int, rounds: int = 6, seed: int = 3) -> np.nda
     return found
 
 
-def medoid(x: np.ndarray) -> int:
-    return int((x @ x.mean(axis=0)).argmax())
+def medoids(x: np.ndarray, count: int = STARTS) -> np.ndarray:
+    """Row numbers of the medoids of up to ``count`` groups of a shard.
+
+    The first is the medoid of all; each further group begins at the vector farthest
+    from the beginnings so far, so no dense group takes all of them.
+    """
+    begin = [int((x @ x.mean(axis=0)).argmax())]
+    nearest = x @ x[begin[0]]
+    own = np.zeros(len(x), np.int64)
+    while len(begin) < count and nearest.min() < 1 - MARGIN:
+        begin.append(int(nearest.argmin()))
+        cosine = x @ x[begin[-1]]
+        own[cosine > nearest] = len(begin) - 1
+        nearest = np.maximum(nearest, cosine)
+    middles = [np.flatnonzero(own == k) for k in range(len(begin))]
+    found = [begin[0], *[m[(x[m] @ x[m].mean(axis=0)).argmax()] for m in middles if len(m)]]
+    return np.array(list(dict.fromkeys(found)), np.int64)[:count]
 
 
 class Walk:
     """Greedy search of many queries at once over one graph; remembers every cosine it computed."""
 
-    def __init__(self, x: np.ndarray, links: np.ndarray, queries: np.ndarray, start: int, beam: int):
+    def __init__(self, x: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: np.ndarray, beam: int):
         self.x, self.links, self.q = x, links, queries
         rows = len(queries)
         self.cosine = np.full((rows, len(x)), -2.0, np.float32)
         self.opened = np.zeros((rows, len(x)), bool)
-        first = queries @ x[start]
-        self.cosine[:, start] = first
+        starts = starts[:beam]
+        first = queries @ x[starts].T
+        self.cosine[:, starts] = first
+        order = np.argsort(-first, axis=1, kind="stable")
         self.beam = np.full((rows, beam), -1, np.int64)
-        self.beam[:, 0] = start
+        self.beam[:, : len(starts)] = starts[order]
         self.value = np.full((rows, beam), -3.0, np.float32)
-        self.value[:, 0] = first
+        self.value[:, : len(starts)] = np.take_along_axis(first, order, 1)
 
     def look(self, rows: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Compute the cosines not yet known; returns those (row, node) pairs."""
@@ -145,9 +163,9 @@ def grow(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int = 1) -
     draw = np.random.default_rng(seed)
     degree = min(degree, max(1, n - 1))
     links = draw.integers(0, n, (n, degree))
-    start = medoid(x)
+    starts = medoids(x)
     for batch in np.array_split(draw.permutation(n), max(1, n // 128)):
-        walk = Walk(x, links, x[batch], start, beam)
+        walk = Walk(x, links, x[batch], starts, beam)
         walk.greedy()
         opened = np.where(walk.opened, walk.cosine, -3.0)
         width = min(n, 2 * beam)
@@ -165,6 +183,28 @@ def grow(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int = 1) -
             own = back[b : b + s]
             more[i, : min(s, more.shape[1])] = own if s <= more.shape[1] else draw.choice(own, more.shape[1], replace=False)
         links[nodes] = prune(x, nodes, np.concatenate([more, links[nodes]], axis=1), degree)
+    return mend(x, links, starts, beam)
+
+
+def mend(x: np.ndarray, links: np.ndarray, starts: np.ndarray, beam: int, rounds: int = 3) -> np.ndarray:
+    """Let each vector that a search for it does not meet be pointed at from where that search ended; lists may become longer."""
+    for _ in range(rounds):
+        lost, ends = [], []
+        for a in range(0, len(x), 256):
+            walk = Walk(x, links, x[a : a + 256], starts, beam)
+            walk.greedy()
+            unmet = np.flatnonzero(walk.cosine[np.arange(len(walk.q)), a + np.arange(len(walk.q))] == -2.0)
+            lost.append(a + unmet)
+            ends.append(walk.beam[unmet, 0])
+        lost, ends = np.concatenate(lost), np.concatenate(ends)
+        if not len(lost):
+            break
+        order = np.argsort(ends, kind="stable")
+        lost, ends = lost[order], ends[order]
+        nodes, begin, size = np.unique(ends, return_index=True, return_counts=True)
+        more = np.full((len(x), int(size.max())), -1, np.int64)
+        more[ends, np.arange(len(ends)) - np.repeat(begin, size)] = lost
+        links = np.concatenate([links, more], axis=1)
     return links
 
 
@@ -183,9 +223,9 @@ def local_links(lists: list, ids: np.ndarray) -> np.ndarray:
 def _linked(x, x64, links, queries, q64, threshold: float, beam: int) -> np.ndarray:
     """[queries, rows] mask of links that the search found and double precision confirms."""
     out = np.zeros((len(queries), len(x)), bool)
-    start = medoid(x)
+    starts = medoids(x)
     for a in range(0, len(queries), 256):
-        walk = Walk(x, links, queries[a : a + 256], start, beam)
+        walk = Walk(x, links, queries[a : a + 256], starts, beam)
         walk.greedy()
         walk.widen(threshold - MARGIN)
         rows, nodes = np.nonzero(walk.cosine >= threshold - 1e-4)
@@ -200,17 +240,6 @@ def _confirm(out, rows, nodes, q64, x64, threshold: float) -> None:
         out[r, n] = np.einsum("ij,ij->i", q64[r], x64[n]) >= threshold
 
 
-def _share_further(found, homes, x64, shard: int, threshold: float) -> None:
-    """Mark all links of pairs that share a larger shard too, by products: what any shard could find is found in the smallest."""
-    last = len(homes) - 1
-    for other in np.intersect1d(homes[0], homes[last]):
-        if other > shard:
-            a, b = (np.flatnonzero((h == other).any(axis=1)) for h in (homes[0], homes[last]))
-            near = (x64[0][a] @ x64[last][b].T >= threshold - 1e-9) & ~found[np.ix_(a, b)]
-            rows, nodes = np.nonzero(near)
-            _confirm(found, a[rows], b[nodes], x64[0], x64[last], threshold)
-
-
 def _tally(found: np.ndarray, counted: np.ndarray, sides: list[pd.DataFrame]) -> pd.DataFrame:
     """``rep, links, root`` of every vector with a link in ``found``: its links in ``counted``, and the smallest of its group."""
     ids = [s["rep"].to_numpy(np.int64) for s in sides]
@@ -245,11 +274,10 @@ def _meet(group: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     found = _linked(x[last], x64[last], graphs[last], x[0], x64[0], threshold, beam)
     other = found if last == 0 else _linked(x[0], x64[0], graphs[0], x[last], x64[last], threshold, beam)
     found |= other.T
-    homes = [np.array(s["homes"].tolist(), np.int64) for s in sides]
-    shard = int(group["shard"].iloc[0])
-    _share_further(found, homes, x64, shard, threshold)
     if last == 0:
         np.fill_diagonal(found, False)
+    homes = [np.array(s["homes"].tolist(), np.int64) for s in sides]
+    shard = int(group["shard"].iloc[0])
     # a pair that shares several shards is counted in the smallest of them, and joined wherever it is found
     rows, nodes = np.nonzero(found)
     common = (homes[0][rows][:, :, None] == homes[last][nodes][:, None, :]) & (homes[0][rows][:, :, None] < shard)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from gridtwin.llm import flatgraph, vantage
 from test_duplicates import brute_groups  # noqa: F401
@@ -78,12 +79,30 @@ def test_grown_graph_reaches_every_vector():
     x = np.random.default_rng(2).normal(size=(500, 16))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     links = flatgraph.grow(x)
-    walk = flatgraph.Walk(x, links, x, flatgraph.medoid(x), 32)
+    walk = flatgraph.Walk(x, links, x, flatgraph.medoids(x), 32)
     walk.greedy()
     assert (walk.cosine[np.arange(500), np.arange(500)] > 0.999).mean() > 0.98
     assert ((walk.cosine > -2).sum(axis=1) < 500).mean() > 0.9  # without looking at everything
 
 
+@pytest.mark.parametrize("dense, pairs, width", [(400, 300, 64), (900, 50, 64), (0, 500, 64), (300, 60, 24), (3, 1, 8)])
+def test_the_graph_alone_reaches_isolated_pairs_beside_a_dense_group(dense, pairs, width):
+    x64 = skewed(np.random.default_rng(dense), dense, pairs, width)
+    x64 /= np.linalg.norm(x64, axis=1, keepdims=True)
+    x = x64.astype(np.float32)
+    found = flatgraph._linked(x, x64, flatgraph.grow(x), x, x64, 0.95, flatgraph.BEAM)
+    found |= found.T
+    true = x64 @ x64.T >= 0.95
+    assert not (found & ~true).any()
+    assert ((found & true).sum(axis=1) / true.sum(axis=1)).mean() >= 0.99
+
+
+def test_medoids_of_equal_vectors_and_of_one():
+    assert flatgraph.medoids(np.ones((5, 1), np.float32)).tolist() == [0]
+    assert flatgraph.medoids(np.ones((1, 1), np.float32)).tolist() == [0]
+    assert sorted(flatgraph.medoids(np.eye(3, dtype=np.float32)).tolist()) == [0, 1, 2]
+
+
 def brute_nearest(rows, queries, k):
     x = np.array([v for _, v in rows])
     out = []
