@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from catalog import sqltext as sql
 from gridtwin.functions.rng import draw
+from gridtwin.session import spread
 
 EDIT_TYPES = ("add_wall", "remove_wall", "move_gem", "floor_to_ice")
 
@@ -215,7 +216,8 @@ def room_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         cell = F.when(F.col("u") < edge, F.lit(token)).otherwise(cell)
     total = ROOM_SIZE * ROOM_SIZE
     key = F.col("c_custkey")
-    cells = table(spark, sf_dir, "customer").select(
+    # a customer is one small row with 64 cells
+    cells = spread(table(spark, sf_dir, "customer").select("c_custkey")).select(
         key.alias("room_id"),
         draw_int(key, 100, total).alias("player"),
         F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("i"),

@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridtwin.session import spread
+
+WORD = 50  # cells in a word of open sides
+
 
 def cell_x(node: Column, width: Column) -> Column:
     return F.pmod(node, width)
@@ -24,9 +28,13 @@ def manhattan(a: Column, b: Column, width: Column) -> Column:
 
 
 def grid_nodes(params: DataFrame, *carry: str) -> DataFrame:
-    """All cells of each grid (``graph_id, width, height`` and carried columns)."""
+    """All cells of each grid (``graph_id, width, height`` and carried columns).
+
+    A grid is one small row with many cells, so the rows are dealt to all cores first.
+    """
     cells = F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1))
-    return params.select("graph_id", "width", "height", *carry, cells.alias("node"))
+    dealt = spread(params.select("graph_id", "width", "height", *carry))
+    return dealt.select("graph_id", "width", "height", *carry, cells.alias("node"))
 
 
 def grid_edges(params: DataFrame, *carry: str) -> DataFrame:
@@ -68,39 +76,79 @@ def edges_from_rows(grids: DataFrame) -> DataFrame:
     )
 
 
-def open_sides(params: DataFrame, edges: DataFrame, *carry: str) -> DataFrame:
-    """Each cell with ``right`` and ``down``: 1 where the passage to that side is open."""
+def _with_sides(params: DataFrame, edges: DataFrame) -> DataFrame:
+    """``params`` with ``_right`` and ``_down``: the open sides of each grid's cells, as arrays of words of 50 cells.
+
+    Edges become bits before they are shuffled: a task sends a word per 50
+    cells, not a row per edge, and the words of a grid meet in its row.
+    """
     width = F.col("width")
-    opened = (
-        edges.join(params.select("graph_id", "width"), "graph_id")
-        .groupBy("graph_id", F.col("a").alias("node"))
-        .agg(
-            F.max((F.col("b") == F.col("a") + 1).cast("int")).alias("right"),
-            F.max((F.col("b") == F.col("a") + width).cast("int")).alias("down"),
-        )
+    a, b = F.col("a"), F.col("b")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (a % WORD).cast("int"))
+    side = lambda there: F.bit_or(F.when(there, bit).otherwise(F.lit(0).cast("bigint")))
+    widths = params.select("graph_id", "width").distinct()
+    words = (
+        edges.join(widths, "graph_id")
+        .where(a >= 0)
+        .groupBy("graph_id", "width", F.floor(a / WORD).cast("int").alias("_word"))
+        .agg(side(b == a + 1).alias("r"), side(b == a + width).alias("d"))
     )
-    return (
-        grid_nodes(params, *carry)
-        .join(opened, ["graph_id", "node"], "left")
-        .withColumn("x", cell_x(F.col("node"), width))
-        .withColumn("y", cell_y(F.col("node"), width))
-        .fillna(0, ["right", "down"])
+    listed = words.groupBy("graph_id", "width").agg(F.collect_list(F.struct("_word", "r", "d")).alias("_words"))
+    every = F.sequence(F.lit(0), F.floor((width * F.col("height") - 1) / WORD).cast("int"))
+    none = F.array().cast("array<struct<_word: int, r: bigint, d: bigint>>")
+
+    def filled(kind: str) -> Column:
+        held = F.map_from_entries(F.transform(F.coalesce("_words", none), lambda w: F.struct(w["_word"], w[kind])))
+        made = F.transform(F.array(held), lambda m: F.transform(every, lambda w: F.coalesce(F.try_element_at(m, w), F.lit(0).cast("bigint"))))
+        return F.get(made, F.lit(0))
+
+    joined = spread(params.join(listed, ["graph_id", "width"], "left"))
+    return joined.withColumn("_right", filled("r")).withColumn("_down", filled("d")).drop("_words")
+
+
+def _open(words: str, node: Column) -> Column:
+    """1 where the cell's bit is set."""
+    word = F.get(F.col(words), F.floor(node / WORD).cast("int"))
+    return F.call_function("shiftright", word, (node % WORD).cast("int")).bitwiseAND(F.lit(1)).cast("int")
+
+
+def open_sides(params: DataFrame, edges: DataFrame, *carry: str) -> DataFrame:
+    """Each cell with ``right`` and ``down``: 1 where the passage to that side is open."""
+    node, width = F.col("node"), F.col("width")
+    sides = _with_sides(params.select("graph_id", "width", "height", *carry), edges)
+    cells = F.explode(F.sequence(F.lit(0), width * F.col("height") - 1))
+    return sides.withColumn("node", cells).select(
+        "graph_id",
+        "node",
+        "width",
+        "height",
+        *carry,
+        _open("_right", node).alias("right"),
+        _open("_down", node).alias("down"),
+        cell_x(node, width).alias("x"),
+        cell_y(node, width).alias("y"),
     )
 
 
 def rows_from_edges(params: DataFrame, edges: DataFrame) -> DataFrame:
-    """Passage rows of each graph, the inverse of :func:`edges_from_rows`."""
-    def in_order(key: str, *values: str) -> Column:
-        return F.array_sort(F.collect_list(F.struct(key, *values)))
+    """Passage rows of each graph, the inverse of :func:`edges_from_rows`; cells of repeated rows are repeated in place."""
+    width, height = F.col("width"), F.col("height")
+    once = params.groupBy("graph_id", "width", "height").agg(F.count("*").cast("int").alias("_times"))
+
+    def rows(words: str) -> Column:
+        def cell(y: Column, x: Column) -> Column:
+            return F.array_repeat(_open(words, y * width + x), F.col("_times"))
+
+        across = F.sequence(F.lit(0), width - 1)
+        return F.transform(
+            F.sequence(F.lit(0), height - 1),
+            lambda y: F.when(F.col("_times") == 1, F.transform(across, lambda x: _open(words, y * width + x))).otherwise(
+                F.flatten(F.transform(across, lambda x: cell(y, x)))
+            ),
+        )
 
-    lines = open_sides(params, edges).groupBy("graph_id", "width", "height", "y").agg(
-        in_order("x", "right", "down").alias("cells")
-    )
-    lines = lines.select(
-        "graph_id", "width", "height", "y", F.col("cells.right").alias("right"), F.col("cells.down").alias("down")
-    )
-    return lines.groupBy("graph_id", "width", "height").agg(in_order("y", "right", "down").alias("lines")).select(
-        "graph_id", "width", "height", F.col("lines.right").alias("right"), F.col("lines.down").alias("down")
+    return _with_sides(once, edges).select(
+        "graph_id", "width", "height", rows("_right").alias("right"), rows("_down").alias("down")
     )
 
 
