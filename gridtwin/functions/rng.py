@@ -6,6 +6,7 @@ function of (seed, k): no row order, partition layout or retry can change it.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +64,16 @@ def draw_inside(seed: Column, k: Column) -> Column:
     return let(state, lambda s: let(scrambled(s), finished))
 
 
+def draws(seed: np.ndarray, k: np.ndarray | int) -> np.ndarray:
+    """:func:`draw` of whole numbers in numpy."""
+    low = lambda value: (np.asarray(value, np.int64) & MASK).astype(np.uint32)
+    state = low(seed) + (low(k) + np.uint32(1)) * np.uint32(STEP)
+    mixed = (state ^ (state >> np.uint32(15))) * (state | np.uint32(1))
+    again = (mixed ^ (mixed >> np.uint32(7))) * (mixed | np.uint32(61))
+    mixed = mixed ^ (mixed + again)
+    return (mixed ^ (mixed >> np.uint32(14))) / float(TWO32)
+
+
 def draw_int(seed: Column | int, k: Column | int, n: Column | int) -> Column:
     """The k-th draw of ``seed`` as an integer in [0, n)."""
     return F.floor(draw(seed, k) * n).cast("int")

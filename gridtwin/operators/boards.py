@@ -1,11 +1,9 @@
-"""Grids as bit boards: distances, paths and components inside one row, without a shuffle.
+"""Grids as bit boards: distances, paths and components of each row, without a shuffle.
 
 A board is an array of longs with a bit per cell: each row of a grid takes
 ``ceil(width / 50)`` words of 50 cells. ``right`` and ``down`` hold the open
-passages of each cell to its neighbours, so one step of a flood over the whole
-grid is a few shifts and masks a word. Numbers of cells (distances, parts) are
-kept as bit planes: board p holds the cells whose number has bit p. So the
-state of a flood is a few boards, however many steps it takes.
+passages of each cell to its neighbours. Floods and connected parts are made by the
+kernels of :mod:`gridtwin.operators.lattice`, on many rows at a time.
 """
 
 from __future__ import annotations
@@ -14,34 +12,23 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from gridtwin.operators.grids import cell_x, cell_y
+from gridtwin.operators.lattice import cells_of_rows, floods, parts, with_column
 from gridtwin.session import spread
 
 WORD = 50
-FULL = (1 << WORD) - 1
-UNREACHED = 24  # plane of the cells without a distance
 
 
 def _left(value: Column, bits: Column) -> Column:
     return F.call_function("shiftleft", value, bits.cast("int"))
 
 
-def _right(value: Column, bits: Column) -> Column:
-    return F.call_function("shiftright", value, bits.cast("int"))
-
-
 def _and(a: Column, b: Column) -> Column:
     return a.bitwiseAND(b)
 
 
-def _or(*parts: Column) -> Column:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.bitwiseOR(part)
-    return out
-
-
 def _long(value: int) -> Column:
     return F.lit(value).cast("bigint")
 
@@ -70,130 +57,14 @@ def holds(board: Column, node: Column, width: Column) -> Column:
     return F.coalesce(_and(F.get(board, word_of(node, width)), bit_of(node, width)) != 0, F.lit(False))
 
 
-def single(node: Column, width: Column, height: Column) -> Column:
-    """The board of one cell."""
-    words = F.sequence(F.lit(0), row_words(width) * height - 1)
-    return F.transform(words, lambda w: F.when(w == word_of(node, width), bit_of(node, width)).otherwise(_long(0)))
-
-
-def any_cell(board: Column) -> Column:
-    return F.exists(board, lambda w: w != 0)
-
-
-def count_cells(board: Column) -> Column:
-    return F.aggregate(board, F.lit(0), lambda n, w: n + F.bit_count(w))
-
-
-def lowest_cell(board: Column, width: Column) -> Column:
-    """The smallest cell on a board, null on an empty one."""
-    words = row_words(width)
-    first = F.array_position(F.transform(board, lambda w: (w != 0).cast("int")), 1).cast("int") - 1
-
-    def cell(at: Column) -> Column:
-        word = F.get(board, at)
-        low = F.length(F.bin(_and(word, -word))) - 1
-        return (F.floor(at / words) * width + (at % words) * WORD + low).cast("int")
-
-    return let(first, lambda at: F.when(at >= 0, cell(at)))
-
-
-def whole_board(width: Column, height: Column) -> Column:
-    """All cells of a grid."""
-    words = row_words(width)
-
-    def word(w: Column) -> Column:
-        cells = F.least(F.lit(WORD), width - (w % words) * WORD)
-        return _left(_long(1), cells) - 1
-
-    return F.transform(F.sequence(F.lit(0), words * height - 1), word)
-
-
-def neighbours(front: Column, right: Column, down: Column, words: Column) -> Column:
-    """The board of all cells one open passage away from those of ``front``; ``words`` is the length of a row."""
-
-    def at(board: Column, w: Column) -> Column:
-        return F.coalesce(F.get(board, w), _long(0))
-
-    def word(own: Column, w: Column) -> Column:
-        above, below = at(front, w - words), at(front, w + words)
-        open_right = F.get(right, w)
-        inside = _or(
-            _and(F.shiftleft(_and(own, open_right), 1), _long(FULL)),
-            _and(F.shiftright(own, 1), open_right),
-            _and(above, at(down, w - words)),
-            _and(below, F.get(down, w)),
-        )
-        # rows of more than one word pass their last bit on
-        before = F.when(w % words > 0, F.shiftright(_and(at(front, w - 1), at(right, w - 1)), WORD - 1)).otherwise(_long(0))
-        after = F.when(w % words < words - 1, _and(F.shiftleft(at(front, w + 1), WORD - 1), open_right)).otherwise(_long(0))
-        within = F.when(_or(own, above, below) == 0, _long(0)).otherwise(inside)
-        return F.when(words == 1, within).otherwise(_or(within, _and(_or(before, after), _long(FULL))))
-
-    return F.transform(front, word)
-
-
-def _without(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(F.bitwise_not(y)))
-
-
-def _with(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x.bitwiseOR(y))
-
-
-def _planes(cells: Column) -> Column:
-    """Empty planes, enough for numbers up to the bits of all words."""
-    count = F.length(F.bin((F.size(cells) * WORD).cast("bigint")))
-    return F.transform(F.sequence(F.lit(1), count), lambda _: F.transform(cells, lambda w: _long(0)))
-
-
-def _numbered(planes: Column, board: Column, number: Column) -> Column:
-    """The planes with ``number`` written to the cells of ``board``."""
-    return F.transform(
-        planes, lambda plane, p: F.when(_right(number, p).bitwiseAND(F.lit(1)) == 1, _with(plane, board)).otherwise(plane)
-    )
-
-
-def number_at(planes: Column, node: Column, width: Column) -> Column:
-    """The number of a cell."""
-
-    def read(word: Column) -> Column:
-        bit = bit_of(node, width)
-        digits = F.transform(planes, lambda plane, p: F.when(F.get(plane, word).bitwiseAND(bit) != 0, _left(F.lit(1), p)).otherwise(0))
-        return F.aggregate(digits, F.lit(0), lambda n, d: n + d)
-
-    return let(word_of(node, width), read)
-
-
-def flood(start: Column, right: Column, down: Column, width: Column, height: Column, words: Column | None = None) -> Column:
-    """``reached`` and ``planes`` of a flood from one cell: the cells it reaches, and their distances as planes.
-
-    A null start gives null. ``words`` is the length of a row in words, if it is at hand.
-    """
-    words = row_words(width) if words is None else words
-    one = single(start, width, height)
-    nothing = F.transform(one, lambda w: _long(0))
-    zero = F.struct(one.alias("front"), nothing.alias("reached"), _planes(one).alias("planes"))
-
-    def step(state: Column, k: Column) -> Column:
-        front = state["front"]
-        reached = _with(state["reached"], front)
-        more = F.struct(
-            _without(neighbours(front, right, down, words), reached).alias("front"),
-            reached.alias("reached"),
-            _numbered(state["planes"], front, k).alias("planes"),
-        )
-        return F.when(any_cell(front), more).otherwise(state)
-
-    # a step a distance: the last one finds nothing new
-    steps = F.sequence(F.lit(0), width * height)
-    found = F.aggregate(steps, zero, step, lambda s: F.struct(s["reached"].alias("reached"), s["planes"].alias("planes")))
-    return F.when(start.isNotNull(), found)
+def number_at(cells: Column, node: Column) -> Column:
+    """What an array with an entry per cell holds for ``node``."""
+    return F.get(cells, node.cast("int"))
 
 
 def distance_to(flooded: Column, node: Column, width: Column) -> Column:
     """Steps to a cell, -1 if it was not reached."""
-    there = holds(flooded["reached"], node, width)
-    return F.when(there, number_at(flooded["planes"], node, width)).otherwise(F.lit(-1))
+    return F.coalesce(number_at(flooded, node), F.lit(-1))
 
 
 def path_to(flooded: Column, node: Column, right: Column, down: Column, width: Column) -> Column:
@@ -202,7 +73,7 @@ def path_to(flooded: Column, node: Column, right: Column, down: Column, width: C
     def back(path: Column, k: Column) -> Column:
         def before(here: Column) -> Column:
             def fits(cell: Column, passages: Column, owner: Column) -> Column:
-                return holds(passages, owner, width) & (number_at(flooded["planes"], cell, width) == k)
+                return F.coalesce(number_at(flooded, cell) == k, F.lit(False)) & holds(passages, owner, width)
 
             up, left = here - width, here - 1
             return (
@@ -225,60 +96,7 @@ def path_to(flooded: Column, node: Column, right: Column, down: Column, width: C
 
 def farthest_cell(flooded: Column, width: Column) -> Column:
     """The smallest of the cells at the largest distance."""
-
-    def narrowed(cells: Column, plane: Column) -> Column:
-        both = F.zip_with(cells, plane, lambda a, b: a.bitwiseAND(b))
-        return F.when(any_cell(both), both).otherwise(cells)
-
-    return lowest_cell(F.aggregate(F.reverse(flooded["planes"]), flooded["reached"], narrowed), width)
-
-
-def parts(cells: Column, right: Column, down: Column, words: Column, width: Column) -> Column:
-    """The connected parts of the cells of a board, numbered in order of their smallest cell.
-
-    ``planes`` (the number of each cell's part), ``sizes`` and ``lows`` (the
-    smallest cell) of the parts.
-    """
-    empty = F.transform(cells, lambda w: _long(0))
-    numbers = F.array().cast("array<int>")
-    zero = F.struct(
-        empty.alias("front"),
-        empty.alias("seen"),
-        empty.alias("part"),
-        _planes(cells).alias("planes"),
-        numbers.alias("sizes"),
-        numbers.alias("lows"),
-    )
-
-    def lone(board: Column) -> Column:
-        """The board of the smallest cell of ``board``; an empty array if it has none."""
-        first = F.array_position(F.transform(board, lambda w: (w != 0).cast("int")), 1).cast("int") - 1
-        one = lambda at: F.transform(board, lambda w, i: F.when(i == at, _and(w, -w)).otherwise(_long(0)))
-        return let(first, lambda at: F.when(at >= 0, one(at)).otherwise(F.array().cast("array<bigint>")))
-
-    def step(state: Column, _: Column) -> Column:
-        front, seen, part = state["front"], state["seen"], state["part"]
-        reached = _with(seen, front)
-        kept = [state[c].alias(c) for c in ("planes", "sizes", "lows")]
-        grow = F.struct(
-            _without(neighbours(front, right, down, words), reached).alias("front"),
-            reached.alias("seen"),
-            _with(part, front).alias("part"),
-            *kept,
-        )
-        begin = F.struct(
-            let(_without(cells, seen), lone).alias("front"),
-            seen.alias("seen"),
-            empty.alias("part"),
-            F.when(any_cell(part), _numbered(state["planes"], part, F.size(state["sizes"]))).otherwise(state["planes"]).alias("planes"),
-            F.when(any_cell(part), F.concat(state["sizes"], F.array(count_cells(part)))).otherwise(state["sizes"]).alias("sizes"),
-            F.when(any_cell(part), F.concat(state["lows"], F.array(lowest_cell(part, width)))).otherwise(state["lows"]).alias("lows"),
-        )
-        return F.when(F.size(front) == 0, state).when(any_cell(front), grow).otherwise(begin)
-
-    # a part takes a step a distance and one to begin; the very first step ends no part
-    steps = F.sequence(F.lit(0), 2 * count_cells(cells) + 1)
-    return F.aggregate(steps, zero, step, lambda s: F.struct(*[s[c].alias(c) for c in ("planes", "sizes", "lows")]))
+    return (F.array_position(flooded, F.array_max(flooded)) - 1).cast("int")
 
 
 # --- tables ---------------------------------------------------------------------------
@@ -324,55 +142,45 @@ def cells_of(board: Column, width: Column) -> Column:
     words = row_words(width)
 
     def of_word(word: Column, at: Column) -> Column:
-        bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: _right(word, b).bitwiseAND(_long(1)) == 1)
+        bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.call_function("shiftright", word, b).bitwiseAND(_long(1)) == 1)
         first = (F.floor(at / words) * width + (at % words) * WORD).cast("int")
         return F.when(word == 0, F.array().cast("array<int>")).otherwise(F.transform(bits, lambda b: first + b))
 
     return F.flatten(F.transform(board, of_word))
 
 
-def numbered_cells(boards: DataFrame, cells: Column, planes: Column, *keys: str) -> DataFrame:
-    """``keys, node, number`` of all cells of a board, with the number that the planes give them."""
-    # the outer forms, as a plain explode puts a filter in front that computes its boards twice
-    at_word = F.transform(cells, lambda w, i: F.struct(w.alias("w"), i.alias("i"), F.transform(planes, lambda p: F.get(p, i)).alias("p")))
-    words = boards.select(*keys, "width", "words", F.explode_outer(F.filter(at_word, lambda x: x["w"] != 0)).alias("_word"))
-    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: _right(F.col("_word.w"), b).bitwiseAND(_long(1)) == 1)
-    first = F.floor(F.col("_word.i") / F.col("words")) * F.col("width") + (F.col("_word.i") % F.col("words")) * WORD
-    each = words.select(*keys, "_word.p", first.cast("int").alias("_first"), F.explode_outer(bits).alias("_bit"))
-    digit = F.transform("p", lambda word, k: _left(_right(word, F.col("_bit")).bitwiseAND(_long(1)), k))
-    number = F.aggregate(digit, _long(0), lambda n, d: n + d).cast("int")
-    return each.where(F.col("_bit").isNotNull()).select(*keys, (F.col("_first") + F.col("_bit")).alias("node"), number.alias("number"))
+def with_flood(boards: DataFrame, start: Column) -> DataFrame:
+    """The boards with ``flood``: the steps from each one's start cell to every cell, -1 where there is no way; null without a start."""
+    made = with_column(
+        boards.withColumn("_start", start), "flood", ArrayType(IntegerType()), lambda block: floods(block, "_start", WORD), cells_of_rows
+    )
+    return made.drop("_start")
 
 
-def with_flood(boards: DataFrame, start: Column) -> DataFrame:
-    """The boards with ``flood`` (see :func:`flood`) from each one's start cell."""
-    return boards.withColumn("flood", flood(start, F.col("right"), F.col("down"), F.col("width"), F.col("height"), F.col("words")))
+def _each_cell(boards: DataFrame, values: Column, *keys: str) -> DataFrame:
+    """``keys, node, number`` of all cells."""
+    return boards.select(*keys, F.posexplode(values).alias("node", "number"))
 
 
 def distances(flooded: DataFrame, *keys: str) -> DataFrame:
     """``keys, node, dist`` of all cells reached."""
-    found = numbered_cells(flooded, F.col("flood.reached"), F.col("flood.planes"), *keys)
-    return found.withColumnRenamed("number", "dist")
+    return all_distances(flooded, *keys).where(F.col("dist") >= 0)
 
 
 def all_distances(flooded: DataFrame, *keys: str) -> DataFrame:
-    """``keys, node, dist`` of all cells, -1 for those not reached."""
-    whole = whole_board(F.col("width"), F.col("height"))
-    planes = F.concat(
-        F.col("flood.planes"),
-        F.array_repeat(F.transform("_whole", lambda w: _long(0)), UNREACHED - F.size("flood.planes")),
-        F.array(_without(F.col("_whole"), F.col("flood.reached"))),
-    )
-    found = numbered_cells(flooded.withColumn("_whole", whole), F.col("_whole"), planes, *keys)
-    return found.select(*keys, "node", F.when(F.col("number") >= 1 << UNREACHED, F.lit(-1)).otherwise(F.col("number")).alias("dist"))
+    """``keys, node, dist`` of all cells, -1 for those not reached; null in grids without a start."""
+    unknown = F.array_repeat(F.lit(None).cast("int"), F.col("width") * F.col("height"))
+    return _each_cell(flooded, F.coalesce("flood", unknown), *keys).withColumnRenamed("number", "dist")
 
 
-def _parts(boards: DataFrame) -> DataFrame:
-    width = F.col("width")
-    whole = whole_board(width, F.col("height"))
-    return boards.withColumn("_whole", whole).withColumn(
-        "_parts", parts(F.col("_whole"), F.col("right"), F.col("down"), F.col("words"), width)
-    )
+def with_parts(boards: DataFrame) -> DataFrame:
+    """The boards with ``_parts``: the connected parts, numbered in order of their smallest cell.
+
+    ``number`` of each cell's part, ``sizes`` and ``lows`` (the smallest cell) of the parts.
+    """
+    whole = ArrayType(IntegerType())
+    kind = StructType([StructField("number", whole), StructField("sizes", whole), StructField("lows", whole)])
+    return with_column(boards, "_parts", kind, lambda block: parts(block, WORD), cells_of_rows)
 
 
 def solve(boards: DataFrame) -> DataFrame:
@@ -384,12 +192,12 @@ def solve(boards: DataFrame) -> DataFrame:
     width = F.col("width")
     path = path_to(F.col("flood"), F.col("goal"), F.col("right"), F.col("down"), width)
     return (
-        _parts(with_flood(boards, F.col("start")))
+        with_parts(with_flood(boards, F.col("start")))
         .select(
             "graph_id",
             F.col("_parts.sizes").alias("component_sizes"),
-            number_at(F.col("_parts.planes"), F.col("start"), width).alias("start_component"),
-            number_at(F.col("_parts.planes"), F.col("goal"), width).alias("goal_component"),
+            number_at(F.col("_parts.number"), F.col("start")).alias("start_component"),
+            number_at(F.col("_parts.number"), F.col("goal")).alias("goal_component"),
             path.alias("path"),
         )
         .withColumns(
@@ -401,12 +209,13 @@ def solve(boards: DataFrame) -> DataFrame:
 
 def components(boards: DataFrame) -> DataFrame:
     """``graph_id, node, component``: the smallest cell connected to each cell of each board."""
-    found = _parts(boards).withColumn("_lows", F.col("_parts.lows"))
-    cells = numbered_cells(found, F.col("_whole"), F.col("_parts.planes"), "graph_id", "_lows")
-    return cells.select("graph_id", "node", F.get("_lows", F.col("number")).alias("component"))
+    found = with_parts(boards).select("graph_id", F.col("_parts.lows").alias("_lows"), F.col("_parts.number").alias("_number"))
+    return _each_cell(found, F.col("_number"), "graph_id", "_lows").select(
+        "graph_id", "node", F.get("_lows", F.col("number")).alias("component")
+    )
 
 
 def component_sizes(boards: DataFrame) -> DataFrame:
     """``graph_id, component, size`` of each board's parts, without its cells."""
     part = F.arrays_zip(F.col("_parts.lows").alias("component"), F.col("_parts.sizes").alias("size"))
-    return _parts(boards).select("graph_id", F.explode_outer(part).alias("_part")).select("graph_id", "_part.component", "_part.size")
+    return with_parts(boards).select("graph_id", F.explode_outer(part).alias("_part")).select("graph_id", "_part.component", "_part.size")

@@ -6,12 +6,16 @@ board; its cells are then a table ``room_id, node, x, y`` with ``open``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from gridtwin.functions.rng import draw, draw_inside, draw_int
-from gridtwin.operators.boards import WORD, boards_of_open, cells_of, count_cells, farthest_cell, flood, holds, let, path_to
+from gridtwin.functions.rng import draw, draw_int, draws
+from gridtwin.operators.boards import WORD, cells_of, holds
+from gridtwin.operators.lattice import Lattice, numbers, ragged, with_column
 from gridtwin.session import cut, spread
 
 # Wall density, wall bars, smallest usable field, ice share.
@@ -28,124 +32,150 @@ ATTEMPT_BITS = 23
 MOST_ATTEMPTS = 256
 
 
-def _drawn_from(first: int, attempt: Column) -> Column:
-    return F.lit(first) + attempt.cast("bigint") * F.lit(1 << ATTEMPT_BITS).cast("bigint")
-
-
-def field_board(seed: Column, attempt: Column, size: int) -> Column:
-    """The open cells of one attempt as a bit board: border and seeded walls are closed, and seeded bars of 2 to 4 cells."""
-    one = F.lit(1).cast("bigint")
-    shift = lambda bits, by: F.call_function("shiftleft", bits, by.cast("int"))
-    number = lambda bar: bar * 4 + _drawn_from(BAR, attempt)
-    bars = F.transform(
-        F.sequence(F.lit(0), F.lit(BARS - 1)),
-        lambda bar: F.struct(
-            (F.floor(draw_inside(seed, number(bar)) * (size - 2)).cast("int") + 1).alias("x"),
-            (F.floor(draw_inside(seed, number(bar) + 1) * (size - 2)).cast("int") + 1).alias("y"),
-            (draw_inside(seed, number(bar) + 2) < 0.5).alias("flat"),
-            (F.floor(draw_inside(seed, number(bar) + 3) * BAR_LENGTHS).cast("int") + BAR_SHORTEST).alias("length"),
-        ),
+def field_cells(seed: np.ndarray, attempt: int, size: int) -> np.ndarray:
+    """[rooms, size * size] open cells of one attempt: border and seeded walls are closed, and seeded bars of 2 to 4 cells."""
+    number = lambda first: first + (attempt << ATTEMPT_BITS)
+    node = np.arange(size * size)
+    x, y = node % size, node // size
+    share = DENSITY + draws(seed, number(SHAPE)) * DENSITY_SPREAD
+    open_ = draws(seed[:, None], number(OPEN) + node) >= share[:, None]
+    for bar in range(BARS):
+        a, b, c, d = (draws(seed, number(BAR) + bar * 4 + i)[:, None] for i in range(4))
+        at_x, at_y = np.floor(a * (size - 2)) + 1, np.floor(b * (size - 2)) + 1
+        length = np.floor(d * BAR_LENGTHS) + BAR_SHORTEST
+        flat = (y == at_y) & (x >= at_x) & (x < at_x + length)
+        upright = (x == at_x) & (y >= at_y) & (y < at_y + length)
+        open_ &= ~np.where(c < 0.5, flat, upright)
+    return open_ & (x > 0) & (y > 0) & (x < size - 1) & (y < size - 1)
+
+
+def _drawn_fields(block: pa.RecordBatch, size: int) -> pa.Array:
+    """``attempt, open, start, goal, path`` of the first attempt of each room whose start reaches enough cells."""
+    cells = size * size
+    column = lambda name: block.column(block.schema.get_field_index(name))
+    usable = column("room_id").is_valid().to_numpy(zero_copy_only=False) & column("seed").is_valid().to_numpy(zero_copy_only=False)
+    seed = numbers(block, "seed")
+    rooms = len(seed)
+    attempt, start, goal = (np.full(rooms, -1) for _ in range(3))
+    boards = np.zeros((rooms, cells), bool)
+    paths: list[np.ndarray] = [np.zeros(0, np.int64)] * rooms
+    waiting = np.flatnonzero(usable)
+    for turn in range(MOST_ATTEMPTS):
+        if not len(waiting):
+            break
+        open_ = field_cells(seed[waiting], turn, size)
+        place = draws(seed[waiting][:, None], START + (turn << ATTEMPT_BITS) + np.arange(cells))
+        first = np.where(open_, place, 2.0).argmin(axis=1)  # the lowest cell among equals
+        side = np.full(len(waiting), size)
+        grids = Lattice(side, side)
+        flat = open_.reshape(-1)
+        grids.open_passages(flat & np.append(flat[1:], False), flat & np.append(flat[size:], np.zeros(size, bool)))
+        dist = grids.flood((grids.base + first)[open_.any(axis=1)])
+        by_room = dist.reshape(-1, cells)
+        good = (by_room >= 0).sum(axis=1) >= SMALLEST_FIELD
+        far = by_room.argmax(axis=1)
+        done = waiting[good]
+        attempt[done], start[done], goal[done], boards[done] = turn, first[good], far[good], open_[good]
+        ways, lengths = grids.paths(dist, (grids.base + far)[good])
+        for room, way in zip(done.tolist(), np.split(ways, np.cumsum(lengths)[:-1])):
+            paths[room] = way
+        waiting = waiting[~good]
+    absent = attempt < 0
+    words = (boards.reshape(rooms, size, size) * (np.int64(1) << np.arange(size))).sum(axis=2)
+    whole = lambda values: pa.array(values, pa.int32(), mask=absent)
+    return pa.StructArray.from_arrays(
+        [
+            whole(attempt),
+            ragged(words[~absent].reshape(-1), np.where(absent, 0, size), pa.int64(), absent),
+            whole(start),
+            whole(goal),
+            ragged(np.concatenate([*paths, np.zeros(0, np.int64)]), np.array([len(p) for p in paths], np.int64), pa.int32(), absent),
+        ],
+        names=["attempt", "open", "start", "goal", "path"],
     )
-    density = DENSITY + draw_inside(seed, _drawn_from(SHAPE, attempt)) * DENSITY_SPREAD
-    inside = ((1 << (size - 2)) - 1) << 1
-
-    def row(y: Column, share: Column, placed: Column) -> Column:
-        def cell(bits: Column, x: Column) -> Column:
-            # the draw is compared here and nowhere else, so each cell draws once
-            return bits.bitwiseOR(F.when(draw_inside(seed, _drawn_from(OPEN, attempt) + y * size + x) >= share, shift(one, x)).otherwise(0))
-
-        def barred(bits: Column, bar: Column) -> Column:
-            flat = F.when(bar["y"] == y, shift(shift(one, bar["length"]) - 1, bar["x"])).otherwise(0)
-            upright = F.when(y.between(bar["y"], bar["y"] + bar["length"] - 1), shift(one, bar["x"])).otherwise(0)
-            return bits.bitwiseOR(F.when(bar["flat"], flat).otherwise(upright))
-
-        zero = F.lit(0).cast("bigint")
-        drawn = F.aggregate(F.sequence(F.lit(1), F.lit(size - 2)), zero, cell)
-        closed = F.aggregate(placed, zero, barred)
-        return drawn.bitwiseAND(F.bitwise_not(closed)).bitwiseAND(F.lit(inside).cast("bigint"))
 
-    def rows(share: Column, placed: Column) -> Column:
-        border = lambda y: (y == 0) | (y == size - 1)
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(size - 1)),
-            lambda y: F.when(border(y), F.lit(0).cast("bigint")).otherwise(row(y, share, placed)),
-        )
 
-    return let(density, lambda share: let(bars, lambda placed: rows(share, placed)))
+FIELD = StructType(
+    [
+        StructField("attempt", IntegerType()),
+        StructField("open", ArrayType(LongType())),
+        StructField("start", IntegerType()),
+        StructField("goal", IntegerType()),
+        StructField("path", ArrayType(IntegerType())),
+    ]
+)
 
 
-def _drawn_field(seed: Column, size: int) -> Column:
-    """``attempt, open, start, flood`` of the first attempt whose start reaches enough cells; a null attempt if none does."""
-    width = F.lit(size)
-    zero = "struct<attempt: int, open: array<bigint>, start: int, flood: struct<reached: array<bigint>, planes: array<array<bigint>>>>"
-
-    def first_cell(open_: Column, attempt: Column) -> Column:
-        place = F.transform(
-            cells_of(open_, width), lambda n: F.struct(draw_inside(seed, _drawn_from(START, attempt) + n).alias("u"), n.alias("n"))
-        )
-        return F.array_min(place)["n"]
-
-    def tried(state: Column, attempt: Column) -> Column:
-        def flooded(open_: Column, start: Column) -> Column:
-            right, down = boards_of_open(open_)
-
-            def judged(found: Column) -> Column:
-                enough = F.coalesce(count_cells(found["reached"]) >= SMALLEST_FIELD, F.lit(False))
-                good = F.struct(attempt.alias("attempt"), open_.alias("open"), start.alias("start"), found.alias("flood"))
-                return F.when(enough, good).otherwise(state)
-
-            # bound to names, or every word of every step would make them anew
-            found = let(right, lambda r: let(down, lambda d: flood(start, r, d, width, width, F.lit(1))))
-            return let(found, judged)
+def cells_of_boards(boards: DataFrame, size: int, *carry: str) -> DataFrame:
+    """``room_id, node, x, y, open`` of all cells of the boards (room_id, open)."""
+    node = F.col("node")
+    every = boards.select("room_id", "open", *carry, F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("node"))
+    x, y = node % size, F.floor(node / size).cast("int")
+    return every.select("room_id", *carry, "node", x.alias("x"), y.alias("y"), holds(F.col("open"), node, F.lit(size)).alias("open"))
 
-        field = let(field_board(seed, attempt, size), lambda o: let(first_cell(o, attempt), lambda s: flooded(o, s)))
-        return F.when(state["attempt"].isNotNull(), state).otherwise(field)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(MOST_ATTEMPTS - 1)), F.from_json(F.lit("{}"), zero), tried)
+def steps_of_paths(paths: DataFrame) -> DataFrame:
+    return paths.select("room_id", F.posexplode("path").alias("k", "node"))
 
 
 def obstacle_fields(rooms: DataFrame, size: int = 16) -> dict[str, DataFrame]:
     """Seeded fields with a start and the farthest reachable cell as goal.
 
     A field whose start reaches fewer than 20 cells is drawn again, until
-    the room has one; all of it happens inside the room's row, on bit boards,
-    without a shuffle. Tables: ``rooms`` (room_id, seed), ``cells`` (all cells of
-    each room's field), ``ends`` (room_id, start, goal), ``solution`` (room_id, k,
-    node) and ``rejected`` (room_id, attempt, reason: fields drawn in vain, and
-    rooms without id or seed). ``size`` is at most 50.
+    the room has one; all of it happens in one pass over the rooms, without a shuffle
+    but the one that deals them out. Tables: ``rooms`` (room_id, seed), ``boards`` (room_id, open: a word
+    of bits per row of cells), ``cells`` (all cells of them), ``ends`` (room_id, start, goal),
+    ``paths`` (room_id, path), ``solution`` (room_id, k, node) and ``rejected`` (room_id, attempt,
+    reason: fields drawn in vain, and rooms without id or seed). ``size`` is at most 50.
     """
     if (size - 2) ** 2 < SMALLEST_FIELD:
         raise ValueError(f"a field of side {size} has fewer than {SMALLEST_FIELD} cells")
     if size > WORD:
         raise ValueError(f"a field has at most {WORD} cells a side, not {size}")
-    width = F.lit(size)
     usable = F.col("room_id").isNotNull() & F.col("seed").isNotNull()
-    drawn = spread(rooms.select("room_id", "seed")).select("room_id", "seed", F.when(usable, _drawn_field(F.col("seed"), size)).alias("field"))
-    drawn = drawn.withColumn("goal", F.when(usable, farthest_cell(F.col("field.flood"), width)))
+    drawn = with_column(
+        spread(rooms.select("room_id", "seed")),
+        "field",
+        FIELD,
+        lambda block: _drawn_fields(block, size),
+        lambda batch: np.full(batch.num_rows, size * size),
+    )
     made = cut(drawn, "fields")
     lost = made.where(usable & F.col("field.attempt").isNull()).limit(1).count()
     if lost:
         raise RuntimeError(f"a room without a field after {MOST_ATTEMPTS} attempts")
     good = made.where(usable)
-    node = F.col("node")
-    every = good.select("room_id", "field.open", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("node"))
-    x, y = node % size, F.floor(node / size).cast("int")
-    right, down = boards_of_open(F.col("field.open"))
-    path = let(right, lambda r: let(down, lambda d: path_to(F.col("field.flood"), F.col("goal"), r, d, width)))
-    steps = good.select("room_id", F.posexplode_outer(path).alias("k", "node"))
+    boards, paths = good.select("room_id", "field.open"), good.select("room_id", "field.path")
     vain = good.where("field.attempt > 0").select("room_id", F.explode(F.sequence(F.lit(0), F.col("field.attempt") - 1)).alias("attempt"))
     nameless = made.where(~usable).select("room_id", F.lit(None).cast("int").alias("attempt"), F.lit("no id or seed").alias("reason"))
     return {
         "rooms": made.select("room_id", "seed"),
-        "cells": every.select("room_id", "node", x.alias("x"), y.alias("y"), holds(F.col("open"), node, width).alias("open")),
-        "ends": good.select("room_id", "field.start", "goal"),
-        "solution": steps,
+        "boards": boards,
+        "cells": cells_of_boards(boards, size),
+        "ends": good.select("room_id", "field.start", "field.goal"),
+        "paths": paths,
+        "solution": steps_of_paths(paths),
         "rejected": vain.withColumn("reason", F.lit("too few reachable cells")).unionAll(nameless),
     }
 
 
-def free_cells(field: dict[str, DataFrame], size: int) -> DataFrame:
-    """Open cells that are neither start nor goal, with both ends' coordinates."""
+def _without(board: Column, cells: Column, size: int) -> Column:
+    """A board with the listed cells cleared."""
+
+    def cleared(word: Column, y: Column) -> Column:
+        here = F.filter(cells, lambda n: F.floor(n / size) == y)
+        bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), (n % size).cast("int"))
+        return F.aggregate(here, word, lambda w, n: w.bitwiseAND(F.bitwise_not(bit(n))))
+
+    return F.transform(board, cleared)
+
+
+def _free_rooms(field: dict[str, DataFrame], size: int, taken: DataFrame | None = None) -> DataFrame:
+    """A row per room: the ends' coordinates, ``_own`` board of free cells, and ``_free``, those of all rows of the room.
+
+    Rooms meet here while they are one row each; their cells are listed afterwards
+    and never joined. Cells ``taken`` (room_id, node) are not free.
+    """
     ends = field["ends"].select(
         "room_id",
         "start",
@@ -155,24 +185,40 @@ def free_cells(field: dict[str, DataFrame], size: int) -> DataFrame:
         (F.col("goal") % size).alias("goal_x"),
         F.floor(F.col("goal") / size).cast("int").alias("goal_y"),
     )
-    return (
-        field["cells"]
-        .where("open")
-        .join(ends, "room_id")
-        .where((F.col("node") != F.col("start")) & (F.col("node") != F.col("goal")))
-        .drop("open", "start", "goal")
-    )
+    rooms = field["boards"].join(ends, "room_id")
+    gone = F.array("start", "goal")
+    if taken is not None:
+        rooms = rooms.join(taken.groupBy("room_id").agg(F.collect_set("node").alias("_taken")), "room_id", "left")
+        gone = F.concat(gone, F.coalesce("_taken", F.array().cast("array<int>")))
+    rooms = rooms.withColumn("_own", _without(F.col("open"), gone, size)).drop("open", "start", "goal", "_taken")
+    return rooms.withColumn("_free", F.collect_list("_own").over(Window.partitionBy("room_id")))
+
+
+def _cells_of_rooms(rooms: DataFrame, size: int) -> DataFrame:
+    """The free cells of :func:`_free_rooms`, with what their room has."""
+    node = F.col("node")
+    listed = rooms.withColumn("node", F.explode(cells_of(F.col("_own"), F.lit(size)))).drop("_own")
+    return listed.withColumn("x", node % size).withColumn("y", F.floor(node / size).cast("int"))
+
+
+def free_cells(field: dict[str, DataFrame], size: int) -> DataFrame:
+    """Open cells that are neither start nor goal, with both ends' coordinates (and ``_free``, all boards of such cells of the room)."""
+    return _cells_of_rooms(_free_rooms(field, size), size)
+
+
+def _bit(board: Column, x: Column, y: Column) -> Column:
+    """1 where a board has the cell; 0 beside the board."""
+    return F.coalesce(F.call_function("shiftright", F.get(board, y), x.cast("int")).bitwiseAND(F.lit(1)), F.lit(0).cast("bigint"))
 
 
 def with_open_neighbours(free: DataFrame) -> DataFrame:
-    """Number of free cells among the four neighbours (``around``)."""
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, -1), (1, 0), (0, 1), (-1, 0))])
-    touched = (
-        free.select("room_id", "x", "y", F.explode(steps).alias("s"))
-        .groupBy("room_id", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
-        .agg(F.count("*").alias("around"))
-    )
-    return free.join(touched, ["room_id", "x", "y"], "left").fillna(0, ["around"])
+    """Number of free cells among the four neighbours (``around``) of cells as :func:`free_cells` lists them."""
+    x, y = F.col("x"), F.col("y")
+
+    def added(n: Column, board: Column) -> Column:
+        return n + _bit(board, x, y - 1) + _bit(board, x + 1, y) + _bit(board, x, y + 1) + _bit(board, x - 1, y)
+
+    return free.withColumn("around", F.aggregate("_free", F.lit(0).cast("bigint"), added))
 
 
 def farther_than(distance: int, mark: str) -> Column:
@@ -188,9 +234,16 @@ def frozen_cells(free: DataFrame, rooms: DataFrame) -> DataFrame:
     return frozen.where(F.col("_u") < F.col("_share")).select("room_id", "node", "x", "y")
 
 
-def _with_path_flag(free: DataFrame, solution: DataFrame) -> DataFrame:
-    on_path = solution.select("room_id", "node", F.lit(True).alias("on_path"))
-    return free.join(on_path, ["room_id", "node"], "left").fillna(False, ["on_path"])
+def _with_paths(rooms: DataFrame, paths: DataFrame) -> DataFrame:
+    """Rooms with ``_path``, the cells of all their paths."""
+    return rooms.join(paths.groupBy("room_id").agg(F.flatten(F.collect_list("path")).alias("_path")), "room_id", "left")
+
+
+def _with_path_flag(free: DataFrame) -> DataFrame:
+    """Cells of rooms with ``_path``: a row for each time a path comes by, one row where none does."""
+    times = F.size(F.filter(F.coalesce("_path", F.array().cast("array<int>")), lambda n: n == F.col("node")))
+    flags = F.when(times > 0, F.array_repeat(F.lit(True), times)).otherwise(F.array(F.lit(False)))
+    return free.withColumn("on_path", F.explode(flags))
 
 
 def _first_cells(candidates: DataFrame, rooms: DataFrame, most: int, path_first: bool) -> DataFrame:
@@ -209,22 +262,23 @@ def _first_cells(candidates: DataFrame, rooms: DataFrame, most: int, path_first:
 
 def placed_boxes(field: dict[str, DataFrame], size: int) -> DataFrame:
     """One to three boxes per room, on the solution first, with room to push and away from both ends."""
-    free = with_open_neighbours(free_cells(field, size))
+    free = with_open_neighbours(_cells_of_rooms(_with_paths(_free_rooms(field, size), field["paths"]), size))
     spots = free.where((F.col("around") >= 2) & farther_than(2, "start") & farther_than(1, "goal"))
-    return _first_cells(_with_path_flag(spots, field["solution"]), field["rooms"], 3, path_first=True)
+    return _first_cells(_with_path_flag(spots).drop("_free", "_path"), field["rooms"], 3, path_first=True)
 
 
 def placed_holes(field: dict[str, DataFrame], size: int) -> DataFrame:
     """One or two pits per room, only on the solution and away from both ends."""
-    spots = free_cells(field, size).where(farther_than(2, "start") & farther_than(1, "goal"))
-    on_path = _with_path_flag(spots, field["solution"]).where("on_path")
+    free = _cells_of_rooms(_with_paths(_free_rooms(field, size), field["paths"]), size)
+    spots = free.where(farther_than(2, "start") & farther_than(1, "goal"))
+    on_path = _with_path_flag(spots).where("on_path").drop("_free", "_path")
     return _first_cells(on_path, field["rooms"], 2, path_first=False)
 
 
 def hole_fillers(field: dict[str, DataFrame], holes: DataFrame, size: int) -> DataFrame:
     """A floor tile per pit: the first seeded spot 2 to 5 steps away, else the spot with the pit's number."""
-    free = free_cells(field, size).join(holes.select("room_id", "node"), ["room_id", "node"], "left_anti")
-    spots = with_open_neighbours(free).where((F.col("around") >= 2) & farther_than(1, "start"))
+    free = _cells_of_rooms(_free_rooms(field, size, holes.select("room_id", "node")), size)
+    spots = with_open_neighbours(free).where((F.col("around") >= 2) & farther_than(1, "start")).select("room_id", "node", "x", "y")
     spots = spots.join(field["rooms"], "room_id").withColumn("_u", draw(F.col("seed"), SPOT + F.col("node")))
     # the fallback only needs the first two spots; the range part keeps one minimum per pit
     place = Window.partitionBy("room_id").orderBy("_u", "node")
@@ -257,30 +311,28 @@ def button_lines(field: dict[str, DataFrame], size: int) -> DataFrame:
     and directions are tried in seeded order. Rooms without such a line have
     null box and button.
     """
-    free = cut(free_cells(field, size), "free")
-    away = free.where(farther_than(1, "start") & farther_than(1, "goal"))
-    on_path = _with_path_flag(away, field["solution"]).where("on_path").join(field["rooms"], "room_id")
+    rooms = cut(_with_paths(_free_rooms(field, size), field["paths"]), "free")
+    away = _cells_of_rooms(rooms, size).where(farther_than(1, "start") & farther_than(1, "goal"))
+    on_path = _with_path_flag(away).where("on_path").select("room_id", "node", "x", "y").join(field["rooms"], "room_id")
     walls = on_path.groupBy("room_id").agg(
         F.min(F.struct(draw(F.col("seed"), PLACE + F.col("node")).alias("u"), "node", "x", "y")).alias("w")
     )
     walls = cut(walls.select("room_id", F.col("w.node").alias("wall"), F.col("w.x").alias("wall_x"), F.col("w.y").alias("wall_y")), "walls")
-    rest = free.join(walls, "room_id").where(F.col("node") != F.col("wall"))
+    seeds = field["rooms"].distinct()  # the first of the lines is the same however often a room is listed
+    rest = _cells_of_rooms(rooms.drop("_path").join(walls, "room_id").join(seeds, "room_id"), size).where(F.col("node") != F.col("wall"))
     near_wall = F.abs(F.col("x") - F.col("wall_x")) + F.abs(F.col("y") - F.col("wall_y")) <= 1
-    spots = rest.where(farther_than(1, "start") & farther_than(1, "goal") & ~near_wall).join(field["rooms"], "room_id")
+    spots = rest.where(farther_than(1, "start") & farther_than(1, "goal") & ~near_wall)
     ways = F.array(*[F.struct(F.lit(i).alias("way"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(((1, 0), (-1, 0), (0, 1), (0, -1)))])
     seed = F.col("seed")
-    tries = spots.select("room_id", "seed", "node", "x", "y", F.explode(ways).alias("d")).select(
+    x, y, dx, dy = F.col("x"), F.col("y"), F.col("d.dx"), F.col("d.dy")
+    standing = lambda x, y: F.exists("_free", lambda board: _bit(board, x, y) == 1) & (y * size + x != F.col("wall"))
+    tries = spots.select("room_id", "seed", "node", "x", "y", "wall", "_free", F.explode(ways).alias("d"))
+    lines = tries.where(standing(x + dx, y + dy) & standing(x - dx, y - dy)).select(
         "room_id",
         "node",
         draw(seed, SPOT + F.col("node")).alias("u"),
         draw(seed, TURN + F.col("node") * 4 + F.col("d.way")).alias("v"),
-        (F.col("node") + F.col("d.dx") + F.col("d.dy") * size).alias("button"),
-        (F.col("node") - F.col("d.dx") - F.col("d.dy") * size).alias("behind"),
-    )
-    # coordinates never wrap around: the border is closed, so a step off the row is not free
-    standing = rest.select("room_id", "node")
-    lines = tries.join(standing.withColumnRenamed("node", "button"), ["room_id", "button"]).join(
-        standing.withColumnRenamed("node", "behind"), ["room_id", "behind"]
+        (F.col("node") + dx + dy * size).alias("button"),
     )
     first = lines.groupBy("room_id").agg(F.min(F.struct("u", "node", "v", "button")).alias("f"))
     return walls.select("room_id", "wall").join(
@@ -288,9 +340,9 @@ def button_lines(field: dict[str, DataFrame], size: int) -> DataFrame:
     )
 
 
-def field_levels(field: dict[str, DataFrame], changes: DataFrame | None = None) -> DataFrame:
+def field_levels(field: dict[str, DataFrame], changes: DataFrame | None = None, size: int = 16) -> DataFrame:
     """Cells of the rooms with player, gem and changed cells ``(room_id, node, cell)`` written in."""
-    cells = field["cells"].join(field["ends"], "room_id")
+    cells = cells_of_boards(field["boards"].join(field["ends"], "room_id"), size, "start", "goal")
     plain = (
         F.when(F.col("node") == F.col("start"), ".+p")
         .when(F.col("node") == F.col("goal"), ".+G")

@@ -25,7 +25,7 @@ FEWEST_LOOPS, LOOP_NUMBERS = 2, 3
 # Draws of one seed are numbered; these blocks are used by neither pairs nor fields.
 LOOPS, LAYOUT = (block << 20 for block in (8, 9))
 
-PARTS = ("rooms", "cells", "ends", "solution")
+PARTS = ("rooms", "boards", "ends", "paths")
 
 
 def planned_rooms(tries: DataFrame) -> DataFrame:
@@ -72,22 +72,31 @@ def maze_layouts(rooms: DataFrame, size: int = 16) -> dict[str, DataFrame]:
     ends = pairs["ends"].select("graph_id", "start", "goal")
     drawn = boards.with_flood(boards.boards_of_edges(pairs["params"], edges).join(ends, "graph_id"), F.col("start"))
     path = boards.path_to(F.col("flood"), F.col("goal"), F.col("right"), F.col("down"), F.col("width"))
-    steps = drawn.select(F.col("graph_id").alias("room_id"), F.posexplode(path).alias("k", "_cell"))
+    paths = drawn.select(
+        F.col("graph_id").alias("room_id"), F.transform(path, lambda cell: _block(cell, side, size)).alias("path")
+    ).where(F.col("path").isNotNull())
     # a passage lies behind its first cell, to the right or below
     passage = _block(F.col("a"), side, size) + F.when(F.col("b") == F.col("a") + 1, 1).otherwise(size)
     passages = edges.groupBy("graph_id").agg(F.collect_set(passage).alias("_passages"))
-    x, y = F.col("node") % size, F.floor(F.col("node") / size).cast("int")
-    on_cell = (x % 2 == 1) & (y % 2 == 1) & (x < 2 * side) & (y < 2 * side)
-    nodes = passages.select(F.col("graph_id").alias("room_id"), "_passages", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("node"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.cast("int"))
+    cells = sum(1 << (2 * x + 1) for x in range(side))
+
+    def row(y: Column) -> Column:
+        own = F.when((y % 2 == 1) & (y < 2 * side), F.lit(cells).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        here = F.filter("_passages", lambda node: F.floor(node / size) == y)
+        return F.aggregate(here, own, lambda word, node: word.bitwiseOR(bit(node % size)))
+
+    open_ = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), row)
+    boards_ = passages.select(F.col("graph_id").alias("room_id"), open_.alias("open"))
     return {
         "rooms": rooms.select("room_id", "seed"),
-        "cells": nodes.select(
-            "room_id", "node", x.alias("x"), y.alias("y"), (on_cell | F.array_contains("_passages", F.col("node"))).alias("open")
-        ),
+        "boards": boards_,
+        "cells": fields.cells_of_boards(boards_, size),
         "ends": ends.select(
             F.col("graph_id").alias("room_id"), _block(F.col("start"), side, size).alias("start"), _block(F.col("goal"), side, size).alias("goal")
         ),
-        "solution": steps.select("room_id", "k", _block(F.col("_cell"), side, size).alias("node")),
+        "paths": paths,
+        "solution": fields.steps_of_paths(paths),
     }
 
 
@@ -123,6 +132,6 @@ def generated_rooms(tries: DataFrame, size: int = 16) -> DataFrame:
     for kind in TYPES[1:]:
         ids = plan.where(F.col("type") == kind).select("room_id")
         changes.append(mechanics({part: table.join(ids, "room_id", "left_semi") for part, table in layout.items()}, kind, size))
-    levels = cells_level(fields.field_levels(layout, cut(reduce(DataFrame.unionAll, changes), "changes")))
+    levels = cells_level(fields.field_levels(layout, cut(reduce(DataFrame.unionAll, changes), "changes"), size))
     name = F.concat_ws("-", F.lit("gen"), "type", "layout", F.col("seed").cast("string"))
     return plan.join(levels, "room_id").select("room_id", name.alias("name"), "seed", "type", "layout", "text")

@@ -397,10 +397,8 @@ def label_audit(pairs: dict[str, DataFrame]) -> DataFrame:
     both = both.withColumn("solvable", F.explode(F.array(F.lit(True), F.lit(False))))
     both = both.select(keyed, F.col("graph_id").alias("pair_id"), "solvable", "width", "height", "start", "goal")
     made = boards.boards_of_edges(both, edges, "pair_id", "solvable", "start", "goal")
-    whole = boards.whole_board(F.col("width"), F.col("height"))
-    parts = boards.parts(whole, F.col("right"), F.col("down"), F.col("words"), F.col("width"))
-    part_of = lambda end: boards.number_at(F.col("_parts.planes"), F.col(end), F.col("width"))
-    shape = made.withColumn("_parts", parts).select(
+    part_of = lambda end: boards.number_at(F.col("_parts.number"), F.col(end))
+    shape = boards.with_parts(made).select(
         "pair_id",
         "solvable",
         F.size("_parts.sizes").cast("bigint").alias("parts"),
