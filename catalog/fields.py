@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from catalog import inputs, sqltext as sql
 from catalog.registry import query
 from gridtwin.operators import fields
-from gridtwin.operators.rooms import cells_level
 
 SIZE = 16
 _fields: dict = {}
@@ -92,7 +91,7 @@ ON_PATH = "EXISTS (SELECT 1 FROM onpath p WHERE p.room_id = f.room_id AND p.node
 )
 def obstacle_fields(spark, sf_dir):
     field = field_of(spark, sf_dir)
-    return field["ends"].join(cells_level(fields.field_levels(field)), "room_id")
+    return field["ends"].join(fields.field_texts(field, SIZE), "room_id")
 
 
 @query(

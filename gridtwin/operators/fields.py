@@ -355,3 +355,29 @@ def field_levels(field: dict[str, DataFrame], changes: DataFrame | None = None,
     return cells.join(changed, ["room_id", "node"], "left").select(
         "room_id", "x", "y", F.coalesce("_changed", plain).alias("cell")
     )
+
+
+def field_texts(field: dict[str, DataFrame], size: int = 16) -> DataFrame:
+    """``room_id, text``: the level text of :func:`field_levels` and :func:`rooms.cells_level`, written inside the room's row.
+
+    Cells of repeated rooms stand beside each other.
+    """
+    rooms = field["boards"].join(field["ends"], "room_id").groupBy("room_id")
+    rooms = rooms.agg(F.collect_list(F.struct("open", "start", "goal")).alias("_rooms"))
+    across = F.sequence(F.lit(0), F.lit(size - 1))
+
+    def cell(room: Column, x: Column, y: Column) -> Column:
+        node = y * size + x
+        return (
+            F.when(node == room["start"], ".+p")
+            .when(node == room["goal"], ".+G")
+            .when(_bit(room["open"], x, y) == 1, ".")
+            .otherwise(".+#")
+        )
+
+    def line(y: Column) -> Column:
+        alone = F.transform(across, lambda x: cell(F.col("_rooms")[0], x, y))
+        together = F.flatten(F.transform(across, lambda x: F.array_sort(F.transform("_rooms", lambda room: cell(room, x, y)))))
+        return F.array_join(F.when(F.size("_rooms") == 1, alone).otherwise(together), " ")
+
+    return rooms.select("room_id", F.concat(F.array_join(F.transform(across, line), "\n"), F.lit("\n")).alias("text"))

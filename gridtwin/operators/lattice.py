@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 MOST_CELLS = 1 << 18
+MOST_EDGES = 1 << 17  # of a graph that one task may hold
 NONE = np.iinfo(np.int64).max
 
 
@@ -191,3 +193,132 @@ def parts(block: pa.RecordBatch, word: int) -> pa.Array:
         ],
         names=["number", "sizes", "lows"],
     )
+
+
+# --- tables of edges ---------------------------------------------------------------------
+def whole_groups(batches, key: str) -> Iterator[pa.RecordBatch]:
+    """Rows that come in order of ``key``, in runs that never part a group; a run is a batch and the rest of its last group."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(ids, ids[-1], "left"))
+        if last or (kept and kept[-1].column(batch.schema.get_field_index(key))[0].as_py() != ids[0]):
+            head = [*kept, batch.slice(0, last)] if last else kept
+            yield pa.Table.from_batches(head).combine_chunks().to_batches()[0]
+            kept = []
+        kept.append(batch.slice(last))
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+
+def cells_of_edges(graph: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different nodes of rows in order of graph: their graphs (numbered) and names, and where each a and b is among them."""
+    number = np.cumsum(np.append(False, graph[1:] != graph[:-1]))
+    low = int(min(a.min(), b.min()))
+    span = int(max(a.max(), b.max())) - low + 1
+    keys, place = np.unique(np.concatenate([number * span + (a - low), number * span + (b - low)]), return_inverse=True)
+    return keys // span, keys % span + low, place[: len(a)], place[len(a) :]
+
+
+def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, nodes: int) -> np.ndarray:
+    """Numbers of the edges of the minimum spanning forest; ties by a, then b."""
+    order = np.lexsort((b, a, weight))
+    a, b = a[order], b[order]
+    component = np.arange(nodes)
+    live = np.arange(len(order))
+    taken = np.zeros(len(order), bool)
+    at_a, at_b = a.copy(), b.copy()
+    while True:
+        at_a[live], at_b[live] = component[a[live]], component[b[live]]
+        live = live[at_a[live] != at_b[live]]
+        if not len(live):
+            return order[taken]
+        lightest = np.full(nodes, NONE)
+        np.minimum.at(lightest, at_a[live], live)
+        np.minimum.at(lightest, at_b[live], live)
+        roots = np.flatnonzero(lightest != NONE)
+        edge = lightest[roots]
+        taken[edge] = True
+        pointer = np.arange(nodes)
+        pointer[roots] = at_a[edge] + at_b[edge] - roots
+        mutual = roots[(pointer[pointer[roots]] == roots) & (roots < pointer[roots])]
+        pointer[mutual] = mutual
+        component = to_roots(pointer)[component]
+
+
+def forests(batches) -> Iterator[pa.RecordBatch]:
+    """``graph_id, a, b`` of the forests of rows ``graph_id, a, b, w`` in order of graph."""
+    for block in whole_groups(batches, "graph_id"):
+        graph, a, b = (numbers(block, c) for c in ("graph_id", "a", "b"))
+        weight = block.column(3).cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+        names, _, at_a, at_b = cells_of_edges(graph, a, b)
+        yield block.select(["graph_id", "a", "b"]).take(pa.array(forest(at_a, at_b, weight, len(names))))
+
+
+def walks(batches) -> Iterator[pa.RecordBatch]:
+    """Nodes of rooted trees, from rows ``graph_id, a, b, root`` in order of graph: see :func:`trees.rooted`."""
+    for block in whole_groups(batches, "graph_id"):
+        graph, a, b, root = (numbers(block, c) for c in ("graph_id", "a", "b", "root"))
+        owner, name, at_a, at_b = cells_of_edges(graph, a, b)
+        count = len(owner)
+        first = np.flatnonzero(np.append(True, graph[1:] != graph[:-1]))
+        # both directions of each edge, by node and name of the neighbour
+        u, v = np.concatenate([at_a, at_b]), np.concatenate([at_b, at_a])
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        degree = np.bincount(u, minlength=count)
+        begin = np.cumsum(degree) - degree
+        parent, depth = np.full(count, -1), np.full(count, -1)
+        level = np.flatnonzero(name == root[first][owner])
+        levels = []
+        depth[level] = 0
+        while len(level):
+            levels.append(level)
+            arcs = np.repeat(begin[level] - (np.cumsum(degree[level]) - degree[level]), degree[level]) + np.arange(int(degree[level].sum()))
+            arcs = arcs[depth[v[arcs]] < 0]
+            parent[v[arcs]] = u[arcs]
+            level = v[arcs]
+            depth[level] = len(levels)
+        size = np.ones(count, np.int64)
+        for level in reversed(levels[1:]):
+            np.add.at(size, parent[level], size[level])
+        # children in the order of the walk: names after the parent's first, then from the smallest on
+        enter = np.zeros(count, np.int64)
+        for level in levels[1:]:
+            up = parent[level]
+            wrapped = (parent[up] >= 0) & (level < parent[up])
+            turn = np.lexsort((level, wrapped, up))
+            level, up = level[turn], up[turn]
+            steps = 2 * size[level]
+            before = np.cumsum(steps) - steps
+            group = np.flatnonzero(np.append(True, up[1:] != up[:-1]))
+            own = before - np.repeat(before[group], np.diff(np.append(group, len(up))))
+            enter[level] = enter[up] + 1 + own
+        kept = np.flatnonzero(depth >= 0)
+        ids = graph[first][owner]
+        yield pa.record_batch(
+            [
+                pa.array(ids[kept]),
+                pa.array(name[kept]).cast(pa.int32()),
+                pa.array(np.where(parent >= 0, name[parent], 0)[kept], mask=parent[kept] < 0).cast(pa.int32()),
+                pa.array(enter[kept]),
+                pa.array((enter + 2 * size - 1)[kept]),
+                pa.array(depth[kept].astype(np.int64)),
+                pa.array(size[kept]),
+            ],
+            names=["graph_id", "node", "parent", "enter", "leave", "depth", "size"],
+        )
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Whole graphs in one task each, one after another."""
+    return rows.repartition("graph_id").sortWithinPartitions("graph_id")
+
+
+def all_small(edges: DataFrame) -> bool:
+    """Whether every graph has an id, and few enough edges for a task to hold it."""
+    sizes = edges.groupBy("graph_id").agg(F.count("*").alias("n"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("bad"))
+    found = sizes.agg(F.max("n"), F.count_if(F.col("graph_id").isNull()), F.sum("bad")).first()
+    return found[0] is not None and found[0] <= MOST_EDGES and not found[1] and not found[2]

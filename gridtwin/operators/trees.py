@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridtwin.operators import lattice
 from gridtwin.operators.grids import symmetric
 from gridtwin.session import cut_counting
 
@@ -26,8 +27,14 @@ def rooted(tree: DataFrame, roots: DataFrame) -> DataFrame:
     the walk where the node's subtree begins and ends, so u is an ancestor of
     v (or v itself) if u.enter <= v.enter and u.leave >= v.leave. Nodes are
     numbers below 2^31; the neighbours of one node are sorted together, so
-    the degree should be small, as on grids.
+    the degree should be small, as on grids. Where every tree is small and has one
+    root, a tree is walked inside a task and only shuffled once.
     """
+    if lattice.all_small(tree) and roots.groupBy("graph_id").count().where((F.col("count") > 1) | F.col("graph_id").isNull()).isEmpty():
+        rows = tree.select("graph_id", "a", "b").join(roots.select("graph_id", "root").where(F.col("root").isNotNull()), "graph_id")
+        return lattice.in_order(rows).mapInArrow(
+            lattice.walks, "graph_id bigint, node int, parent int, enter bigint, leave bigint, depth bigint, size bigint"
+        )
     at_node = Window.partitionBy("graph_id", "v").orderBy("u")
     around = Window.partitionBy("graph_id", "v")
     arcs = (

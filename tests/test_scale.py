@@ -1,8 +1,13 @@
 """Work of few small rows is dealt to all cores, and stays small on its way."""
 
 
+import random
+
+from pyspark.sql import functions as F
+
 from catalog import inputs
-from gridtwin.operators import grids
+from gridtwin.operators import connectivity, fields, grids, lattice, trees
+from gridtwin.operators.rooms import cells_level
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -30,3 +35,37 @@ def test_open_sides_of_wide_grids_repeated_rows_and_no_edges(spark):
     assert rows[2].right[1] == [0, 0, 1, 1, 0, 0] and rows[3].down == [[0] * 4]
     once = grids.rows_from_edges(table.where("graph_id = 1"), edges)
     assert {tuple(r) for r in grids.edges_from_rows(once).collect()} == {(1, 49, 50), (1, 50, 120)}
+
+
+def test_small_graphs_take_no_written_rounds(spark, monkeypatch):
+    """Forests and walks inside tasks equal those of the rounds, and write nothing on the way."""
+    draw_ = random.Random(3)
+    edges = [(g, a, b, draw_.choice([0.25, 0.5, draw_.random()])) for g in range(40) for a, b in {tuple(sorted(draw_.sample(range(-3, 9), 2))) for _ in range(14)}]
+    table = spark.createDataFrame(edges, "graph_id long, a int, b int, w double").repartition(3)
+    grid = spark.createDataFrame([(k, 3 + k % 5, 4) for k in range(20)], "graph_id long, width int, height int")
+    weighted = grids.grid_edges(grid).withColumn("w", F.xxhash64("graph_id", "edge_no").cast("double"))
+    roots = grid.select("graph_id", (F.col("graph_id") % 7).cast("int").alias("root"))
+
+    def results():
+        tree = connectivity.spanning_forest(weighted)
+        found = connectivity.spanning_forest(table), tree, trees.rooted(tree, roots)
+        return [(part.schema.simpleString(), {tuple(r) for r in part.collect()}) for part in found]
+
+    def no_rounds(*_, **__):
+        raise AssertionError("a round was written")
+
+    with monkeypatch.context() as patched:
+        for module, name in ((connectivity, "cut"), (connectivity, "cut_counting"), (connectivity, "cut_observing"), (trees, "cut_counting")):
+            patched.setattr(module, name, no_rounds)
+        inside = results()
+    monkeypatch.setattr(lattice, "MOST_EDGES", 0)
+    assert inside == results()
+
+
+def test_listed_cells_are_not_joined(spark):
+    """Cells of a field are listed after their rooms met: no join reads them, whatever their size is thought to be."""
+    rooms = spark.createDataFrame([(k, k) for k in range(5)], "room_id long, seed long")
+    field = fields.obstacle_fields(rooms)
+    plan = fields.with_open_neighbours(fields.free_cells(field, 16))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") and plan.count("Join") == 1
+    assert {r.text for r in fields.field_texts(field).collect()} == {r.text for r in cells_level(fields.field_levels(field)).collect()}
