@@ -15,6 +15,7 @@ from gridtwin.llm.fragments import encoder
 from gridtwin.session import cut
 
 PIECES_PER_PART = 1 << 14
+PIECE_BYTES = 1 << 20  # texts encoded together; the arrays on the way take some 60 bytes a byte
 MOST_ROUNDS = 40  # each joins twice as many parts
 
 
@@ -26,7 +27,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
 
     def run(batches):
         coder = encoder(path)
-        for data, offsets, _, rows in text_blocks(batches):
+        for data, offsets, _, rows in text_blocks(batches, PIECE_BYTES):
             found, before = coder.encode(data, offsets)
             raw = np.insert(found, before[1:], np.uint32(end_id)).astype("<u4").tobytes()
             counts = np.diff(before) + 1

@@ -35,7 +35,7 @@ KINDS[0x41:0x5B] = 6
 _marks = [b for b in range(0x21, 0x7F) if not chr(b).isalnum()]
 KINDS[_marks] = 7 + np.arange(len(_marks))
 KIND_COUNT = 7 + len(_marks)
-SHAPE_OF = (mix(np.arange(KIND_COUNT**3, dtype=np.uint64)) % np.uint64(SHAPES)).astype(np.int64)
+SHAPE_OF = (mix(np.arange(KIND_COUNT**3, dtype=np.uint64)) % np.uint64(SHAPES)).astype(np.int32)
 
 
 def level(x: np.ndarray, low: float, high: float, levels: int) -> np.ndarray:
@@ -47,11 +47,11 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """[documents, TERMS] counts."""
     docs = len(offsets) - 1
     size = np.diff(offsets)
-    kinds = KINDS[data].astype(np.int64)
+    kinds = KINDS[data].astype(np.int32)  # small numbers: a block has as many as bytes
     out = np.zeros((docs, TERMS), np.float32)
     if len(kinds) > 2:
         shape = SHAPE_OF[(kinds[:-2] * KIND_COUNT + kinds[1:-1]) * KIND_COUNT + kinds[2:]]
-        doc = np.repeat(np.arange(docs), size)
+        doc = np.repeat(np.arange(docs, dtype=np.int32), size)
         inside = doc[:-2] == doc[2:]
         keys = doc[:-2][inside] * SHAPES + shape[inside]
         out[:, :SHAPES] = np.bincount(keys, minlength=docs * SHAPES).reshape(docs, SHAPES)
