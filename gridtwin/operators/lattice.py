@@ -317,8 +317,12 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.repartition("graph_id").sortWithinPartitions("graph_id")
 
 
-def all_small(edges: DataFrame) -> bool:
-    """Whether every graph has an id, and few enough edges for a task to hold it."""
-    sizes = edges.groupBy("graph_id").agg(F.count("*").alias("n"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("bad"))
-    found = sizes.agg(F.max("n"), F.count_if(F.col("graph_id").isNull()), F.sum("bad")).first()
-    return found[0] is not None and found[0] <= MOST_EDGES and not found[1] and not found[2]
+def all_small(edges: DataFrame, dense: int = 8) -> bool:
+    """Whether every graph has an id, few enough edges for a task to hold it, and at most ``dense`` for each number its nodes span."""
+    low, high = F.min(F.least("a", "b")), F.max(F.greatest("a", "b"))
+    sizes = edges.groupBy("graph_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("bad"), (high - low + 1).alias("span")
+    )
+    crowded = F.count_if(F.col("n") > dense * F.col("span"))
+    found = sizes.agg(F.max("n"), F.count_if(F.col("graph_id").isNull()), F.sum("bad"), crowded).first()
+    return found[0] is not None and found[0] <= MOST_EDGES and not found[1] and not found[2] and not found[3]
