@@ -11,8 +11,10 @@ from gridtwin.session import cut
 
 def plan_tries(levels: DataFrame, seed: int, per_type: int = 8, path_cells: DataFrame | None = None) -> DataFrame:
     """Seeded edits of each level in the order they should be judged: write this out for the solver."""
-    found = edits.enumerate_edits(levels)
-    near = edits.touching(found, path_cells) if path_cells is not None else found.withColumn("near", F.lit(None).cast("boolean"))
+    if path_cells is None:
+        near = edits.enumerate_edits(levels).withColumn("near", F.lit(None).cast("boolean"))
+    else:
+        near = edits.touching(edits.enumerate_edits(edits.with_paths(levels, path_cells), ["visited"]))
     return edits.try_order(edits.sample_edits(near, seed, per_type))
 
 

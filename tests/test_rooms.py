@@ -56,6 +56,42 @@ def test_sampling_prefers_the_path(spark):
     assert by_room["b"] == [(1, True), (2, True), (3, True), (4, False), (5, False)]
 
 
+def test_edits_of_odd_levels(spark):
+    rows = [("a", "G . .+G+p\n. .+b"), (None, ". .+#"), ("b", None), ("c", "\n"), ("d", ". .+#\n" * 300), ("e", "+ + +\n+ h +\n+ l+i+O +")]
+    found = edits.enumerate_edits(spark.createDataFrame(rows, "room_id string, text string"))
+    n = {(r.room_id, r.type): r["count"] for r in found.groupBy("room_id", "type").count().collect()}
+    assert (n["a", "move_gem"], n["a", "move_player"], n["a", "move_box"], n["d", "add_wall"]) == (4, 2, 2, 300)
+    assert n["e", "hole_to_floor"] == n["e", "toggle_lift"] == 1 and not any(room in "bc" for room, _ in n if room)
+    lone = {r.edit_id: r.changes for r in found.where("type = 'move_gem'").collect()}
+    assert [c.after for c in lone["a/move_gem/0,0/1,0"]] == [None, ".+G"]
+    assert [(c.x, c.y, c.before, c.after) for c in lone["a/move_gem/2,0/0,1"]] == [(2, 0, ".+G+p", ".+p"), (0, 1, ".", ".+G")]
+    assert not found.where("edit_id = 'add_wall/0,0/0' AND room_id IS NULL").isEmpty()
+
+
+def test_only_levels_meet_their_paths(spark):
+    levels = spark.createDataFrame([(n, ". . .+G\n. .+p ." * 2) for n in (1, 2)], "room_id int, text string")
+    path = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (1, None, 3)], "room_id int, x int, y int")
+    found = edits.enumerate_edits(edits.with_paths(levels, path), ["visited"])
+    near = edits.touching(found).select("room_id", "edit_id", "near").collect()
+    joined = edits.touching(edits.enumerate_edits(levels), path).select("room_id", "edit_id", "near").collect()
+    assert sorted(near, key=str) == sorted(joined, key=str) and {r.near for r in near} == {True, False, None}
+    assert all(r.near == ("/0,0/" in r.edit_id or "/1,0/" in r.edit_id or r.edit_id.endswith(("/0,0", "/1,0"))) for r in near if r.room_id == 1)
+    # one shuffle by room serves all windows; edits are dropped before it
+    plan = edits.try_order(edits.sample_edits(edits.touching(found), 5, 2))._jdf.queryExecution().executedPlan().toString()
+    after_edits = plan[: plan.index("MapInArrow")]
+    assert after_edits.count("Exchange") == 1 and after_edits.index("Exchange") < after_edits.index("isnan")
+
+
+def test_sampling_spread_edits(spark):
+    """Groups dealt over many batches, with edits without id and of equal draws."""
+    rows = [(n % 3 or None, f"e{n // 2}" if n % 97 else None, "add_wall", n % 5 == 0) for n in range(2000)]
+    table = spark.createDataFrame(rows, "room_id int, edit_id string, type string, near boolean").repartition(7)
+    window = edits.seeded_order(3, "edit_id", ["room_id", "near"], True)
+    ranked = table.withColumn("r", F.row_number().over(window)).where(F.col("r") <= F.when(F.col("near"), 4).otherwise(8))
+    wanted = sorted((str(r.room_id), str(r.edit_id), r.r + (0 if r.near else 4)) for r in ranked.collect() if r.near or r.r <= 4)
+    assert sorted((str(r.room_id), str(r.edit_id), r.k) for r in edits.sample_edits(table, 3, 8).collect()) == wanted
+
+
 def stop_and_match(tries, p):
     """The same search one try after the other."""
     solved, unsolved, kept = [], [], []
