@@ -10,7 +10,7 @@ from catalog import inputs, sqltext as sql
 from catalog.registry import query
 from catalog.scoring import rounded
 from gridtwin.operators import rooms, sampling, scoring
-from gridtwin.session import scratch_path
+from gridtwin.session import scratch_path, spread
 from gridtwin.sources import catalogue, readers, writers
 
 ITEMS = inputs.PAIRED_ITEMS
@@ -48,6 +48,11 @@ def supplier_levels(spark, sf_dir):
     return inputs.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", text.alias("text"))
 
 
+def files_of(texts, key, path):
+    """A text file for each ``key``; opening a file costs more than its rows, so keys are dealt to all cores."""
+    spread(texts, key).write.partitionBy(key).text(path)
+
+
 @query(
     "level_folder",
     """SELECT 's' || s_suppkey AS room_id, y::INTEGER AS y, x::INTEGER AS x, cell FROM (SELECT s_suppkey, 0 AS y, 0 AS x, 'Supplier' AS cell FROM supplier
@@ -59,7 +64,7 @@ def level_folder(spark, sf_dir):
     """One text file per supplier, listed and read whole."""
     path = scratch_path(spark, "levels")
     levels = supplier_levels(spark, sf_dir).select("text", F.concat(F.lit("s"), "s_suppkey").alias("room"))
-    levels.write.partitionBy("room").text(path)
+    files_of(levels, "room", path)
     back = readers.read_levels(spark, path, r"room=([^/]+)/", recursive=True)
     return rooms.level_cells(back).select("room_id", "y", "x", "cell")
 
@@ -159,9 +164,8 @@ def wrapped_json(spark, sf_dir):
 
 def sidecar_items(spark, sf_dir, path):
     """Items that name the file of their supplier and one that does not exist."""
-    supplier_levels(spark, sf_dir).select(
-        F.concat("text", F.lit("end")).alias("value"), F.col("s_suppkey").alias("key")
-    ).write.partitionBy("key").text(path)
+    texts = supplier_levels(spark, sf_dir).select(F.concat("text", F.lit("end")).alias("value"), F.col("s_suppkey").alias("key"))
+    files_of(texts, "key", path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
     named = files.select(
         F.regexp_extract("path", r"key=([0-9]+)/", 1).cast("bigint").alias("id"),

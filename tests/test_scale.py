@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from catalog import inputs
+from catalog import files, inputs
 from gridtwin.operators import connectivity, fields, grids, lattice, trees
 from gridtwin.operators.rooms import cells_level
 
@@ -69,3 +69,12 @@ def test_listed_cells_are_not_joined(spark):
     plan = fields.with_open_neighbours(fields.free_cells(field, 16))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join") and plan.count("Join") == 1
     assert {r.text for r in fields.field_texts(field).collect()} == {r.text for r in cells_level(fields.field_levels(field)).collect()}
+
+
+def test_files_of_one_table_are_written_by_many_tasks(spark, tmp_path):
+    texts = spark.createDataFrame([(f"line {k}", k) for k in [*range(64), 7]], "value string, key int").coalesce(1)
+    files.files_of(texts, "key", f"{tmp_path}/sidecars")
+    names = [path.name for path in tmp_path.glob("sidecars/key=*/*.txt")]
+    assert len(names) == 64  # the repeated key has one file of two lines
+    assert len({name.split("-")[1] for name in names}) >= spark.sparkContext.defaultParallelism
+    assert next(tmp_path.glob("sidecars/key=7/*.txt")).read_text() == "line 7\nline 7\n"
