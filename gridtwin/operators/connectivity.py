@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -78,7 +78,9 @@ def spanning_forest(edges: DataFrame, weight: str = "w") -> DataFrame:
     Each round every component takes its lightest outgoing edge, and the
     components joined that way become one, so the number of components at
     least halves and only edges between components go on. With many more edges than
-    nodes most edges never enter the rounds: the forest of a sample of the edges
+    nodes most edges never enter the rounds: edges dealt by one end are looked at in
+    blocks, whose forests rule out all others where a block has fewer nodes than
+    edges. If many are left, the forest of a sample of the edges
     rules out each edge that is heavier than the sample's whole way between its
     ends, which leaves few more edges than the sample has.
 
@@ -95,10 +97,16 @@ def spanning_forest(edges: DataFrame, weight: str = "w") -> DataFrame:
         edges.select(*columns),
         "edges",
         edges=F.count("*"),
-        nodes=F.approx_count_distinct(at_a) + F.approx_count_distinct(at_b),
+        at_a=F.approx_count_distinct(at_a),
+        at_b=F.approx_count_distinct(at_b),
+        nulls=F.count_if(reduce(Column.__or__, [F.col(c).isNull() for c in (*whole, weight)])),
     )
-    if seen["edges"] > DENSE * seen["nodes"]:
-        share = math.sqrt(seen["nodes"] / seen["edges"])
+    count, nodes = seen["edges"], seen["at_a"] + seen["at_b"]
+    exact = kinds <= {"integer", "long"} and edges.schema[weight].dataType.typeName() in ("double", "float", "integer")
+    if count > DENSE * nodes and exact and not seen["nulls"]:
+        live, count = _thinned(live, count, seen["at_a"], seen["at_b"])
+    if count > DENSE * nodes:
+        share = math.sqrt(nodes / count)
         drawn = F.pmod(F.xxhash64("graph_id", "a", "b", F.lit("sample")), F.lit(DRAWS)) < int(share * DRAWS)
         ways = _ways(_contract(live.where(drawn), weight))
         live = cut(_without_heaviest(live, ways, weight), "edges")
@@ -108,6 +116,18 @@ def spanning_forest(edges: DataFrame, weight: str = "w") -> DataFrame:
     return reduce(DataFrame.unionAll, taken)
 
 
+def _thinned(live: DataFrame, count: int, at_a: int, at_b: int) -> tuple[DataFrame, int]:
+    """Edges in the forest of their block, and their number; all of them where blocks would have too many nodes to rule out half.
+
+    They are dealt by the end with more nodes, so a block meets few of those and at most all nodes of the other end.
+    """
+    tasks = max(-(-count // lattice.BLOCK_EDGES), 2 * live.sparkSession.sparkContext.defaultParallelism)
+    if 2 * (max(at_a, at_b) + tasks * min(at_a, at_b)) > count:
+        return live, count
+    dealt = live.repartition(tasks, "graph_id", "ca" if at_a > at_b else "cb")
+    return cut_counting(dealt.mapInArrow(lattice.thinned, live.schema), label="edges")
+
+
 def _contract(live: DataFrame, weight: str) -> list[tuple[DataFrame, DataFrame]]:
     """Per round, the lightest edge of each component, and the component each went into."""
     levels = []

@@ -16,6 +16,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 MOST_CELLS = 1 << 18
 MOST_EDGES = 1 << 17  # of a graph that one task may hold
+BLOCK_EDGES = 1 << 21  # of a graph too large for one task, that are looked at together
 NONE = np.iinfo(np.int64).max
 
 
@@ -257,6 +258,33 @@ def forests(batches) -> Iterator[pa.RecordBatch]:
         yield block.select(["graph_id", "a", "b"]).take(pa.array(forest(at_a, at_b, weight, len(names))))
 
 
+def thinned(batches) -> Iterator[pa.RecordBatch]:
+    """Of rows ``graph_id, ca, cb, weight, a, b`` (integers and no nulls, a weight that doubles hold) those in the forest of their block.
+
+    An edge that is not is the heaviest on a cycle of its block (ties by a, then b), so no forest of the whole graph has it.
+    """
+    kept: list[pa.RecordBatch] = []
+
+    def block() -> pa.Table:
+        rows = pa.Table.from_batches(kept)
+        graph, a, b = (rows.column(i).cast(pa.int64()).to_numpy() for i in (0, 1, 2))
+        names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        number = np.unique(graph, return_inverse=True)[1]
+        if number.any():  # nodes of several graphs
+            names, place = np.unique(np.tile(number, 2) * len(names) + place, return_inverse=True)
+        weight = rows.column(3).cast(pa.float64()).to_numpy()
+        return rows.take(pa.array(forest(place[: len(a)], place[len(a) :], weight, len(names))))
+
+    for batch in batches:
+        if batch.num_rows:
+            kept.append(batch)
+        if sum(part.num_rows for part in kept) >= BLOCK_EDGES:
+            yield from block().to_batches()
+            kept = []
+    if kept:
+        yield from block().to_batches()
+
+
 def walks(batches) -> Iterator[pa.RecordBatch]:
     """Nodes of rooted trees, from rows ``graph_id, a, b, root`` in order of graph: see :func:`trees.rooted`."""
     for block in whole_groups(batches, "graph_id"):

@@ -78,3 +78,29 @@ def test_files_of_one_table_are_written_by_many_tasks(spark, tmp_path):
     assert len(names) == 64  # the repeated key has one file of two lines
     assert len({name.split("-")[1] for name in names}) >= spark.sparkContext.defaultParallelism
     assert next(tmp_path.glob("sidecars/key=7/*.txt")).read_text() == "line 7\nline 7\n"
+
+
+def test_edges_that_a_block_rules_out_do_not_enter_the_rounds(spark, monkeypatch):
+    draw = random.Random(5)
+    pairs = sorted({(-1 - draw.randrange(12), draw.randrange(300)) for _ in range(6000)})
+    rows = [(0, a, b, float(draw.randrange(9))) for a, b in pairs]
+    edges = spark.createDataFrame(rows, "graph_id int, a long, b long, w double")
+    monkeypatch.setattr(lattice, "MOST_EDGES", 100)  # not small: the forest is made in rounds
+    seen = []
+    rounds = connectivity._contract
+    monkeypatch.setattr(connectivity, "_contract", lambda live, weight: seen.append(live.count()) or rounds(live, weight))
+    found = {(r.a, r.b) for r in connectivity.spanning_forest(edges).collect()}
+    parent = {n: n for _, a, b, _ in rows for n in (a, b)}
+
+    def top(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    wanted = set()
+    for _, a, b, _ in sorted(rows, key=lambda r: (r[3], r[1], r[2])):
+        if top(a) != top(b):
+            parent[top(a)] = top(b)
+            wanted.add((a, b))
+    assert found == wanted
+    assert len(seen) == 1 and seen[0] < len(rows) / 2
