@@ -243,7 +243,7 @@ def build_pairs(params: DataFrame) -> dict[str, DataFrame]:
     path = cut(trees.tree_paths(nodes, ends_all), "path")
     cuts = trees.cut_sizes(path)
     chosen = cut(choose_cuts(cuts, params), "chosen")
-    candidates = candidate_passages(grid, tree, sides(nodes, chosen))
+    candidates = cut(candidate_passages(grid, tree, sides(nodes, chosen)), "candidates")
     extra = extra_passages(candidates, params)
     cut_edges = chosen.select(
         "graph_id", F.least("near", "far").alias("a"), F.greatest("near", "far").alias("b"), F.lit("cut").alias("_kind")

@@ -2,12 +2,14 @@
 
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from catalog import files, inputs
 from gridtwin.operators import connectivity, fields, grids, lattice, trees
 from gridtwin.operators.rooms import cells_level
+from gridtwin.session import cut
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -104,3 +106,17 @@ def test_edges_that_a_block_rules_out_do_not_enter_the_rounds(spark, monkeypatch
             wanted.add((a, b))
     assert found == wanted
     assert len(seen) == 1 and seen[0] < len(rows) / 2
+
+
+def test_shuffle_files_of_a_written_cut_are_removed(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {name for name in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+    before = files()
+    written = cut(spark.range(1000, numPartitions=8).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(20):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.5)
+    assert not left
+    assert sorted(written.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
