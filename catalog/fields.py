@@ -121,8 +121,7 @@ def cells_away_from_ends(spark, sf_dir):
 
 @query("frozen_cells", f"WITH RECURSIVE {WITH_FREE} SELECT room_id, node, x, y FROM free WHERE {d(4, '1 + node')} < 0.35 + {d(4)} * 0.4")
 def frozen_cells(spark, sf_dir):
-    field = field_of(spark, sf_dir)
-    return fields.frozen_cells(fields.free_cells(field, SIZE), field["rooms"])
+    return fields.frozen_cells(field_of(spark, sf_dir), SIZE)
 
 
 @query(

@@ -6,16 +6,19 @@ board; its cells are then a table ``room_id, node, x, y`` with ``open``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from gridtwin.functions.rng import draw, draw_int, draws
 from gridtwin.operators.boards import WORD, cells_of, holds
-from gridtwin.operators.lattice import Lattice, numbers, ragged, with_column
+from gridtwin.operators.lattice import Lattice, list_values, numbers, ragged, with_column
 from gridtwin.session import cut, spread
 
 # Wall density, wall bars, smallest usable field, ice share.
@@ -31,6 +34,9 @@ SHAPE, OPEN, BAR, START, ICE, PLACE, SPOT, TURN = (block << 20 for block in rang
 ATTEMPT_BITS = 23
 MOST_ATTEMPTS = 256
 
+# Directions in the order in which a box is turned.
+WAYS = ((1, 0), (-1, 0), (0, 1), (0, -1))
+
 
 def field_cells(seed: np.ndarray, attempt: int, size: int) -> np.ndarray:
     """[rooms, size * size] open cells of one attempt: border and seeded walls are closed, and seeded bars of 2 to 4 cells."""
@@ -194,6 +200,103 @@ def _free_rooms(field: dict[str, DataFrame], size: int, taken: DataFrame | None
     return rooms.withColumn("_free", F.collect_list("_own").over(Window.partitionBy("room_id")))
 
 
+class _Block:
+    """Rooms of :func:`_free_rooms`, a block of them at a time, as arrays [rooms, size * size]."""
+
+    def __init__(self, block: pa.RecordBatch, size: int):
+        self.block, self.size, self.rooms = block, size, block.num_rows
+        self.node = np.arange(size * size)
+        self.x, self.y = self.node % size, self.node // size
+
+    def column(self, name: str) -> pa.Array:
+        return self.block.column(self.block.schema.get_field_index(name))
+
+    def own(self) -> np.ndarray:
+        return _cells_of_words(list_values(self.block, "_own")[0], self.size)
+
+    def free(self) -> np.ndarray:
+        """How many rows of the room have the cell free."""
+        boards = self.column("_free")
+        each = boards.value_lengths().to_numpy(zero_copy_only=False)
+        cells = _cells_of_words(boards.flatten().flatten().to_numpy(zero_copy_only=False), self.size).astype(np.int32)
+        return np.add.reduceat(cells, np.cumsum(each) - each, axis=0) if self.rooms else cells
+
+    def around(self) -> np.ndarray:
+        """Free cells among the four neighbours."""
+        free = self.free()
+        return sum(self.beside(free, dx, dy) for dx, dy in WAYS)
+
+    def beside(self, cells: np.ndarray, dx: int, dy: int) -> np.ndarray:
+        """What the cells ``dx, dy`` further on hold; nothing beside the board."""
+        board = np.pad(cells.reshape(-1, self.size, self.size), ((0, 0), (1, 1), (1, 1)))
+        return board[:, 1 + dy : 1 + dy + self.size, 1 + dx : 1 + dx + self.size].reshape(cells.shape)
+
+    def steps(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Steps to a cell of each room."""
+        return np.abs(self.x - x[:, None]) + np.abs(self.y - y[:, None])
+
+    def farther(self, distance: int, mark: str) -> np.ndarray:
+        known = self.column(f"{mark}_x").is_valid().to_numpy(zero_copy_only=False)
+        return known[:, None] & (self.steps(numbers(self.block, f"{mark}_x"), numbers(self.block, f"{mark}_y")) > distance)
+
+    def on_path(self) -> np.ndarray:
+        """How often a path comes by."""
+        nodes, sizes = list_values(self.block, "_path")
+        cells = len(self.node)
+        inside = (nodes >= 0) & (nodes < cells)
+        at = np.repeat(np.arange(self.rooms), sizes)[inside] * cells + nodes[inside]
+        return np.bincount(at, minlength=self.rooms * cells).reshape(-1, cells)
+
+    def draws(self, number: np.ndarray) -> np.ndarray:
+        """The seeds' numbers; -1, before all others, without a seed."""
+        known = self.column("seed").is_valid().to_numpy(zero_copy_only=False)
+        return np.where(known[:, None], draws(numbers(self.block, "seed")[:, None], number), -1.0)
+
+    def lists(self, room: np.ndarray, **columns: np.ndarray) -> pa.Array:
+        """An array column from entries in order of their rooms; a number below 0 in ``u`` or ``v`` is null."""
+        ends = np.concatenate([[0], np.cumsum(np.bincount(room, minlength=self.rooms))]).astype(np.int32)
+        values = [
+            pa.array(v, pa.float64(), mask=v < 0) if name in ("u", "v") else pa.array(v).cast(pa.bool_() if v.dtype == bool else pa.int32())
+            for name, v in columns.items()
+        ]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(values, names=list(columns)))
+
+
+def _cells_of_words(words: np.ndarray, size: int) -> np.ndarray:
+    """[boards, size * size] cells of boards of a word per row, one after another."""
+    return ((words.reshape(-1, size, 1) >> np.arange(size)) & 1 == 1).reshape(-1, size * size)
+
+
+def _lowest(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rooms and cells of the ``most`` smallest keys of each room, in order; the smallest cells among equals, none at infinity."""
+    key, every = key.copy(), np.arange(len(key))
+    rooms, cells = [], []
+    for _ in range(most):
+        cell = key.argmin(axis=1)
+        there = key[every, cell] < np.inf
+        rooms.append(every[there])
+        cells.append(cell[there])
+        key[every, cell] = np.inf
+    room = np.concatenate(rooms)
+    order = np.argsort(room, kind="stable")
+    return room[order], np.concatenate(cells)[order]
+
+
+def _of_rooms(rooms: DataFrame, size: int, name: str, kind: str, made: Callable[[_Block], pa.Array]) -> DataFrame:
+    """Rooms with a column made from many of them at a time."""
+
+    def cells(batch: pa.RecordBatch) -> np.ndarray:
+        at = batch.schema.get_field_index("_free")
+        boards = np.ones(batch.num_rows, np.int64) if at < 0 else batch.column(at).value_lengths().to_numpy(zero_copy_only=False)
+        return size * size * boards
+
+    return with_column(rooms, name, DataType.fromDDL(kind), lambda block: made(_Block(block, size)), cells)
+
+
+def _placed(node: Column, size: int) -> tuple[Column, Column]:
+    return (node % size).alias("x"), F.floor(node / size).cast("int").alias("y")
+
+
 def _cells_of_rooms(rooms: DataFrame, size: int) -> DataFrame:
     """The free cells of :func:`_free_rooms`, with what their room has."""
     node = F.col("node")
@@ -226,12 +329,18 @@ def farther_than(distance: int, mark: str) -> Column:
     return F.abs(F.col("x") - F.col(f"{mark}_x")) + F.abs(F.col("y") - F.col(f"{mark}_y")) > distance
 
 
-def frozen_cells(free: DataFrame, rooms: DataFrame) -> DataFrame:
+def frozen_cells(field: dict[str, DataFrame], size: int) -> DataFrame:
     """Free cells that turn to ice, with a seeded share per room."""
-    seeded = free.join(rooms, "room_id")
-    share = ICE_SHARE + draw(F.col("seed"), ICE) * ICE_SPREAD
-    frozen = seeded.withColumn("_u", draw(F.col("seed"), ICE + 1 + F.col("node"))).withColumn("_share", share)
-    return frozen.where(F.col("_u") < F.col("_share")).select("room_id", "node", "x", "y")
+
+    def frozen(block: _Block) -> pa.Array:
+        u = block.draws(ICE + 1 + block.node)
+        share = ICE_SHARE + block.draws(np.array([ICE])) * ICE_SPREAD
+        room, node = np.nonzero(block.own() & (u >= 0) & (u < share))
+        return block.lists(room, node=node)
+
+    rooms = _free_rooms(field, size).select("room_id", "_own").join(field["rooms"], "room_id")
+    made = _of_rooms(rooms, size, "_cells", "array<struct<node: int>>", frozen)
+    return made.select("room_id", F.inline("_cells")).select("room_id", "node", *_placed(F.col("node"), size))
 
 
 def _with_paths(rooms: DataFrame, paths: DataFrame) -> DataFrame:

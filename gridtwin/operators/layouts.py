@@ -107,7 +107,7 @@ def mechanics(layout: dict[str, DataFrame], kind: str, size: int = 16) -> DataFr
         return placed.where(F.col(node).isNotNull()).select("room_id", F.col(node).alias("node"), cell.alias("cell"))
 
     if kind == "ice":
-        return written(fields.frozen_cells(fields.free_cells(layout, size), layout["rooms"]), F.lit("i"))
+        return written(fields.frozen_cells(layout, size), F.lit("i"))
     if kind == "boxes":
         return written(fields.placed_boxes(layout, size), F.concat(F.lit(".+M"), F.col("i").cast("string")))
     if kind == "holes":

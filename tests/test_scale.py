@@ -4,9 +4,11 @@
 import random
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog import files, inputs
+from gridtwin.functions import rng
 from gridtwin.operators import connectivity, fields, grids, lattice, trees
 from gridtwin.operators.rooms import cells_level
 from gridtwin.session import cut
@@ -120,3 +122,33 @@ def test_shuffle_files_of_a_written_cut_are_removed(spark):
         time.sleep(0.5)
     assert not left
     assert sorted(written.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
+
+
+def joins_listed_cells(df):
+    """Whether a join stands above rows that were listed from arrays."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for at, line in enumerate(lines):
+        if "Generate " in line:
+            above = depth(line)
+            for other in reversed(lines[:at]):
+                if depth(other) < above:
+                    above = depth(other)
+                    if "Join " in other:
+                        return True
+    return False
+
+
+def mechanics_of(spark):
+    return fields.obstacle_fields(spark.createDataFrame([(k, 3 * k) for k in range(12)], "room_id long, seed long"))
+
+
+def test_frozen_cells_are_listed_after_their_rooms_met_the_seeds(spark):
+    field = mechanics_of(spark)
+    frozen = fields.frozen_cells(field, 16)
+    assert not joins_listed_cells(frozen)
+    free = {(r.room_id, r.node) for r in fields.free_cells(field, 16).collect()}
+    u = lambda room, k: rng.draws(np.array([3 * room]), fields.ICE + k)[0]
+    wanted = {(r, n) for r, n in free if u(r, 1 + n) < fields.ICE_SHARE + u(r, 0) * fields.ICE_SPREAD}
+    assert wanted and {(r.room_id, r.node) for r in frozen.collect()} == wanted
+    assert all(r.node == r.y * 16 + r.x for r in frozen.collect())
