@@ -386,31 +386,41 @@ def placed_holes(field: dict[str, DataFrame], size: int) -> DataFrame:
 
 def hole_fillers(field: dict[str, DataFrame], holes: DataFrame, size: int) -> DataFrame:
     """A floor tile per pit: the first seeded spot 2 to 5 steps away, else the spot with the pit's number."""
-    free = _cells_of_rooms(_free_rooms(field, size, holes.select("room_id", "node")), size)
-    spots = with_open_neighbours(free).where((F.col("around") >= 2) & farther_than(1, "start")).select("room_id", "node", "x", "y")
-    spots = spots.join(field["rooms"], "room_id").withColumn("_u", draw(F.col("seed"), SPOT + F.col("node")))
-    # the fallback only needs the first two spots; the range part keeps one minimum per pit
-    place = Window.partitionBy("room_id").orderBy("_u", "node")
-    numbered = (
-        spots.withColumn("_rank", F.row_number().over(place))
-        .where(F.col("_rank") <= 2)
-        .select("room_id", (F.col("_rank") - 1).alias("i"), F.col("node").alias("_any"))
-    )
-    pits = holes.select("room_id", "i", F.col("node").alias("hole"), F.col("x").alias("hole_x"), F.col("y").alias("hole_y"))
-    apart = F.abs(F.col("x") - F.col("hole_x")) + F.abs(F.col("y") - F.col("hole_y"))
-    near = (
-        pits.join(spots.select("room_id", "node", "x", "y", "_u"), "room_id")
-        .where(apart.between(2, 5))
-        .groupBy("room_id", "i", "hole")
-        .agg(F.min(F.struct("_u", "node"))["node"].alias("_near"))
-    )
-    return (
-        pits.select("room_id", "i", "hole")
-        .join(near, ["room_id", "i", "hole"], "left")
-        .join(numbered, ["room_id", "i"], "left")
-        .select("room_id", "hole", F.coalesce("_near", "_any").alias("filler"))
-        .where(F.col("filler").isNotNull())
-    )
+
+    def spots(block: _Block) -> np.ndarray:
+        """The spots' seeded numbers, infinity elsewhere."""
+        fits = block.own() & (block.around() >= 2) & block.farther(1, "start")
+        return np.where(fits, block.draws(SPOT + block.node), np.inf)
+
+    def found(block: _Block) -> pa.Array:
+        """The first two spots, for pit -1, and the first near each pit, numbered by its place in ``_pits``."""
+        key = spots(block)
+        room, node = _lowest(key, 2)
+        pits = block.column("_pits")
+        each = pits.value_lengths().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(block.rooms), each)
+        pit = np.arange(len(owner)) - (np.cumsum(each) - each)[owner]
+        x, y = (pc.struct_field(pits.flatten(), name).to_numpy(zero_copy_only=False) for name in ("x", "y"))
+        apart = block.steps(x, y)
+        near, near_node = _lowest(np.where((apart >= 2) & (apart <= 5), key[owner], np.inf), 1)
+        rooms = np.concatenate([room, owner[near]])
+        nodes, of = np.concatenate([node, near_node]), np.concatenate([np.full(len(room), -1), pit[near]])
+        order = np.argsort(rooms, kind="stable")
+        rooms, nodes = rooms[order], nodes[order]
+        return block.lists(rooms, pit=of[order], u=key[rooms, nodes], node=nodes)
+
+    pits = holes.groupBy("room_id").agg(F.collect_list(F.struct("i", "node", "x", "y")).alias("_pits"))
+    rooms = _free_rooms(field, size, holes.select("room_id", "node")).join(field["rooms"], "room_id").join(pits, "room_id")
+    made = _of_rooms(rooms, size, "_found", "array<struct<pit: int, u: double, node: int>>", found)
+    # a room listed more than once has the first spots of all its rows
+    whole = made.groupBy("room_id").agg(F.max("_pits").alias("_pits"), F.array_sort(F.flatten(F.collect_list("_found"))).alias("_found"))
+
+    def filler(pit: Column, place: Column) -> Column:
+        of = lambda number: F.filter("_found", lambda spot: spot["pit"] == number)
+        first_two = F.slice(of(F.lit(-1)), 1, 2)
+        return F.struct(pit["node"].alias("hole"), F.coalesce(F.get(of(place), F.lit(0))["node"], F.get(first_two, pit["i"])["node"]).alias("filler"))
+
+    return whole.select("room_id", F.inline(F.transform("_pits", filler))).where(F.col("filler").isNotNull())
 
 
 def button_lines(field: dict[str, DataFrame], size: int) -> DataFrame:

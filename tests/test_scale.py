@@ -152,3 +152,24 @@ def test_frozen_cells_are_listed_after_their_rooms_met_the_seeds(spark):
     wanted = {(r, n) for r, n in free if u(r, 1 + n) < fields.ICE_SHARE + u(r, 0) * fields.ICE_SPREAD}
     assert wanted and {(r.room_id, r.node) for r in frozen.collect()} == wanted
     assert all(r.node == r.y * 16 + r.x for r in frozen.collect())
+
+
+def test_pits_meet_the_spots_of_their_room_in_one_row(spark):
+    field = mechanics_of(spark)
+    pits = [(r.room_id, i, r.node, r.node % 16, r.node // 16) for r in fields.free_cells(field, 16).where("node % 50 = 4").collect() for i in (0, 1)]
+    holes = spark.createDataFrame(pits, "room_id long, i int, node int, x int, y int")
+    fillers = fields.hole_fillers(field, holes, 16)
+    assert not joins_listed_cells(fillers)
+    taken = {(room, node) for room, _, node, _, _ in pits}
+    free = {(r.room_id, r.node): r for r in fields.free_cells(field, 16).collect() if (r.room_id, r.node) not in taken}
+    around = lambda room, n: sum((room, n + step) in free for step in (1, -1, 16, -16))
+    spots = {}
+    for (room, n), r in free.items():
+        if around(room, n) >= 2 and abs(r.x - r.start_x) + abs(r.y - r.start_y) > 1:
+            spots.setdefault(room, []).append((rng.draws(np.array([3 * room]), fields.SPOT + n)[0], n))
+    wanted = []
+    for room, i, node, x, y in pits:
+        ranked = sorted(spots.get(room, []))
+        near = [n for _, n in ranked if 2 <= abs(n % 16 - x) + abs(n // 16 - y) <= 5]
+        wanted += [(room, node, n) for n in (near or [n for _, n in ranked[i : i + 1]])[:1]]
+    assert sorted((r.room_id, r.hole, r.filler) for r in fillers.collect()) == sorted(wanted)
