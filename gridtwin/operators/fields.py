@@ -430,33 +430,39 @@ def button_lines(field: dict[str, DataFrame], size: int) -> DataFrame:
     and directions are tried in seeded order. Rooms without such a line have
     null box and button.
     """
-    rooms = cut(_with_paths(_free_rooms(field, size), field["paths"]), "free")
-    away = _cells_of_rooms(rooms, size).where(farther_than(1, "start") & farther_than(1, "goal"))
-    on_path = _with_path_flag(away).where("on_path").select("room_id", "node", "x", "y").join(field["rooms"], "room_id")
-    walls = on_path.groupBy("room_id").agg(
-        F.min(F.struct(draw(F.col("seed"), PLACE + F.col("node")).alias("u"), "node", "x", "y")).alias("w")
-    )
-    walls = cut(walls.select("room_id", F.col("w.node").alias("wall"), F.col("w.x").alias("wall_x"), F.col("w.y").alias("wall_y")), "walls")
-    seeds = field["rooms"].distinct()  # the first of the lines is the same however often a room is listed
-    rest = _cells_of_rooms(rooms.drop("_path").join(walls, "room_id").join(seeds, "room_id"), size).where(F.col("node") != F.col("wall"))
-    near_wall = F.abs(F.col("x") - F.col("wall_x")) + F.abs(F.col("y") - F.col("wall_y")) <= 1
-    spots = rest.where(farther_than(1, "start") & farther_than(1, "goal") & ~near_wall)
-    ways = F.array(*[F.struct(F.lit(i).alias("way"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(((1, 0), (-1, 0), (0, 1), (0, -1)))])
-    seed = F.col("seed")
-    x, y, dx, dy = F.col("x"), F.col("y"), F.col("d.dx"), F.col("d.dy")
-    standing = lambda x, y: F.exists("_free", lambda board: _bit(board, x, y) == 1) & (y * size + x != F.col("wall"))
-    tries = spots.select("room_id", "seed", "node", "x", "y", "wall", "_free", F.explode(ways).alias("d"))
-    lines = tries.where(standing(x + dx, y + dy) & standing(x - dx, y - dy)).select(
-        "room_id",
-        "node",
-        draw(seed, SPOT + F.col("node")).alias("u"),
-        draw(seed, TURN + F.col("node") * 4 + F.col("d.way")).alias("v"),
-        (F.col("node") + dx + dy * size).alias("button"),
-    )
-    first = lines.groupBy("room_id").agg(F.min(F.struct("u", "node", "v", "button")).alias("f"))
-    return walls.select("room_id", "wall").join(
-        first.select("room_id", F.col("f.node").alias("box"), F.col("f.button").alias("button")), "room_id", "left"
-    )
+
+    def away(block: _Block) -> np.ndarray:
+        return block.own() & block.farther(1, "start") & block.farther(1, "goal")
+
+    def wall(block: _Block) -> pa.Array:
+        u = block.draws(PLACE + block.node)
+        room, node = _lowest(np.where(away(block) & (block.on_path() > 0), u, np.inf), 1)
+        return block.lists(room, u=u[room, node], node=node)
+
+    def line(block: _Block) -> pa.Array:
+        held = numbers(block.block, "wall")
+        standing = (block.free() > 0) & (block.node != held[:, None])
+        spots = away(block) & (block.steps(held % size, held // size) > 1)
+        u = block.draws(SPOT + block.node)
+        # the turn is drawn only where a line is free
+        v = np.full((len(WAYS), *u.shape), np.inf)
+        for way, (dx, dy) in enumerate(WAYS):
+            free = spots & block.beside(standing, dx, dy) & block.beside(standing, -dx, -dy)
+            v[way] = np.where(free, block.draws(TURN + block.node * 4 + way), np.inf)
+        room, node = _lowest(np.where((v < np.inf).any(axis=0), u, np.inf), 1)
+        turn = v[:, room, node]
+        # without a seed all turns are alike: the smallest button
+        steps = np.array([dx + dy * size for dx, dy in WAYS])
+        way = np.lexsort((np.broadcast_to(steps[:, None], turn.shape), turn), axis=0)[0]
+        return block.lists(room, u=u[room, node], node=node, v=turn[way, np.arange(len(room))], button=node + steps[way])
+
+    rooms = _with_paths(_free_rooms(field, size), field["paths"]).join(field["rooms"], "room_id")
+    walls = _of_rooms(rooms, size, "_wall", "array<struct<u: double, node: int>>", wall).drop("_path")
+    of_room = F.min(F.get("_wall", F.lit(0))).over(Window.partitionBy("room_id"))
+    held = walls.withColumn("wall", of_room["node"]).drop("_wall").where(F.col("wall").isNotNull())
+    made = _of_rooms(held, size, "_line", "array<struct<u: double, node: int, v: double, button: int>>", line)
+    first = made.groupBy("room_id", "wall").agg(F.min(F.get("_line", F.lit(0))).alias("f"))
+    return first.select("room_id", "wall", F.col("f.node").alias("box"), F.col("f.button").alias("button"))
 
 
 def field_levels(field: dict[str, DataFrame], changes: DataFrame | None = None, size: int = 16) -> DataFrame:

@@ -173,3 +173,32 @@ def test_pits_meet_the_spots_of_their_room_in_one_row(spark):
         near = [n for _, n in ranked if 2 <= abs(n % 16 - x) + abs(n // 16 - y) <= 5]
         wanted += [(room, node, n) for n in (near or [n for _, n in ranked[i : i + 1]])[:1]]
     assert sorted((r.room_id, r.hole, r.filler) for r in fillers.collect()) == sorted(wanted)
+
+
+def test_button_lines_are_found_without_listing_cells(spark):
+    field = mechanics_of(spark)
+    lines = fields.button_lines(field, 16)
+    assert "Generate" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    rows = {}
+    for r in fields.free_cells(field, 16).collect():
+        rows.setdefault(r.room_id, {})[r.node] = r
+    paths = {r.room_id: r.path for r in field["paths"].collect()}
+    wanted = set()
+    for room, free in rows.items():
+        u = lambda k: rng.draws(np.array([3 * room]), k)[0]  # noqa: B023, E731
+        apart = lambda r, x, y: abs(r.x - x) + abs(r.y - y) > 1
+        away = {n for n, r in free.items() if apart(r, r.start_x, r.start_y) and apart(r, r.goal_x, r.goal_y)}
+        walls = sorted((u(fields.PLACE + n), n) for n in away & set(paths[room]))
+        if not walls:
+            continue
+        wall = walls[0][1]
+        standing = set(free) - {wall}
+        tries = [
+            (u(fields.SPOT + n), n, u(fields.TURN + 4 * n + way), n + step)
+            for n in away & standing
+            if apart(free[n], wall % 16, wall // 16)
+            for way, step in enumerate((1, -1, 16, -16))
+            if n + step in standing and n - step in standing
+        ]
+        wanted.add((room, wall, *((min(tries)[1], min(tries)[3]) if tries else (None, None))))
+    assert wanted and {tuple(r) for r in lines.select("room_id", "wall", "box", "button").collect()} == wanted
