@@ -348,40 +348,44 @@ def _with_paths(rooms: DataFrame, paths: DataFrame) -> DataFrame:
     return rooms.join(paths.groupBy("room_id").agg(F.flatten(F.collect_list("path")).alias("_path")), "room_id", "left")
 
 
-def _with_path_flag(free: DataFrame) -> DataFrame:
-    """Cells of rooms with ``_path``: a row for each time a path comes by, one row where none does."""
-    times = F.size(F.filter(F.coalesce("_path", F.array().cast("array<int>")), lambda n: n == F.col("node")))
-    flags = F.when(times > 0, F.array_repeat(F.lit(True), times)).otherwise(F.array(F.lit(False)))
-    return free.withColumn("on_path", F.explode(flags))
+def _first_cells(field: dict[str, DataFrame], size: int, most: int, fits: Callable[[_Block, np.ndarray], np.ndarray]) -> DataFrame:
+    """1 to ``most`` seeded cells per room, those on a path first, numbered ``i`` from 0.
 
+    ``fits`` tells the cells to choose from, given how often a path comes by each; a cell counts that
+    often. Each row of a room names its first cells, among which those of the room are.
+    """
+
+    def first(block: _Block) -> pa.Array:
+        times = block.on_path()
+        u = block.draws(PLACE + 1 + block.node)
+        spots = block.own() & fits(block, times)
+        room, node = _lowest(np.where(spots, u - 4.0 * (times > 0), np.inf), most)
+        again = np.clip(times[room, node], 1, most)
+        room, node = np.repeat(room, again), np.repeat(node, again)
+        return block.lists(room, u=u[room, node], node=node, on_path=times[room, node] > 0)
 
-def _first_cells(candidates: DataFrame, rooms: DataFrame, most: int, path_first: bool) -> DataFrame:
-    """1 to ``most`` seeded cells per room, numbered ``i`` from 0."""
-    order = [F.col("on_path").desc()] if path_first else []
-    place = Window.partitionBy("room_id").orderBy(*order, "_u", "node")
+    rooms = _with_paths(_free_rooms(field, size), field["paths"]).join(field["rooms"], "room_id")
+    made = _of_rooms(rooms, size, "_spots", "array<struct<u: double, node: int, on_path: boolean>>", first)
+    place = Window.partitionBy("room_id").orderBy(F.col("on_path").desc(), "u", "node")
     return (
-        candidates.join(rooms, "room_id")
-        .withColumn("_u", draw(F.col("seed"), PLACE + 1 + F.col("node")))
+        made.select("room_id", "seed", F.inline("_spots"))
         .withColumn("_rank", F.row_number().over(place))
         .where(F.col("_rank") <= most)
         .where(F.col("_rank") <= draw_int(F.col("seed"), PLACE, most) + 1)
-        .select("room_id", (F.col("_rank") - 1).alias("i"), "node", "x", "y", "on_path")
+        .select("room_id", (F.col("_rank") - 1).alias("i"), "node", *_placed(F.col("node"), size), "on_path")
     )
 
 
 def placed_boxes(field: dict[str, DataFrame], size: int) -> DataFrame:
     """One to three boxes per room, on the solution first, with room to push and away from both ends."""
-    free = with_open_neighbours(_cells_of_rooms(_with_paths(_free_rooms(field, size), field["paths"]), size))
-    spots = free.where((F.col("around") >= 2) & farther_than(2, "start") & farther_than(1, "goal"))
-    return _first_cells(_with_path_flag(spots).drop("_free", "_path"), field["rooms"], 3, path_first=True)
+    return _first_cells(
+        field, size, 3, lambda block, times: (block.around() >= 2) & block.farther(2, "start") & block.farther(1, "goal")
+    )
 
 
 def placed_holes(field: dict[str, DataFrame], size: int) -> DataFrame:
     """One or two pits per room, only on the solution and away from both ends."""
-    free = _cells_of_rooms(_with_paths(_free_rooms(field, size), field["paths"]), size)
-    spots = free.where(farther_than(2, "start") & farther_than(1, "goal"))
-    on_path = _with_path_flag(spots).where("on_path").drop("_free", "_path")
-    return _first_cells(on_path, field["rooms"], 2, path_first=False)
+    return _first_cells(field, size, 2, lambda block, times: (times > 0) & block.farther(2, "start") & block.farther(1, "goal"))
 
 
 def hole_fillers(field: dict[str, DataFrame], holes: DataFrame, size: int) -> DataFrame:

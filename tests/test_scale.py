@@ -202,3 +202,25 @@ def test_button_lines_are_found_without_listing_cells(spark):
         ]
         wanted.add((room, wall, *((min(tries)[1], min(tries)[3]) if tries else (None, None))))
     assert wanted and {tuple(r) for r in lines.select("room_id", "wall", "box", "button").collect()} == wanted
+
+
+def test_boxes_and_pits_are_chosen_inside_their_rooms_row(spark):
+    """Only the first cells of a room leave its row; repeated rooms choose among the cells of all their rows."""
+    field = mechanics_of(spark)
+    boxes = fields.placed_boxes(field, 16)
+    assert not joins_listed_cells(boxes) and not joins_listed_cells(fields.placed_holes(field, 16))
+    paths = {r.room_id: set(r.path) for r in field["paths"].collect()}
+    spots = {}
+    for r in fields.with_open_neighbours(fields.free_cells(field, 16)).collect():
+        if r.around >= 2 and abs(r.x - r.start_x) + abs(r.y - r.start_y) > 2 and abs(r.x - r.goal_x) + abs(r.y - r.goal_y) > 1:
+            u = rng.draws(np.array([3 * r.room_id]), fields.PLACE + 1 + r.node)[0]
+            spots.setdefault(r.room_id, []).append((r.node not in paths[r.room_id], u, r.node))
+    wanted = []
+    for room, found in spots.items():
+        most = int(rng.draws(np.array([3 * room]), fields.PLACE)[0] * 3) + 1
+        wanted += [(room, i, n, n % 16, n // 16, not off) for i, (off, _, n) in enumerate(sorted(found)[:most])]
+    assert sorted(tuple(r) for r in boxes.collect()) == sorted(wanted)
+    twice = {part: table.unionAll(table) for part, table in field.items()}
+    of_twice = fields.placed_boxes(twice, 16).collect()
+    assert {r.room_id: r.node for r in of_twice if r.i == 0} == {r[0]: r[2] for r in wanted if r[1] == 0}
+    assert all((r.i, r.node) in {(i, w[2]) for w in wanted if w[0] == r.room_id for i in range(3)} for r in of_twice)
