@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from gridtwin.functions.rng import draw, draw_int, draws
-from gridtwin.operators.boards import WORD, cells_of, holds
+from gridtwin.functions.rng import draw_int, draws
+from gridtwin.operators.boards import WORD, holds
 from gridtwin.operators.lattice import Lattice, list_values, numbers, ragged, with_column
 from gridtwin.session import cut, spread
 
@@ -297,31 +297,21 @@ def _placed(node: Column, size: int) -> tuple[Column, Column]:
     return (node % size).alias("x"), F.floor(node / size).cast("int").alias("y")
 
 
-def _cells_of_rooms(rooms: DataFrame, size: int) -> DataFrame:
-    """The free cells of :func:`_free_rooms`, with what their room has."""
-    node = F.col("node")
-    listed = rooms.withColumn("node", F.explode(cells_of(F.col("_own"), F.lit(size)))).drop("_own")
-    return listed.withColumn("x", node % size).withColumn("y", F.floor(node / size).cast("int"))
-
-
 def free_cells(field: dict[str, DataFrame], size: int) -> DataFrame:
-    """Open cells that are neither start nor goal, with both ends' coordinates (and ``_free``, all boards of such cells of the room)."""
-    return _cells_of_rooms(_free_rooms(field, size), size)
+    """Open cells that are neither start nor goal, with both ends' coordinates (and ``_around``, such cells of the room beside it)."""
 
+    def listed(block: _Block) -> pa.Array:
+        room, node = np.nonzero(block.own())
+        return block.lists(room, node=node, _around=block.around()[room, node])
 
-def _bit(board: Column, x: Column, y: Column) -> Column:
-    """1 where a board has the cell; 0 beside the board."""
-    return F.coalesce(F.call_function("shiftright", F.get(board, y), x.cast("int")).bitwiseAND(F.lit(1)), F.lit(0).cast("bigint"))
+    made = _of_rooms(_free_rooms(field, size), size, "_cells", "array<struct<node: int, _around: int>>", listed).drop("_own", "_free")
+    cells = made.withColumn("_cell", F.explode("_cells")).select("*", "_cell.*").drop("_cells", "_cell")
+    return cells.select("*", *_placed(F.col("node"), size))
 
 
 def with_open_neighbours(free: DataFrame) -> DataFrame:
     """Number of free cells among the four neighbours (``around``) of cells as :func:`free_cells` lists them."""
-    x, y = F.col("x"), F.col("y")
-
-    def added(n: Column, board: Column) -> Column:
-        return n + _bit(board, x, y - 1) + _bit(board, x + 1, y) + _bit(board, x, y + 1) + _bit(board, x - 1, y)
-
-    return free.withColumn("around", F.aggregate("_free", F.lit(0).cast("bigint"), added))
+    return free.withColumn("around", F.col("_around").cast("bigint")).drop("_around")
 
 
 def farther_than(distance: int, mark: str) -> Column:
@@ -486,6 +476,11 @@ def field_levels(field: dict[str, DataFrame], changes: DataFrame | None = None,
     )
 
 
+def _bit(board: Column, x: Column, y: Column) -> Column:
+    """1 where a board has the cell; 0 beside the board."""
+    return F.coalesce(F.call_function("shiftright", F.get(board, y), x.cast("int")).bitwiseAND(F.lit(1)), F.lit(0).cast("bigint"))
+
+
 def field_texts(field: dict[str, DataFrame], size: int = 16) -> DataFrame:
     """``room_id, text``: the level text of :func:`field_levels` and :func:`rooms.cells_level`, written inside the room's row.
 

@@ -224,3 +224,14 @@ def test_boxes_and_pits_are_chosen_inside_their_rooms_row(spark):
     of_twice = fields.placed_boxes(twice, 16).collect()
     assert {r.room_id: r.node for r in of_twice if r.i == 0} == {r[0]: r[2] for r in wanted if r[1] == 0}
     assert all((r.i, r.node) in {(i, w[2]) for w in wanted if w[0] == r.room_id for i in range(3)} for r in of_twice)
+
+
+def test_listed_cells_do_not_carry_the_boards_of_their_room(spark):
+    field = fields.obstacle_fields(spark.createDataFrame([(k, k) for k in (1, 2, 3, 3)], "room_id long, seed long"))
+    free = fields.free_cells(field, 16)
+    assert not [kind for _, kind in free.dtypes if kind.startswith("array")]
+    cells = [(r.room_id, r.node) for r in free.collect()]
+    beside = lambda room, n: sum(cells.count((room, n + step)) for step in (1, -1, 16, -16))
+    found = fields.with_open_neighbours(free).collect()
+    # a repeated room has each cell once for every pair of its rows, and as many boards
+    assert found and all(r.around == beside(r.room_id, r.node) for r in found)
