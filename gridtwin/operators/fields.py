@@ -476,9 +476,31 @@ def field_levels(field: dict[str, DataFrame], changes: DataFrame | None = None,
     )
 
 
-def _bit(board: Column, x: Column, y: Column) -> Column:
-    """1 where a board has the cell; 0 beside the board."""
-    return F.coalesce(F.call_function("shiftright", F.get(board, y), x.cast("int")).bitwiseAND(F.lit(1)), F.lit(0).cast("bigint"))
+def _texts_of_fields(block: pa.RecordBatch, size: int) -> pa.Array:
+    """Level texts of rooms ``_rooms`` (open, start, goal of each time a room is listed)."""
+    listed = block.column(block.schema.get_field_index("_rooms"))
+    each = listed.value_lengths().to_numpy(zero_copy_only=False)
+    fields, owner = listed.flatten(), np.repeat(np.arange(len(each)), each)
+    node = np.arange(size * size)
+    at = lambda name: pc.fill_null(pc.struct_field(fields, name), -1).to_numpy(zero_copy_only=False)[:, None]
+    # cells are numbered in the order of their texts: those of one place stand in that order
+    cell = 1 - _cells_of_words(pc.struct_field(fields, "open").flatten().to_numpy(zero_copy_only=False), size).astype(np.int64)
+    cell[node == at("goal")] = 2
+    cell[node == at("start")] = 3
+    places = ((owner[:, None] * len(node) + node) * 4 + cell).reshape(-1)
+    if len(owner) > len(each):
+        places.sort()
+    cell, place = places % 4, places // 4
+    last = np.append(place[1:] != place[:-1], True) & (place % size == size - 1)
+    length = np.where(cell == 0, 2, 4)
+    ends = np.cumsum(length)
+    octets = np.full(int(length.sum()), ord("."), np.uint8)
+    octets[ends - 1] = np.where(last, ord("\n"), ord(" "))
+    stacked = cell > 0
+    octets[ends[stacked] - 3] = ord("+")
+    octets[ends[stacked] - 2] = np.frombuffer(b".#Gp", np.uint8)[cell[stacked]]
+    of_room = np.concatenate([[0], np.cumsum(np.bincount(place // len(node), weights=length, minlength=len(each)).astype(np.int64))])
+    return pa.LargeStringArray.from_buffers(len(each), pa.py_buffer(of_room), pa.py_buffer(octets)).cast(pa.string())
 
 
 def field_texts(field: dict[str, DataFrame], size: int = 16) -> DataFrame:
@@ -488,20 +510,8 @@ def field_texts(field: dict[str, DataFrame], size: int = 16) -> DataFrame:
     """
     rooms = field["boards"].join(field["ends"], "room_id").groupBy("room_id")
     rooms = rooms.agg(F.collect_list(F.struct("open", "start", "goal")).alias("_rooms"))
-    across = F.sequence(F.lit(0), F.lit(size - 1))
-
-    def cell(room: Column, x: Column, y: Column) -> Column:
-        node = y * size + x
-        return (
-            F.when(node == room["start"], ".+p")
-            .when(node == room["goal"], ".+G")
-            .when(_bit(room["open"], x, y) == 1, ".")
-            .otherwise(".+#")
-        )
-
-    def line(y: Column) -> Column:
-        alone = F.transform(across, lambda x: cell(F.col("_rooms")[0], x, y))
-        together = F.flatten(F.transform(across, lambda x: F.array_sort(F.transform("_rooms", lambda room: cell(room, x, y)))))
-        return F.array_join(F.when(F.size("_rooms") == 1, alone).otherwise(together), " ")
-
-    return rooms.select("room_id", F.concat(F.array_join(F.transform(across, line), "\n"), F.lit("\n")).alias("text"))
+
+    def cells(batch: pa.RecordBatch) -> np.ndarray:
+        return size * size * batch.column(batch.schema.get_field_index("_rooms")).value_lengths().to_numpy(zero_copy_only=False)
+
+    return with_column(rooms, "text", StringType(), lambda block: _texts_of_fields(block, size), cells).select("room_id", "text")

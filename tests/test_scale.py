@@ -235,3 +235,14 @@ def test_listed_cells_do_not_carry_the_boards_of_their_room(spark):
     found = fields.with_open_neighbours(free).collect()
     # a repeated room has each cell once for every pair of its rows, and as many boards
     assert found and all(r.around == beside(r.room_id, r.node) for r in found)
+
+
+def test_texts_of_fields_are_written_by_a_kernel(spark):
+    field = fields.obstacle_fields(spark.createDataFrame([(k, k) for k in (1, 2, 3, 3, 4)] + [(2, 9)], "room_id long, seed long"), 9)
+    texts = fields.field_texts(field, 9)
+    assert "MapInArrow" in texts._jdf.queryExecution().optimizedPlan().toString()
+    wanted = {}
+    for r in fields.field_levels(field, size=9).collect():
+        wanted.setdefault(r.room_id, {}).setdefault(r.y, {}).setdefault(r.x, []).append(r.cell)
+    lines = lambda grid: "".join(" ".join(" ".join(sorted(grid[y][x])) for x in range(9)) + "\n" for y in range(9))
+    assert {r.room_id: r.text for r in texts.collect()} == {room: lines(grid) for room, grid in wanted.items()}
