@@ -137,18 +137,6 @@ def boards_of_open(open_: Column) -> tuple[Column, Column]:
     return right, down
 
 
-def cells_of(board: Column, width: Column) -> Column:
-    """The cells of a board as an array of numbers."""
-    words = row_words(width)
-
-    def of_word(word: Column, at: Column) -> Column:
-        bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.call_function("shiftright", word, b).bitwiseAND(_long(1)) == 1)
-        first = (F.floor(at / words) * width + (at % words) * WORD).cast("int")
-        return F.when(word == 0, F.array().cast("array<int>")).otherwise(F.transform(bits, lambda b: first + b))
-
-    return F.flatten(F.transform(board, of_word))
-
-
 def with_flood(boards: DataFrame, start: Column) -> DataFrame:
     """The boards with ``flood``: the steps from each one's start cell to every cell, -1 where there is no way; null without a start."""
     made = with_column(
