@@ -191,3 +191,33 @@ def test_files(spark, tmp_path):
     rows = spark.createDataFrame([('say "hi", then\nleave', None)], "a string, b int")
     writers.write_csv(rows, str(tmp_path / "csv"))
     assert [tuple(r) for r in writers.read_csv(spark, str(tmp_path / "csv"), "a string, b int").collect()] == [('say "hi", then\nleave', None)]
+
+
+def test_edits_meet_their_levels_in_no_broadcast(spark):
+    """Levels, paths and facts made of few small rows are never sent whole to every task; odd levels and changes keep their texts."""
+    texts = [("a", " . .+p  i\n\n.+é+G\n"), ("b", ""), ("c", None), ("d", "+"), (None, ". .")]
+    levels = spark.createDataFrame(texts, "room_id string, text string").cache()
+    rows = [
+        ("a", "1", [(0, 0, ".", "+"), (0, 1, "x", "öö")]), ("a", "2", [(1, 0, "", "y"), (1, 0, "", "z")]), ("a", "3", [(1, 0, "", "y"), (1, 0, "", None)]),
+        ("a", "4", [(3, 0, "", "y"), (-1, 1, "", "y"), (0, 2, "", "y"), None]), ("a", "5", None), ("a", None, [(2, 1, "", "")]), ("a", "6", [(2, 1, "", "q"), (0, 0, "", "p")]),
+        ("b", "7", [(0, 0, "", "y")]), ("c", "8", [(0, 0, "", "y")]), ("d", "9", [(0, 0, "", "y")]), (None, "0", []),
+    ]
+    changed = spark.createDataFrame(rows, "room_id string, edit_id string, changes array<struct<x: int, y: int, before: string, after: string>>")
+    plain = ". .+p i\n.+é+G + +\n"
+    wanted = {
+        "1": "+ .+p i\nöö + +\n", "2": ". z i\n.+é+G + +\n", "3": plain, "4": plain, "5": plain, None: ". .+p i\n.+é+G + \n",
+        "6": "p .+p i\n.+é+G + q\n", "7": "\n", "8": None, "9": "y\n",
+    }
+    joined = edits.apply_edits(levels, changed, ["room_id"])
+    carried = edits.apply_edits(None, changed.join(levels, "room_id", "left"), ["room_id"])
+    for made in (joined, carried):
+        assert {r.edit_id: r.level for r in made.collect()} == wanted
+    few = spark.range(3).select(F.col("id").alias("room_id"), F.lit(". .+p\n.+G .").alias("text"))
+    facts = few.select("room_id", F.lit("w").alias("world"), F.lit(1).alias("base_moves"), F.array(F.lit("t")).alias("tags"), F.lit(1).alias("gems"))
+    found = edits.enumerate_edits(edits.with_paths(few, few.select("room_id", F.lit(0).alias("x"), F.lit(0).alias("y"))), ["visited"])
+    tries = edits.try_order(edits.sample_edits(edits.touching(found), 5, 2))
+    judged = tries.withColumn("moves", F.lit(1)).withColumn("status", F.when(F.col("try_no") % 2 == 0, "solved").otherwise("unsolved"))
+    records = edits.pair_records(edits.match_pairs(judged, 2), facts, few)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (records, found, edits.apply_edits(few, found))]
+    assert all("Broadcast" not in plan and "SortMergeJoin" in plan for plan in plans)
+    assert edits.pair_audit(records).where("ok").count() == 6
