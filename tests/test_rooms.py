@@ -221,3 +221,9 @@ def test_edits_meet_their_levels_in_no_broadcast(spark):
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (records, found, edits.apply_edits(few, found))]
     assert all("Broadcast" not in plan and "SortMergeJoin" in plan for plan in plans)
     assert edits.pair_audit(records).where("ok").count() == 6
+
+
+def test_audit_of_repeated_records_compares_the_largest_levels(spark):
+    rows = [("p", True, ". .+p .+G\n"), ("p", True, ".+# .+p .+G\n"), ("p", False, ".+# .+p .+G\n"), ("p", None, "i"), ("q", True, None), (None, False, ".+p .+G\n")]
+    audit = {r.pair: tuple(r)[1:] for r in edits.pair_audit(spark.createDataFrame(rows, "pair string, solvable boolean, level string")).collect()}
+    assert audit == {"p": (4, 2, 0, True, False), "q": (1, 1, audit["q"][2], None, audit["q"][4]), None: (1, 0, audit[None][2], None, audit[None][4])}
