@@ -14,12 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from gridtwin.operators.drawings import WORD, boards_of_words
 from gridtwin.operators.grids import cell_x, cell_y
 from gridtwin.operators.lattice import cells_of_rows, floods, parts, with_column
 from gridtwin.session import spread
 
-WORD = 50
-
 
 def _left(value: Column, bits: Column) -> Column:
     return F.call_function("shiftleft", value, bits.cast("int"))
@@ -105,29 +104,24 @@ def boards_of_edges(grids: DataFrame, edges: DataFrame, *carry: str) -> DataFram
 
     Edges join neighbouring cells, a < b; repeated ones count once. Grids
     without edges have empty boards. The words of a grid (a few hundred at
-    most) meet in one row; edges meet by word first, so no task holds all edges of a group.
+    most) meet in one row; edges meet by word of 50 cells first, so no task holds all edges
+    of a group and no edge meets its grid's size. A kernel makes the boards of many grids.
     """
-    width = F.col("width")
-    sized = edges.join(grids.select("graph_id", "width"), "graph_id")
-    word, bit = word_of(F.col("a"), width), bit_of(F.col("a"), width)
-    to_right = F.col("b") == F.col("a") + 1
-    words = sized.groupBy("graph_id", word.alias("_word")).agg(
-        F.bit_or(F.when(to_right, bit).otherwise(_long(0))).alias("r"),
-        F.bit_or(F.when(~to_right, bit).otherwise(_long(0))).alias("d"),
+    a, b = F.col("a").cast("bigint"), F.col("b").cast("bigint")
+    bit = F.call_function("shiftleft", _long(1), (a % WORD).cast("int"))
+    to_right = b == a + 1
+    words = (
+        edges.where(a >= 0)
+        .groupBy("graph_id", F.floor(a / WORD).cast("int").alias("_word"))
+        .agg(
+            F.bit_or(F.when(to_right, bit).otherwise(_long(0))).alias("r"),
+            F.bit_or(F.when(~to_right, bit).otherwise(_long(0))).alias("d"),
+        )
     )
     listed = words.groupBy("graph_id").agg(F.collect_list(F.struct("_word", "r", "d")).alias("_words"))
-    every = F.sequence(F.lit(0), row_words(width) * F.col("height") - 1)
-
-    def filled(side: str) -> Column:
-        held = F.map_from_entries(F.transform("_words", lambda w: F.struct(w["_word"], w[side])))
-        return let(held, lambda m: F.transform(every, lambda w: F.coalesce(F.try_element_at(m, w), _long(0))))
-
-    return spread(
-        grids.select("graph_id", "width", "height", *carry)
-        .join(listed, "graph_id", "left")
-        .withColumn("_words", F.coalesce("_words", F.array().cast("array<struct<_word: int, r: bigint, d: bigint>>")))
-        .select("graph_id", "width", "height", *carry, row_words(width).alias("words"), filled("r").alias("right"), filled("d").alias("down"))
-    )
+    rows = spread(grids.select("graph_id", "width", "height", *carry).join(listed.hint("merge"), "graph_id", "left"))
+    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("words int, right array<bigint>, down array<bigint>")])
+    return rows.mapInArrow(boards_of_words, schema)
 
 
 def boards_of_open(open_: Column) -> tuple[Column, Column]:

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtwin.session import spread
+from pyspark.sql.types import StructType
 
-WORD = 50  # cells in a word of open sides
+from gridtwin.operators.drawings import WORD, drawn
+from gridtwin.session import spread
 
 
 def cell_x(node: Column, width: Column) -> Column:
@@ -76,6 +77,16 @@ def edges_from_rows(grids: DataFrame) -> DataFrame:
     )
 
 
+def edge_words(edges: DataFrame) -> DataFrame:
+    """Edges as bits: ``graph_id, step, _word, bits``, one row for those from 50 cells that lead ``step`` = b - a on."""
+    a, b = F.col("a").cast("bigint"), F.col("b").cast("bigint")
+    return (
+        edges.where((a >= 0) & b.isNotNull())
+        .groupBy("graph_id", (b - a).alias("step"), F.floor(a / WORD).cast("int").alias("_word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (a % WORD).cast("int"))).alias("bits"))
+    )
+
+
 def _with_sides(params: DataFrame, edges: DataFrame) -> DataFrame:
     """``params`` with ``_right`` and ``_down``: the open sides of each grid's cells, as arrays of words of 50 cells.
 
@@ -188,61 +199,29 @@ def text_rows(
     """Block drawing, (2h+1) lines of (2w+1) characters: ``graph_id, line, text``.
 
     ``params`` also has ``start`` and ``goal`` cells. ``path(graph_id, k,
-    node)`` is drawn over floor and passages with ``mark``.
+    node)`` is drawn over floor and passages with ``mark``. Grid, passages and
+    path of a graph meet as one row and are drawn by a kernel; no cell is listed.
     """
-    cells = open_sides(params, edges, "start", "goal")
-    if path is None:
-        cells = cells.withColumn("_on", F.lit(False)).withColumn("_to_right", F.lit(False)).withColumn(
-            "_to_down", F.lit(False)
-        )
-    else:
-        following = path.select("graph_id", (F.col("k") - 1).alias("k"), F.col("node").alias("_next"))
-        steps = path.join(following, ["graph_id", "k"], "left")
-        ends = F.array(F.struct(F.col("node"), F.col("_next").alias("other")), F.struct(F.col("_next").alias("node"), F.col("node").alias("other")))
-        touched = (
-            steps.select("graph_id", F.explode(ends).alias("end"))
-            .where(F.col("end.node").isNotNull())
-            .select("graph_id", "end.node", "end.other")
-            .join(params.select("graph_id", "width"), "graph_id")
-            .groupBy("graph_id", "node")
-            .agg(
-                F.lit(True).alias("_on"),
-                F.coalesce(F.max(F.col("other") == F.col("node") + 1), F.lit(False)).alias("_to_right"),
-                F.coalesce(F.max(F.col("other") == F.col("node") + F.col("width")), F.lit(False)).alias("_to_down"),
-            )
-        )
-        cells = cells.join(touched, ["graph_id", "node"], "left").fillna(False, ["_on", "_to_right", "_to_down"])
-
-    def passage(flag: str, on_path: str) -> Column:
-        return F.when(F.col(flag) == 0, F.lit(wall)).when(F.col(on_path), F.lit(mark)).otherwise(F.lit(floor))
-
-    inside = (
-        F.when(F.col("node") == F.col("goal"), F.lit(goal))
-        .when(F.col("node") == F.col("start"), F.lit(start))
-        .when(F.col("_on"), F.lit(mark))
-        .otherwise(F.lit(floor))
-    )
-    lines = (
-        cells.withColumn("_middle", F.concat(inside, passage("right", "_to_right")))
-        .withColumn("_below", F.concat(passage("down", "_to_down"), F.lit(wall)))
-        .groupBy("graph_id", "width", "y")
-        .agg(F.array_sort(F.collect_list(F.struct("x", "_middle", "_below"))).alias("_cells"))
-    )
-    pair = F.array(
-        F.when(F.col("y") == 0, F.struct(F.lit(0).alias("line"), F.repeat(F.lit(wall), 2 * F.col("width") + 1).alias("text"))),
-        F.struct(
-            (2 * F.col("y") + 1).alias("line"),
-            F.concat(F.lit(wall), F.array_join(F.col("_cells._middle"), "")).alias("text"),
-        ),
-        F.struct(
-            (2 * F.col("y") + 2).alias("line"),
-            F.concat(F.lit(wall), F.array_join(F.col("_cells._below"), "")).alias("text"),
-        ),
-    )
-    return (
-        lines.select("graph_id", F.explode(F.filter(pair, lambda p: p.isNotNull())).alias("row"))
-        .select("graph_id", "row.*")
-    )
+    grid = F.struct("width", "height", "start", "goal")
+    every = params.groupBy("graph_id").agg(F.collect_list(grid).alias("_all"))
+    words = edge_words(edges).groupBy("graph_id").agg(F.collect_list(F.struct("step", "_word", "bits")).alias("_words"))
+    steps = F.lit(None).cast("array<struct<k: bigint, node: bigint>>")
+    met = every.join(words.hint("merge"), "graph_id", "left")
+    if path is not None:
+        number = lambda c: F.col(c).cast("bigint").alias(c)
+        ways = path.groupBy("graph_id").agg(F.collect_list(F.struct(number("k"), number("node"))).alias("_path"))
+        met = met.join(ways.hint("merge"), "graph_id", "left")
+        steps = F.col("_path")
+    rows = met.select(
+        "graph_id",
+        F.get("_all", F.lit(0)).alias("_one"),
+        F.when(F.size("_all") > 1, F.col("_all")).alias("_others"),
+        "_words",
+        steps.alias("_path"),
+    ).select("graph_id", "_one.*", "_others", "_words", "_path")
+    signs = (floor, wall, start, goal, mark)
+    schema = StructType([rows.schema["graph_id"], *StructType.fromDDL("line int, text string")])
+    return spread(rows).mapInArrow(drawn(signs), schema)
 
 
 def whole_text(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridtwin.functions.rng import draw, draw_inside
 from gridtwin.operators import boards
+from gridtwin.operators import grids as drawing
 
 GRIDS = "graph_id long, width int, height int, start int, goal int"
 EDGES = "graph_id long, a int, b int"
@@ -122,3 +123,28 @@ def test_draws_inside_are_the_same_draws(spark):
     rows = spark.range(50).select((F.col("id") * 7919 - 100).alias("s"), (F.col("id") * 1_000_003).alias("k"))
     got = rows.select(draw(F.col("s"), F.col("k")).alias("a"), draw_inside(F.col("s"), F.col("k")).alias("b"))
     assert all(r.a == r.b for r in got.collect())
+
+
+def test_drawings_meet_their_path_as_one_row(spark):
+    """No cell is listed or joined, nothing is sent to every task; a repeated graph draws its cells beside each other."""
+    rows = [(1, 2, 2, 0, 3), (2, 2, 2, 0, 3), (2, 2, 2, 0, 3), (3, 2, 1, None, 1), (None, 1, 1, 0, 0)]
+    table = spark.createDataFrame(rows, "graph_id long, width int, height int, start int, goal int")
+    edges = spark.createDataFrame([(g, a, b) for g in (1, 2) for a, b in ((0, 1), (1, 3))] + [(3, None, 1), (9, 0, 1)], "graph_id long, a int, b int")
+    path = spark.createDataFrame([(g, k, n) for g in (1, 2) for k, n in enumerate((0, 1, 3))] + [(3, 0, None), (3, 0, 0), (3, None, 1)], "graph_id long, k int, node int")
+    found = drawing.text_rows(table, edges, path)
+    texts = {r.graph_id: r.text.split("\n") for r in drawing.whole_text(found).collect()}
+    assert texts == {
+        1: ["#####", "#S**#", "###*#", "#.#G#", "#####"],
+        2: ["#####", "#S*S**#*#", "#####*#*#", "#.#.#G#G#", "#########"],
+        3: ["#####", "#*#G#", "#####"],
+        None: ["###", "#G#", "###"],
+    }
+    plain = {r.graph_id: r.text for r in drawing.whole_text(drawing.text_rows(table, edges, floor="__", wall="é")).collect()}
+    assert plain[1] == "ééééé\néS____é\nééé__é\né__éGé\nééééé"
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan
+    wide = spark.createDataFrame([(1, 70, 2), (2, 3, 1)], "graph_id long, width int, height int")
+    over = spark.createDataFrame([(1, 49, 50), (1, 50, 120), (1, 69, 139), (1, 200, 201), (2, 1, 2)], "graph_id long, a int, b int")
+    made = boards.boards_of_edges(wide, over)
+    assert {r.graph_id: (r.words, r.right, r.down) for r in made.collect()} == {1: (2, [1 << 49, 0, 0, 0], [0, 1 | 1 << 19, 0, 0]), 2: (1, [2], [0])}
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
