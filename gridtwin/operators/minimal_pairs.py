@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from gridtwin.functions.rng import draw, draw_int, seed_from_text
 from gridtwin.functions.text import strip
-from gridtwin.operators import boards, connectivity, trees
+from gridtwin.operators import boards, connectivity, lattice, trees
 from gridtwin.operators.grids import grid_edges, manhattan
-from gridtwin.session import cut
+from gridtwin.operators.pair_rows import NODE, PAIR, pairs_of_rows, walks_of_parents
+from gridtwin.session import cut, spread
 
 # Parameter defaults and difficulty presets.
 DEFAULTS = {"width": 10, "height": 10, "algorithm": "backtracker", "placement": "random", "cut": "balanced", "loops": 3}
@@ -172,7 +174,7 @@ def far_goals(nodes: DataFrame, ends: DataFrame) -> DataFrame:
 def choose_cuts(cuts: DataFrame, params: DataFrame) -> DataFrame:
     """One cut per graph: random, at a fixed fraction, or one of the three most balanced."""
     smaller = F.least("start_side", "goal_side")
-    ranked = cuts.join(params.select("graph_id", "seed", "cut_mode", "cut_pos"), "graph_id").withColumn(
+    ranked = cuts.join(params.select("graph_id", "seed", "cut_mode", "cut_pos").hint("merge"), "graph_id").withColumn(
         "_rank", F.row_number().over(Window.partitionBy("graph_id").orderBy(smaller.desc(), "k"))
     )
     length = F.col("path_length")
@@ -213,7 +215,7 @@ def extra_passages(candidates: DataFrame, params: DataFrame) -> DataFrame:
     place = draw(F.col("seed"), EXTRA + F.col("edge_no"))
     whole = Window.partitionBy("graph_id")
     ranked = (
-        candidates.join(params.select("graph_id", "loops"), "graph_id")
+        candidates.join(params.select("graph_id", "loops").hint("merge"), "graph_id")
         .withColumn("_rank", F.row_number().over(whole.orderBy(place, "edge_no")))
         .withColumn("_loops", F.least("loops", F.count("*").over(whole) - 1))
     )
@@ -233,8 +235,13 @@ def build_pairs(params: DataFrame) -> dict[str, DataFrame]:
     the solvable one, ``opened`` only in the unsolvable one, ``tree`` and
     ``loop`` in both. Also ``ends``, ``tree``, ``nodes``, ``path``, ``cuts``,
     ``chosen``, ``candidates`` and ``unplaced``.
+
+    Where every graph has one row without nulls that matter, all is chosen inside that row
+    (:mod:`gridtwin.operators.pair_rows`) and only short lists are written; the tables are read from them.
     """
     params = cut(params, "params")
+    if _one_row_each(params):
+        return _pairs_in_rows(params)
     grid = cut(weighted_grid(params), "grid")
     tree = cut(connectivity.spanning_forest(grid), "tree")
     ends = cut(fixed_ends(params), "ends")
@@ -268,6 +275,65 @@ def build_pairs(params: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _one_row_each(params: DataFrame) -> bool:
+    """Whether no graph comes twice and each can be built in its row: whole numbers without nulls, a grid of some cells that one block holds."""
+    cells = F.col("width").cast("bigint") * F.col("height")
+    fits = F.col("seed").isNotNull() & F.col("loops").isNotNull() & (F.col("width") > 0) & cells.between(2, lattice.MOST_CELLS)
+    whole = all(kind in ("tinyint", "smallint", "int", "bigint") for name, kind in params.dtypes if name in ("graph_id", "width", "height", "seed", "loops"))
+    if not whole or params.where(F.col("graph_id").isNull() | ~F.coalesce(fits, F.lit(False))).limit(1).count():
+        return False
+    return params.groupBy("graph_id").count().where("count > 1").limit(1).count() == 0
+
+
+def _pairs_in_rows(params: DataFrame) -> dict[str, DataFrame]:
+    """The tables of :func:`build_pairs` from one written row for each graph."""
+    ends = cut(fixed_ends(params), "ends")
+    placed = spread(params.join(ends.hint("merge"), "graph_id", "left"))
+    schema = StructType([params.schema["graph_id"], *StructType.fromDDL(PAIR)])
+    rows = placed.mapInArrow(pairs_of_rows(TREE, CUT, EXTRA), schema)
+    # what the tables are listed from goes with the row, so that no list meets its parameters again
+    rows = cut(spread(params.select("graph_id", "seed", "width").join(rows.hint("merge"), "graph_id")), "pairs")
+    ended = rows.where(F.col("start").isNotNull())
+    chosen = rows.where(F.col("k").isNotNull())
+    key = params.schema["graph_id"]
+
+    def walked(on_way: bool) -> DataFrame:
+        kept = ended.select("graph_id", "start", "goal", "parents")
+        return kept.mapInArrow(walks_of_parents(on_way), StructType([key, *StructType.fromDDL(NODE).fields[1:]]))
+
+    # edge 2n leads from cell n to its right, 2n + 1 below
+    a = F.floor(F.col("edge_no") / 2).cast("int")
+    b = (a + F.when(F.col("edge_no") % 2 == 0, 1).otherwise(F.col("width"))).cast("int")
+    at = F.struct(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
+    links = rows.select("graph_id", "start", "near", "far", F.posexplode("parents").alias("node", "parent")).where("parent >= 0")
+    links = links.select("graph_id", "start", at.alias("_at"), "near", "far")
+    is_cut = (F.col("_at.a") == F.least("near", "far")) & (F.col("_at.b") == F.greatest("near", "far"))
+    kept = links.where(F.col("start").isNotNull()).select(
+        "graph_id", "_at.a", "_at.b", F.when(is_cut, "cut").otherwise("tree").alias("kind")
+    )
+    # the first of the extra passages are loops, one more is opened
+    extra = rows.select("graph_id", "width", "loop_count", F.posexplode("extra").alias("_place", "edge_no"))
+    extra = extra.select("graph_id", a.alias("a"), b.alias("b"), F.when(F.col("_place") < F.col("loop_count"), "loop").otherwise("opened").alias("kind"))
+    cuts = ("graph_id", "k", "near", "far", "start_side", "goal_side", "enter", "leave", "path_length")
+    path = walked(True).select("graph_id", F.col("depth").alias("k"), "node", "parent", "enter", "leave", "size")
+    closed = rows.select("graph_id", "seed", "width", F.explode("candidates").alias("edge_no"))
+    return {
+        "params": params,
+        "grid": weighted_grid(params),
+        "tree": links.select("graph_id", "_at.a", "_at.b"),
+        "ends": ended.select("graph_id", "start", "goal"),
+        "nodes": walked(False),
+        "path": path,
+        "cuts": trees.cut_sizes(path),
+        "chosen": chosen.select(*cuts),
+        "candidates": closed.select(
+            "graph_id", b.alias("b"), a.alias("a"), "seed", "edge_no", draw(F.col("seed"), TREE + F.col("edge_no")).alias("w")
+        ),
+        "passages": kept.unionAll(extra),
+        "unplaced": unplaced(params, ends),
+    }
+
+
 def members(passages: DataFrame) -> DataFrame:
     """Edges of both members: ``graph_id, solvable, a, b``."""
     in_members = (
@@ -289,7 +355,7 @@ def labelled_members(passages: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce(text, F.lit("")) == "", draw(F.col("seed"), COIN) < 0.5
     ).otherwise(text.isin("true", "1", "yes"))
     chosen = labels.select("graph_id", wanted.alias("solvable"))
-    return members(passages).join(chosen, ["graph_id", "solvable"])
+    return members(passages).join(chosen.hint("merge"), ["graph_id", "solvable"])
 
 
 def pair_metadata(pairs: dict[str, DataFrame]) -> DataFrame:
@@ -350,17 +416,20 @@ def pair_metadata(pairs: dict[str, DataFrame]) -> DataFrame:
 # --- audits -----------------------------------------------------------------------------
 def pair_differences(edges: DataFrame) -> DataFrame:
     """Per pair, how many edges only one member has, and one of each: ``edges`` as of :func:`members`."""
-    yes = edges.where("solvable").select("graph_id", "a", "b", F.lit(1).alias("_yes"))
-    no = edges.where(~F.col("solvable")).select("graph_id", "a", "b", F.lit(1).alias("_no"))
-    return (
-        yes.join(no, ["graph_id", "a", "b"], "full")
-        .groupBy("graph_id")
-        .agg(
-            F.count_if(F.col("_no").isNull()).alias("only_solvable"),
-            F.count_if(F.col("_yes").isNull()).alias("only_unsolvable"),
-            F.max(F.when(F.col("_no").isNull(), F.struct("a", "b"))).alias("_cut"),
-            F.max(F.when(F.col("_yes").isNull(), F.struct("a", "b"))).alias("_opened"),
-        )
+    # an edge that lacks a name equals no other
+    unnamed = F.col("graph_id").isNull() | F.col("a").isNull() | F.col("b").isNull()
+    sides = edges.groupBy("graph_id", "a", "b").agg(
+        F.count_if("solvable").alias("_yes"), F.count_if(~F.col("solvable")).alias("_no")
+    )
+    only = lambda side, other: F.when((F.col(other) == 0) | unnamed, F.col(side)).otherwise(0)
+    sides = sides.where((F.col("_yes") > 0) | (F.col("_no") > 0)).select(
+        "graph_id", F.struct("a", "b").alias("_at"), only("_yes", "_no").alias("_yes"), only("_no", "_yes").alias("_no")
+    )
+    return sides.groupBy("graph_id").agg(
+        F.sum("_yes").alias("only_solvable"),
+        F.sum("_no").alias("only_unsolvable"),
+        F.max(F.when(F.col("_yes") > 0, F.col("_at"))).alias("_cut"),
+        F.max(F.when(F.col("_no") > 0, F.col("_at"))).alias("_opened"),
     )
 
 

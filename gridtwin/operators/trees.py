@@ -116,12 +116,13 @@ def tree_paths(nodes: DataFrame, goals: DataFrame) -> DataFrame:
 
     ``nodes`` comes from :func:`rooted`, ``goals(graph_id, goal)``.
     """
+    # nodes may be listed from short rows, and Spark would think them few
     at_goal = (
-        nodes.join(goals.select("graph_id", F.col("goal").alias("node")), ["graph_id", "node"])
+        nodes.join(goals.select("graph_id", F.col("goal").alias("node")).hint("merge"), ["graph_id", "node"])
         .select("graph_id", F.col("enter").alias("_enter"), F.col("leave").alias("_leave"))
     )
     return (
-        nodes.join(at_goal, "graph_id")
+        nodes.join(at_goal.hint("merge"), "graph_id")
         .where((F.col("enter") <= F.col("_enter")) & (F.col("leave") >= F.col("_leave")))
         .select("graph_id", F.col("depth").alias("k"), "node", "parent", "enter", "leave", "size")
     )

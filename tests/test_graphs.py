@@ -273,3 +273,43 @@ def test_parameters(spark):
     assert (good[0].width, good[0].placement, good[0].loops, good[0].seed, good[0].min_distance) == (16, "far", 6, 1335831723, 8)
     assert (good[2].cut_mode, good[2].cut_pos, good[2].loops, good[2].min_distance) == ("fixed", 0.25, 0, 5)
     assert {r.graph_id for r in minimal_pairs.rejected(resolved).collect()} == {1, 3, 4, 5, 6}
+
+
+def test_pairs_are_chosen_in_the_rows_of_their_grids(spark, monkeypatch):
+    """Tables read from one row for each graph equal those that were joined from edges; no edge is shuffled or written on the way."""
+    places, modes = ("random", "border", "corners", "far", "nowhere"), ("balanced", "random", "fixed")
+    rows = [(7 + 3 * k, 3 + k % 5, 3 + k % 4, k * 2654435761, places[k % 5], modes[k % 3], (None, 0.0, 0.4, 1.0)[k % 4], k % 4, 2 + 90 * (k == 25)) for k in range(60)]
+    schema = "graph_id long, width int, height int, seed long, placement string, cut_mode string, cut_pos double, loops int, min_distance int"
+    table = spark.createDataFrame(rows, schema)
+    written = []
+    monkeypatch.setattr(minimal_pairs, "cut", lambda df, label="cut", cut=minimal_pairs.cut: written.append(label) or cut(df, label))
+    inside = minimal_pairs.build_pairs(table)
+    assert set(written) <= {"params", "ends", "pairs"}
+    plan = inside["passages"]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    monkeypatch.setattr(minimal_pairs, "_one_row_each", lambda _: False)
+    joined = minimal_pairs.build_pairs(table)
+    assert inside.keys() == joined.keys()
+    for name, wanted in joined.items():
+        assert inside[name].dtypes == wanted.dtypes, name
+        assert sorted(map(repr, inside[name].collect())) == sorted(map(repr, wanted.collect())), name
+
+
+def test_graphs_that_come_twice_are_not_built_in_rows(spark):
+    schema = "graph_id long, width int, height int, seed long, loops int"
+    fits = lambda *rows: minimal_pairs._one_row_each(spark.createDataFrame(rows, schema))
+    assert fits((1, 3, 3, 1, 0), (2, 3, 3, 1, 0))
+    for row in ((1, 3, 3, 1, 0), (None, 3, 3, 1, 0), (2, 3, 3, None, 0), (2, None, 3, 1, 0), (2, 1, 1, 1, 0), (2, 1000, 1000, 1, 0)):
+        assert not fits((1, 3, 3, 1, 0), row)
+
+
+def test_differences_count_every_unmatched_edge(spark):
+    rows = [
+        (1, True, 0, 1), (1, False, 0, 1), (1, True, 0, 2), (1, True, 0, 2), (1, False, 3, 4), (1, True, 1, 2), (1, False, 1, 2), (1, False, 1, 2),
+        (2, True, None, 1), (2, False, None, 1), (None, True, 0, 1), (None, False, 0, 1), (3, None, 0, 1), (4, True, 5, 6), (4, False, 5, 6),
+    ]
+    found = minimal_pairs.pair_differences(spark.createDataFrame(rows, "graph_id long, solvable boolean, a int, b int"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.graph_id: (r.only_solvable, r.only_unsolvable, r._cut and tuple(r._cut), r._opened and tuple(r._opened)) for r in found.collect()} == {
+        1: (2, 1, (0, 2), (3, 4)), 2: (1, 1, (None, 1), (None, 1)), None: (1, 1, (0, 1), (0, 1)), 4: (0, 0, None, None),
+    }
